@@ -84,11 +84,12 @@ def dedup(
     # 1. Hashes of chunks that occur twice: counted before any text moves.
     hashes = found.select(F.xxhash64("c.text").alias("h"), F.length("c.text").alias("n"))
     repeated = written(hashes.groupBy("h", "n").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1).select("h", "n"), "line-hashes")
-    # 2. Their occurrences, with the bytes.
+    # 2. Their occurrences, with the bytes. Joins that move texts are sort-merge at every size: no side is bounded, and
+    # Spark splits skewed partitions of them.
     occurrence = found.select(
         F.xxhash64("c.text").alias("h"), F.length("c.text").alias("n"), F.struct("doc.id", "doc.k", "c.at").alias("place"), F.col("c.text").alias("text")
     )
-    occurrence = written(occurrence.join(repeated, ["h", "n"]), "line-chunks")
+    occurrence = written(occurrence.join(repeated.hint("merge"), ["h", "n"]), "line-chunks")
     # 3. Equal bytes: the group is the text itself, the first place is kept.
     first = written(occurrence.groupBy("h", "n", "text").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).where(F.col("times") > 1), "line-firsts")
     gone = occurrence.join(first.withColumnRenamed("text", "same"), ["h", "n"]).where((F.col("text") == F.col("same")) & (F.col("place") != F.col("first")))
@@ -96,7 +97,7 @@ def dedup(
     per = written(per.select(F.coalesce(F.xxhash64("id"), F.lit(0)).alias("_lines_id"), F.col("k").alias("_lines_k"), "_lines_gone"), "line-gone")
     # 4. Documents lose those chunks; texts travel once, by document.
     keyed = docs.withColumns({"_lines_id": F.coalesce(F.xxhash64(id_col), F.lit(0)), "_lines_k": key})
-    joined = keyed.join(per, ["_lines_id", "_lines_k"], "left")
+    joined = keyed.join(per.hint("merge"), ["_lines_id", "_lines_k"], "left")
     left = F.array_join(
         F.transform(
             F.filter(cut(), lambda c: ~F.array_contains(F.col("_lines_gone"), c["at"])),
