@@ -194,7 +194,7 @@ def join(
     Words are lower-case and split at white space. Texts with the same words in the same order are one class, named by its
     smallest id, compared once; ``n_links`` counts the other rows linked, copies included, ``component_id`` is the smallest
     id reachable, ``kept`` marks rows with that id. Null texts and texts without words link with nothing; texts below five
-    words link with their copies alone. Repeated rows count as rows. A null id is its own class with null ids. Very long
+    words link with their copies alone. Repeated rows count as rows. Texts whose rows all have a null id are compared with their copies only. Very long
     texts are compared whole. Other columns are not read; an empty table gives an empty result.
     """
     depth = prefix_depth(similarity, trees, recall, depth)
@@ -222,7 +222,8 @@ def join(
         "digest", "rep", "weight", "keys", "chunks", unit.alias("unit"), F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk")
     )
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    sets = _sets(texts.join(written(planned, "planned"), F.col("id") == F.col("rep")))
+    # Texts are joined by sort-merge at every size: neither side is bounded.
+    sets = _sets(texts.join(written(planned, "planned").hint("merge"), F.col("id") == F.col("rep")))
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("a"), F.greatest("chunk", c).alias("b")))
     dealt = sets.select("*", F.explode(others).alias("block")).select("unit", "block.a", "block.b", "digest", "chunk", "weight", "keys", "shingles")
     found = written(dealt.groupBy("unit", "a", "b").applyInPandas(_verify(similarity), "digest string, links bigint, parent string"), "links")
@@ -246,7 +247,7 @@ def join(
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group, all columns: that with the smallest id, of rows that repeat it one. Rows of null id stay."""
+    """One document of each group, all columns: that with the smallest id. Rows that share this id all stay, and so do rows of null id."""
     result = join(docs, id_col=id_col, text_col=text_col, **options)
     gone = written(result.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")
