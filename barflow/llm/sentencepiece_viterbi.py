@@ -14,16 +14,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_slices
+from .words import Table, cut, gather
 
 SPACE = "▁"
+#: Marks where texts are cut, and what stands for it in a text that holds it.
+CUT, CUT_TEXT = "\x01", "\U0010fffd"
 FREE, HALF, SLOTS = -(1 << 40), 1 << 21, 1 << 21
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -194,19 +197,17 @@ def worker_encoder(pieces: Pieces) -> "Encoder":
 class Encoder:
     """Encodes texts word by word; results of words are kept in a bounded cache of flat arrays."""
 
-    def __init__(self, pieces: Pieces, most_words: int = 800_000, slice_rows: int = 20_000) -> None:
+    def __init__(self, pieces: Pieces, most_words: int = 1_000_000, slice_rows: int = 20_000) -> None:
         self.p, self.most, self.rows = pieces, most_words, slice_rows
         self.pattern = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if pieces.cut_lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.ends = np.zeros(1 << 12, np.int64)
+        self.table = Table(np.int32)
 
     def _learn(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:
+            if not w:
+                self.table.add([w], np.zeros(0, np.int64), np.zeros(1, np.int64))
+                continue
             by_length.setdefault(len(w), []).append(w)
         for n, group in sorted(by_length.items()):
             step = max(1, self.rows // n)
@@ -217,15 +218,7 @@ class Encoder:
     def _store(self, words: list[str], ids: np.ndarray, count: np.ndarray) -> None:
         if (ids < 0).any():
             ids, count = self._spelled(ids, count)
-        k = len(self.index)
-        start = int(self.ends[k - 1]) if k else 0
-        while start + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while k + len(words) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[start : start + len(ids)] = ids
-        self.ends[k : k + len(words)] = start + np.cumsum(count)
-        self.index.update(zip(words, range(k, k + len(words)), strict=True))
+        self.table.add(words, ids, count)
 
     def _spelled(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece as byte pieces, or one unknown piece for each run of them."""
@@ -246,21 +239,28 @@ class Encoder:
             start = e
         return np.array(out, np.int64), np.array(size, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the end of each text in them."""
         prefix = SPACE if self.p.dummy_prefix else ""
-        words = [self.pattern.findall(prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.index) > self.most:
-            self._clear()
-        fresh = set().union(*words).difference(self.index) if words else set()
-        self._learn(list(fresh))
-        count = np.array([len(x) for x in words], np.int64)
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))
-        starts = np.where(at > 0, self.ends[at - 1], 0)
-        size = self.ends[at] - starts
-        done = np.cumsum(size)
-        ids = self.flat[np.repeat(starts - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)]
-        return ids, np.concatenate([[0], done])[np.cumsum(count)]
+        texts = pc.replace_substring(texts, " ", SPACE)
+        texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(prefix, texts, ""))
+        # Runs of spaces are one part with the word after them; texts with such runs are marked at the places a pattern finds.
+        marked = pc.replace_substring(texts, SPACE, CUT + SPACE)
+        if self.p.cut_lines:
+            marked = pc.replace_substring(marked, "\n", CUT + "\n" + CUT)
+        odd = pc.or_(pc.match_substring(texts, SPACE + SPACE), pc.match_substring(texts, CUT))
+        if pc.any(odd).as_py():
+            keep = odd.to_pylist()
+            slow = [CUT.join(self.pattern.findall(t.replace(CUT, CUT_TEXT))) if o else m for t, m, o in zip(texts.to_pylist(), marked.to_pylist(), keep, strict=True)]
+            marked = pa.array(slow, pa.string())
+        codes, count, words = cut(marked, CUT)
+        words = [w.replace(CUT_TEXT, CUT) for w in words]
+        if len(self.table.index) > self.most:
+            self.table.keep_half()
+        self._learn(self.table.missing([w for w in words if w]) + ([""] if "" not in self.table.index else []))
+        starts, size = self.table.spans(self.table.places(words))
+        ids = gather(self.table.flat, starts[codes], size[codes])
+        return ids, np.concatenate([[0], np.cumsum(size[codes])])[np.cumsum(count)]
 
 
 def decode(p: Pieces, ids: np.ndarray, ends: np.ndarray) -> list[str]:
@@ -294,7 +294,7 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
         for whole in batches:
             for b in text_slices(whole, "text"):
                 texts = b.column(1).to_pylist()
-                ids, ends = encoder.encode(texts)
+                ids, ends = encoder.encode(b.column(1))
                 ok = [a == t.replace(SPACE, " ") for a, t in zip(decode(encoder.p, ids, ends), texts, strict=True)]
                 offsets = np.concatenate([[0], ends])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
