@@ -124,13 +124,14 @@ def with_views(body: str, more: dict[str, str] | None = None) -> str:
     """``body`` with a WITH clause of the views that it names, directly or by other views."""
     views = SQL | (more or {})
     wanted: list[str] = []
+    begun: set[str] = set()  # a recursive view names itself
 
     def visit(text: str) -> None:
         for name in views:
-            if name not in wanted and re.search(rf"\b{name}\b", text):
+            if name not in begun and re.search(rf"\b{name}\b", text):
+                begun.add(name)
                 visit(views[name])
-                if name not in wanted:
-                    wanted.append(name)
+                wanted.append(name)
 
     visit(body)
     own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", body)
