@@ -148,12 +148,20 @@ def held_out(id_col: str):
 
 
 def _sample(df: DataFrame, most: int, seed: int) -> np.ndarray:
-    """Features of at most ``most`` rows, those with the least hash of id and text (the same rows under any partitioning)."""
-    rows = df.select("id", "text").orderBy(F.xxhash64("id", "text", F.lit(seed)), "id").limit(most)
-    texts = rows.select("text").toArrow().column("text").combine_chunks()
-    if isinstance(texts, pa.ChunkedArray):
-        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
-    return features(texts) if len(texts) else np.zeros((0, N_FEATURES))
+    """Features of at most ``most`` rows, those with the least hash of id and text (the same rows under any partitioning).
+
+    Features are computed where the texts are; the driver gets ``most`` x ``N_FEATURES`` numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in text_slices(whole):
+                x = pa.FixedSizeListArray.from_arrays(pa.array(features(b.column(1)).ravel()), N_FEATURES).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), x], names=["h", "x"])
+
+    made = df.select(F.xxhash64("id", "text", F.lit(seed)).alias("h"), "text").mapInArrow(run, "h bigint, x array<double>")
+    rows = made.orderBy("h", "x").limit(most).select("x").collect()
+    return np.array([r[0] for r in rows]).reshape(-1, N_FEATURES)
 
 
 def fit(
