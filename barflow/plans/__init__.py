@@ -28,7 +28,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load_all() -> None:
-    from . import data, evaluate, features, fusion, learning, rules, snapshots  # noqa: F401
+    from . import data, evaluate, features, fusion, learning, rules, snapshots, streams  # noqa: F401
 
 
 def oracle_sql() -> dict[str, str]:
