@@ -216,7 +216,7 @@ def join(
     n_chunks = F.greatest(F.ceil(F.col("n") / block_docs), F.ceil(F.col("words") / block_words)).cast("int")
     sizes = written(sizes.select("component", n_chunks.alias("chunks")), "sizes")
     whole = members.agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")).first()
-    units = max(1, -(-whole["n"] // (block_docs // 4)), -(-(whole["words"] or 0) // block_words))
+    units = max(1, -(-whole["n"] // max(1, block_docs // 4)), -(-(whole["words"] or 0) // block_words))
     unit = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(units))).otherwise(F.xxhash64("component").bitwiseOR(F.lit(-(1 << 63))))
     planned = members.join(sizes, "component").select(
         "digest", "rep", "weight", "keys", "chunks", unit.alias("unit"), F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk")
