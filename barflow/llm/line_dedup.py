@@ -15,7 +15,7 @@ from .common import let, written
 CHUNKS = "array<struct<at:int,lines:int,text:string>>"
 
 
-def chunks(text: Column, *, divisor: int = 3, long_words: int = 50, long_chars: int = 200) -> Column:
+def chunks(text: Column, *, divisor: int = 2, long_words: int = 50, long_chars: int = 200) -> Column:
     """The text's chunks in order, as array<struct<at, lines, text, big>>; joined by line feeds they are the text again.
 
     A boundary lies after a line if the rolling hash of it and the line before is 0 modulo ``divisor``, and on both sides of
@@ -68,7 +68,7 @@ def removable(chunk: Column, least_chars: int) -> Column:
 
 
 def dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = 3, long_words: int = 50, least_chars: int = 20
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = 2, long_words: int = 50, least_chars: int = 20
 ) -> DataFrame:
     """The documents, all columns, with repeated chunks taken out of their texts.
 
