@@ -26,10 +26,12 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
+    """Hashes of words; those met first, the frequent ones, are kept, up to a bound."""
+
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 200_000:
+            self[word] = value
         return value
 
 

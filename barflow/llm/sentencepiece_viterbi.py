@@ -197,7 +197,7 @@ def worker_encoder(pieces: Pieces) -> "Encoder":
 class Encoder:
     """Encodes texts word by word; results of words are kept in a bounded cache of flat arrays."""
 
-    def __init__(self, pieces: Pieces, most_words: int = 1_000_000, slice_rows: int = 20_000) -> None:
+    def __init__(self, pieces: Pieces, most_words: int = 400_000, slice_rows: int = 20_000) -> None:
         self.p, self.most, self.rows = pieces, most_words, slice_rows
         self.pattern = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if pieces.cut_lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.table = Table(np.int32)
@@ -301,6 +301,7 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(ok)], names=[id_col, "ids", "n_tokens", "decoded_ok"]
                 )
+            pa.default_memory_pool().release_unused()
 
     kind = wanted.schema[id_col].dataType.simpleString()
     return wanted.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens bigint, decoded_ok boolean")
