@@ -61,11 +61,12 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def _bitmap(items: DataFrame, most_bits: int) -> tuple[Column, int]:
-    """A literal bitmap of the items' shingles: at most ``most_bits`` / 8 bytes, whatever the number of items.
+def _bitmap(items: DataFrame, many: int, most_bits: int) -> tuple[Column, int]:
+    """A literal bitmap of the items' shingles, 16 bits a shingle or more up to ``most_bits`` (2 MB), from 32 KB.
 
     It only spares the explosion of shingles that no item has; a full bitmap would still lose nothing.
     """
+    most_bits = min(most_bits, 1 << max(18, (16 * many).bit_length()))
     slots = items.select(F.explode("shingles").alias("h")).select(F.pmod("h", F.lit(most_bits)).alias("s")).distinct()
     found = slots.groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.collect_set((F.col("s") % 64).cast("int")).alias("b")).collect()
     longs = [0] * (most_bits // 64)
@@ -85,7 +86,7 @@ def contamination(
     item_text_col: str = "text",
     similarity: float = 0.8,
     radius: int = 20,
-    most_bits: int = 1 << 18,
+    most_bits: int = 1 << 24,
 ) -> DataFrame:
     """Pairs ``(id, item_id, similarity)`` of documents with a window at least ``similarity`` alike to an item; the best window counts.
 
@@ -97,10 +98,10 @@ def contamination(
     items = written(
         items.select("item_id", "s.n", "s.shingles").where(F.col("n") >= WORDS).select("*", simhash(F.col("shingles")).alias("fingerprint")), "items"
     )
-    bitmap, size = _bitmap(items, most_bits)
 
     reach = (items.agg(F.max("n")).first()[0] or WORDS) - (WORDS - 1)  # shingles of the longest item
     many = items.agg(F.sum("n")).first()[0] or 0
+    bitmap, size = _bitmap(items, many, most_bits)
 
     def present(hashes: Column) -> Column:
         """Places whose shingle's slot some item has, each with the stretch of shingles within reach on both sides."""
@@ -138,17 +139,11 @@ def contamination(
     return scored.where(F.col("similarity") >= similarity).groupBy("id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
-def verdicts(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per document: id, contaminated, n_items and the best similarity (0 without a match)."""
+def findings(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per contaminated document: id, contaminated (true), the number of items found in it and the best similarity."""
     found = contamination(docs, benchmark, id_col=id_col, **options)
-    per = written(found.groupBy("id").agg(F.count(F.lit(1)).alias("n_items"), F.max("similarity").alias("similarity")), "leaks")
-    ids = docs.select(F.col(id_col))
-    return ids.join(per, ids[id_col].eqNullSafe(per["id"]), "left").select(
-        F.col(id_col),
-        F.col("n_items").isNotNull().alias("contaminated"),
-        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
-        F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"),
-    )
+    per = found.groupBy("id").agg(F.count(F.lit(1)).alias("n_items"), F.round(F.max("similarity"), 6).alias("similarity"))
+    return per.select(F.col("id").alias(id_col), F.lit(True).alias("contaminated"), "n_items", "similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

@@ -47,42 +47,37 @@ def _prepare(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, CLASSES)
 
 
-def _cells(reps: DataFrame, radius: float) -> DataFrame:
+def _cells(reps: DataFrame, pivots: DataFrame, radius: float) -> DataFrame:
     """Each vector in its home cell (nearest pivot) and in every cell where a vector within ``radius`` may live.
 
     Let h and d be the distances to the home pivot and another, c that between both. A vector within ``radius`` of this one
     that lies nearer to the other pivot needs d - h <= 2 radius (triangle inequality), and in this space even
     (d^2 - h^2) / (2c) <= radius, the distance to the plane between both cells. What meets the second is replicated.
+    Vectors of several lengths under one label never link: each length has cells of its own.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
-                label, digest, weight, unit, pivots = (b.column(i).to_pylist() for i in range(5))
-                rows: dict[str, list] = {"label": [], "cell": [], "home": [], "digest": [], "weight": [], "unit": []}
-                known: dict[str, tuple] = {}
-                for i in range(b.num_rows):
-                    x = np.frombuffer(unit[i])
-                    at = [(0, True)]
-                    # vectors of several lengths under one label never link: they have cells of their own
-                    points = [p for p in pivots[i] or [] if len(p) == len(unit[i])]
-                    if len(points) > 1:
-                        key = (label[i], len(unit[i]))
-                        if key not in known:
-                            p = np.array([np.frombuffer(y) for y in points])
-                            known[key] = p, np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
-                        p, between = known[key]
-                        d = np.maximum(0, 2 - 2 * p @ x)  # squared
-                        h = int(np.argmin(d))
-                        near = (d - d[h]) <= 2 * between[h] * (radius + 1e-9)
-                        at = [(int(c), c == h) for c in np.flatnonzero(near)]
-                    for c, home in at:
-                        for name, value in zip(rows, (label[i], len(unit[i]) * 1000 + c, bool(home), digest[i], weight[i], unit[i]), strict=True):
-                            rows[name].append(value)
-                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("label", pa.string()), ("cell", pa.int64()), ("home", pa.bool_()), ("digest", pa.string()), ("weight", pa.int64()), ("unit", pa.binary())]))
-
-    return reps.select("label", "digest", "weight", "unit", "pivots").mapInArrow(run, "label string, cell bigint, home boolean, digest string, weight bigint, unit binary")
+    def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for size, group in left.groupby(left.unit.map(len), sort=True):
+            x = np.frombuffer(b"".join(group.unit)).reshape(len(group), -1)
+            p = np.array([np.frombuffer(u) for u in right.unit if len(u) == size])
+            if len(p) < 2:
+                rows, cells, home = np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool)
+            else:
+                p = p[np.lexsort(p.T)]
+                between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+                d = np.maximum(0, 2 - 2 * x @ p.T)  # squared distances
+                h = d.argmin(1)
+                near = d - d[np.arange(len(x)), h][:, None] <= 2 * between[h] * (radius + 1e-9)
+                rows, cells = np.nonzero(near)
+                home = cells == h[rows]
+            g = group.iloc[rows]
+            out.append(pd.DataFrame({"label": g.label, "cell": size * 1000 + cells, "home": home, "digest": g.digest, "weight": g.weight, "unit": g.unit}))
+        schema = {"label": [], "cell": [], "home": [], "digest": [], "weight": [], "unit": []}
+        return pd.concat(out) if out else pd.DataFrame(schema)
+
+    grouped = reps.select("label", "part", "digest", "weight", "unit").groupBy("label", "part").cogroup(pivots.select("label", "part", "unit").groupBy("label", "part"))
+    return grouped.applyInPandas(place, "label string, cell bigint, home boolean, digest string, weight bigint, unit binary")
 
 
 def _links(threshold: float):
@@ -155,6 +150,7 @@ def near_duplicates(
     cell_rows: int = 4000,
     max_pivots: int = 64,
     block_rows: int = 4096,
+    part_rows: int = 4096,
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` per row: links are pairs of one label with cosine >= ``threshold``.
 
@@ -173,18 +169,20 @@ def near_duplicates(
         .agg(F.min("label").alias("label"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("unit").alias("unit")),
         "classes",
     )
-    # About one pivot for each cell_rows vectors, from 2 to max_pivots, chosen by their digests' hashes.
-    sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
+    # About one pivot for each cell_rows vectors, at most max_pivots a label, chosen by their digests' hashes. The vectors of a
+    # label are dealt into parts of about part_rows, each of which gets the label's pivots once.
+    sizes = written(classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "labels")
+    sized = classes.join(sizes, "label").withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int"))
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     wanted = F.least(F.lit(max_pivots), F.ceil(F.col("n") / cell_rows) + 1)
     drawn = (
-        classes.select("label", "unit", "digest")
-        .join(written(sizes, "labels"), "label")
-        .where(F.pmod(F.xxhash64("digest"), F.col("n")) < 2 * wanted)
+        sized.where((F.col("n") > cell_rows) & (F.pmod(F.xxhash64(F.lit(1), "digest"), F.col("n")) < 2 * wanted))
         .groupBy("label")
-        .agg(F.array_sort(F.collect_list("unit")).alias("p"), F.first(wanted).alias("k"))
-        .select("label", F.slice("p", 1, F.col("k").cast("int")).alias("pivots"))
+        .agg(F.array_sort(F.collect_list("unit")).alias("p"), F.first(wanted).alias("k"), F.first("parts").alias("parts"))
+        .select("label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.slice("p", 1, F.col("k").cast("int")).alias("p"))
+        .select("label", "part", F.explode("p").alias("unit"))
     )
-    placed = written(_cells(classes.join(written(drawn, "pivots"), "label", "left"), math.sqrt(2 - 2 * threshold)), "cells")
+    placed = written(_cells(dealt, written(drawn, "pivots"), math.sqrt(2 - 2 * threshold)), "cells")
     size = placed.groupBy("label", "cell").agg(
         F.ceil(F.sum(F.col("home").cast("bigint")) / block_rows).cast("int").alias("na"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nb")
     )

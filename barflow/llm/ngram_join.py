@@ -191,12 +191,12 @@ def join(
     block_docs: int = 1024,
     block_words: int = 1_500_000,
 ) -> DataFrame:
-    """``(id, class_id, n_links, component_id, kept)`` per row, for links of Jaccard similarity >= ``similarity`` on word 5-grams.
+    """``(id, class_id, n_links, copy_id, kept)`` per row, for links of Jaccard similarity >= ``similarity`` on word 5-grams.
 
-    Words are lower-case and split at white space. Texts with the same words in the same order are one class, named by its
-    smallest id, compared once; ``n_links`` counts the other rows linked, copies included, ``component_id`` is the smallest
-    id reachable, ``kept`` marks rows with that id. Null texts and texts without words link with nothing; texts below five
-    words link with their copies alone. Repeated rows count as rows. Texts whose rows all have a null id are compared with their copies only. Very long
+    Words are lower-case and split at white space. ``class_id`` is the smallest id reachable by links, ``n_links`` counts the
+    other rows linked, copies included, ``kept`` marks rows whose id is their class. Texts with the same words in the same
+    order are copies, named by their smallest id ``copy_id`` and compared once. Null texts and texts without words link with
+    nothing; texts below five words link with their copies alone. Repeated rows count as rows. Texts whose rows all have a null id are compared with their copies only. Very long
     texts are compared whole. Other columns are not read; an empty table gives an empty result.
     """
     depth = prefix_depth(similarity, trees, recall, depth)
@@ -235,15 +235,15 @@ def join(
     known = written(known.withColumn("component", F.coalesce("component", "digest")).join(links, "digest", "left"), "class-links")
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     facts = known.join(written(least, "least"), "component").select(
-        "digest", F.col("rep").alias("class_id"), (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"
+        "digest", F.col("rep").alias("copy_id"), (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"
     )
     out = rows.select("id", "digest").join(written(facts, "facts"), "digest", "left")
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_col),
-        F.coalesce("class_id", "id").alias("class_id"),
+        component.alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        component.alias("component_id"),
+        F.coalesce("copy_id", "id").alias("copy_id"),
         F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),
     )
 

@@ -42,7 +42,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.verdicts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return decontaminate.findings(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": CHAT_SQL}
+    return {"op3_chat_formatting": CHAT_SQL, "op7_ngram_join": JACCARD_SQL, "op10_embedding_near_dedup": COSINE_SQL}
 
 
 CHAT_SQL = r"""
@@ -100,3 +100,28 @@ SELECT conv_id, count(*) AS n_turns,
   sum(n)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+JACCARD_SQL = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, w AS w FROM (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '\s+') IF x <> ''] AS w FROM documents)
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM tokens, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (SELECT u, v FROM pairs JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE c >= 0.8 * (a.n + b.n - c)
+), reach AS (SELECT doc_id AS node, doc_id AS r FROM documents UNION SELECT v, r FROM reach JOIN links ON u = node
+), least AS (SELECT node, min(r) AS class_id FROM reach GROUP BY 1
+), per AS (SELECT u, count(*) AS n_links FROM links GROUP BY 1
+), copies AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) END AS copy_id FROM tokens)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, copy_id, class_id = doc_id AS kept
+FROM copies JOIN least ON node = doc_id LEFT JOIN per ON u = doc_id
+"""
+
+COSINE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (SELECT vec_id AS node, vec_id AS r FROM v UNION SELECT w, r FROM reach JOIN links ON u = node
+), per AS (SELECT u, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS kept
+FROM (SELECT node AS vec_id, min(r) AS component_id FROM reach GROUP BY 1) LEFT JOIN per ON u = vec_id
+"""
