@@ -52,7 +52,7 @@ def test_ngram_join_equals_brute_force(spark, docs, corpus, no_docs, block):
             continue
         row = out[i][0]
         assert row.n_links == links[k], (i, row)
-        assert row.component_id == min(x for x in least[found[k]] if x is not None)
+        assert row.class_id == min(x for x in least[found[k]] if x is not None)
     assert ngram_join.join(no_docs).count() == 0
     kept = ngram_join.representatives(docs, block_docs=block)
     assert kept.columns == docs.columns and kept.where("doc_id in (30, 40, 41, 45)").count() == 0 and kept.where("doc_id in (0, 3, 43, 44)").count() == 4
@@ -106,12 +106,12 @@ def test_decontamination_equals_brute_force(spark, docs, corpus, no_docs):
                 if both >= 0.8 * (sum(a.values()) + m - both):
                     want.add(i)
                     break
-    out = decontaminate.verdicts(docs, bench)
-    assert out.count() == len(corpus)
-    assert {r.doc_id for r in out.collect() if r.contaminated} == want and {2, 20, 46, 11} <= want
+    out = decontaminate.findings(docs, bench)
+    assert {r.doc_id for r in out.collect()} == want and out.where("not contaminated").count() == 0 and out.count() == len(want)
+    assert {2, 20, 46, 11} <= want and {r.doc_id for r in out.collect()} == want
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {i for i, _ in corpus} - want
-    assert decontaminate.verdicts(no_docs, bench).count() == 0
-    assert decontaminate.verdicts(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.findings(no_docs, bench).count() == 0
+    assert decontaminate.findings(docs, bench.limit(0)).count() == 0
 
 
 def test_blocks_meet_within_radius(spark):

@@ -25,7 +25,7 @@ def test_decisions_take_effect(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in scores.where("predicted = 1").collect()}
     groups = ngram_join.join(docs)
     assert corpus_pipeline.near_duplicates(spark, docs, SF).count() == groups.where("kept").count()
-    bad = decontaminate.verdicts(docs, load(spark, SF, "benchmark")).where("contaminated")
+    bad = decontaminate.findings(docs, load(spark, SF, "benchmark"))
     left = corpus_pipeline.decontamination(spark, docs, SF)
     assert bad.count() > 0 and left.count() == docs.count() - bad.count()
     assert {tuple(r) for r in line_dedup.dedup(docs).collect()} == {tuple(r) for r in corpus_pipeline.line_deduplication(spark, docs, SF).collect()}
