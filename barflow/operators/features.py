@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite, nonzero
 from .recurrence import ema
 
-W = Window.partitionBy("symbol").orderBy("timestamp_ms")
 RETURNS, WINDOWS, RSI = (1, 4, 16, 48, 96), (4, 16, 48, 96), (14, 28)
 EMA_PAIRS = ((8, 32), (16, 64), (32, 128))
 
 
+def ordering():
+    """Built when used: a window needs a session."""
+    return Window.partitionBy("symbol").orderBy("timestamp_ms")
+
+
 def frame(n: int):
-    return W.rowsBetween(-(n - 1), 0)
+    return ordering().rowsBetween(-(n - 1), 0)
 
 
 def full(agg: Column, x: Column, n: int) -> Column:
@@ -28,7 +32,7 @@ def clean(x: Column) -> Column:
 
 
 def n_bar_return(x: str, n: int) -> Column:
-    return F.col(x) / nonzero(F.lag(x, n).over(W)) - 1
+    return F.col(x) / nonzero(F.lag(x, n).over(ordering())) - 1
 
 
 def rolling_mean(x: Column, n: int) -> Column:
@@ -41,7 +45,7 @@ def rolling_std(x: Column, n: int) -> Column:
 
 def with_base(rows: DataFrame, close: str = "close") -> DataFrame:
     """1-bar return and difference, which the windows need as columns."""
-    return rows.withColumns({"_r": n_bar_return(close, 1), "_d": F.col(close) - F.lag(close).over(W)})
+    return rows.withColumns({"_r": n_bar_return(close, 1), "_d": F.col(close) - F.lag(close).over(ordering())})
 
 
 def returns(close: str = "close", prefix: str = "combined_ret", ns: tuple[int, ...] = RETURNS) -> dict[str, Column]:
@@ -123,7 +127,7 @@ def ema_ratios(rows: DataFrame) -> DataFrame:
     out = rows
     for span in sorted({s for p in EMA_PAIRS for s in p}):
         out = ema(out, ["symbol"], ["timestamp_ms"], "close", span, f"_ema_{span}")
-    n = F.row_number().over(W)
+    n = F.row_number().over(ordering())
     ratio = lambda a, b: F.when(n >= b, F.col(f"_ema_{a}") / nonzero(F.col(f"_ema_{b}")) - 1)
     return out.withColumns({f"ema_ratio_{a}_{b}": ratio(a, b) for a, b in EMA_PAIRS}).drop(*(f"_ema_{s}" for p in EMA_PAIRS for s in p))
 

@@ -99,7 +99,7 @@ def wf_train_predict(spark, sf):
 
     base = P.base(spark, sf).withColumns(G.returns() | G.volume() | G.distance())
     names = ["combined_ret_1", "combined_ret_4", "volume_ratio_4", "zscore_16"]
-    lead = F.lead("close").over(G.W) / F.col("close") - 1
+    lead = F.lead("close").over(G.ordering()) / F.col("close") - 1
     labelled = base.withColumn("forward_return", lead).where("forward_return is not null")
     ready = labelled.select("symbol", "timestamp_ms", "source", "forward_return", (F.col("forward_return") > 0.004).cast("int").alias("y"), F.lit(1.0).alias("supervised_row_weight"), *(G.clean(F.col(n)).cast("double").alias(n) for n in names))
     months = H.full_months(ready, interval_ms=DAY)
