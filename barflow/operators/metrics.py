@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import latest
-
 CLIP = 1e-6
 
 
@@ -16,17 +14,27 @@ def splits(preds: DataFrame) -> DataFrame:
     return preds.withColumn("split", F.explode(F.array(F.lit("all"), own)))
 
 
-def trading(preds: DataFrame, keys: list[str], *, threshold: float, fee: float) -> DataFrame:
-    """Rows, trades (probability at least ``threshold``), gross and net return, win rate (null without trades)."""
+def _trading(threshold: float, fee: float) -> list[Column]:
     trade = F.col("probability") >= threshold
     net = F.when(trade, F.col("forward_return") - 2 * fee)
-    return preds.groupBy(*keys).agg(
+    return [
         F.count(F.lit(1)).alias("row_count"),
         F.count_if(trade).alias("trades"),
         F.coalesce(F.sum(F.when(trade, F.col("forward_return"))), F.lit(0.0)).alias("gross_return"),
         F.coalesce(F.sum(net), F.lit(0.0)).alias("net_return"),
         F.avg((net > 0).cast("double")).alias("win_rate"),
-    )
+    ]
+
+
+def _losses() -> list[Column]:
+    p = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), F.col("probability")))
+    y = F.col("y")
+    return [F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("logloss"), F.avg(F.pow(p - y, F.lit(2.0))).alias("brier")]
+
+
+def trading(preds: DataFrame, keys: list[str], *, threshold: float, fee: float) -> DataFrame:
+    """Rows, trades (probability at least ``threshold``), gross and net return, win rate (null without trades)."""
+    return preds.groupBy(*keys).agg(*_trading(threshold, fee))
 
 
 def drawdown(preds: DataFrame, keys: list[str], order: list[str], *, threshold: float, fee: float) -> DataFrame:
@@ -36,21 +44,19 @@ def drawdown(preds: DataFrame, keys: list[str], order: list[str], *, threshold:
     need a further column to be ordered. Keys without trades give 0.
     """
     net = F.when(F.col("probability") >= threshold, F.col("forward_return") - 2 * fee)
-    rows = preds.withColumn("_net", net)
+    found = _falls(preds.withColumn("_net", net).where("_net is not null"), keys, order)
+    return preds.select(*keys).distinct().join(found, keys, "left").fillna(0.0, ["max_drawdown"])
+
+
+def _falls(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cum = rows.where("_net is not null").withColumn("_cum", F.sum("_net").over(w))
-    falls = cum.withColumn("_fall", F.max("_cum").over(w) - F.col("_cum"))
-    found = falls.groupBy(*keys).agg(F.max("_fall").alias("max_drawdown"))
-    return rows.select(*keys).distinct().join(found, keys, "left").fillna(0.0, ["max_drawdown"])
+    cum = trades.withColumn("_cum", F.sum("_net").over(w))
+    return cum.withColumn("_fall", F.max("_cum").over(w) - F.col("_cum")).groupBy(*keys).agg(F.max("_fall").alias("max_drawdown"))
 
 
 def probability_loss(preds: DataFrame, keys: list[str]) -> DataFrame:
     """Log-loss and Brier score, probabilities clipped to [1e-6, 1 - 1e-6]."""
-    p = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), F.col("probability")))
-    y = F.col("y")
-    return preds.groupBy(*keys).agg(
-        F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("logloss"), F.avg(F.pow(p - y, F.lit(2.0))).alias("brier")
-    )
+    return preds.groupBy(*keys).agg(*_losses())
 
 
 def _by_score(preds: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,10 +81,10 @@ def fold_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list[
     """One row per (keys, symbol or ``*`` for all, split) with all metrics."""
     grains = splits(preds).withColumn("symbol", F.explode(F.array(F.col("symbol"), F.lit("*"))))
     by = [*keys, "symbol", "split"]
-    out = trading(grains, by, threshold=threshold, fee=fee)
-    for part in (drawdown(grains, by, order, threshold=threshold, fee=fee), probability_loss(grains, by), ranking(grains, by)):
-        out = out.join(part, by)
-    return out
+    # One aggregate for what needs no order, one window for drawdowns, over trades alone, and one over distinct scores.
+    base = grains.groupBy(*by).agg(*_trading(threshold, fee), *_losses())
+    net = grains.where(F.col("probability") >= threshold).withColumn("_net", F.col("forward_return") - 2 * fee)
+    return base.join(_falls(net, by, order), by, "left").join(ranking(grains, by), by).fillna(0.0, ["max_drawdown"])
 
 
 def summary(metrics: DataFrame) -> DataFrame:
