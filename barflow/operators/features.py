@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, nonzero
-from .recurrence import ema
+from .recurrence import ema_map, means
 
 RETURNS, WINDOWS, RSI = (1, 4, 16, 48, 96), (4, 16, 48, 96), (14, 28)
 EMA_PAIRS = ((8, 32), (16, 64), (32, 128))
@@ -123,10 +123,9 @@ def basis_level(fx: Column) -> Column:
 
 
 def ema_ratios(rows: DataFrame) -> DataFrame:
-    """Fast over slow exponential mean - 1, null before as many rows as the slow span; one scan per span, nothing joined."""
-    out = rows
-    for span in sorted({s for p in EMA_PAIRS for s in p}):
-        out = ema(out, ["symbol"], ["timestamp_ms"], "close", span, f"_ema_{span}")
+    """Fast over slow exponential mean - 1, null before as many rows as the slow span; one scan for all spans."""
+    spans = sorted({s for p in EMA_PAIRS for s in p})
+    out = means(rows, ["symbol"], ["timestamp_ms"], {f"_ema_{s}": ema_map("close", s) for s in spans})
     n = F.row_number().over(ordering())
     ratio = lambda a, b: F.when(n >= b, F.col(f"_ema_{a}") / nonzero(F.col(f"_ema_{b}")) - 1)
     return out.withColumns({f"ema_ratio_{a}_{b}": ratio(a, b) for a, b in EMA_PAIRS}).drop(*(f"_ema_{s}" for p in EMA_PAIRS for s in p))

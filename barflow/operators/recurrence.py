@@ -1,4 +1,4 @@
-"""Linear recurrences y[t] = a[t] * y[t-1] + b[t] per key, in parallel within a key."""
+"""Linear recurrences y[t] = a[t] * y[t-1] + b[t] per key, in parallel within a key, several at once."""
 
 from __future__ import annotations
 
@@ -6,51 +6,88 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def linear_recurrence(df: DataFrame, keys: list[str], order: list[str], a: Column, b: Column, out: str, *, y0: float = 0.0, chunk: int = 512) -> DataFrame:
-    """``df`` plus ``out``. The first row of a key sees y0.
+def linear_recurrences(df: DataFrame, keys: list[str], order: list[str], maps: dict[str, tuple[Column, Column]], *, y0: float = 0.0, chunk: int = 512) -> DataFrame:
+    """``df`` plus a column for each (a, b) of ``maps``. The first row of a key sees y0. Rows that tie in ``order`` are ordered arbitrarily.
 
     1. Rows are numbered per key and dealt into chunks of ``chunk`` rows.
-    2. Each chunk's maps are composed to one affine map (K, B) by a fold over its sorted array.
+    2. Each chunk's maps are composed to one affine map (k, b) by a fold over its sorted array.
     3. The short list of a key's chunk maps is folded to each chunk's carry-in (one row a chunk).
     4. Each chunk is folded again from its carry-in, and its values go back to the rows.
 
-    Chunks are arrays of bounded size, so a hot key is many groups; only the numbering orders a key as a whole.
+    Chunks are arrays of bounded size, so a hot key is many groups; only the numbering orders a key as a whole. All
+    recurrences share the chunks, so a further one costs no further shuffle.
     """
+    outs = list(maps)
+    each = range(len(outs))
     w = Window.partitionBy(*keys).orderBy(*order)
-    n = F.row_number().over(w)
-    rows = df.withColumn("_n", n).withColumns({"_c": F.floor((F.col("_n") - 1) / chunk), "_a": a.cast("double"), "_b": b.cast("double")})
-    payload = F.struct("_n", "_a", "_b", F.struct(*df.columns).alias("row"))
+    coefficients = {f"_{n}{i}": maps[out][j].cast("double") for i, out in enumerate(outs) for j, n in enumerate("ab")}
+    rows = df.withColumns({"_n": F.row_number().over(w)} | coefficients).withColumn("_c", F.floor((F.col("_n") - 1) / chunk))
+    payload = F.struct("_n", *coefficients, F.struct(*df.columns).alias("row"))
     chunks = rows.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(payload), lambda x, y: (x["_n"] - y["_n"]).cast("int")).alias("rows"))
-    start = F.struct(F.lit(1.0).alias("k"), F.lit(0.0).alias("b"))
-    chunks = chunks.withColumn("_map", F.aggregate("rows", start, lambda m, r: F.struct((m["k"] * r["_a"]).alias("k"), (m["b"] * r["_a"] + r["_b"]).alias("b"))))
-    maps = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", F.col("_map.k").alias("k"), F.col("_map.b").alias("b")))).alias("maps"))
-    begin = F.struct(F.lit(float(y0)).alias("y"), F.array().cast("array<struct<_c:bigint,y:double>>").alias("out"))
+    identity = F.struct(*(F.lit(v).alias(f"{n}{i}") for i in each for n, v in (("k", 1.0), ("b", 0.0))))
+    composed = F.aggregate(
+        "rows",
+        identity,
+        lambda m, r: F.struct(*(x for i in each for x in ((m[f"k{i}"] * r[f"_a{i}"]).alias(f"k{i}"), (m[f"b{i}"] * r[f"_a{i}"] + r[f"_b{i}"]).alias(f"b{i}")))),
+    )
+    chunks = chunks.withColumn("_map", composed)
+    folded = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", F.col("_map").alias("m")))).alias("maps"))
+    fields = ",".join(f"y{i}:double" for i in each)
+    values = lambda s: F.struct(*(s[f"y{i}"].alias(f"y{i}") for i in each))
+    begin = F.struct(*(F.lit(float(y0)).alias(f"y{i}") for i in each), F.array().cast(f"array<struct<_c:bigint,y:struct<{fields}>>>").alias("out"))
     carried = F.aggregate(
         "maps",
         begin,
-        lambda s, m: F.struct((m["k"] * s["y"] + m["b"]).alias("y"), F.array_append(s["out"], F.struct(m["_c"].alias("_c"), s["y"].alias("y"))).alias("out")),
+        lambda s, m: F.struct(
+            *((m["m"][f"k{i}"] * s[f"y{i}"] + m["m"][f"b{i}"]).alias(f"y{i}") for i in each),
+            F.array_append(s["out"], F.struct(m["_c"].alias("_c"), values(s).alias("y"))).alias("out"),
+        ),
+        lambda s: s["out"],
+    )
+    carry = folded.select(*keys, F.explode(carried).alias("c")).select(*keys, F.col("c._c").alias("_c"), F.col("c.y").alias("_carry"))
+    first = F.struct(*(F.col(f"_carry.y{i}").alias(f"y{i}") for i in each), F.array().cast(f"array<struct<{fields}>>").alias("out"))
+    step = lambda s, r, i: (r[f"_a{i}"] * s[f"y{i}"] + r[f"_b{i}"]).alias(f"y{i}")
+    found = F.aggregate(
+        "rows",
+        first,
+        lambda s, r: F.struct(*(step(s, r, i) for i in each), F.array_append(s["out"], F.struct(*(step(s, r, i) for i in each))).alias("out")),
         lambda s: s["out"],
     )
-    carry = maps.select(*keys, F.explode(carried).alias("c")).select(*keys, F.col("c._c").alias("_c"), F.col("c.y").alias("_carry"))
-    first = F.struct(F.col("_carry").alias("y"), F.array().cast("array<double>").alias("out"))
-    values = F.aggregate("rows", first, lambda s, r: F.struct((r["_a"] * s["y"] + r["_b"]).alias("y"), F.array_append(s["out"], r["_a"] * s["y"] + r["_b"]).alias("out")), lambda s: s["out"])
-    done = chunks.join(carry, [*keys, "_c"]).select(F.explode(F.arrays_zip(F.col("rows.row").alias("row"), values.alias("y"))).alias("z"))
-    return done.select("z.row.*", F.col("z.y").alias(out))
+    done = chunks.join(carry, [*keys, "_c"]).select(F.explode(F.arrays_zip(F.col("rows.row").alias("row"), found.alias("y"))).alias("z"))
+    return done.select("z.row.*", *(F.col(f"z.y.y{i}").alias(out) for i, out in enumerate(outs)))
+
+
+def linear_recurrence(df: DataFrame, keys: list[str], order: list[str], a: Column, b: Column, out: str, *, y0: float = 0.0, chunk: int = 512) -> DataFrame:
+    return linear_recurrences(df, keys, order, {out: (a, b)}, y0=y0, chunk=chunk)
+
+
+FIRST = "_first"
+
+
+def with_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Marks the first row of a key, which seeds a mean."""
+    return df.withColumn(FIRST, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
 
 
-def ema(df: DataFrame, keys: list[str], order: list[str], value: str, span: int, out: str, *, seed: str = "first") -> DataFrame:
-    """Exponential mean with alpha = 2 / (span + 1), seeded at the first value, no warm-up nulls."""
+def ema_map(value: str, span: int) -> tuple[Column, Column]:
+    """Exponential mean with alpha = 2 / (span + 1), seeded at the first value."""
     alpha = 2.0 / (span + 1)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("_first", F.row_number().over(w) == 1)
-    a, b = F.when(F.col("_first"), 0.0).otherwise(1 - alpha), F.when(F.col("_first"), F.col(value)).otherwise(alpha * F.col(value))
-    return linear_recurrence(rows, keys, order, a, b, out).drop("_first")
+    return F.when(F.col(FIRST), 0.0).otherwise(1 - alpha), F.when(F.col(FIRST), F.col(value)).otherwise(alpha * F.col(value))
 
 
-def wilder(df: DataFrame, keys: list[str], order: list[str], value: str, period: int, out: str) -> DataFrame:
+def wilder_map(value: str, period: int) -> tuple[Column, Column]:
     """Wilder's mean: the first value, then ((n - 1) * previous + value) / n."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("_first", F.row_number().over(w) == 1)
-    a = F.when(F.col("_first"), 0.0).otherwise((period - 1) / period)
-    b = F.when(F.col("_first"), F.col(value)).otherwise(F.col(value) / period)
-    return linear_recurrence(rows, keys, order, a, b, out).drop("_first")
+    return F.when(F.col(FIRST), 0.0).otherwise((period - 1) / period), F.when(F.col(FIRST), F.col(value)).otherwise(F.col(value) / period)
+
+
+def means(df: DataFrame, keys: list[str], order: list[str], maps: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Several seeded means in one scan, without warm-up nulls."""
+    return linear_recurrences(with_first(df, keys, order), keys, order, maps).drop(FIRST)
+
+
+def ema(df: DataFrame, keys: list[str], order: list[str], value: str, span: int, out: str) -> DataFrame:
+    return means(df, keys, order, {out: ema_map(value, span)})
+
+
+def wilder(df: DataFrame, keys: list[str], order: list[str], value: str, period: int, out: str) -> DataFrame:
+    return means(df, keys, order, {out: wilder_map(value, period)})

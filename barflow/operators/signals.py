@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import nonzero
-from .recurrence import ema, wilder
+from .recurrence import ema_map, means, wilder, wilder_map
 
 
 def true_range(bars: DataFrame) -> DataFrame:
@@ -17,9 +17,9 @@ def true_range(bars: DataFrame) -> DataFrame:
 
 
 def indicators(bars: DataFrame, *, fast: int, slow: int, atr: int) -> DataFrame:
-    keys, order = ["symbol"], ["timestamp_ms"]
-    rows = ema(ema(true_range(bars), keys, order, "close", fast, "ema_fast"), keys, order, "close", slow, "ema_slow")
-    return wilder(rows, keys, order, "tr", atr, "atr")
+    """Both exponential means of the close and Wilder's mean of the true range, in one scan."""
+    maps = {"ema_fast": ema_map("close", fast), "ema_slow": ema_map("close", slow), "atr": wilder_map("tr", atr)}
+    return means(true_range(bars), ["symbol"], ["timestamp_ms"], maps)
 
 
 def indicator_snapshot(bars: DataFrame, *, fast: int, slow: int, atr: int) -> DataFrame:
