@@ -38,3 +38,13 @@ def walk_forward(assigned: DataFrame, features: list[str], *, weight: str, trees
             parts.append(scored.withColumns({"scope": F.lit("global" if symbol is None else "symbol"), "model_symbol": F.lit(symbol).cast("string")}))
     keep = ["fold_index", "scope", "model_symbol", "symbol", "timestamp_ms", "source", "y", "forward_return", "supervised_row_weight", "probability"]
     return reduce(DataFrame.unionByName, [p.select(*keep) for p in parts])
+
+
+def refit(rows: DataFrame, features: list[str], *, weight: str, trees: int = 20, min_rows: int = 1000, symbols: list[str] | None = None) -> dict:
+    """Models on the whole history: the global one under None, and one for each eligible symbol with enough rows of both classes."""
+    models = {None: fit(rows, features, weight=weight, trees=trees)}
+    counts = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("classes"))
+    enough = {r["symbol"] for r in counts.where((F.col("n") >= min_rows) & (F.col("classes") == 2) & F.col("symbol").isin(symbols or [])).collect()}
+    for symbol in sorted(enough):
+        models[symbol] = fit(rows.where(F.col("symbol") == symbol), features, weight=weight, trees=trees)
+    return models

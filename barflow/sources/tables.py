@@ -100,6 +100,11 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.select(*text).write.mode("append").option("header", True).csv(path)
 
 
+def write_report(rows: DataFrame, path: str) -> None:
+    """A result as JSON lines: coverage, weights, selections, metrics or attribution."""
+    rows.write.mode("overwrite").json(path)
+
+
 def valid_ticks(ticks: DataFrame) -> DataFrame:
     """Price finite and above 0, volume finite and not negative, time above 0."""
     return ticks.where(finite_positive(F.col("price")) & finite(F.col("volume")) & (F.col("volume") >= 0) & (F.col("ts_ms") > 0))
