@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite_positive, is_fill, month_key
 from ..sources.tables import latest
 
-BUCKET_MS = 30 * 86_400_000
+BUCKET_MS = 86_400_000
 
 
 def robust_median(rows: DataFrame, keys: list[str], value: str, alias: str = "value") -> DataFrame:
@@ -66,9 +66,11 @@ def asof_nearest(left: DataFrame, right: DataFrame, *, ts: str = "timestamp_ms",
     rates = rb.select(*by, "_b", ts, "_v").unionByName(sentinels)
     both = lb.withColumn("_left", F.lit(True)).unionByName(rates.withColumn("_left", F.lit(False)), allowMissingColumns=True)
     pair = F.when(~F.col("_left"), F.struct(F.col(ts).alias("t"), F.col("_v").alias("v")))
-    w = Window.partitionBy(*by, "_b").orderBy(ts)
-    back = F.last(pair, True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(pair, True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # Both frames run from the partition's start, the second in descending order: a frame that is open to the end would be
+    # evaluated anew for every row.
+    so_far = lambda order: Window.partitionBy(*by, "_b").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    back = F.last(pair, True).over(so_far(F.col(ts).asc()))
+    ahead = F.last(pair, True).over(so_far(F.col(ts).desc()))
     found = both.withColumns({"_back": back, "_ahead": ahead}).where("_left")
     gap_back, gap_ahead = F.col(ts) - F.col("_back.t"), F.col("_ahead.t") - F.col(ts)
     use_back = F.col("_ahead.t").isNull() | (gap_back <= gap_ahead) if direction == "nearest" else F.lit(True)
