@@ -55,3 +55,24 @@ def stream_late_repair(spark, sf):
     bars = finished(spark, M.stream_bars(streamed(spark, sf), interval="1 hour"))
     last = bars.agg(F.max("timestamp_ms")).first()[0] or X.TICKS_FROM
     return M.late_repair(ticks, bars, lambda t: B.ohlcv_bars(t, interval_ms=X.HOUR, start_ms=X.TICKS_FROM, end_ms=X.TICKS_TO), since_ms=last)
+
+
+def bar_stream(spark, sf) -> DataFrame:
+    """The batch bars as a stream of files, in time order."""
+    from . import data
+
+    folder = stage_folder(spark)
+    bars = data.tick_bars(spark, sf).select("symbol", "timestamp_ms", "high", "low", "close")
+    bars.orderBy("timestamp_ms").write.parquet(folder)
+    return spark.readStream.schema(bars.schema).parquet(folder)
+
+
+@query()
+def stream_coverage(spark, sf):
+    """Expected bars present in each day-long window, every hour, once the window is closed."""
+    return finished(spark, M.coverage_monitor(bar_stream(spark, sf)))
+
+
+@query()
+def stream_indicators(spark, sf):
+    return finished(spark, M.incremental_indicators(bar_stream(spark, sf), fast=12, slow=26, atr=14))
