@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Source tags of gap-fill rows.
 FILL_TAGS = ("ext_a_fill", "ext_b_fill", "synthetic_fill")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import latest
 from .metrics import stressed
 
+#: Bounds below (above, for the drawdown) which a symbol is not promoted.
 MIN_FOLDS, MIN_TRADES, MIN_ROWS, MAX_DRAWDOWN = 4, 100, 5000, 0.35
 
 

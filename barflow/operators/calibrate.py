@@ -42,6 +42,7 @@ def overlap_metrics(points: DataFrame, *, keys: tuple[str, ...] = ("symbol", "mo
 
 def quality_score(metrics: DataFrame, *, min_rows: int, max_ape: float) -> DataFrame:
     """Q = .35 price + .25 return + .20 correlation + .10 direction + .10 basis, each within 0..1, and whether the month passes."""
+    #: The weights of the five parts.
     q = (
         0.35 * clamp(1 - F.col("median_ape_close") / max_ape)
         + 0.25 * clamp(1 - F.col("median_abs_ret_err") / max_ape)

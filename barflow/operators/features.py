@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite, nonzero
 from .recurrence import ema_map, means
 
+#: The windows, in rows, of the feature set.
 RETURNS, WINDOWS, RSI = (1, 4, 16, 48, 96), (4, 16, 48, 96), (14, 28)
 EMA_PAIRS = ((8, 32), (16, 64), (32, 128))
 

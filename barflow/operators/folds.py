@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import add_months, month_key
 
+#: Least rows of a fold.
 MIN_TRAIN, MIN_VALID = 1000, 100
 
 

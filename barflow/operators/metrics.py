@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: probabilities stay this far from 0 and 1.
 CLIP = 1e-6
 
 

@@ -160,6 +160,7 @@ def resolve_universe(instruments: DataFrame, wanted: DataFrame, *, quote: str, s
     return joined.withColumn("reason", F.when(F.col("instrument_id").isNull(), "not_listed"))
 
 
+#: Quote currencies by preference.
 QUOTES = ("CAD", "USD", "USDT", "USDC")
 #: Base names that one venue lists differently.
 ALIASES = {"BTC": "XBT", "DOGE": "XDG"}

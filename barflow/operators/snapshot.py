@@ -85,6 +85,7 @@ def build(bars: DataFrame, weights: DataFrame, *, horizon: int, interval_ms: int
     return rows.drop("fill_in_horizon")
 
 
+#: The status of a snapshot row.
 STATUSES = ("trainable", "continuity_only", "unlabeled_missing_next", "unlabeled_missing_horizon", "invalid_price")
 
 
