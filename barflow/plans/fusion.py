@@ -221,14 +221,21 @@ def combined_summary(spark, sf):
     return N.combined_summary(staged(run.fused), run.native, run.external, run.bars.select("symbol").distinct(), interval_ms=DAY)
 
 
-@query("SELECT venue, symbol, month, overlap_rows, median_ape_close, median_abs_ret_err, ret_corr, direction_match, basis_median, basis_mad FROM metrics")
+FLOATS = ("median_ape_close", "median_abs_ret_err", "ret_corr", "direction_match", "basis_median", "basis_mad")
+
+
+def nine(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 9) for n in names})
+
+
+@query(f"SELECT venue, symbol, month, overlap_rows, {', '.join(f'round({c}, 9) AS {c}' for c in FLOATS)} FROM metrics")
 def overlap_metrics(spark, sf):
-    return Fusion(spark, sf).metrics
+    return nine(Fusion(spark, sf).metrics, *FLOATS)
 
 
-@query("SELECT venue, symbol, month, score, quality_pass FROM scored")
+@query("SELECT venue, symbol, month, round(score, 9) AS score, quality_pass FROM scored")
 def quality_score(spark, sf):
-    return Fusion(spark, sf).scored.select(*KEYS, "score", "quality_pass")
+    return nine(Fusion(spark, sf).scored.select(*KEYS, "score", "quality_pass"), "score")
 
 
 @query("""WITH edge AS (SELECT min(epoch_ms(timestamp_ms))::DATE AS a, max(epoch_ms(timestamp_ms))::DATE AS b FROM vbars)
@@ -244,14 +251,14 @@ def grid_weight(spark, sf):
     return Fusion(spark, sf).grid
 
 
-@query("SELECT symbol, month, weight_quality, weight_backtest, weight_raw FROM raww")
+@query("SELECT symbol, month, round(weight_quality, 9) AS weight_quality, weight_backtest, round(weight_raw, 9) AS weight_raw FROM raww")
 def weight_fusion(spark, sf):
-    return Fusion(spark, sf).weights.select("symbol", "month", "weight_quality", "weight_backtest", "weight_raw")
+    return nine(Fusion(spark, sf).weights.select("symbol", "month", "weight_quality", "weight_backtest", "weight_raw"), "weight_quality", "weight_raw")
 
 
-@query("SELECT symbol, month, weight_raw, weight_global, weight_final FROM shrunk")
+@query("SELECT symbol, month, round(weight_raw, 9) AS weight_raw, round(weight_global, 9) AS weight_global, round(weight_final, 9) AS weight_final FROM shrunk")
 def weight_shrinkage(spark, sf):
-    return Fusion(spark, sf).shrunk.select("symbol", "month", "weight_raw", "weight_global", "weight_final")
+    return nine(Fusion(spark, sf).shrunk.select("symbol", "month", "weight_raw", "weight_global", "weight_final"), "weight_raw", "weight_global", "weight_final")
 
 
 @query("SELECT symbol, month, overlap_rows, eligibility_mode, anchor_month FROM elig")
@@ -259,14 +266,14 @@ def eligibility(spark, sf):
     return Fusion(spark, sf).eligible.select("symbol", "month", "overlap_rows", "eligibility_mode", "anchor_month")
 
 
-@query("SELECT symbol, month, overlap_rows, weight_final, eligibility_mode, anchor_month, eligibility_mode <> 'blocked' AS supervised_eligible FROM elig")
+@query("SELECT symbol, month, overlap_rows, round(weight_final, 9) AS weight_final, eligibility_mode, anchor_month, eligibility_mode <> 'blocked' AS supervised_eligible FROM elig")
 def calibrate_weights(spark, sf):
-    return Fusion(spark, sf).eligible.select("symbol", "month", "overlap_rows", "weight_final", "eligibility_mode", "anchor_month", "supervised_eligible")
+    return nine(Fusion(spark, sf).eligible.select("symbol", "month", "overlap_rows", "weight_final", "eligibility_mode", "anchor_month", "supervised_eligible"), "weight_final")
 
 
-@query("SELECT symbol, month, weight_final, eligibility_mode FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY month DESC) AS rn FROM elig) WHERE rn = 1")
+@query("SELECT symbol, month, round(weight_final, 9) AS weight_final, eligibility_mode FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY month DESC) AS rn FROM elig) WHERE rn = 1")
 def weight_status(spark, sf):
-    return C.latest_weight(Fusion(spark, sf).eligible).select("symbol", "month", "weight_final", "eligibility_mode")
+    return nine(C.latest_weight(Fusion(spark, sf).eligible).select("symbol", "month", "weight_final", "eligibility_mode"), "weight_final")
 
 
 @query("SELECT round(avg((eligibility_mode <> 'blocked')::INT), 9) AS pass_rate FROM elig WHERE symbol IN ('S0', 'S1')")

@@ -69,10 +69,10 @@ def horizon_label(spark, sf):
     return rows.select("symbol", "timestamp_ms", "next_timestamp_ms", "next_close", "forward_return", "y")
 
 
-@query("SELECT symbol, timestamp_ms, effective_month, quality_pass, effective_monthly_weight FROM weighted")
+@query("SELECT symbol, timestamp_ms, effective_month, quality_pass, round(effective_monthly_weight, 9) AS effective_monthly_weight FROM weighted")
 def weight_lookup(spark, sf):
     run = Snapshot(spark, sf)
-    return S.with_weights(run.closed, run.weights).select("symbol", "timestamp_ms", "effective_month", "quality_pass", "effective_monthly_weight")
+    return S.with_weights(run.closed, run.weights).select("symbol", "timestamp_ms", "effective_month", "quality_pass", F.round("effective_monthly_weight", 9).alias("effective_monthly_weight"))
 
 
 @query("SELECT symbol, timestamp_ms, row_status FROM snap")
@@ -86,9 +86,12 @@ COLUMNS = (
 )
 
 
-@query(f"SELECT {', '.join(COLUMNS)} FROM snap")
+WEIGHTS = ("effective_monthly_weight", "supervised_row_weight")
+
+
+@query(f"SELECT {', '.join(f'round({c}, 9) AS {c}' if c in WEIGHTS else c for c in COLUMNS)} FROM snap")
 def snapshot_rows(spark, sf):
-    return Snapshot(spark, sf).rows.select(*COLUMNS)
+    return Snapshot(spark, sf).rows.select(*(F.round(c, 9).alias(c) if c in WEIGHTS else c for c in COLUMNS))
 
 
 @query("""SELECT symbol, count(*) AS rows, count(*) FILTER (row_status = 'trainable') AS trainable_rows, count(*) FILTER (row_status = 'continuity_only') AS continuity_rows,
