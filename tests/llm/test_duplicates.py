@@ -159,3 +159,21 @@ def test_chunks_join_to_the_text_and_resist_shifts(spark):
     out = [[c.text for c in r[0]] for r in df.select(line_dedup.chunks(df.t)).collect()]
     assert ["\n".join(c) for c in out] == [*texts, shifted]
     assert len(set(out[-1]) & set(out[-2])) >= 0.9 * len(out[-2])
+
+
+def test_line_dedup_removes_whole_repeated_runs(spark):
+    """Passages of 2 to 8 lines amid other text, short lines among them, go to the last line; firsts, small repeats and overlaps stay."""
+    rows, want = [], {}
+    for n in range(2, 9):
+        for k in range(4):
+            line = lambda w, n=n, k=k: [f"{w} {n} {k} {j} of a line" if j % 3 or n == 2 else f"{w[0]}{n}{k}{j}" for j in range(n)]
+            i, run = 100 * n + 2 * k, line("passage")
+            one, two = [f"before {i}", *run, f"behind {i}"], [f"above {i}", *run, f"below {i}"]
+            rows += [(i, "\n".join(one)), (i + 1, "\n".join(two))]
+            want |= {i: rows[-2][1], i + 1: f"above {i}\nbelow {i}"}
+    short = "\n".join(f"s{j}" for j in range(9))
+    same = "the same line of text"
+    rows += [(1, f"left\n{short}\nright"), (2, f"l\n{short}\nr"), (3, "}\n}\n}"), (4, "}\n}\n}"), (5, "\n".join([same] * 3)), (6, "\n".join([same + "!"] * 5))]
+    want |= {1: rows[-6][1], 2: "l\nr", 3: "}\n}\n}", 4: "}\n}\n}", 5: rows[-2][1], 6: "\n".join([same + "!"] * 2)}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert dict(map(tuple, line_dedup.dedup(df).collect())) == want
