@@ -26,6 +26,8 @@ ENCODINGS = (
     ("base62", "^[A-Za-z0-9]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "^[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
+#: Classes of characters whose shares are tested; what else an alphabet has is one more class.
+CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 #: Upper ends of the length strata within which discoveries are controlled.
 STRATA = (24, 32, 40, 64, 128)
 OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
@@ -97,15 +99,28 @@ def _two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), let(F.abs(z) / math.sqrt(2), erfc))
 
 
+def _held(text: Column, chars: str) -> Column:
+    """How many characters of ``text`` are among ``chars``."""
+    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("double")
+
+
 def battery(token: Column) -> Column:
     """struct<encoding, n, p>: the inferred encoding, the tested length and the battery's p-value under 'uniformly random'.
 
-    Chi-squared uniformity of the encoding's alphabet (both sides), Wald-Wolfowitz runs of high and low symbols and lag-1
-    serial correlation; the least p-value times three. Tokens of no encoding get null.
+    Chi-squared uniformity of the encoding's alphabet (both sides) and of its classes (upper case, lower case, digits,
+    others), Wald-Wolfowitz runs of high and low symbols and lag-1 serial correlation; the least p-value times four. The
+    classes are few, so that words and identifiers fail at lengths at which the whole alphabet has less than one symbol
+    a cell. Tokens of no encoding get null.
     """
 
-    def sums(values: Column, size: Column) -> Column:
-        counts = F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda x: x == v)).cast("double"))
+    def sums(text: Column, alphabet: Column, values: Column) -> Column:
+        # One pass over the text per symbol of the alphabet, so that long tokens take linear time.
+        size = F.length(alphabet).cast("double")
+        symbols = F.filter(F.split(alphabet, ""), lambda c: c != "")
+        counts = F.transform(symbols, lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double"))
+        classes = F.array(*(F.struct(_held(alphabet, c).alias("cells"), _held(text, c).alias("count")) for c in CLASSES))
+        rest = F.struct(*((F.length(x) - sum((_held(x, c) for c in CLASSES), F.lit(0.0))).alias(n) for x, n in ((alphabet, "cells"), (text, "count"))))
+        classes = F.filter(F.array_append(classes, rest), lambda c: c["cells"] > 0)
         mid = (size - 1) / 2
         high = lambda i: F.element_at(values, i) >= size / 2
         start = F.struct(*(F.lit(0.0).alias(x) for x in ("runs", "serial")))
@@ -123,47 +138,47 @@ def battery(token: Column) -> Column:
             F.size(F.filter(values, lambda v: v >= size / 2)).cast("double").alias("ones"),
             steps.alias("steps"),
             size.alias("size"),
+            F.size(classes).cast("double").alias("classes"),
+            # sum of count^2 / share, the share being that of the class in the alphabet
+            F.aggregate(classes, F.lit(0.0), lambda a, c: a + c["count"] * c["count"] * size / c["cells"]).alias("class_squares"),
         )
 
     def scores(s: Column) -> Column:
         n, k = s["n"], s["size"] - 1
         # The statistic's mean is k and its variance 2k (n - 1) / n, also with few symbols a cell; then the cube-root approximation.
-        chi = F.greatest(F.lit(0.0), ((s["squares"] * s["size"] / n - n - k) / F.sqrt((n - 1) / n) + k) / k)
+        normal = lambda chi, k: (F.pow(F.greatest(F.lit(0.0), chi / k), F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
+        chi = (s["squares"] * s["size"] / n - n - k) / F.sqrt((n - 1) / n) + k
         mean_runs = 1 + 2 * s["ones"] * (n - s["ones"]) / n
         var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
         return F.struct(
-            ((F.pow(chi, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))).alias("chi"),
+            normal(chi, k).alias("chi"),
+            # one-sided: shares nearer to the expected ones than chance are no sign of order with so few cells
+            F.greatest(F.lit(0.0), normal(s["class_squares"] / n - n, s["classes"] - 1)).alias("classes"),
             F.when(var_runs > 0, (1 + s["steps"]["runs"] - mean_runs) / F.sqrt(var_runs)).otherwise(F.sqrt(n)).alias("runs"),
             (s["steps"]["serial"] / ((s["size"] * s["size"] - 1) / 12 * F.sqrt(n - 1))).alias("serial"),
             n.cast("int").alias("n"),
         )
 
     def tested(e: Column) -> Column:
-        text = F.when(e["name"] == "hex", F.lower(e["body"])).otherwise(e["body"])
+        text = e["body"]
         values = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: (F.instr(e["alphabet"], c) - 1).cast("double"))
-        least = lambda z: F.least(F.lit(1.0), 3 * F.least(*(_two_sided(z[x]) for x in ("chi", "runs", "serial"))))
+        least = lambda z: F.least(F.lit(1.0), 4 * F.least(*(_two_sided(z[x]) for x in ("chi", "classes", "runs", "serial"))))
         made = lambda z: F.struct(e["name"].alias("encoding"), z["n"].alias("n"), least(z).alias("p"))
-        return let(let(values, lambda v: let(sums(v, F.length(e["alphabet"]).cast("double")), scores)), made)
+        return let(let(values, lambda v: let(sums(text, e["alphabet"], v), scores)), made)
 
     body = F.rtrim(F.translate(token, "_-", "/+"), F.lit("="))
     choice = F.lit(None).cast("struct<name:string,alphabet:string,body:string>")
     for name, pattern, alphabet in reversed(ENCODINGS):
-        choice = F.when(token.rlike(pattern), F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet"), body.alias("body"))).otherwise(choice)
+        choice = F.when(token.rlike(pattern), F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet"), (F.lower(body) if name == "hex" else body).alias("body"))).otherwise(choice)
     return let(choice, lambda e: F.when(e["name"].isNotNull(), tested(e)))
 
 
-def candidates(text: Column, least: int = 20, most: int = 512) -> Column:
-    """Tokens for the battery: runs of encoded characters, ``least`` to ``most`` long, with letters and digits mixed.
+def candidates(text: Column, least: int = 20) -> Column:
+    """Tokens for the battery: every run of encoded characters, ``least`` long or longer, that some encoding can read.
 
-    Prose, identifiers and paths mostly lack digits; longer runs are data rather than credentials. Both bounds are parameters.
+    Nothing else is asked of a token, neither digits nor a greatest length: prose, identifiers and paths are left to the tests.
     """
-    found = F.filter(
-        matches(text, f"[A-Za-z0-9+/_=-]{{{least},}}"),
-        lambda m: (F.length(m["s"]) <= most)
-        & m["s"].rlike("[0-9]")
-        & m["s"].rlike("[A-Za-z]")
-        & (m["s"].rlike("^([0-9a-f]+|[0-9A-F]+)$") | m["s"].rlike("[0-9][^0-9]*[0-9][^0-9]*[0-9]")),
-    )
+    found = matches(text, f"[A-Za-z0-9+/_=-]{{{least},}}")
     tested = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["s"]).alias("b")))
     return F.filter(tested, lambda m: m["b"].isNotNull())
 

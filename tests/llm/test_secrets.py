@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from barflow.llm import secrets
 
 KINDS = (
@@ -63,3 +65,18 @@ def test_random_tokens_are_added_and_prose_is_not(spark):
 
 def test_empty_table(spark, no_docs):
     assert secrets.report(secrets.scan(no_docs)).count() == 0
+
+
+def test_random_tokens_of_few_digits_and_long_ones_are_tested(spark):
+    r = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    drawn = ["".join(r.choice(letters + "0123456789") for _ in range(n)) for n in (20, 24, 32) for _ in range(300)]
+    few = [t for t in drawn if sum(c.isdigit() for c in t) < 3]
+    few.append("".join(r.choice(letters + "0123456789+/") for _ in range(3000)))
+    few.append("".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(600)))
+    prose = ["thequickbrownfoxjumpsoverthelazydog", "a" * 3000, "abcdefgh" * 100, "-" * 40, "=" * 40]
+    df = spark.createDataFrame(list(enumerate(few + prose)), "doc_id bigint, text string")
+    assert df.where(F.size(secrets.candidates(F.col("text"))) == 1).count() == len(few) + len(prose) - 1
+    out = {x.doc_id: x.n_random for x in secrets.report(secrets.scan(df)).collect()}
+    assert len(few) > 150 and sum(out[i] for i in range(len(few))) >= 0.9 * len(few) and out[len(few) - 2] == out[len(few) - 1] == 1
+    assert [out[i] for i in range(len(few), len(out))] == [0] * len(prose)
