@@ -1,8 +1,9 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle check.
+"""Benchmark decontamination: item-sized windows at shared shingles, each verified by exact weighted-shingle similarity.
 
-Native. A window can be as similar to an item as asked only if both share a five-word shingle, so windows are laid where
-a document's shingle and an item's coincide (all such places, every document whole). Their fingerprints then meet the
-items' fingerprints in blocks: with radius r and r + 1 blocks, two fingerprints within r agree on some block.
+Native. A window can be as similar to an item as asked only if both share a five-word shingle, and moving a window on to
+its next shared shingle never lowers the similarity. So the windows that start at a document's shared shingles (all such
+places, every document whole), moved inside at a text's end, hold the best window of each item. All of them are verified:
+fingerprints could only lose pairs here, since a shingle that a window repeats moves many bits of a SimHash.
 """
 
 from __future__ import annotations
@@ -26,22 +27,8 @@ def shingles(ws: Column) -> Column:
     return F.transform(indices(F.size(ws) - (WORDS - 1)), lambda i: F.xxhash64(F.slice(ws, i, WORDS)))
 
 
-def simhash(hashes: Column) -> Column:
-    """64-bit SimHash of a list of shingle hashes; a shingle weighs as often as it occurs."""
-
-    # Shifts take a plain count only, so bits are gathered as a binary numeral and read at once, in two halves.
-    def half(first: int) -> Column:
-        digits = F.transform(
-            F.sequence(F.lit(first + BITS // 2 - 1), F.lit(first), F.lit(-1)),
-            lambda b: F.when(F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, b).cast("int")) * 2 > F.size(hashes), "1").otherwise("0"),
-        )
-        return F.conv(F.array_join(digits, ""), 2, 10).cast("bigint")
-
-    return F.shiftleft(half(BITS // 2), 32).bitwiseOR(half(0))
-
-
 def blocks(fingerprint: Column, radius: int) -> Column:
-    """(number, bits) of ``radius`` + 1 disjoint blocks of the fingerprint."""
+    """(number, bits) of ``radius`` + 1 disjoint blocks of a fingerprint; ``contamination`` verifies all windows and needs none."""
     n = radius + 1
     edges = [BITS * i // n for i in range(n + 1)]
     return F.array(
@@ -85,18 +72,17 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     similarity: float = 0.8,
-    radius: int = 20,
     most_bits: int = 1 << 24,
 ) -> DataFrame:
     """Pairs ``(id, item_id, similarity)`` of documents with a window at least ``similarity`` alike to an item; the best window counts.
 
     A window has as many words as its item. Null and short texts (below five words) hold no window; items below five words
-    are never found. Repeated rows and rows that share an id count as one document; a null id is an id. Radius 20 of 64
-    bits is 3.5 deviations above the mean distance of windows at similarity 0.8. Other columns are not read.
+    are never found. Repeated rows and rows that share an id count as one document; a null id is an id. No pair is lost.
+    Other columns are not read.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), let(words(F.col(item_text_col)), lambda w: F.struct(F.size(w).alias("n"), shingles(w).alias("shingles"))).alias("s"))
     items = written(
-        items.select("item_id", "s.n", "s.shingles").where(F.col("n") >= WORDS).select("*", simhash(F.col("shingles")).alias("fingerprint")), "items"
+        items.select("item_id", "s.n", "s.shingles").where(F.col("n") >= WORDS), "items"
     )
 
     reach = (items.agg(F.max("n")).first()[0] or WORDS) - (WORDS - 1)  # shingles of the longest item
@@ -115,25 +101,14 @@ def contamination(
         )
 
     places = docs.select(F.col(id_col).alias("id"), F.explode(let(let(words(F.col(text_col)), shingles), present)).alias("p")).select("id", "p.*")
-    wanted = items.select("item_id", "n", F.posexplode("shingles").alias("j", "h"))
+    wanted = items.select("item_id", "n", F.explode(F.array_distinct("shingles")).alias("h"))
     small = lambda df, rows, most=200_000: F.broadcast(df) if rows <= most else df  # noqa: E731  sizes are counted above
-    # A window of the item's size, laid so that the shared shingle lies where the item has it; at a text's ends it is moved inside.
+    # A window of the item's size that starts at the shared shingle; at a text's end it is moved inside.
     length = F.col("n") - (WORDS - 1)
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("j"), F.size("stretch") - length))
+    start = F.greatest(F.lit(0), F.least(F.col("at"), F.size("stretch") - length))
     windows = places.join(small(wanted, many), "h").select("id", "item_id", F.slice("stretch", start + 1, length).alias("window")).distinct()
-    windows = written(windows.select("*", simhash(F.col("window")).alias("fingerprint")), "windows")
-    left = windows.select("*", F.explode(blocks(F.col("fingerprint"), radius)).alias("k")).select("id", "item_id", "window", "fingerprint", "k.block", "k.bits")
-    right = items.select("item_id", F.col("fingerprint").alias("of_item"), F.explode(blocks(F.col("fingerprint"), radius)).alias("k"))
-    right = right.select("item_id", "of_item", "k.block", "k.bits")
-    met = left.join(small(right, many), ["item_id", "block", "bits"]).where(
-        F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item"))) <= radius
-    )
-    # A pair may meet in several blocks: it is compared in the first block on which both agree.
-    agree = F.filter(
-        F.arrays_zip(blocks(F.col("fingerprint"), radius).alias("x"), blocks(F.col("of_item"), radius).alias("y")), lambda z: z["x"]["bits"] == z["y"]["bits"]
-    )
-    met = met.where(F.col("block") == F.element_at(agree, 1)["x"]["block"])
-    scored = met.join(small(items.select("item_id", "shingles"), many), "item_id").select(
+    windows = written(windows, "windows")
+    scored = windows.join(small(items.select("item_id", "shingles"), many), "item_id").select(
         "id", "item_id", weighted_jaccard(F.col("window"), F.col("shingles")).alias("similarity")
     )
     return scored.where(F.col("similarity") >= similarity).groupBy("id", "item_id").agg(F.max("similarity").alias("similarity"))

@@ -177,3 +177,15 @@ def test_line_dedup_removes_whole_repeated_runs(spark):
     want |= {1: rows[-6][1], 2: "l\nr", 3: "}\n}\n}", 4: "}\n}\n}", 5: rows[-2][1], 6: "\n".join([same + "!"] * 2)}
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert dict(map(tuple, line_dedup.dedup(df).collect())) == want
+
+
+def test_decontamination_verifies_every_window(spark):
+    """Passages cut at 90 % and followed by one repeated word, and passages whose halves are swapped."""
+    r = np.random.default_rng(3)
+    items = [(i, " ".join(f"w{v}" for v in r.integers(0, 10**6, 204))) for i in range(6)]
+    docs = [(i, f"some text before it {' '.join(t.split()[:184])}{' again' * 40}") for i, t in items]
+    docs += [(10 + i, f"text before {' '.join(t.split()[102:])} {' '.join(t.split()[:102])} text behind") for i, t in items]
+    docs += [(20 + i, f"{' '.join(t.split()[:160])}{' again' * 60}") for i, t in items]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    out = {x.doc_id: x.similarity for x in decontaminate.findings(df, bench).collect()}
+    assert out == {i: 0.818182 for i in range(6)} | {10 + i: 0.960784 for i in range(6)}
