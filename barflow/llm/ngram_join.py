@@ -2,8 +2,9 @@
 
 Every tree of the forest orders documents by its own MinHash values; a prefix of these is a node of the trie. Prefixes
 are shortened from the full depth until the expected recall at the similarity asked for reaches the target; documents
-below a common node are candidates. Candidate components are cut into blocks of bounded size, where all pairs that meet
-in some tree are compared by their whole shingle sets. Counts and spanning links leave a block, never its pairs.
+below a common node are candidates. Candidate components are cut into blocks of bounded size, where all pairs are
+compared by their whole shingle sets: trees decide which texts share a component, never which pairs of it link. Counts
+and spanning links leave a block, never its pairs.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def sketch(docs: DataFrame, *, id_col: str, text_col: str, trees: int, depth: in
 
 def _sets(texts: DataFrame) -> DataFrame:
     """Shingle sets (sorted distinct hashes, as bytes) of the texts whose words have the wanted digest."""
-    schema = "digest string, unit bigint, chunk int, chunks int, weight bigint, keys array<bigint>, shingles binary"
+    schema = "digest string, unit bigint, chunk int, chunks int, weight bigint, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -112,14 +113,14 @@ def _sets(texts: DataFrame) -> DataFrame:
                 ends = np.cumsum(size)
                 right = [xxhash.xxh3_128_hexdigest(" ".join(w)) == d for w, d in zip(words, batch.column(1).to_pylist(), strict=True)]
                 sets = [np.unique(hashes[e - n : e]).tobytes() for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
-                out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], names=["digest", "unit", "chunk", "chunks", "weight", "keys", "shingles"])
+                out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], names=["digest", "unit", "chunk", "chunks", "weight", "shingles"])
                 yield out.filter(pa.array(right, pa.bool_()))
 
-    return texts.select("text", "digest", "unit", "chunk", "chunks", "weight", "keys").mapInArrow(run, schema)
+    return texts.select("text", "digest", "unit", "chunk", "chunks", "weight").mapInArrow(run, schema)
 
 
 def _verify(similarity: float):
-    """Within a block: exact similarity of every pair that meets in some tree; across the sides only, if the block has two."""
+    """Within a block: exact similarity of every pair, whether it meets in a tree or not; across the sides only, if the block has two."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("digest").sort_values("digest")
@@ -127,7 +128,6 @@ def _verify(similarity: float):
         a, b = int(pdf.a.iloc[0]), int(pdf.b.iloc[0])
         side = pdf.chunk.to_numpy() if a != b else None
         names, weight = pdf.digest.to_numpy(), pdf.weight.to_numpy()
-        keys = np.array(pdf["keys"].tolist(), np.int64).reshape(n, -1)
         sets = [np.frombuffer(x, np.uint64) for x in pdf.shingles]
         size = np.array([len(x) for x in sets])
         flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
@@ -141,18 +141,10 @@ def _verify(similarity: float):
         holders, begin = owner[order], first
         many = np.diff(np.append(first, len(flat)))
         ends = np.cumsum(size)
-        # texts that meet this one in no tree at all are skipped before any counting
-        meets = np.zeros(n, bool)
-        for t in range(keys.shape[1]):
-            _, inverse, total = np.unique(keys[:, t], return_inverse=True, return_counts=True)
-            meets |= total[inverse] > 1
         links = np.zeros(n, np.int64)
         u, v = [], []
-        for i in np.flatnonzero(meets):
-            other = np.zeros(n, bool)
-            for t in range(keys.shape[1]):
-                other |= keys[:, t] == keys[i, t]
-            other[: i + 1] = False
+        for i in range(n):
+            other = np.arange(n) > i
             if side is not None:
                 other &= side != side[i]
             if not other.any():
@@ -221,13 +213,13 @@ def join(
     units = max(1, -(-whole["n"] // max(1, block_docs // 4)), -(-(whole["words"] or 0) // block_words))
     unit = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(units))).otherwise(F.xxhash64("component").bitwiseOR(F.lit(-(1 << 63))))
     planned = members.join(sizes, "component").select(
-        "digest", "rep", "weight", "keys", "chunks", unit.alias("unit"), F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk")
+        "digest", "rep", "weight", "chunks", unit.alias("unit"), F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk")
     )
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     # Texts are joined by sort-merge at every size: neither side is bounded.
     sets = _sets(texts.join(written(planned, "planned").hint("merge"), F.col("id") == F.col("rep")))
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("a"), F.greatest("chunk", c).alias("b")))
-    dealt = sets.select("*", F.explode(others).alias("block")).select("unit", "block.a", "block.b", "digest", "chunk", "weight", "keys", "shingles")
+    dealt = sets.select("*", F.explode(others).alias("block")).select("unit", "block.a", "block.b", "digest", "chunk", "weight", "shingles")
     found = written(dealt.groupBy("unit", "a", "b").applyInPandas(_verify(similarity), "digest string, links bigint, parent string"), "links")
     links = found.groupBy("digest").agg(F.sum("links").alias("others"))
     roots = components(found.where(F.col("parent").isNotNull()).select(F.col("digest").alias("u"), F.col("parent").alias("v")), "near")

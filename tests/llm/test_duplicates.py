@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from barflow.llm import decontaminate, embeddings, line_dedup, ngram_join
@@ -189,3 +190,14 @@ def test_decontamination_verifies_every_window(spark):
     df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     out = {x.doc_id: x.similarity for x in decontaminate.findings(df, bench).collect()}
     assert out == {i: 0.818182 for i in range(6)} | {10 + i: 0.960784 for i in range(6)}
+
+
+def test_block_links_pairs_without_a_common_key():
+    """Exact similarity decides inside a block, also across chunks; keys (no two alike here) don't."""
+    sets = [np.arange(k, k + 90, dtype=np.uint64) for k in (0, 10, 20, 500)]
+    block = {"a": 0, "b": 0, "chunk": 0, "weight": 1}
+    rows = [block | {"digest": f"d{k}", "keys": [k] * 24, "shingles": x.tobytes()} for k, x in enumerate(sets)]
+    out = ngram_join._verify(0.8)(pd.DataFrame(rows))
+    assert out.groupby("digest").links.sum().to_dict() == {"d0": 1, "d1": 2, "d2": 1}
+    two = [r | {"b": 1, "chunk": k % 3 // 2} for k, r in enumerate(rows)]
+    assert ngram_join._verify(0.8)(pd.DataFrame(two)).groupby("digest").links.sum().to_dict() == {"d1": 1, "d2": 1}
