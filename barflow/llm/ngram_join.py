@@ -1,8 +1,8 @@
-"""N-gram Jaccard join by an LSH forest of MinHash signatures, with exact verification.
+"""N-gram Jaccard join by bands of MinHash signatures, with exact verification.
 
-Every tree of the forest orders documents by its own MinHash values; a prefix of these is a node of the trie. Prefixes
-are shortened from the full depth until the expected recall at the similarity asked for reaches the target; documents
-below a common node are candidates. Candidate components are cut into blocks of bounded size, where all pairs are
+Every tree is a band: one key of its own MinHash values. Its depth is the same for all documents, shortened once from the
+full depth until the expected recall at the similarity asked for reaches the target, so no sorted tries are kept; documents
+with a common key are candidates. Candidate components are cut into blocks of bounded size, where all pairs are
 compared by their whole shingle sets: trees decide which texts share a component, never which pairs of it link. Counts
 and spanning links leave a block, never its pairs.
 """
