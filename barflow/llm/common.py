@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset a session of one machine gets a fresh folder; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -37,6 +40,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """Names for ``n`` helper columns that no column of ``df`` has, however it is spelled."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if f"_h{k}" not in taken:
+            out.append(f"_h{k}")
+        k += 1
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times in ``body``, also inside its lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -72,7 +85,24 @@ def running_sum(values: Column, block: int = 256) -> Column:
     return let(F.transform(values, lambda x: x.cast("bigint")), blocks)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+#: State of this Python worker: the cache of the operator that runs now, and of no other.
+_STATE: dict[object, object] = {}
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` builds, kept for later tasks of this worker until another operator asks for its own."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of this session hold about ``most`` bytes at most: whole texts go by size, not by number of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each; one row is never split."""
     start = total = 0
     lengths = batch.column(batch.schema.get_field_index(column))

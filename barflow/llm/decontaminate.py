@@ -1,9 +1,9 @@
-"""Benchmark decontamination: item-sized windows at shared shingles, each verified by exact weighted-shingle similarity.
+"""Benchmark decontamination: item-sized windows around shared shingles, each scored by exact weighted-shingle similarity.
 
-Native. A window can be as similar to an item as asked only if both share a five-word shingle, and moving a window on to
-its next shared shingle never lowers the similarity. So the windows that start at a document's shared shingles (all such
-places, every document whole), moved inside at a text's end, hold the best window of each item. All of them are verified:
-fingerprints could only lose pairs here, since a shingle that a window repeats moves many bits of a SimHash.
+Native. Only windows that share a five-word shingle with an item can be alike, so documents are reduced to the places of
+such shingles. A place counts in a stretch of window starts: those at which the window covers it and holds fewer earlier
+ones of the same shingle than the item has. The overlap of a window with an item as multisets is the number of stretches
+that hold its start, so one sweep over the ends of the stretches scores all windows of a document and an item at once.
 """
 
 from __future__ import annotations
@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import indices, let, written
+from .common import fresh_names, indices, let, written
 
 WORDS = 5
-BITS = 64
 
 
 def words(text: Column) -> Column:
@@ -23,29 +22,9 @@ def words(text: Column) -> Column:
 
 
 def shingles(ws: Column) -> Column:
-    """64-bit hash of the five words from each position on; empty below five words."""
-    return F.transform(indices(F.size(ws) - (WORDS - 1)), lambda i: F.xxhash64(F.slice(ws, i, WORDS)))
-
-
-def blocks(fingerprint: Column, radius: int) -> Column:
-    """(number, bits) of ``radius`` + 1 disjoint blocks of a fingerprint; ``contamination`` verifies all windows and needs none."""
-    n = radius + 1
-    edges = [BITS * i // n for i in range(n + 1)]
-    return F.array(
-        *(
-            F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")).alias("bits"))
-            for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-        )
-    )
-
-
-def weighted_jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two lists of hashes as multisets: sum of least over sum of greatest counts."""
-    count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    common = F.aggregate(
-        F.array_intersect(a, b), F.lit(0), lambda n, v: n + F.least(count(a, v), count(b, v))
-    )
-    return common / (F.size(a) + F.size(b) - common)
+    """64-bit hash of the five words from each position on; one to four words are one shingle."""
+    some = F.when(F.size(ws) > 0, F.array(F.xxhash64(ws))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(ws) >= WORDS, F.transform(indices(F.size(ws) - (WORDS - 1)), lambda i: F.xxhash64(F.slice(ws, i, WORDS)))).otherwise(some)
 
 
 def _bitmap(items: DataFrame, many: int, most_bits: int) -> tuple[Column, int]:
@@ -76,40 +55,42 @@ def contamination(
 ) -> DataFrame:
     """Pairs ``(id, item_id, similarity)`` of documents with a window at least ``similarity`` alike to an item; the best window counts.
 
-    A window has as many words as its item. Null and short texts (below five words) hold no window; items below five words
-    are never found. Repeated rows and rows that share an id count as one document; a null id is an id. No pair is lost.
-    Other columns are not read.
+    A window has as many shingles as its item, or is the whole text where that is shorter; all windows are scored. Texts and
+    items below five words are one shingle: they meet only if they have the same words. Null texts hold nothing. Repeated
+    rows count once; rows that share an id are one document, each text scored by itself; a null id is an id, and so is a null
+    item id. Very long texts and items are scored whole. Empty tables give an empty result; other columns are not read.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), let(words(F.col(item_text_col)), lambda w: F.struct(F.size(w).alias("n"), shingles(w).alias("shingles"))).alias("s"))
-    items = written(
-        items.select("item_id", "s.n", "s.shingles").where(F.col("n") >= WORDS), "items"
-    )
-
-    reach = (items.agg(F.max("n")).first()[0] or WORDS) - (WORDS - 1)  # shingles of the longest item
-    many = items.agg(F.sum("n")).first()[0] or 0
+    items = benchmark.select(F.col(item_col).alias("item_id"), let(words(F.col(item_text_col)), shingles).alias("shingles")).where(F.size("shingles") > 0)
+    items = written(items.withColumn("item", F.xxhash64("item_id", "shingles")).dropDuplicates(["item"]), "items")
+    many = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
     bitmap, size = _bitmap(items, many, most_bits)
 
     def present(hashes: Column) -> Column:
-        """Places whose shingle's slot some item has, each with the stretch of shingles within reach on both sides."""
+        """The text's number of shingles, and the places of those whose slot some item has."""
         slot = lambda h: F.pmod(h, F.lit(size))
         hit = lambda h: F.getbit(F.element_at(bitmap, (F.shiftright(slot(h), 6) + 1).cast("int")), slot(h).bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
         places = F.filter(F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("h"))), lambda p: hit(p["h"]))
-        lo = lambda p: F.greatest(p["at"] - reach, F.lit(0))
-        return F.transform(
-            places,
-            lambda p: F.struct(p["h"].alias("h"), (p["at"] - lo(p)).alias("at"), F.slice(hashes, lo(p) + 1, 2 * reach + 1).alias("stretch")),
-        )
-
-    places = docs.select(F.col(id_col).alias("id"), F.explode(let(let(words(F.col(text_col)), shingles), present)).alias("p")).select("id", "p.*")
-    wanted = items.select("item_id", "n", F.explode(F.array_distinct("shingles")).alias("h"))
-    small = lambda df, rows, most=200_000: F.broadcast(df) if rows <= most else df  # noqa: E731  sizes are counted above
-    # A window of the item's size that starts at the shared shingle; at a text's end it is moved inside.
-    length = F.col("n") - (WORDS - 1)
-    start = F.greatest(F.lit(0), F.least(F.col("at"), F.size("stretch") - length))
-    windows = places.join(small(wanted, many), "h").select("id", "item_id", F.slice("stretch", start + 1, length).alias("window")).distinct()
-    windows = written(windows, "windows")
-    scored = windows.join(small(items.select("item_id", "shingles"), many), "item_id").select(
-        "id", "item_id", weighted_jaccard(F.col("window"), F.col("shingles")).alias("similarity")
+        return F.struct(F.size(hashes).alias("n"), places.alias("places"))
+
+    text = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    found = docs.select(text.alias("doc"), let(let(words(F.col(text_col)), shingles), present).alias("f"))
+    places = found.select("doc", "f.n", F.explode("f.places").alias("p")).select("doc", "n", "p.at", "p.h")
+    wanted = items.select("item", "item_id", F.size("shingles").alias("m"), F.explode("shingles").alias("h")).groupBy("item", "item_id", "m", "h").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    wanted = F.broadcast(wanted) if many <= 200_000 else wanted  # counted above
+    per = places.join(wanted, "h").groupBy("doc", "n", "item", "item_id", "m", "h", "c").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    span = F.least("n", "m")  # shingles of a window
+    last = F.col("n") - span  # its last start
+    before = lambda i: F.when(i >= F.col("c"), F.element_at("at", (i - F.col("c") + 1).cast("int"))).otherwise(-1)
+    stretch = F.transform("at", lambda p, i: F.struct(F.greatest(F.lit(0), p - span + 1, before(i) + 1).alias("lo"), F.least(p, last).alias("hi")))
+    # An end is twice its start, plus one where a stretch begins: at equal starts those that are over go first.
+    ends = F.flatten(F.transform(F.filter(stretch, lambda s: s["lo"] <= s["hi"]), lambda s: F.array(2 * s["lo"] + 1, 2 * s["hi"] + 2)))
+    swept = per.select("doc", "n", "item", "item_id", "m", ends.alias("ends")).groupBy("doc", "n", "item", "item_id", "m").agg(F.sort_array(F.flatten(F.collect_list("ends"))).alias("ends"))
+    step = lambda a, e: let(
+        a["now"] + F.when(e % 2 == 1, 1).otherwise(-1), lambda now: F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+    )
+    most = F.aggregate("ends", F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+    scored = swept.select("doc.id", "item_id", span.alias("span"), "m", most.alias("both")).select(
+        "id", "item_id", (F.col("both") / (F.col("span") + F.col("m") - F.col("both"))).alias("similarity")
     )
     return scored.where(F.col("similarity") >= similarity).groupBy("id", "item_id").agg(F.max("similarity").alias("similarity"))
 
@@ -122,6 +103,8 @@ def findings(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", *
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without a match, all columns."""
-    bad = written(contamination(docs, benchmark, id_col=id_col, **options).select("id").distinct(), "leaks").withColumnRenamed("id", "_leak")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_leak"]), "left_anti")
+    """The documents without a match, all columns, whatever their names. Rows that share an id with a match go."""
+    key, bad_key = fresh_names(docs, 2)
+    bad = written(contamination(docs, benchmark, id_col=id_col, **options).select(F.col("id").alias(bad_key)).distinct(), "leaks")
+    keyed = docs.withColumn(key, F.col(id_col))
+    return keyed.join(bad, keyed[key].eqNullSafe(bad[bad_key]), "left_anti").select(*(keyed[c] for c in docs.columns))

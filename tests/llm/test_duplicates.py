@@ -32,10 +32,10 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_ngram_join_equals_brute_force(spark, docs, corpus, no_docs, block):
+@pytest.mark.parametrize("block, options", [(1024, {}), (3, {}), (2, {"most_chunks": 1})])
+def test_ngram_join_equals_brute_force(spark, docs, corpus, no_docs, block, options):
     out = defaultdict(list)
-    for r in ngram_join.join(docs, block_docs=block).collect():
+    for r in ngram_join.join(docs, block_docs=block, **options).collect():
         out[r.doc_id].append(r)
     sets = {}
     for k, (i, t) in enumerate(corpus):
@@ -115,22 +115,6 @@ def test_decontamination_equals_brute_force(spark, docs, corpus, no_docs):
     assert decontaminate.findings(docs, bench.limit(0)).count() == 0
 
 
-def test_blocks_meet_within_radius(spark):
-    r = np.random.default_rng(1)
-    rows = []
-    for _ in range(200):
-        a = int(r.integers(0, 1 << 62))
-        flips = r.choice(64, int(r.integers(0, 21)), replace=False)
-        b = a
-        for f in flips.tolist():
-            b ^= 1 << f
-        rows.append((a, b - (1 << 64) if b >= 1 << 63 else b))
-    df = spark.createDataFrame(rows, "a bigint, b bigint")
-    x, y = decontaminate.blocks(df.a, 20), decontaminate.blocks(df.b, 20)
-    for p, q in df.select(x, y).collect():
-        assert any(s == t for s, t in zip(p, q, strict=True))
-
-
 LONG = " ".join(f"word{i}" for i in range(60))
 
 
@@ -195,9 +179,12 @@ def test_decontamination_verifies_every_window(spark):
 def test_block_links_pairs_without_a_common_key():
     """Exact similarity decides inside a block, also across chunks; keys (no two alike here) don't."""
     sets = [np.arange(k, k + 90, dtype=np.uint64) for k in (0, 10, 20, 500)]
-    block = {"a": 0, "b": 0, "chunk": 0, "weight": 1}
-    rows = [block | {"digest": f"d{k}", "keys": [k] * 24, "shingles": x.tobytes()} for k, x in enumerate(sets)]
+    block = {"unit": 5, "a": 0, "b": 0, "chunk": 0, "weight": 1, "nodes": None}
+    rows = [block | {"digest": f"d{k}", "shingles": x.tobytes()} for k, x in enumerate(sets)]
     out = ngram_join._verify(0.8)(pd.DataFrame(rows))
     assert out.groupby("digest").links.sum().to_dict() == {"d0": 1, "d1": 2, "d2": 1}
     two = [r | {"b": 1, "chunk": k % 3 // 2} for k, r in enumerate(rows)]
     assert ngram_join._verify(0.8)(pd.DataFrame(two)).groupby("digest").links.sum().to_dict() == {"d1": 1, "d2": 1}
+    # the pair of d0 and d1 also shares an earlier node, whose block counts it
+    nodes = ([3, 5], [3, 5], [4, 5, 9], [5, 9])
+    assert ngram_join._verify(0.8)(pd.DataFrame([r | {"nodes": np.array(v)} for r, v in zip(rows, nodes)])).groupby("digest").links.sum().to_dict() == {"d1": 1, "d2": 1}
