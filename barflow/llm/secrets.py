@@ -1,6 +1,8 @@
 """Secret scan: base patterns plus a randomness test battery with false-discovery control.
 
-Native: DataFrame functions only; one narrow pass per stage over the texts, no shuffle of texts.
+A token is a discovery if the battery does not reject that it is random, and its evidence against written text is strong
+enough: the null hypothesis that is controlled is "this is text", so what is reported by mistake is bounded, and a token
+too short for any evidence is never reported. Native: one narrow pass over the texts, no shuffle of texts.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import indices, let, running_sum
+from .common import indices, let, running_sum, written
 
 #: Kinds in the order in which equal starts are listed, their patterns, the group that is tested and its least length.
 BASE = (
@@ -23,11 +25,17 @@ RANDOM = ("random", r"[A-Za-z0-9+/_=-]+")
 ENCODINGS = (
     ("hex", "^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("lower", "^[a-z0-9]+=*$", "abcdefghijklmnopqrstuvwxyz0123456789"),
     ("base62", "^[A-Za-z0-9]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "^[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 #: Classes of characters whose shares are tested; what else an alphabet has is one more class.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789")
+#: The model of written text: the next character is of the same class with this chance, else of any other class alike.
+STAYS = 0.9
+#: Letters of English text in percent, a to z.
+LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+EVERY = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Upper ends of the length strata within which discoveries are controlled.
 STRATA = (24, 32, 40, 64, 128)
 OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
@@ -104,14 +112,36 @@ def _held(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("double")
 
 
+def text_costs() -> list[float]:
+    """Bits of each character of ``EVERY`` within its class in written text; letters are mixed with a tenth of uniform ones."""
+    letters = [-math.log2(0.9 * x / sum(LETTERS) + 0.1 / 26) for x in LETTERS]
+    return [*letters, *letters, *[math.log2(10)] * 10, 1.0, 1.0]
+
+
 def battery(token: Column) -> Column:
-    """struct<encoding, n, p>: the inferred encoding, the tested length and the battery's p-value under 'uniformly random'.
+    """struct<encoding, n, p, text_p>: the inferred encoding, the tested length, the battery's p-value under 'uniformly random'
+    and the p-value under 'written text'.
 
     Chi-squared uniformity of the encoding's alphabet (both sides) and of its classes (upper case, lower case, digits,
     others), Wald-Wolfowitz runs of high and low symbols and lag-1 serial correlation; the least p-value times four. The
     classes are few, so that words and identifiers fail at lengths at which the whole alphabet has less than one symbol
-    a cell. Tokens of no encoding get null.
+    a cell. ``text_p`` is the token's likelihood as text over that as a random string of its encoding, 1 at most: by Markov's
+    inequality no text model reaches a ratio of x or less more often than with chance x, at any length. Tokens of no encoding
+    get null.
     """
+    kind = lambda at: F.when(at <= 26, 0).when(at <= 52, 1).when(at <= 62, 2).otherwise(3)
+    costs = F.array(*map(F.lit, text_costs()))
+
+    def bits(text: Column) -> Column:
+        """Bits of the text under the model of written text."""
+
+        def walk(at: Column) -> Column:
+            change = lambda i: F.when(kind(F.element_at(at, i)) == kind(F.element_at(at, i + 1)), -math.log2(STAYS)).otherwise(-math.log2((1 - STAYS) / 3))
+            own = F.aggregate(at, F.lit(2.0), lambda a, x: a + F.element_at(costs, x))  # two bits: the first one's class
+            return F.aggregate(indices(F.size(at) - 1), own, lambda a, i: a + change(i))
+
+        symbols = F.filter(F.split(text, ""), lambda c: c != "")
+        return let(F.transform(symbols, lambda c: F.instr(F.lit(EVERY), c)), walk)
 
     def sums(text: Column, alphabet: Column, values: Column) -> Column:
         # One pass over the text per symbol of the alphabet, so that long tokens take linear time.
@@ -157,13 +187,15 @@ def battery(token: Column) -> Column:
             F.when(var_runs > 0, (1 + s["steps"]["runs"] - mean_runs) / F.sqrt(var_runs)).otherwise(F.sqrt(n)).alias("runs"),
             (s["steps"]["serial"] / ((s["size"] * s["size"] - 1) / 12 * F.sqrt(n - 1))).alias("serial"),
             n.cast("int").alias("n"),
+            (n * F.log2(s["size"])).alias("random_bits"),
         )
 
     def tested(e: Column) -> Column:
         text = e["body"]
         values = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: (F.instr(e["alphabet"], c) - 1).cast("double"))
         least = lambda z: F.least(F.lit(1.0), 4 * F.least(*(_two_sided(z[x]) for x in ("chi", "classes", "runs", "serial"))))
-        made = lambda z: F.struct(e["name"].alias("encoding"), z["n"].alias("n"), least(z).alias("p"))
+        text_p = lambda z: F.pow(F.lit(2.0), F.least(F.lit(0.0), z["random_bits"] - bits(text)))
+        made = lambda z: F.struct(e["name"].alias("encoding"), z["n"].alias("n"), least(z).alias("p"), text_p(z).alias("text_p"))
         return let(let(values, lambda v: let(sums(text, e["alphabet"], v), scores)), made)
 
     body = F.rtrim(F.translate(token, "_-", "/+"), F.lit("="))
@@ -195,19 +227,19 @@ def _bin(p: Column) -> Column:
     return F.least(F.lit(1500), F.floor(-100 * F.log10(F.greatest(p, F.lit(1e-15))))).cast("int")
 
 
-def rejection_bins(scored: DataFrame, q: float) -> dict[int, int]:
-    """Per length stratum, the least bin whose tokens are rejected as not random at false-discovery rate ``q``.
+def evidence(tested: Column, alpha: float) -> Column:
+    """A token's p-value under 'written text'; 1 if the battery rejects that it is random at level ``alpha``."""
+    return F.when(tested["p"] < alpha, 1.0).otherwise(tested["text_p"])
+
+
+def discovery_bins(tokens: DataFrame, q: float) -> dict[int, int]:
+    """Per length stratum the least bin of ``tokens(n, p)`` that is discovered at false-discovery rate ``q``.
 
     Benjamini-Hochberg over a histogram: at most 6 strata x 1501 bins, however many tokens there are. A bin counts with
-    its largest p-value, so the rate is held. Longer strata have more tests of real power and so their own threshold.
+    its largest p-value, so the rate is held. Strata have thresholds of their own: long tokens with much evidence don't
+    carry short ones with little, nor do many short ones drown the long.
     """
-    rows = (
-        scored.select(F.explode("candidates").alias("c"))
-        .select(_stratum(F.col("c.b.n")).alias("s"), _bin(F.col("c.b.p")).alias("bin"))
-        .groupBy("s", "bin")
-        .count()
-        .collect()
-    )
+    rows = tokens.groupBy(_stratum(F.col("n")).alias("s"), _bin(F.col("p")).alias("bin")).count().collect()
     out: dict[int, int] = {}
     for s in {r["s"] for r in rows}:
         bins = sorted(((r["bin"], r["count"]) for r in rows if r["s"] == s), reverse=True)
@@ -219,34 +251,30 @@ def rejection_bins(scored: DataFrame, q: float) -> dict[int, int]:
     return out
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", q: float = 0.05, least: int = 20) -> DataFrame:
-    """Spans of secrets in every row: ``(id, text, spans array<struct<start, order, kind, end>>)``, ordered by start, then kind.
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", q: float = 0.05, alpha: float = 0.001, least: int = 20) -> DataFrame:
+    """Spans of secrets in every row: ``(id, spans array<struct<start, order, kind, end>>)``, ordered by start, then kind.
 
-    Base kinds come from fixed patterns. Tokens whose randomness the battery does not reject, at false-discovery rate
-    ``q`` within their length stratum, are added as kind ``random`` where no base span overlaps them; base spans stay.
-    Null text: as empty. Repeated rows: each has its own result. Other columns are not read.
+    Base kinds come from fixed patterns. Tokens of ``least`` characters or more that the battery does not reject as random at
+    level ``alpha`` and whose evidence against written text is discovered at false-discovery rate ``q`` within their length
+    stratum are added as kind ``random`` where no base span overlaps them; base spans stay. Null text: as empty. Null ids and
+    repeated rows: each row has its own result. Very long texts and tokens are tested whole. Other columns are not read; an
+    empty table gives an empty result. Texts are read once: their spans and tested tokens are written, then judged.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    limits = rejection_bins(rows.select(candidates(F.col("text"), least).alias("candidates")), q)
-    rejected: Column = F.lit(None).cast("int")
     base = F.concat(*(base_spans(F.col("text"), k) for k in range(len(BASE))))
+    tested = F.transform(candidates(F.col("text"), least), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["b"]["n"].alias("n"), evidence(m["b"], alpha).alias("p")))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = written(rows.select("id", base.alias("base"), tested.alias("tokens")), "secrets")
+    limits = discovery_bins(found.select(F.explode("tokens").alias("t")).select("t.n", "t.p"), q)
 
-    def is_random(m: Column) -> Column:
-        limit = rejected
+    def is_secret(m: Column) -> Column:
+        limit = F.lit(None).cast("int")
         for s, b in sorted(limits.items()):
-            limit = F.when(_stratum(m["b"]["n"]) == s, b).otherwise(limit)
-        return limit.isNull() | (_bin(m["b"]["p"]) < limit)
-
-    def add(found: Column) -> Column:
-        fresh = F.filter(
-            candidates(F.col("text"), least),
-            lambda m: is_random(m) & ~F.exists(found, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
-        )
-        return F.array_sort(
-            F.concat(found, F.transform(fresh, lambda m: _span(m["start"], F.lit(len(BASE)), F.lit(RANDOM[0]), m["end"])))
-        )
+            limit = F.when(_stratum(m["n"]) == s, b).otherwise(limit)
+        return F.coalesce(_bin(m["p"]) >= limit, F.lit(False))
 
-    return rows.withColumn("spans", let(base, add))
+    free = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    added = F.transform(F.filter("tokens", lambda m: is_secret(m) & free(m)), lambda m: _span(m["start"], F.lit(len(BASE)), F.lit(RANDOM[0]), m["end"]))
+    return found.select("id", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
