@@ -8,6 +8,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 from typing import IO
 
 import pyarrow as pa
@@ -95,6 +96,13 @@ class BundleWriter:
             self.at += len(packed)
             self.buffer = io.BytesIO()
 
+    def places(self) -> Iterator[tuple[int, int]]:
+        """Offset and packed size of each frame."""
+        at = 0
+        for packed, _ in self.frames:
+            yield at, packed
+            at += packed
+
     def close(self) -> None:
         self.flush()
         table = b"".join(struct.pack("<II", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0, SEEKABLE)
@@ -153,7 +161,7 @@ def plan_revisits(pages: DataFrame, *, id_col: str, payload_col: str, min_bytes:
 def write(
     pages: DataFrame, folder: str | None = None, *, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0, frame_bytes: int = 1 << 20, level: int = 3
 ) -> DataFrame:
-    """Write one bundle per task; returns the index ``(page_id, file, frame, offset, length)``, frame being its offset in the file.
+    """Write one bundle per task; returns the index ``(page_id, file, frame, packed, offset, length)``: the frame's offset and size in the file, then the record's place in it.
 
     Null payload: empty. Null url: a placeholder URI. Null page_id: a record without id. Of records with equal payloads of
     at least ``min_bytes`` that with the largest id is the response; rows that repeat this id are responses too. Very long
@@ -176,33 +184,44 @@ def write(
                     page, url, payload, ref, revisit = (b.column(k)[r].as_py() for k in range(5))
                     index.append((page, *bundle.add(record(page, url, payload, ref, revisit))))
             bundle.close()
+        size = dict(bundle.places())
         for k in range(0, len(index), 50_000):
             page, frame, offset, length = map(list, zip(*index[k : k + 50_000], strict=True))
             yield pa.RecordBatch.from_pydict(
-                {"page_id": pa.array(page, pa.int64()), "file": [f"{folder}/{name}"] * len(page), "frame": frame, "offset": offset, "length": length}
-            )
+                {
+                    "page_id": pa.array(page, pa.int64()), "file": [f"{folder}/{name}"] * len(page), "frame": frame,
+                    "packed": [size[f] for f in frame], "offset": offset, "length": length,
+                }
+            )
 
-    made = rows.mapInArrow(run, "page_id bigint, file string, frame bigint, offset bigint, length bigint")
+    made = rows.mapInArrow(run, "page_id bigint, file string, frame bigint, packed bigint, offset bigint, length bigint")
     return written(made, "warc-index")
 
 
-def read(index: DataFrame) -> DataFrame:
-    """All records of the indexed bundles, read back frame by frame; payload facts of responses are computed from the payload."""
-    files = index.select("file").distinct()
+def read(index: DataFrame, *, task_frames: int = 64) -> DataFrame:
+    """All records of the indexed bundles, read back frame by frame; payload facts of responses are computed from the payload.
+
+    Frames, not files, are dealt out: a task gets about ``task_frames`` of them, fewer where that leaves cores idle.
+    """
+    spark = index.sparkSession
+    frames = index.groupBy("file", "frame", "packed").agg(F.max(F.col("offset") + F.col("length")).alias("raw"))
+    n = frames.count()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-n // task_frames))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            for uri in b.column(0).to_pylist():
+            for uri, places in groupby(b.to_pylist(), lambda r: r["file"]):
                 with reading(uri) as f:
-                    for at, packed, raw in seek_table(f):
-                        f.seek(at)
-                        rows = [_facts(fields, block) for _, _, fields, block in parse_records(unpack.decompress(f.read(packed), max_output_size=raw))]
-                        yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+                    for r in places:
+                        f.seek(r["frame"])
+                        data = unpack.decompress(f.read(r["packed"]), max_output_size=r["raw"])
+                        yield pa.RecordBatch.from_pylist([_facts(fields, block) for _, _, fields, block in parse_records(data)], schema=SCHEMA)
 
-    return files.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    dealt = frames.repartition(tasks, "file", "frame").sortWithinPartitions("file", "frame")
+    return dealt.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 SCHEMA = pa.schema(
