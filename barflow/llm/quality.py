@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import small_batches, text_slices, worker_state
 
 CLASSES = ("upper", "lower", "digit", "space", "line", "bang", "bar", "mark", "stop", "other", "high", "control")
 N_FEATURES = 26
@@ -147,6 +147,12 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _drawn(wanted: float, total: int, seed: int):
+    """Rows of about ``wanted`` of ``total`` ids, by a threshold on 62 bits of the id's hash, so that no table is too large for it."""
+    span = 1 << 62
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(span)) < F.lit(max(1, int(span * min(1.0, wanted / max(total, 1)))))
+
+
 def _sample(df: DataFrame, most: int, seed: int) -> np.ndarray:
     """Features of at most ``most`` rows, those with the least hash of id and text (the same rows under any partitioning).
 
@@ -154,6 +160,7 @@ def _sample(df: DataFrame, most: int, seed: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality", dict)
         for whole in batches:
             for b in text_slices(whole):
                 x = pa.FixedSizeListArray.from_arrays(pa.array(features(b.column(1)).ravel()), N_FEATURES).cast(pa.list_(pa.float64()))
@@ -180,16 +187,18 @@ def fit(
     """Fit on trusted positives (label 1, not held out) and unlabelled web text (a sample of all rows that aren't held out).
 
     ``max_positive`` and ``max_unlabelled`` bound what the driver gets. The prior is estimated from the data, negative
-    labels are not used. Texts that are copies of each other count once each in the sample of rows. With no positives
-    or no texts at all, the model scores 0.5 everywhere.
+    labels are not used. Texts that are copies of each other count once each in the sample of rows. With fewer than two
+    positives or two texts in the whole tables, the model scores 0.5 everywhere. Null texts are learnt as empty ones, a null
+    id is never held out, null and other labels than 1 are ignored, other columns are not read.
     """
+    small_batches(docs.sparkSession)
     pool = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(~held_out("id"))
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).where(~held_out("id")).distinct()
-    share = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20))
-    n = trusted.count()
-    positive = _sample(pool.join(trusted.where(share < int((1 << 20) * min(1.0, 1.3 * max_positive / max(n, 1)))), "id", "left_semi"), max_positive, seed) if n else np.zeros((0, N_FEATURES))
-    total = docs.count()
-    unlabelled = _sample(pool.where(share < int((1 << 20) * min(1.0, 2.0 * max_unlabelled / max(total, 1)))), max_unlabelled, seed)
+    n, total = trusted.count(), docs.count()
+    positive = _sample(pool.join(trusted.where(_drawn(1.3 * max_positive, n, seed)), "id", "left_semi"), max_positive, seed) if n else np.zeros((0, N_FEATURES))
+    unlabelled = _sample(pool.where(_drawn(2.0 * max_unlabelled, total, seed)), max_unlabelled, seed)
+    if total > 100 * max_unlabelled and not len(unlabelled):
+        raise RuntimeError("no unlabelled text was drawn from a table that is not empty")
     if len(positive) < 2 or len(unlabelled) < 2:
         none = np.zeros(0)
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES, 0)), none, none, none, 0.0, 0.5)
@@ -204,11 +213,13 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     Null text: scored as empty. Repeated rows are scored alike. Columns of other names are ignored, or kept with ``keep``.
     """
+    small_batches(docs.sparkSession)
     wanted = docs if keep else docs.select(F.col(id_col), F.col(text_col))
     schema = wanted.schema
     text_at = schema.names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality", dict)
         for whole in batches:
             for b in text_slices(whole, text_col):
                 s = model.score(features(b.column(text_at)))
