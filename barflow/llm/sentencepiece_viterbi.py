@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import small_batches, text_slices, worker_state
 from .words import Table, cut, gather
 
 SPACE = "▁"
@@ -65,6 +65,10 @@ class Pieces:
         keys = np.array([_hash_one(t) for t in self.by_text], np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_ids = keys[order], ids[order]
+        # The pieces' characters, so that a probe that meets a key is compared as text.
+        self.codes = np.zeros((len(self.texts), self.longest), np.uint32)
+        for t, i in self.by_text.items():
+            self.codes[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
         self.hint = np.zeros(1 << 20, bool)  # hashes that can't be keys are told by 20 bits
         self.hint[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         if (self.keys[1:] == self.keys[:-1]).any():
@@ -130,7 +134,10 @@ def _viterbi(p: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             rows = np.flatnonzero(p.hint[(h >> np.uint64(44)).astype(np.int64)])
             if len(rows):
                 at = np.minimum(np.searchsorted(p.keys, h[rows]), len(p.keys) - 1)
-                piece[rows] = np.where(p.keys[at] == h[rows], p.key_ids[at], -1)
+                found = p.keys[at] == h[rows]
+                rows, ids = rows[found], p.key_ids[at[found]]
+                same = (codes[rows, i:j] == p.codes[ids, :width]).all(1) & ((p.codes[ids, width] == 0) if width < p.longest else True)
+                piece[rows[same]] = ids[same]
             if width == 1:
                 piece = np.where(piece < 0, -1 - codes[:, i].astype(np.int64), piece)
             elif not (piece >= 0).any():
@@ -182,22 +189,10 @@ def _admissible(p: Pieces, before: np.ndarray, piece: np.ndarray, known: np.ndar
     return out
 
 
-#: Encoders of this Python worker by vocabulary: later tasks go on with the words and pairs that earlier ones have met.
-ENCODERS: dict[tuple, "Encoder"] = {}
-
-
-def worker_encoder(pieces: Pieces) -> "Encoder":
-    key = (len(pieces.texts), pieces.unigram, pieces.dummy_prefix, _hash_one("".join(pieces.texts[-500:])), float(pieces.scores.sum()))
-    if key not in ENCODERS:
-        ENCODERS.clear()
-        ENCODERS[key] = Encoder(pieces)
-    return ENCODERS[key]
-
-
 class Encoder:
     """Encodes texts word by word; results of words are kept in a bounded cache of flat arrays."""
 
-    def __init__(self, pieces: Pieces, most_words: int = 400_000, slice_rows: int = 20_000) -> None:
+    def __init__(self, pieces: Pieces, most_words: int = 250_000, slice_rows: int = 20_000) -> None:
         self.p, self.most, self.rows = pieces, most_words, slice_rows
         self.pattern = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if pieces.cut_lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.table = Table(np.int32)
@@ -284,13 +279,16 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
 
     Null text: as empty (no ids). Texts that hold U+2581 themselves decode to spaces, as in the library. Very long texts are
     encoded whole, words of any length. Repeated rows are encoded each; other columns are not read. The vocabulary is read
-    on the driver (its size is the model's) and goes with the tasks.
+    on the driver and broadcast (its size is the model's); a worker builds its tables once.
     """
+    small_batches(docs.sparkSession)
     pieces = Pieces.read(model_path, unigram=unigram)
+    name = (_hash_one("".join(pieces.texts)), float(pieces.scores.sum()), unigram)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
     wanted = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(pieces)
+        encoder = worker_state(("pieces", name), lambda: Encoder(shared.value))
         for whole in batches:
             for b in text_slices(whole, "text"):
                 texts = b.column(1).to_pylist()

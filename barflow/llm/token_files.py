@@ -19,14 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, text_slices, written
+from .common import new_folder, small_batches, text_slices, worker_state, written
 from .files import mapped, writing
 from .words import Table, cut, gather
 
-#: Encoders of this Python worker by file: words once encoded stay known to later tasks.
-ENCODERS: dict[str, "WordEncoder"] = {}
-
-
 class WordEncoder:
     """Encodes texts with a tokenizers file by way of a bounded cache of space-separated parts.
 
@@ -34,7 +30,7 @@ class WordEncoder:
     file declares so (its words are split from white space, which is dropped), else whole texts are encoded.
     """
 
-    def __init__(self, content: str, most: int = 1_000_000) -> None:
+    def __init__(self, content: str, most: int = 500_000) -> None:
         import json
 
         from tokenizers import Tokenizer
@@ -97,20 +93,27 @@ class WordEncoder:
 
 
 def worker_encoder(content: str) -> WordEncoder:
-    if content not in ENCODERS:
-        ENCODERS.clear()
-        ENCODERS[content] = WordEncoder(content)
-    return ENCODERS[content]
+    """The encoder of this Python worker: words once encoded stay known to later tasks."""
+    return worker_state(("tokens", content), lambda: WordEncoder(content))
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes of a table as the optimizer estimates them from its files; 0 where it knows nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def write(
-    docs: DataFrame, tokenizer_file: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, partitions: int | None = None
+    docs: DataFrame, tokenizer_file: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
+    partitions: int | None = None, partition_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Write all documents in ascending order of id; returns the manifest ``(part, folder, width, documents, tokens, base)``.
 
     Null text: as empty (its end id alone). Null ids come first; equal ids are ordered by their text; repeated rows are
     documents each. Very long texts are written whole. An empty table writes no files and an empty manifest. The
-    tokenizer file is read on the driver and goes with the tasks. Width is 2 bytes for up to 65,536 ids, else 4.
+    tokenizer file is read on the driver and goes with the tasks. Width is 2 bytes for up to 65,536 ids, else 4. There are
+    ``partitions`` files, or else one for each ``partition_bytes`` of input, at least ``spark.sql.shuffle.partitions``. Ranges
+    are of the id and the text's beginning, so that an id of very many rows (or none) spreads.
     """
     from tokenizers import Tokenizer
 
@@ -121,8 +124,9 @@ def write(
     width = 2 if max(Tokenizer.from_str(content).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
     shared = spark.sparkContext.broadcast(content)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    small_batches(spark)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_size(docs) // partition_bytes))
+    ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), F.substring("text", 1, 32)).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -131,11 +135,12 @@ def write(
         with writing(folder, f"tokens-{part:06d}.bin") as out:
             for whole in batches:
                 encoder = encoder or worker_encoder(shared.value)
-                for b in text_slices(whole):
+                for b in text_slices(whole, most=2_000_000):
                     tokens, count = encoder.encode(b.column(1), end_id)
                     out.write(tokens.astype(f"<u{width}").tobytes())
                     size.append(count)
                     ids.append(np.array([(i is None, i or 0) for i in b.column(0).to_pylist()], np.int64).reshape(-1, 2))
+                pa.default_memory_pool().release_unused()
         counts = np.concatenate(size) if size else np.zeros(0, np.int64)
         with writing(folder, f"offsets-{part:06d}.bin") as out:
             out.write(np.concatenate([[0], np.cumsum(counts)]).astype("<i8").tobytes())
@@ -154,7 +159,7 @@ def write(
 
 def read(manifest: DataFrame, id_name: str = "doc_id") -> DataFrame:
     """Per document from the files: id, start, n_tokens and the crc32 of its ids as little-endian 32-bit integers."""
-    n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
