@@ -73,6 +73,18 @@ def canonical_turns(record: Column) -> Column:
     return out
 
 
+def normalized(records: DataFrame, *, record_col: str = "record") -> DataFrame:
+    """Heterogeneous records to canonical turns: the input's columns plus ``layout_fingerprint`` and ``turns``.
+
+    ``record_col`` is a variant or JSON text. Records whose nested field paths no mapping knows, and texts that are not JSON,
+    get null turns and keep their fingerprint, so that unknown layouts can be counted. Null fields are empty texts; turns
+    keep their order; columns of the two new names are replaced. An empty table gives an empty result.
+    """
+    record = F.col(record_col)
+    record = record if dict(records.dtypes)[record_col] == "variant" else F.try_parse_json(record)
+    return records.withColumns({"layout_fingerprint": fingerprint(record), "turns": canonical_turns(record)})
+
+
 def escape(text: Column) -> Column:
     """A backslash before every backslash and after the first character of every control string."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
@@ -114,15 +126,9 @@ def conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     their own; null turns come first; a null conv_id is one conversation. Other columns are ignored.
     """
     record = F.to_variant_object(F.struct(F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col), F.lit("")).cast("string").alias("text")))
-    mapped = rows.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.element_at(canonical_turns(record), 1).alias("t")
-    )
-    item = F.struct("turn", F.col("t.role").alias("role"), F.col("t.text").alias("text"))
-    return (
-        mapped.groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(item)).alias("turns"))
-        .select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    )
+    mapped = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), canonical_turns(record).alias("said"))
+    items = mapped.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "said"))).alias("items"))
+    return items.select("conv_id", F.flatten(F.transform("items", lambda t: t["said"])).alias("turns"))
 
 
 def formatted(convs: DataFrame) -> DataFrame:
@@ -159,9 +165,11 @@ def digests(done: DataFrame) -> DataFrame:
     """What the formatted texts and their masks hold, read back: one row per conversation."""
 
     def masked(turns: Column, mask: Column) -> Column:
-        """Texts at the masked places; null where a span is not exactly one turn's text."""
+        """Texts at the masked places. A span that is not exactly one assistant text, one too many or too few, is an error."""
         spoken = F.filter(turns, lambda t: F.coalesce(t["role"] == "assistant", F.lit(False)))
-        return F.zip_with(spoken, mask, lambda t, m: F.when((t["end"] == m["end"]) & (t["n"] == m["end"] - m["start"]), t["text"]))
+        fits = lambda t, m: F.coalesce((t["end"] == m["end"]) & (t["n"] == m["end"] - m["start"]), F.lit(False))
+        wrong = F.raise_error(F.lit("the loss mask does not cover the assistant texts")).cast("string")
+        return F.zip_with(spoken, mask, lambda t, m: F.when(fits(t, m), t["text"]).otherwise(wrong))
 
     def read(turns: Column) -> Column:
         whole = F.transform(turns, lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n")))

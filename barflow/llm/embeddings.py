@@ -72,7 +72,7 @@ def _cells(reps: DataFrame, pivots: DataFrame, radius: float) -> DataFrame:
                 rows, cells = np.nonzero(near)
                 home = cells == h[rows]
             g = group.iloc[rows]
-            out.append(pd.DataFrame({"label": g.label, "cell": size * 1000 + cells, "home": home, "digest": g.digest, "weight": g.weight, "unit": g.unit}))
+            out.append(pd.DataFrame({"label": g.label, "cell": size * (1 << 24) + cells, "home": home, "digest": g.digest, "weight": g.weight, "unit": g.unit}))
         schema = {"label": [], "cell": [], "home": [], "digest": [], "weight": [], "unit": []}
         return pd.concat(out) if out else pd.DataFrame(schema)
 
@@ -148,7 +148,7 @@ def near_duplicates(
     label_col: str = "label",
     threshold: float = 0.93,
     cell_rows: int = 4000,
-    max_pivots: int = 64,
+    max_pivots: int = 4096,
     block_rows: int = 4096,
     part_rows: int = 4096,
 ) -> DataFrame:

@@ -28,13 +28,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The conversation that the contract adds.
-ADDED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+ADDED = """SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"""
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame(ADDED, "conv_id bigint, turn bigint, role string, text string")
-    return chat.digests(chat.formatted(chat.conversations(rows.unionByName(added))))
+    return chat.digests(chat.formatted(chat.conversations(rows.unionByName(spark.sql(ADDED)))))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
