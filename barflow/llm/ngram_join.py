@@ -131,21 +131,24 @@ def open_nodes(classes: DataFrame, *, similarity: float, recall: float, trees: i
     """``(digest, node)``: the documents of all trie nodes that some document's shortened prefix selects.
 
     Only nodes of two documents or more matter; roots are counted first, deeper prefixes are laid out below those alone.
+    Documents go by a 64-bit name here: two that share one only become candidates together.
     """
-    roots = classes.select("digest", F.explode(F.arrays_zip("keys", "tails")).alias("p")).select("digest", F.col("p.keys").alias("key"), F.col("p.tails").alias("tail"))
+    name = F.xxhash64("digest").alias("doc")
+    roots = classes.select(name, F.explode(F.arrays_zip("keys", "tails")).alias("p")).select("doc", F.col("p.keys").alias("key"), F.col("p.tails").alias("tail"))
     filled = written(roots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "roots")
-    below = written(roots.join(filled, "key"), "labels")
+    below = roots.join(filled, "key")
     levels = F.array(*(F.struct(F.lit(d).alias("level"), F.xxhash64("key", F.lit(d), F.shiftrightunsigned("tail", STEP * (depth - d))).alias("node")) for d in range(floor, depth + 1)))
-    prefixes = below.select("digest", F.explode(levels).alias("p")).select("digest", "p.level", "p.node")
+    prefixes = written(below.select("doc", F.explode(levels).alias("p")).select("doc", "p.level", "p.node"), "prefixes")
     counts = written(prefixes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nodes")
-    seen = written(prefixes.join(counts, "node"), "prefixes")
+    seen = prefixes.join(counts, "node")
     # The deepest level at which a document's fullest node holds partners enough; the floor needs none.
     enough = F.lit(False)
     for d in range(floor, depth + 1):
         enough = F.when(F.col("level") == d, F.col("n") - 1 >= (0 if d == floor else partners_to_stop(similarity, d, trees, recall))).otherwise(enough)
-    stops = written(seen.groupBy("digest").agg(F.coalesce(F.max(F.when(enough, F.col("level"))), F.lit(floor)).alias("stop")), "stops")
-    looked = seen.join(stops, "digest").where(F.col("level") == F.col("stop")).select("node").distinct()
-    return written(seen.select("digest", "node").join(written(looked, "open"), "node"), "members")
+    stops = written(seen.groupBy("doc").agg(F.coalesce(F.max(F.when(enough, F.col("level"))), F.lit(floor)).alias("stop")), "stops")
+    looked = prefixes.join(stops, "doc").where(F.col("level") == F.col("stop")).select("node").distinct().join(counts.select("node"), "node")
+    members = prefixes.select("doc", "node").join(written(looked, "open"), "node")
+    return written(members.join(classes.select(name, "digest"), "doc").select("digest", "node"), "members")
 
 
 def _sets(texts: DataFrame, names: list[str]) -> DataFrame:
