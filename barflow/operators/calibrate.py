@@ -115,8 +115,10 @@ def latest_weight(weights: DataFrame) -> DataFrame:
 
 
 def conversion_pass_rate(weights: DataFrame, quality: DataFrame, symbols: DataFrame, *, min_rows: int) -> DataFrame:
-    """Share of eligible weight rows of the snapshot's symbols; without such rows, of passing quality rows with enough overlap; else null."""
+    """Share of eligible weight rows of the snapshot's symbols; without such rows, of passing quality rows with enough overlap,
+    the one updated last for each (symbol, period); else null."""
     a = weights.join(symbols, "symbol", "left_semi").agg(F.avg(F.col("supervised_eligible").cast("double")).alias("a"))
-    b = quality.join(symbols, "symbol", "left_semi").where(F.col("overlap_rows") >= min_rows).agg(F.avg(F.col("quality_pass").cast("double")).alias("b"))
+    enough = quality.join(symbols, "symbol", "left_semi").where(F.col("overlap_rows") >= min_rows)
+    b = latest(enough, ["symbol", "period"], [F.col("updated")]).agg(F.avg(F.col("quality_pass").cast("double")).alias("b"))
     one = lambda df: df.withColumn("_one", F.lit(1))
     return one(a).join(one(b), "_one").select(F.round(F.coalesce("a", "b"), 9).alias("pass_rate"))

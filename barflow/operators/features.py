@@ -108,9 +108,9 @@ def native(close: str = "native_close") -> dict[str, Column]:
 
 
 def basis() -> dict[str, Column]:
-    """Level where all three prices are above 0; z-score over the values that a frame of 96 rows holds."""
+    """Level where all three prices are above 0; z-score where a frame of 96 rows holds 96 levels."""
     b = F.col("_basis")
-    z = (b - F.avg(b).over(frame(96))) / nonzero(F.stddev_pop(b).over(frame(96)))
+    z = (b - rolling_mean(b, 96)) / nonzero(rolling_std(b, 96))
     present = lambda c: F.col(c).isNotNull().cast("double")
     return {
         "basis_level": b, "basis_zscore_96": z, "external_ctx_available": present("ext_close"),
@@ -132,12 +132,16 @@ def ema_ratios(rows: DataFrame) -> DataFrame:
     return out.withColumns({f"ema_ratio_{a}_{b}": ratio(a, b) for a, b in EMA_PAIRS}).drop(*(f"_ema_{s}" for p in EMA_PAIRS for s in p))
 
 
-def feature_table(rows: DataFrame, external_close: DataFrame, native_close: DataFrame, *, with_ema: bool = True) -> DataFrame:
-    """All features as float32 with 0 for nulls, over all rows; then only the trainable ones. One ordering serves all windows."""
+def feature_table(rows: DataFrame, external_close: DataFrame, native_close: DataFrame, rates: DataFrame, *, with_ema: bool = True) -> DataFrame:
+    """All features as float32 with 0 for nulls, over all rows; then only the trainable ones. One ordering serves all windows.
+
+    ``rates(symbol, timestamp_ms, close)`` is the currency rate of each symbol's external quote, taken at exactly the row's time.
+    """
     wide = context_columns(context_columns(rows, external_close, "ext_close"), native_close, "native_close")
+    wide = context_columns(wide, rates, "fx_rate")
     if with_ema:
         wide = ema_ratios(wide)
-    wide = with_base(wide).withColumns({"_er": n_bar_return("ext_close", 1), "_basis": basis_level(F.lit(1.0))})
+    wide = with_base(wide).withColumns({"_er": n_bar_return("ext_close", 1), "_basis": basis_level(F.col("fx_rate"))})
     columns = returns() | trend() | volatility() | volume() | rsi() | distance() | source_flags() | external() | native() | basis()
     made = wide.withColumns(columns)
     names = [*columns, *(f"ema_ratio_{a}_{b}" for a, b in EMA_PAIRS if with_ema)]

@@ -49,18 +49,27 @@ def scenarios(rows: DataFrame) -> DataFrame:
 
 
 def skip_reasons(assigned: DataFrame, keys: tuple[str, ...], *, min_train: int = MIN_TRAIN, min_valid: int = MIN_VALID) -> DataFrame:
-    """Per key: counts, and the first reason to skip: empty, one class only, too few rows; null if none applies."""
-    train, valid = F.col("role") == "train", F.col("role") == "valid"
-    agg = assigned.groupBy(*keys).agg(
-        F.count_if(train).alias("train_rows"), F.count_if(valid).alias("valid_rows"), F.count_if(train & (F.col("y") == 1)).alias("ones"), F.count_if(train & (F.col("y") == 0)).alias("zeros")
-    )
-    reason = (
-        F.when(F.col("train_rows") == 0, "empty_train")
-        .when(F.col("valid_rows") == 0, "empty_valid")
-        .when((F.col("ones") == 0) | (F.col("zeros") == 0), "single_class_train")
-        .when(F.col("train_rows") < min_train, "insufficient_train_rows")
-        .when(F.col("valid_rows") < min_valid, "insufficient_valid_rows")
-    )
+    """Per key: counts, and the first reason to skip, null if none applies.
+
+    A key with ``symbol`` is a symbol's own model: least rows come first, then both classes. Other keys are whole scenarios: no
+    least rows, but rows and both classes in training and validation.
+    """
+    of = lambda role: F.col("role") == role
+    labels = lambda role: F.sort_array(F.collect_set(F.when(of(role), F.col("y").cast("int")))).alias(f"{role}_labels")  # noqa: E731  of 0 and 1
+    agg = assigned.groupBy(*keys).agg(F.count_if(of("train")).alias("train_rows"), F.count_if(of("valid")).alias("valid_rows"), labels("train"), labels("valid"))
+    one_class = lambda role: F.size(f"{role}_labels") != 2
+    seen = lambda role: F.concat(F.lit(f"{role} must contain both classes, observed=["), F.array_join(f"{role}_labels", ", "), F.lit("]"))
+    #: The texts of the reasons.
+    if "symbol" in keys:
+        reason = (
+            F.when(F.col("train_rows") < min_train, f"train_rows_lt_{min_train}").when(F.col("valid_rows") < min_valid, f"valid_rows_lt_{min_valid}")
+            .when(one_class("train"), "train_missing_class").when(one_class("valid"), "valid_missing_class")
+        )
+    else:
+        reason = (
+            F.when(F.col("train_rows") == 0, "train has no rows").when(F.col("valid_rows") == 0, "valid has no rows")
+            .when(one_class("train"), seen("train")).when(one_class("valid"), seen("valid"))
+        )
     return agg.select(*keys, "train_rows", "valid_rows", reason.alias("reason"))
 
 

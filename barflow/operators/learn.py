@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -10,10 +11,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import MIN_TRAIN, MIN_VALID, skip_reasons
+
 
 def fit(rows: DataFrame, features: list[str], *, weight: str | None = None, trees: int = 20, depth: int = 5, seed: int = 42):
     assembled = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows)
-    model = GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, weightCol=weight)
+    model = GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, **({"weightCol": weight} if weight else {}))
     return model.fit(assembled)
 
 
@@ -23,21 +26,37 @@ def predict(model, rows: DataFrame, features: list[str]) -> DataFrame:
     return scored.withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction")
 
 
-def walk_forward(assigned: DataFrame, features: list[str], *, weight: str, trees: int = 20, symbols: list[str] | None = None) -> DataFrame:
-    """Predictions of every fold's validation rows: one global model per fold, and per-symbol models for the eligible symbols.
+#: The columns of the prediction table.
+PREDICTION = (
+    "run_id", "snapshot_id", "fold_index", "scenario", "model_scope", "model_symbol", "symbol", "timestamp_ms", "source", "y", "forward_return", "supervised_row_weight", "probability",
+)
+
+
+def walk_forward(
+    assigned: DataFrame, features: list[str], *, weight: str, run_id: str, snapshot_id: str, trees: int = 20, min_train: int = MIN_TRAIN, min_valid: int = MIN_VALID, at_once: int = 4
+) -> DataFrame:
+    """Predictions of the validation rows of every (scenario, fold): of the scenario's global model, and of each symbol's own.
 
-    Folds are few and each fit is a distributed job; the loop runs over folds (and eligible symbols), never over rows.
+    ``assigned`` has scenario, fold_index and role (``folds.scenarios``, ``folds.assign``). What ``folds.skip_reasons`` names is not
+    fitted: its two small tables decide. ``native_only`` rows are not weighted. Fits are Spark jobs, ``at_once`` of them at a time;
+    the loop runs over (scenario, fold, symbol), never over rows. Nothing to fit: no rows.
     """
-    folds = [r[0] for r in assigned.select("fold_index").distinct().orderBy("fold_index").collect()]
-    parts = []
-    for k in folds:
-        train, valid = (assigned.where((F.col("fold_index") == k) & (F.col("role") == r)) for r in ("train", "valid"))
-        for symbol in [None, *(symbols or [])]:
-            a, b = (df if symbol is None else df.where(F.col("symbol") == symbol) for df in (train, valid))
-            scored = predict(fit(a, features, weight=weight, trees=trees), b, features)
-            parts.append(scored.withColumns({"scope": F.lit("global" if symbol is None else "symbol"), "model_symbol": F.lit(symbol).cast("string")}))
-    keep = ["fold_index", "scope", "model_symbol", "symbol", "timestamp_ms", "source", "y", "forward_return", "supervised_row_weight", "probability"]
-    return reduce(DataFrame.unionByName, [p.select(*keep) for p in parts])
+    whole = skip_reasons(assigned, ("scenario", "fold_index")).where("reason is null").select("scenario", "fold_index", F.lit(None).cast("string").alias("symbol"))
+    own = skip_reasons(assigned, ("scenario", "fold_index", "symbol"), min_train=min_train, min_valid=min_valid).where("reason is null")
+    jobs = [tuple(r) for r in whole.unionByName(own.join(whole.drop("symbol"), ["scenario", "fold_index"]).select("scenario", "fold_index", "symbol")).orderBy("scenario", "fold_index", "symbol").collect()]
+
+    def run(job: tuple) -> DataFrame:
+        scenario, fold, symbol = job
+        rows = assigned.where((F.col("scenario") == scenario) & (F.col("fold_index") == fold))
+        rows = rows if symbol is None else rows.where(F.col("symbol") == symbol)
+        model = fit(rows.where("role = 'train'"), features, weight=None if scenario == "native_only" else weight, trees=trees)
+        names = {"run_id": run_id, "snapshot_id": snapshot_id, "model_scope": "global" if symbol is None else "symbol"}
+        scored = predict(model, rows.where("role = 'valid'"), features).withColumns({k: F.lit(v) for k, v in names.items()})
+        return scored.withColumn("model_symbol", F.lit(symbol).cast("string")).select(*PREDICTION)
+
+    none = assigned.limit(0).withColumns({k: F.lit("") for k in ("run_id", "snapshot_id", "model_scope", "model_symbol")}).withColumn("probability", F.lit(0.0))
+    with ThreadPoolExecutor(at_once) as pool:
+        return reduce(DataFrame.unionByName, pool.map(run, jobs), none.select(*PREDICTION))
 
 
 def refit(rows: DataFrame, features: list[str], *, weight: str, trees: int = 20, min_rows: int = 1000, symbols: list[str] | None = None) -> dict:

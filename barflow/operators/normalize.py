@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite_positive, is_fill, month_key
 from ..sources.tables import latest
+from .quality import quote_group
 
 BUCKET_MS = 86_400_000
 
@@ -24,13 +25,27 @@ def robust_median(rows: DataFrame, keys: list[str], value: str, alias: str = "va
     return kept.groupBy(*keys).agg(F.median(value).alias(alias), F.first("_n").alias(f"{alias}_rows"))
 
 
+#: The account's currency, in which the native venue quotes.
+HOME = "CAD"
+
+
+def home_rate(rows: DataFrame, rate: Column) -> Column:
+    """``rate``, but constantly 1 where the row's ``quote_currency`` is the account's own. Without such a column no quote is."""
+    return F.when(F.upper("quote_currency") == HOME, 1.0).otherwise(rate) if "quote_currency" in rows.columns else rate
+
+
+def exact_rate(rows: DataFrame, fx: DataFrame) -> DataFrame:
+    """Rows with the ``rate`` of exactly their time, null where there is none; 1 for quotes in the account's currency."""
+    return rows.join(fx.select("timestamp_ms", F.col("rate").alias("_fx")), "timestamp_ms", "left").withColumn("rate", home_rate(rows, F.col("_fx"))).drop("_fx")
+
+
 def overlap_observations(native: DataFrame, external: DataFrame, fx: DataFrame) -> DataFrame:
     """Native and external closes of the same time (no gap fills): ratio, and basis where a rate exists at exactly that time."""
-    ext = external.where(~is_fill(F.col("source"))).select("venue", "symbol", "timestamp_ms", F.col("close").alias("ext_close"))
+    ext = exact_rate(external.where(~is_fill(F.col("source"))), fx).select("venue", "symbol", "timestamp_ms", F.col("close").alias("ext_close"), "rate")
     both = native.select("symbol", "timestamp_ms", F.col("close").alias("native_close")).join(ext, ["symbol", "timestamp_ms"])
     both = both.where(finite_positive(F.col("native_close")) & finite_positive(F.col("ext_close")))
     ratio = F.col("native_close") / F.col("ext_close")
-    return both.join(fx, "timestamp_ms", "left").select(
+    return both.select(
         "venue", "symbol", "timestamp_ms", month_key(F.col("timestamp_ms")).alias("month"), "native_close", "ext_close",
         ratio.alias("ratio"), F.when(F.col("rate") > 0, ratio / F.col("rate")).alias("basis"),
     )
@@ -115,10 +130,25 @@ def select_source(candidates: DataFrame) -> DataFrame:
     return latest(candidates.where("rows > 0"), ["symbol"], order)
 
 
-def factors(external: DataFrame, context: DataFrame, fx: DataFrame, keys: list[str]) -> DataFrame:
-    """External bars with ``rate`` and ``factor``."""
+def shared_context(obs: DataFrame, selection: DataFrame) -> DataFrame:
+    """``conversion_context`` of quote groups: the observations of each symbol's selected venue, pooled by the group of its quote.
+
+    ``selection(symbol, venue, quote_currency)`` has one row a symbol.
+    """
+    chosen = selection.select("symbol", "venue", quote_group(F.upper("quote_currency")).alias("quote_group"))
+    return conversion_context(obs.join(chosen, ["symbol", "venue"]), ["quote_group"])
+
+
+def factors(external: DataFrame, context: DataFrame, fx: DataFrame, keys: list[str], shared: DataFrame | None = None) -> DataFrame:
+    """External bars with ``rate`` and ``factor``; with a ``shared`` context bars whose own one has nothing fall back on that of
+    their quote group, so that symbols without native history are converted too."""
     rated = asof_nearest(external.withColumn("month", month_key(F.col("timestamp_ms"))), fx)
-    return with_factor(rated, context, fx, keys).withColumn("factor", conversion_factor(F.col("rate"), columns_of("own")))
+    rated = with_factor(rated.withColumn("rate", home_rate(external, F.col("rate"))), context, fx, keys)
+    if shared is None:
+        return rated.withColumn("factor", conversion_factor(F.col("rate"), columns_of("own")))
+    grouped = rated.withColumn("quote_group", quote_group(F.upper("quote_currency")))
+    both = with_factor(grouped, shared, fx, ["quote_group"], "shared")
+    return both.withColumn("factor", conversion_factor(F.col("rate"), columns_of("own"), columns_of("shared")))
 
 
 PRICES = ("open", "high", "low", "close")

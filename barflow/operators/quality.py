@@ -30,9 +30,10 @@ def share_of(part: Column, whole: Column) -> Column:
 
 
 def coverage_report(bars: DataFrame, expected: DataFrame, *, interval_ms: int) -> DataFrame:
-    """Per expected (dataset, symbol): status, extent, counts and shares; missing series are ``missing_file``; plus totals per dataset.
+    """Per expected (dataset, symbol): status, extent, counts and shares; plus totals per dataset.
 
-    One pass for gaps and one aggregate; the expected universe is joined from the left.
+    ``expected`` tells whether a venue lists the symbol (``has_pair``) and whether its file exists (``has_file``): the status is
+    ``no_pair``, ``missing_file``, ``empty`` for a file without rows, or ``ok``. One pass for gaps and one aggregate; the expected universe is joined from the left.
     """
     w = Window.partitionBy("dataset", "symbol").orderBy("timestamp_ms")
     steps = F.greatest(F.floor((F.lead("timestamp_ms").over(w) - F.col("timestamp_ms")) / interval_ms) - 1, F.lit(0))
@@ -53,7 +54,7 @@ def coverage_report(bars: DataFrame, expected: DataFrame, *, interval_ms: int) -
     rows = joined.select(
         "dataset",
         "symbol",
-        F.when(F.col("first_ts").isNull(), "missing_file").otherwise("ok").alias("status"),
+        F.when(~F.col("has_pair"), "no_pair").when(~F.col("has_file"), "missing_file").when(F.col("first_ts").isNull(), "empty").otherwise("ok").alias("status"),
         "first_ts",
         "last_ts",
         "row_count",

@@ -43,21 +43,22 @@ def horizon_label(bars: DataFrame, *, horizon: int, interval_ms: int, fee: float
 
 
 def with_weights(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """Native rows weigh 1; synthetic rows take their month's weight, which must exist (see ``missing_weights``)."""
+    """Native rows weigh 1; synthetic rows take their month's weight. A synthetic row without one makes the job fail."""
     native = F.col("source") == "native"
     w = weights.select("symbol", F.col("month").alias("effective_month"), F.col("weight_final").alias("_w"), F.col("supervised_eligible").alias("_e"))
     joined = rows.withColumn("effective_month", month_key(F.col("timestamp_ms"))).join(w, ["symbol", "effective_month"], "left")
+    lacks = F.concat(F.lit("no weight of "), F.col("symbol"), F.lit(" in "), F.col("effective_month"))
     return joined.select(
         *rows.columns,
         "effective_month",
         (native | F.coalesce("_e", F.lit(False))).alias("quality_pass"),
         F.when(native, "native").otherwise("monthly").alias("weight_method_version"),
-        F.when(native, 1.0).otherwise(F.col("_w")).alias("effective_monthly_weight"),
+        F.when(native, 1.0).when(F.col("_w").isNotNull(), F.col("_w")).otherwise(F.raise_error(lacks).cast("double")).alias("effective_monthly_weight"),
     )
 
 
 def missing_weights(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """(symbol, month) of synthetic rows without a weight; a build fails if there are any."""
+    """(symbol, month) of synthetic rows without a weight: what a build would fail on, all at once."""
     wanted = rows.where("source <> 'native'").select("symbol", month_key(F.col("timestamp_ms")).alias("month")).distinct()
     return wanted.join(weights, ["symbol", "month"], "left_anti")
 
@@ -72,7 +73,8 @@ def row_status(horizon: int, combined: bool = True) -> Column:
 
 
 def build(bars: DataFrame, weights: DataFrame, *, horizon: int, interval_ms: int, fee: float, combined: bool = True) -> DataFrame:
-    """The snapshot: labels, weights and status; ``supervised_row_weight`` is the weight of trainable rows, else 0."""
+    """The snapshot: labels, weights and status, in the columns ``COLUMNS``; ``supervised_row_weight`` is the weight of trainable
+    rows, else 0. Bars without best bid and ask have 0 there; other columns that the bars lack are left out."""
     rows = with_weights(horizon_label(bars, horizon=horizon, interval_ms=interval_ms, fee=fee), weights)
     rows = rows.withColumn("row_status", row_status(horizon, combined))
     rows = rows.withColumns(
@@ -82,9 +84,16 @@ def build(bars: DataFrame, weights: DataFrame, *, horizon: int, interval_ms: int
             "interval_seconds": F.lit(interval_ms // 1000),
         }
     )
-    return rows.drop("fill_in_horizon")
+    quotes = {c: F.col(c) if c in bars.columns else F.lit(0.0) for c in ("inside_bid", "inside_ask")}
+    made = rows.withColumns(quotes)
+    return made.select(*(c for c in COLUMNS if c in made.columns))
 
 
+#: The columns of a snapshot row.
+COLUMNS = (
+    "symbol", "timestamp_ms", "next_timestamp_ms", "interval_seconds", "open", "high", "low", "close", "volume", "inside_bid", "inside_ask", "source", "effective_month", "quality_pass",
+    "weight_method_version", "effective_monthly_weight", "supervised_row_weight", "label_available", "row_status", "next_close", "forward_return", "y",
+)
 #: The status of a snapshot row.
 STATUSES = ("trainable", "continuity_only", "unlabeled_missing_next", "unlabeled_missing_horizon", "invalid_price")
 
@@ -122,13 +131,22 @@ def weight_usage(snapshot: DataFrame) -> DataFrame:
     )
 
 
-def seal(snapshot: DataFrame, digest: str, path: str) -> bool:
-    """Write under a path named by the content; false if the same content is there already. Different content has another path."""
+def seal(snapshot: DataFrame, digest: str, path: str, snapshot_id: str | None = None) -> bool:
+    """Write once under ``snapshot_id`` (by default the content's digest); false if the same content is there already.
+
+    A folder of that id with other content, or one that was never finished, is an error and stays as it is.
+    """
     spark = snapshot.sparkSession
-    jvm = spark._jvm
-    target = f"{path.rstrip('/')}/{digest}"
-    there = jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+    target = f"{path.rstrip('/')}/{snapshot_id or digest}"
+    named = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}" if name else target)
+    fs = named("").getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = f"_content-{digest}"
+    if fs.exists(named("")):
+        if not fs.exists(named("_SUCCESS")):
+            raise ValueError(f"the snapshot in {target} is incomplete")
+        if not fs.exists(named(mark)):
+            raise ValueError(f"the snapshot in {target} has other content")
         return False
-    snapshot.write.mode("overwrite").option("compression", "zstd").partitionBy("symbol").parquet(target)
+    snapshot.write.option("compression", "zstd").partitionBy("symbol").parquet(target)
+    fs.create(named(mark)).close()
     return True

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def candidates(preds: DataFrame, *, scenario: str, threshold: float) -> DataFrame:
-    return preds.where((F.col("scenario") == scenario) & (F.col("probability") >= threshold))
+def candidates(preds: DataFrame, *, scenario: str | None = None, threshold: float) -> DataFrame:
+    """Rows of a scenario (or of the one that ``preds`` holds already) whose probability reaches the threshold."""
+    rows = preds if scenario is None else preds.where(F.col("scenario") == scenario)
+    return rows.where(F.col("probability") >= threshold)
 
 
 def topk_per_bar(rows: DataFrame, *, k: int, by: tuple[str, ...] = ("timestamp_ms",), score: str = "probability", tie: tuple[str, ...] = ("symbol",)) -> DataFrame:

@@ -86,18 +86,25 @@ def latest_per_key(spark, sf):
 
 @query("SELECT venue, symbol, timestamp_ms, close FROM vbars WHERE symbol = 'S1'")
 def symbol_scan(spark, sf):
-    return X.vbars(spark, sf).where(F.col("symbol") == "S1").select("venue", "symbol", "timestamp_ms", "close")
+    folder = stage_folder(spark)
+    A.write_series(X.vbars(spark, sf), folder)
+    return A.symbol_scan(spark, folder, ["S1"]).select("venue", "symbol", "timestamp_ms", "close")
 
 
-@query("SELECT symbol, timestamp_ms, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timestamp_ms ORDER BY volume DESC, close DESC) AS rn FROM vbars) WHERE rn = 1")
+@query("SELECT symbol, timestamp_ms, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timestamp_ms ORDER BY CASE venue WHEN 'native' THEN 0 WHEN 'ext_a' THEN 1 ELSE 2 END DESC) AS rn FROM vbars) WHERE rn = 1")
 def close_series(spark, sf):
-    return A.close_series(X.vbars(spark, sf))
+    """The venues' files one after another."""
+    seq = F.expr("case venue when 'native' then 0 when 'ext_a' then 1 else 2 end")
+    return A.close_series(X.vbars(spark, sf).withColumn("seq", seq), seq="seq")
 
 
-@query("SELECT fold, scenario, symbol, timestamp_ms, probability, row_key FROM preds WHERE scope = 'global'")
+@query("SELECT fold, scenario, symbol, timestamp_ms, probability, row_key FROM preds WHERE scope = 'global' AND scenario = 'weighted'")
 def prediction_scan(spark, sf):
-    rows = X.preds(spark, sf).where(F.col("scope") == "global")
-    return rows.select("fold", "scenario", "symbol", "timestamp_ms", "probability", "row_key")
+    """One file for the odd folds, one for the even ones."""
+    paths = [stage_folder(spark), stage_folder(spark)]
+    for k, path in enumerate(paths):
+        X.preds(spark, sf).where(F.col("fold") % 2 == k).write.parquet(path)
+    return A.prediction_scan(spark, paths, scenario="weighted").select("fold", "scenario", "symbol", "timestamp_ms", "probability", "row_key")
 
 
 @query("SELECT symbol, venue, timestamp_ms, close FROM vbars WHERE (symbol IN ('S0', 'S2') AND venue = 'ext_a') OR (symbol IN ('S1', 'S3') AND venue = 'ext_b')")
@@ -173,11 +180,11 @@ def dup_misaligned(spark, sf):
 
 
 VIEWS |= {
-    "cov_expected": "SELECT dataset, symbol FROM (SELECT DISTINCT venue AS dataset FROM vbars), (SELECT DISTINCT symbol FROM vbars UNION SELECT 'S9')",
+    "cov_expected": "SELECT dataset, symbol, symbol <> 'S8' AS has_pair, symbol <> 'S9' AS has_file FROM (SELECT DISTINCT venue AS dataset FROM vbars), (SELECT DISTINCT symbol FROM vbars UNION SELECT unnest(['S7', 'S8', 'S9']))",
     "cov_facts": f"""SELECT venue AS dataset, symbol, min(timestamp_ms) AS first_ts, max(timestamp_ms) AS last_ts, count(*) AS row_count,
       coalesce(sum(greatest(0, (nxt - timestamp_ms) // {DAY} - 1)), 0)::BIGINT AS gap_count, count(*) FILTER (source IN ('native', 'live')) AS native_rows
       FROM (SELECT *, lead(timestamp_ms) OVER (PARTITION BY venue, symbol ORDER BY timestamp_ms) AS nxt FROM vbars) GROUP BY 1, 2""",
-    "cov_rows": f"""SELECT dataset, symbol, CASE WHEN first_ts IS NULL THEN 'missing_file' ELSE 'ok' END AS status, first_ts, last_ts, coalesce(row_count, 0) AS row_count, coalesce(gap_count, 0) AS gap_count,
+    "cov_rows": f"""SELECT dataset, symbol, CASE WHEN NOT has_pair THEN 'no_pair' WHEN NOT has_file THEN 'missing_file' WHEN first_ts IS NULL THEN 'empty' ELSE 'ok' END AS status, first_ts, last_ts, coalesce(row_count, 0) AS row_count, coalesce(gap_count, 0) AS gap_count,
       round(CASE WHEN first_ts IS NULL THEN 0 ELSE least(1, row_count / ((last_ts - first_ts) // {DAY} + 1)) END, 9) AS coverage_pct,
       round(coalesce(native_rows, 0) / greatest(1, coalesce(row_count, 0)), 9) AS native_share,
       round((coalesce(row_count, 0) - coalesce(native_rows, 0)) / greatest(1, coalesce(row_count, 0)), 9) AS synth_share
@@ -190,7 +197,8 @@ VIEWS |= {
 def coverage_report(spark, sf):
     bars = X.vbars(spark, sf).withColumnRenamed("venue", "dataset")
     pairs = bars.select("dataset", "symbol").distinct()
-    expected = pairs.unionByName(bars.select("dataset").distinct().withColumn("symbol", F.lit("S9")))
+    others = bars.select("dataset").distinct().withColumn("symbol", F.explode(F.array(*map(F.lit, ("S7", "S8", "S9")))))
+    expected = pairs.unionByName(others).withColumns({"has_pair": F.col("symbol") != "S8", "has_file": F.col("symbol") != "S9"})
     return Q.coverage_report(bars, expected, interval_ms=DAY)
 
 

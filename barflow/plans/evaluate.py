@@ -7,14 +7,19 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import month_key
 from ..operators import attribution as I
+from ..operators import calibrate as C
 from ..operators import metrics as M
+from ..operators import quality as Q
+from ..operators import snapshot as S
 from ..operators import trades as J
 from ..sources import fixtures as X
 from ..sources.staging import staged
 from . import ORACLES, QUERIES, VIEWS, query
 
 DAY, TH, FEE, SLIP = X.DAY, 0.6, 0.002, 0.001
+MAX_GAPS, MIN_COVERAGE = 10, 0.95
 ORDER = ["timestamp_ms", "symbol", "row_key"]
 G = "fold, scenario, scope, symbol, split"
 P = f"greatest(1e-6, least(1 - 1e-6, probability))"
@@ -36,21 +41,31 @@ VIEWS |= {
       avg(logloss) AS logloss, avg(brier) AS brier, avg(roc_auc) AS roc_auc, avg(pr_auc) AS pr_auc, count(*) AS folds FROM fmetrics WHERE split = 'all' AND symbol = '*' GROUP BY 1, 2""",
     "attr": f"""SELECT *, synthetic_rows / greatest(1, row_count) AS synthetic_share, net_return - 2 * trades * {SLIP}::DOUBLE AS stressed_net FROM (SELECT scenario, scope, symbol, count(DISTINCT fold) FILTER (split = 'all') AS folds,
       coalesce(sum(row_count) FILTER (split = 'all'), 0)::BIGINT AS row_count, coalesce(sum(trades) FILTER (split = 'all'), 0)::BIGINT AS trades, coalesce(sum(gross_return) FILTER (split = 'all'), 0) AS gross_return, coalesce(sum(net_return) FILTER (split = 'all'), 0) AS net_return,
-      coalesce(sum(net_return) FILTER (split = 'native'), 0) AS native_net, coalesce(sum(net_return) FILTER (split = 'synthetic'), 0) AS synthetic_net, coalesce(sum(row_count) FILTER (split = 'synthetic'), 0)::BIGINT AS synthetic_rows,
+      sum(net_return) FILTER (split = 'native') AS native_net, sum(net_return) FILTER (split = 'synthetic') AS synthetic_net, coalesce(sum(row_count) FILTER (split = 'synthetic'), 0)::BIGINT AS synthetic_rows,
       avg(roc_auc) FILTER (split = 'all') AS roc_auc, avg(max_drawdown) FILTER (split = 'all') AS max_drawdown FROM fmetrics WHERE symbol <> '*' GROUP BY 1, 2, 3)""",
-    "weak0": """SELECT *, folds < 4 AS r1, trades < 100 AS r2, row_count < 5000 AS r3, gross_return > 0 AND net_return <= 0 AS r4, stressed_net <= 0 AS r5, synthetic_share >= 0.7 AND synthetic_net < 0 AS r6,
-      synthetic_net <= native_net - 1 AS r7, net_return < 0 AS r8, coalesce(roc_auc < 0.52, false) AS r9, coalesce(max_drawdown > 0.35, false) AS r10 FROM attr""",
-    "weak": """SELECT *, kind = 'none' AND NOT r10 AS eligible FROM (SELECT *, CASE WHEN r1 OR r2 OR r3 THEN 'sparse_history' WHEN r4 OR r5 THEN 'cost_fragility' WHEN r6 OR r7 THEN 'synthetic_fragility' WHEN r8 OR r9 THEN 'weak_signal' ELSE 'none' END AS kind,
-      concat_ws(',', CASE WHEN r1 THEN 'few_folds' END, CASE WHEN r2 THEN 'few_trades' END, CASE WHEN r3 THEN 'few_rows' END, CASE WHEN r4 THEN 'costs_exceed_gross' END, CASE WHEN r5 THEN 'stress_not_positive' END, CASE WHEN r6 THEN 'synthetic_heavy_loss' END,
-      CASE WHEN r7 THEN 'synthetic_below_native' END, CASE WHEN r8 THEN 'net_negative' END, CASE WHEN r9 THEN 'auc_low' END, CASE WHEN r10 THEN 'drawdown' END) AS reasons FROM weak0)""",
-    "gfacts": "SELECT *, true AS parity, 0.5::DOUBLE AS pass_rate FROM msum WHERE scope = 'global'",
+    "weak0": """SELECT *, folds < 4 AS r1, trades < 100 AS r2, row_count < 5000 AS r3, gross_return > 0 AND net_return <= 0 AS r4, stressed_net <= 0 AS r5, coalesce(synthetic_share >= 0.7 AND synthetic_net < 0, false) AS r6,
+      coalesce(synthetic_net <= native_net - 1, false) AS r7, net_return < 0 AS r8, coalesce(roc_auc < 0.52, false) AS r9, coalesce(max_drawdown > 0.35, false) AS r10 FROM attr""",
+    "weak1": "SELECT *, CASE WHEN r1 OR r2 OR r3 THEN 'sparse_history' WHEN r4 OR r5 THEN 'cost_fragility' WHEN r6 OR r7 THEN 'synthetic_fragility' WHEN r8 OR r9 THEN 'weak_signal' ELSE 'none' END AS kind FROM weak0",
+    "weak": """SELECT *, kind = 'none' AND NOT r10 AS eligible, concat_ws(',', CASE kind WHEN 'sparse_history' THEN nullif(concat_ws(',', CASE WHEN r1 THEN 'folds_lt_4' END, CASE WHEN r2 THEN 'trades_lt_100' END, CASE WHEN r3 THEN 'row_count_lt_5000' END), '')
+      WHEN 'cost_fragility' THEN nullif(concat_ws(',', CASE WHEN r4 THEN 'fees_erase_edge' END, CASE WHEN r5 THEN 'slippage_stress_non_positive' END), '')
+      WHEN 'synthetic_fragility' THEN nullif(concat_ws(',', CASE WHEN r6 THEN 'synthetic_dominant_negative' END, CASE WHEN r7 THEN 'synthetic_underperforms_native' END), '')
+      WHEN 'weak_signal' THEN nullif(concat_ws(',', CASE WHEN r8 THEN 'net_return_negative' END, CASE WHEN r9 THEN 'roc_auc_lt_0.52' END), '') END, CASE WHEN r10 THEN 'max_drawdown_gt_0.35' END) AS reasons FROM weak1""",
+    "gbars": "SELECT symbol, timestamp_ms, close, lead(timestamp_ms) OVER (PARTITION BY symbol ORDER BY timestamp_ms) AS nxt, lead(timestamp_ms, 2) OVER (PARTITION BY symbol ORDER BY timestamp_ms) AS nxt2 FROM vbars WHERE venue = 'native'",
+    "gparity": f"""SELECT (SELECT count(*) FROM vbars WHERE venue = 'native') = count(*) FILTER (status IN ('trainable', 'invalid_price', 'unlabeled_missing_horizon')) AS parity FROM
+      (SELECT CASE WHEN nxt2 IS DISTINCT FROM timestamp_ms + {2 * DAY} THEN 'unlabeled_missing_horizon' WHEN close <= 0 THEN 'invalid_price' ELSE 'trainable' END AS status FROM gbars)""",
+    "gpass": "SELECT avg((n >= 24)::INT) AS pass_rate FROM (SELECT symbol, strftime(epoch_ms(timestamp_ms), '%Y-%m') AS month, count(*) AS n FROM vbars WHERE venue = 'native' GROUP BY 1, 2)",
+    "gcover": f"SELECT symbol, coalesce(sum(greatest(0, (nxt - timestamp_ms) // {DAY} - 1)), 0)::BIGINT AS gap_count, round(least(1, count(*) / ((max(timestamp_ms) - min(timestamp_ms)) // {DAY} + 1)), 9) AS coverage_pct FROM gbars GROUP BY 1",
+    "gbreach": f"SELECT symbol, CASE WHEN gap_count > {MAX_GAPS} THEN 'combined_gap_count' ELSE 'combined_coverage' END AS gate, CASE WHEN gap_count > {MAX_GAPS} THEN gap_count::DOUBLE ELSE coverage_pct END AS observed, CASE WHEN gap_count > {MAX_GAPS} THEN {MAX_GAPS}::DOUBLE ELSE {MIN_COVERAGE}::DOUBLE END AS required FROM gcover WHERE gap_count > {MAX_GAPS} OR coverage_pct < {MIN_COVERAGE} ORDER BY symbol LIMIT 1",
+    "gfacts": "SELECT m.*, (SELECT parity FROM gparity) AS parity, (SELECT pass_rate FROM gpass) AS pass_rate FROM msum m WHERE scope = 'global'",
     "gfail": f"""SELECT scenario, x.gate AS gate, x.observed AS observed, x.required AS required FROM (SELECT scenario, unnest([x FOR x IN [
       CASE WHEN folds < 13 THEN {{'gate': 'min_folds', 'observed': folds::DOUBLE, 'required': 13::DOUBLE}} END, CASE WHEN trades < 100 THEN {{'gate': 'min_trades', 'observed': trades::DOUBLE, 'required': 100::DOUBLE}} END,
       CASE WHEN net_return <= 0 THEN {{'gate': 'net_positive', 'observed': net_return, 'required': 0::DOUBLE}} END, CASE WHEN max_drawdown IS NULL OR max_drawdown > 0.35 THEN {{'gate': 'max_drawdown', 'observed': max_drawdown, 'required': 0.35::DOUBLE}} END,
       CASE WHEN net_return - 2 * trades * {SLIP}::DOUBLE <= 0 THEN {{'gate': 'slippage_stress_positive', 'observed': net_return - 2 * trades * {SLIP}::DOUBLE, 'required': 0::DOUBLE}} END,
+      CASE WHEN NOT parity THEN {{'gate': 'snapshot_parity', 'observed': 0::DOUBLE, 'required': 1::DOUBLE}} END,
+      (SELECT {{'gate': gate, 'observed': observed, 'required': required}} FROM gbreach),
       CASE WHEN scenario <> 'native_only' AND pass_rate < 0.6 THEN {{'gate': 'conversion_pass_rate', 'observed': pass_rate, 'required': 0.6::DOUBLE}} END] IF x IS NOT NULL]) AS x FROM gfacts)""",
     "gchoice": """SELECT scenario, failed FROM (SELECT f.*, coalesce(failed, 0) AS failed FROM gfacts f LEFT JOIN (SELECT scenario, count(*) AS failed FROM gfail GROUP BY 1) USING (scenario)) ORDER BY failed, folds DESC, net_return DESC, coalesce(pr_auc, 0) DESC, scenario DESC LIMIT 1""",
-    "cands": f"SELECT * FROM preds WHERE scenario = 'weighted' AND probability >= {TH}",
+    "cands": f"SELECT * FROM preds WHERE scenario = (SELECT scenario FROM gchoice) AND probability >= {TH}",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY timestamp_ms ORDER BY probability DESC, symbol, row_key) AS rank FROM cands",
     "taken": "SELECT *, 1000 * (1 + forward_return) * (1 - 0.003::DOUBLE) - 1000 * (1 + 0.003::DOUBLE) AS net_pnl FROM ranked WHERE rank <= 2",
     "curve0": f"SELECT timestamp_ms + {2 * DAY} AS exit_ms, sum(net_pnl) AS pnl FROM taken GROUP BY 1",
@@ -90,7 +105,19 @@ class Evaluation:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return self.summary.where("scope = 'global'").withColumns({"parity": F.lit(True), "pass_rate": F.lit(0.5)})
+        """Global metrics with the snapshot's parity, the share of usable months and the first symbol that breaches; each is one row."""
+        bars = staged(X.vbars(self.spark, self.sf).where("venue = 'native'").select("symbol", "timestamp_ms", "open", "high", "low", "close", "volume", "source"))
+        weights = bars.groupBy("symbol", month_key(F.col("timestamp_ms")).alias("month")).agg(F.lit(1.0).alias("weight_final"), (F.count(F.lit(1)) >= 24).alias("supervised_eligible"))
+        parity = S.parity(bars, S.build(bars, weights, horizon=2, interval_ms=DAY, fee=FEE, combined=False)).select("parity")
+        quality = weights.limit(0).select("symbol", F.lit(0).alias("overlap_rows"), F.lit(False).alias("quality_pass"), F.col("month").alias("period"), F.col("month").alias("updated"))
+        rate = C.conversion_pass_rate(weights, quality, bars.select("symbol").distinct(), min_rows=24)
+        listed = bars.select("symbol").distinct().select(F.lit("native").alias("dataset"), "symbol", F.lit(True).alias("has_pair"), F.lit(True).alias("has_file"))
+        report = Q.coverage_report(bars.withColumn("dataset", F.lit("native")), listed, interval_ms=DAY).where("symbol <> '*'")
+        breach = I.first_breach(report, max_gaps=MAX_GAPS, min_coverage=MIN_COVERAGE).select("breach")
+        out = self.summary.where("scope = 'global'").withColumn("_one", F.lit(1))
+        for one in (parity, rate, breach):
+            out = out.join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one", "left")
+        return staged(out.drop("_one"))
 
     @cached_property
     def failures(self) -> DataFrame:
@@ -98,11 +125,12 @@ class Evaluation:
 
     @cached_property
     def choice(self) -> DataFrame:
-        return I.choose(self.facts, self.failures)
+        return staged(I.choose(self.facts, self.failures))
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return J.candidates(self.preds, scenario="weighted", threshold=TH)
+        """Of the scenario that the gates choose."""
+        return J.candidates(self.preds.join(F.broadcast(self.choice.select("scenario")), "scenario"), threshold=TH)
 
     @cached_property
     def trades(self) -> DataFrame:

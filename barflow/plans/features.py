@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features as G
+from ..operators import normalize as N
 from ..sources import fixtures as X
 from ..sources.staging import staged
 from . import VIEWS, query
@@ -29,9 +30,9 @@ VIEWS |= {
     "franked": """SELECT symbol, timestamp_ms, close * CASE venue WHEN 'native' THEN 1 WHEN 'ext_a' THEN 2 ELSE 4 END AS close, volume,
       CASE WHEN venue = 'native' THEN 'native' WHEN source LIKE '%_fill' THEN 'synthetic_fill' ELSE 'synthetic' END AS source, row_number() OVER (PARTITION BY symbol, timestamp_ms ORDER BY CASE venue WHEN 'native' THEN 0 WHEN 'ext_a' THEN 1 ELSE 2 END) AS rk FROM vbars""",
     "fplain": "SELECT symbol, timestamp_ms, close, volume, source FROM franked WHERE rk = 1",
-    "fjoined": """SELECT f.*, e.close AS ext_close, n.close AS native_close FROM fplain f LEFT JOIN (SELECT * FROM vbars WHERE venue = 'ext_a') e ON e.symbol = f.symbol AND e.timestamp_ms = f.timestamp_ms
+    "fjoined": """SELECT f.*, e.close AS ext_close, n.close AS native_close, CASE WHEN f.symbol IN ('S0', 'S1') THEN 1 ELSE fx.rate END AS fx_rate FROM fplain f LEFT JOIN fx ON fx.timestamp_ms = f.timestamp_ms LEFT JOIN (SELECT * FROM vbars WHERE venue = 'ext_a') e ON e.symbol = f.symbol AND e.timestamp_ms = f.timestamp_ms
       LEFT JOIN (SELECT * FROM vbars WHERE venue = 'native') n ON n.symbol = f.symbol AND n.timestamp_ms = f.timestamp_ms""",
-    "fb": f"""SELECT *, {ret('close', 1)} AS r, close - lag(close) OVER ({P}) AS d, {ret('ext_close', 1)} AS er, CASE WHEN native_close > 0 AND ext_close > 0 THEN native_close / ext_close END AS b FROM fjoined""",
+    "fb": f"""SELECT *, {ret('close', 1)} AS r, close - lag(close) OVER ({P}) AS d, {ret('ext_close', 1)} AS er, CASE WHEN native_close > 0 AND ext_close > 0 AND fx_rate > 0 THEN native_close / (ext_close * fx_rate) END AS b FROM fjoined""",
 }
 SQLS = {
     "returns": {f"combined_ret_{n}": ret("close", n) for n in G.RETURNS},
@@ -49,7 +50,7 @@ SQLS = {
     | {f"gap_fill_count_{n}": f"sum((source = 'synthetic_fill')::DOUBLE) OVER {fr(n)}" for n in G.WINDOWS[1:]},
     "external": {f"external_ret_{n}": ret("ext_close", n) for n in (1, 4, 16)} | {"external_absret_1": "abs(er)"} | {f"external_vol_{n}": full("stddev_pop(er)", "er", n) for n in (4, 16)},
     "native": {f"native_ret_{n}": ret("native_close", n) for n in (1, 4, 16)} | {f"native_present_{n}": f"avg((native_close IS NOT NULL)::DOUBLE) OVER {fr(n)}" for n in (1, 4, 16)},
-    "basis": {"basis_level": "b", "basis_zscore_96": f"(b - avg(b) OVER {fr(96)}) / nullif(stddev_pop(b) OVER {fr(96)}, 0)", "external_ctx_available": "(ext_close IS NOT NULL)::DOUBLE",
+    "basis": {"basis_level": "b", "basis_zscore_96": f"(b - {full('avg(b)', 'b', 96)}) / nullif({full('stddev_pop(b)', 'b', 96)}, 0)", "external_ctx_available": "(ext_close IS NOT NULL)::DOUBLE",
               "native_ctx_available": "(native_close IS NOT NULL)::DOUBLE", "basis_available": "(b IS NOT NULL)::DOUBLE"},
 }
 
@@ -66,10 +67,17 @@ def bars(spark, sf) -> DataFrame:
     return X.vbars(spark, sf).groupBy("symbol", "timestamp_ms").agg(F.min_by(row, rank).alias("x")).select("symbol", "timestamp_ms", "x.*")
 
 
+def rates(spark, sf, rows: DataFrame) -> DataFrame:
+    """Two symbols are quoted in the account's currency, whose rate is 1; the others take the rate of exactly that time."""
+    quoted = rows.select("symbol", "timestamp_ms", F.when(F.col("symbol").isin("S0", "S1"), "CAD").otherwise("USD").alias("quote_currency"))
+    return N.exact_rate(quoted, X.fx(spark, sf)).select("symbol", "timestamp_ms", F.col("rate").alias("close"))
+
+
 def base(spark, sf) -> DataFrame:
     v = X.vbars(spark, sf)
     rows = G.context_columns(G.context_columns(bars(spark, sf), v.where("venue = 'ext_a'"), "ext_close"), v.where("venue = 'native'"), "native_close")
-    return G.with_base(rows).withColumns({"_er": G.n_bar_return("ext_close", 1), "_basis": G.basis_level(F.lit(1.0))})
+    rows = G.context_columns(rows, rates(spark, sf, rows), "fx_rate")
+    return G.with_base(rows).withColumns({"_er": G.n_bar_return("ext_close", 1), "_basis": G.basis_level(F.col("fx_rate"))})
 
 
 def register(group: str, columns) -> None:
@@ -109,5 +117,5 @@ ALL = {n: e for g in SQLS.values() for n, e in g.items()}
 def feature_table(spark, sf):
     v = staged(X.vbars(spark, sf))
     rows = bars(spark, sf).withColumn("row_status", F.lit("trainable"))
-    made = G.feature_table(rows, v.where("venue = 'ext_a'"), v.where("venue = 'native'"), with_ema=False)
+    made = G.feature_table(rows, v.where("venue = 'ext_a'"), v.where("venue = 'native'"), rates(spark, sf, rows), with_ema=False)
     return made.select("symbol", "timestamp_ms", "source", *(F.round(F.col(n).cast("double"), 4).alias(n) for n in ALL))

@@ -26,23 +26,27 @@ def _robust(rows: str, keys: str, value: str, alias: str) -> str:
 
 
 VIEWS |= {
-    "nat": "SELECT * FROM vbars WHERE venue = 'native'",
-    "ext": "SELECT * FROM vbars WHERE venue <> 'native'",
+    "nat": "SELECT * FROM vbars WHERE venue = 'native' AND symbol <> 'S3'",
+    "ext": "SELECT *, CASE WHEN venue = 'ext_b' AND symbol IN ('S0', 'S1') THEN 'CAD' ELSE 'USD' END AS quote_currency FROM vbars WHERE venue <> 'native'",
     "obs": f"""SELECT e.venue, e.symbol, e.timestamp_ms, strftime(epoch_ms(e.timestamp_ms), '%Y-%m') AS month, n.close AS native_close, e.close AS ext_close, n.close / e.close AS ratio,
-      CASE WHEN rate > 0 THEN n.close / e.close / rate END AS basis FROM nat n JOIN ext e ON n.symbol = e.symbol AND n.timestamp_ms = e.timestamp_ms
+      CASE WHEN e.quote_currency = 'CAD' THEN n.close / e.close / 1::DOUBLE WHEN rate > 0 THEN n.close / e.close / rate END AS basis FROM nat n JOIN ext e ON n.symbol = e.symbol AND n.timestamp_ms = e.timestamp_ms
       LEFT JOIN fx ON fx.timestamp_ms = e.timestamp_ms WHERE e.source NOT LIKE '%_fill' AND n.close > 0 AND e.close > 0""",
     "obs2": "SELECT venue, symbol, month, ratio, basis FROM obs UNION ALL SELECT venue, symbol, '*', ratio, basis FROM obs",
     "ctx": f"""SELECT venue, symbol, month, ratio_median, ratio_median_rows, basis_median, basis_median_rows FROM ({_robust('obs2', 'venue, symbol, month', 'ratio', 'ratio_median')})
       LEFT JOIN ({_robust('obs2', 'venue, symbol, month', 'basis', 'basis_median')}) USING (venue, symbol, month)""",
-    "shared2": "SELECT 'USD' AS quote_group, month, ratio, basis FROM obs2",
+    "shared2": "SELECT CASE WHEN quote_currency = 'CAD' THEN 'CAD' ELSE 'USD' END AS quote_group, month, ratio, basis FROM obs2 JOIN (SELECT symbol, venue, max(quote_currency) AS quote_currency FROM ext JOIN chosen USING (symbol, venue) GROUP BY 1, 2) USING (symbol, venue)",
     "shared": f"""SELECT quote_group, month, ratio_median, ratio_median_rows, basis_median, basis_median_rows FROM ({_robust('shared2', 'quote_group, month', 'ratio', 'ratio_median')})
       LEFT JOIN ({_robust('shared2', 'quote_group, month', 'basis', 'basis_median')}) USING (quote_group, month)""",
-    "rated": """SELECT v.*, CASE WHEN f.timestamp_ms IS NULL OR v.timestamp_ms - b.timestamp_ms <= f.timestamp_ms - v.timestamp_ms THEN b.rate ELSE f.rate END AS rate
+    "rated": """SELECT v.*, CASE WHEN quote_currency = 'CAD' THEN 1 WHEN f.timestamp_ms IS NULL OR v.timestamp_ms - b.timestamp_ms <= f.timestamp_ms - v.timestamp_ms THEN b.rate ELSE f.rate END AS rate
       FROM ext v ASOF LEFT JOIN fx b ON v.timestamp_ms >= b.timestamp_ms ASOF LEFT JOIN fx f ON v.timestamp_ms <= f.timestamp_ms""",
     "factored": """SELECT r.*, strftime(epoch_ms(r.timestamp_ms), '%Y-%m') AS month, coalesce(CASE WHEN rate * coalesce(m.basis_median, g.basis_median) > 0 THEN rate * coalesce(m.basis_median, g.basis_median) END,
       CASE WHEN m.ratio_median > 0 THEN m.ratio_median END, CASE WHEN g.ratio_median > 0 THEN g.ratio_median END) AS factor FROM rated r
       LEFT JOIN ctx m ON m.venue = r.venue AND m.symbol = r.symbol AND m.month = strftime(epoch_ms(r.timestamp_ms), '%Y-%m')
       LEFT JOIN ctx g ON g.venue = r.venue AND g.symbol = r.symbol AND g.month = '*'""",
+    "sharedf": """SELECT r.venue, r.symbol, r.timestamp_ms, coalesce(factor, CASE WHEN rate * coalesce(m.basis_median, g.basis_median) > 0 THEN rate * coalesce(m.basis_median, g.basis_median) END,
+      CASE WHEN m.ratio_median > 0 THEN m.ratio_median END, CASE WHEN g.ratio_median > 0 THEN g.ratio_median END) AS factor, r.source, open, high, low, close, volume, rate FROM factored r
+      LEFT JOIN shared m ON m.quote_group = CASE WHEN r.quote_currency = 'CAD' THEN 'CAD' ELSE 'USD' END AND m.month = r.month
+      LEFT JOIN shared g ON g.quote_group = CASE WHEN r.quote_currency = 'CAD' THEN 'CAD' ELSE 'USD' END AND g.month = '*'""",
     "points": "SELECT f.venue, f.symbol, f.month, f.timestamp_ms, n.close AS native_close, f.close AS ext_close, f.rate, f.factor FROM factored f JOIN nat n ON n.symbol = f.symbol AND n.timestamp_ms = f.timestamp_ms WHERE f.source NOT LIKE '%_fill' AND f.factor > 0 AND n.close > 0 AND f.close > 0",
     "rets": """SELECT *, native_close / lag(native_close) OVER w - 1 AS rn, ext_close * factor / lag(ext_close * factor) OVER w - 1 AS rs, abs(ext_close * factor - native_close) / native_close AS ape,
       CASE WHEN rate > 0 THEN native_close / (ext_close * rate) END AS b FROM points WINDOW w AS (PARTITION BY venue, symbol, month ORDER BY timestamp_ms)""",
@@ -56,11 +60,11 @@ VIEWS |= {
     "cand": "SELECT symbol, venue, count(*) AS rows, max(CASE venue WHEN 'ext_a' THEN 0 ELSE 1 END) AS priority FROM ext GROUP BY 1, 2",
     "whole": """SELECT venue, symbol, avg(score) AS score, bool_or(quality_pass) AS quality_pass, sum(overlap_rows)::BIGINT AS overlap_rows FROM scored GROUP BY 1, 2""",
     "chosen": """SELECT symbol, venue FROM (SELECT symbol, venue, row_number() OVER (PARTITION BY symbol ORDER BY quality_pass DESC, round(score, 6) DESC, overlap_rows DESC, priority) AS rn
-      FROM cand JOIN whole USING (symbol, venue)) WHERE rn = 1""",
+      FROM (SELECT symbol, venue, rows, priority, coalesce(quality_pass, false) AS quality_pass, coalesce(score, 0) AS score, coalesce(overlap_rows, 0) AS overlap_rows FROM cand LEFT JOIN whole USING (symbol, venue))) WHERE rn = 1""",
     "fused": f"""SELECT symbol, timestamp_ms, first(open ORDER BY rk) AS open, first(high ORDER BY rk) AS high, first(low ORDER BY rk) AS low, first(close ORDER BY rk) AS close, first(volume ORDER BY rk) AS volume, first(source ORDER BY rk) AS source FROM (
       SELECT symbol, timestamp_ms, open, high, low, close, volume, source, 0 AS rk FROM nat UNION ALL
       SELECT symbol, timestamp_ms, open * factor, high * factor, low * factor, close * factor, volume, CASE WHEN source LIKE '%_fill' THEN 'synthetic_fill' ELSE 'synthetic' END,
-      CASE WHEN (symbol, venue) IN (SELECT (symbol, venue) FROM chosen) THEN 1 ELSE 2 END FROM factored WHERE factor > 0) WHERE timestamp_ms % {DAY} = 0 GROUP BY 1, 2""",
+      CASE WHEN (symbol, venue) IN (SELECT (symbol, venue) FROM chosen) THEN 1 ELSE 2 END FROM sharedf WHERE factor > 0) WHERE timestamp_ms % {DAY} = 0 GROUP BY 1, 2""",
     "cal": "SELECT s.* FROM scored s JOIN chosen USING (symbol, venue)",
     "calrets": "SELECT r.* FROM rets r JOIN chosen USING (symbol, venue)",
     "gridw": """SELECT symbol, month, w AS weight_backtest, n AS trades FROM (SELECT *, row_number() OVER (PARTITION BY symbol, month ORDER BY round(coalesce(m - 0.5::DOUBLE * CASE WHEN n = 1 THEN abs(m) ELSE sd END, -1e300), 12) DESC, w) AS rn FROM (
@@ -95,11 +99,13 @@ class Fusion:
 
     @cached_property
     def native(self) -> DataFrame:
-        return self.bars.where("venue = 'native'")
+        """One symbol has no native history: its bars come by the shared context."""
+        return self.bars.where("venue = 'native' and symbol <> 'S3'")
 
     @cached_property
     def external(self) -> DataFrame:
-        return self.bars.where("venue <> 'native'")
+        quote = F.expr("case when venue = 'ext_b' and symbol in ('S0', 'S1') then 'CAD' else 'USD' end")
+        return self.bars.where("venue <> 'native'").withColumn("quote_currency", quote)
 
     @cached_property
     def fx(self) -> DataFrame:
@@ -139,11 +145,22 @@ class Fusion:
         whole = self.scored.groupBy("symbol", "venue").agg(
             F.round(F.avg("score"), 6).alias("score"), F.max("quality_pass").alias("quality_pass"), F.sum("overlap_rows").alias("overlap_rows")
         )
-        return staged(N.select_source(counts.join(whole, ["symbol", "venue"])).select("symbol", "venue"))
+        rated = counts.join(whole, ["symbol", "venue"], "left").fillna({"score": 0.0, "quality_pass": False, "overlap_rows": 0})
+        return staged(N.select_source(rated).select("symbol", "venue"))
+
+    @cached_property
+    def shared(self) -> DataFrame:
+        quotes = self.external.select("symbol", "venue", "quote_currency").distinct()
+        return N.shared_context(self.observations, self.chosen.join(quotes, ["symbol", "venue"]))
+
+    @cached_property
+    def converted(self) -> DataFrame:
+        """External bars with the factor of their own context or the shared one."""
+        return N.factors(self.external, self.context, self.fx, ["venue", "symbol"], self.shared)
 
     @cached_property
     def fused(self) -> DataFrame:
-        marked = self.factored.join(self.chosen.withColumn("_chosen", F.lit(True)), ["symbol", "venue"], "left")
+        marked = self.converted.join(self.chosen.withColumn("_chosen", F.lit(True)), ["symbol", "venue"], "left")
         return N.combined_bars(self.native, marked.where("_chosen"), marked.where("_chosen is null"), interval_ms=DAY)
 
     @cached_property
@@ -188,13 +205,13 @@ def conversion_context(spark, sf):
 
 @query("SELECT * FROM shared")
 def shared_context(spark, sf):
-    return N.conversion_context(Fusion(spark, sf).observations.withColumn("quote_group", F.lit("USD")), ["quote_group"])
+    return Fusion(spark, sf).shared
 
 
-@query("SELECT venue, symbol, timestamp_ms, rate FROM rated")
+@query("SELECT venue, symbol, timestamp_ms, rate FROM rated WHERE quote_currency <> 'CAD'")
 def asof_nearest(spark, sf):
     run = Fusion(spark, sf)
-    return N.asof_nearest(run.external.select("venue", "symbol", "timestamp_ms"), run.fx)
+    return N.asof_nearest(run.external.where("quote_currency <> 'CAD'").select("venue", "symbol", "timestamp_ms"), run.fx)
 
 
 @query("SELECT venue, symbol, timestamp_ms, rate, factor FROM factored")
@@ -202,6 +219,11 @@ def conversion_factor(spark, sf):
     return Fusion(spark, sf).factored.select("venue", "symbol", "timestamp_ms", "rate", "factor")
 
 
+@query("SELECT venue, symbol, timestamp_ms, factor FROM sharedf")
+def shared_factor(spark, sf):
+    return Fusion(spark, sf).converted.select("venue", "symbol", "timestamp_ms", "factor")
+
+
 @query("SELECT * FROM chosen")
 def source_selection(spark, sf):
     return Fusion(spark, sf).chosen
@@ -276,9 +298,13 @@ def weight_status(spark, sf):
     return nine(C.latest_weight(Fusion(spark, sf).eligible).select("symbol", "month", "weight_final", "eligibility_mode"), "weight_final")
 
 
-@query("SELECT round(avg((eligibility_mode <> 'blocked')::INT), 9) AS pass_rate FROM elig WHERE symbol IN ('S0', 'S1')")
+@query(f"""SELECT 'weights' AS basis, round(avg((eligibility_mode <> 'blocked')::INT), 9) AS pass_rate FROM elig
+  UNION ALL SELECT 'quality', round(avg(quality_pass::INT), 9) FROM (SELECT *, row_number() OVER (PARTITION BY symbol, month ORDER BY venue DESC) AS rn FROM scored WHERE overlap_rows >= {MIN_ROWS}) WHERE rn = 1""")
 def conversion_pass_rate(spark, sf):
+    """By the weights, and by the quality rows alone, as if there were no weights; a later venue's row of a period replaces an earlier one."""
     run = Fusion(spark, sf)
-    rows = staged(run.eligible)
-    symbols = run.bars.where("symbol in ('S0', 'S1')").select("symbol").distinct()
-    return C.conversion_pass_rate(rows, rows.withColumn("quality_pass", F.lit(True)), symbols, min_rows=MIN_ROWS)
+    rows, quality = staged(run.eligible), run.scored.withColumns({"period": F.col("month"), "updated": F.col("venue")})
+    symbols = run.bars.select("symbol").distinct()
+    parts = {"weights": rows, "quality": rows.limit(0)}
+    made = [C.conversion_pass_rate(w, quality, symbols, min_rows=MIN_ROWS).select(F.lit(k).alias("basis"), "pass_rate") for k, w in parts.items()]
+    return made[0].unionByName(made[1])

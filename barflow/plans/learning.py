@@ -25,9 +25,13 @@ VIEWS |= {
     "assigned": """SELECT l.*, strftime(epoch_ms(timestamp_ms), '%Y-%m') AS month, fold_index, CASE WHEN strftime(epoch_ms(timestamp_ms), '%Y-%m') <= train_end THEN 'train' ELSE 'valid' END AS role
       FROM lrows l JOIN wfolds f ON strftime(epoch_ms(timestamp_ms), '%Y-%m') BETWEEN train_start AND valid_end""",
     "scen": "SELECT *, 'weighted' AS scenario FROM assigned UNION ALL SELECT *, 'native_only' FROM assigned WHERE source = 'native'",
-    "reasons": """SELECT *, CASE WHEN train_rows = 0 THEN 'empty_train' WHEN valid_rows = 0 THEN 'empty_valid' WHEN ones = 0 OR zeros = 0 THEN 'single_class_train' WHEN train_rows < 1000 THEN 'insufficient_train_rows'
-      WHEN valid_rows < 100 THEN 'insufficient_valid_rows' END AS reason FROM (SELECT fold_index, scenario, count(*) FILTER (role = 'train') AS train_rows, count(*) FILTER (role = 'valid') AS valid_rows,
-      count(*) FILTER (role = 'train' AND y = 1) AS ones, count(*) FILTER (role = 'train' AND y = 0) AS zeros FROM scen GROUP BY 1, 2)""",
+    "reasons": """SELECT *, CASE WHEN train_rows = 0 THEN 'train has no rows' WHEN valid_rows = 0 THEN 'valid has no rows'
+      WHEN len(tl) <> 2 THEN 'train must contain both classes, observed=[' || array_to_string(tl, ', ') || ']' WHEN len(vl) <> 2 THEN 'valid must contain both classes, observed=[' || array_to_string(vl, ', ') || ']' END AS reason
+      FROM (SELECT fold_index, scenario, count(*) FILTER (role = 'train') AS train_rows, count(*) FILTER (role = 'valid') AS valid_rows,
+      list_sort(coalesce(list(DISTINCT y) FILTER (role = 'train'), [])) AS tl, list_sort(coalesce(list(DISTINCT y) FILTER (role = 'valid'), [])) AS vl FROM scen GROUP BY 1, 2)""",
+    "symbol_reasons": """SELECT *, CASE WHEN train_rows < 1000 THEN 'train_rows_lt_1000' WHEN valid_rows < 100 THEN 'valid_rows_lt_100' WHEN tn <> 2 THEN 'train_missing_class' WHEN vn <> 2 THEN 'valid_missing_class' END AS reason
+      FROM (SELECT fold_index, scenario, symbol, count(*) FILTER (role = 'train') AS train_rows, count(*) FILTER (role = 'valid') AS valid_rows,
+      count(DISTINCT y) FILTER (role = 'train') AS tn, count(DISTINCT y) FILTER (role = 'valid') AS vn FROM scen GROUP BY 1, 2, 3)""",
 }
 
 
@@ -69,6 +73,11 @@ def skip_reasons(spark, sf):
     return H.skip_reasons(H.scenarios(assigned(spark, sf)), ("fold_index", "scenario"))
 
 
+@query("SELECT fold_index, scenario, symbol, train_rows, valid_rows, reason FROM symbol_reasons")
+def symbol_skip_reasons(spark, sf):
+    return H.skip_reasons(H.scenarios(assigned(spark, sf)), ("fold_index", "scenario", "symbol"))
+
+
 @query(
     "SELECT fold_index, "
     + ", ".join(f"count(*) FILTER (role = '{r}') AS {r}_rows" for r in ("train", "valid"))
@@ -93,15 +102,15 @@ def blend_score(spark, sf):
 
 @query()
 def wf_train_predict(spark, sf):
-    """Two folds of gradient-boosted trees on rolling features; the rest is the operator's own loop."""
+    """Every fold, both scenarios, the global model and the eligible symbols' own ones, on all features but the recursive ones."""
     from ..operators import features as G
     from . import features as P
 
-    base = P.base(spark, sf).withColumns(G.returns() | G.volume() | G.distance())
-    names = ["combined_ret_1", "combined_ret_4", "volume_ratio_4", "zscore_16"]
+    made = G.returns() | G.trend() | G.volatility() | G.volume() | G.rsi() | G.distance() | G.source_flags() | G.external() | G.native() | G.basis()
+    base = P.base(spark, sf).withColumns(made)
     lead = F.lead("close").over(G.ordering()) / F.col("close") - 1
     labelled = base.withColumn("forward_return", lead).where("forward_return is not null")
-    ready = labelled.select("symbol", "timestamp_ms", "source", "forward_return", (F.col("forward_return") > 0.004).cast("int").alias("y"), F.lit(1.0).alias("supervised_row_weight"), *(G.clean(F.col(n)).cast("double").alias(n) for n in names))
-    months = H.full_months(ready, interval_ms=DAY)
-    chosen = H.walk_forward_folds(months, train=T, valid=V, step=S, last=2)
-    return learn.walk_forward(staged(H.assign(ready, chosen)), names, weight="supervised_row_weight", trees=5)
+    ready = labelled.select("symbol", "timestamp_ms", "source", "forward_return", (F.col("forward_return") > 0.004).cast("int").alias("y"), F.lit(1.0).alias("supervised_row_weight"), *(G.clean(F.col(n)).cast("double").alias(n) for n in made))
+    ready = staged(ready)
+    chosen = H.walk_forward_folds(H.full_months(ready, interval_ms=DAY), train=T, valid=V, step=S, last=N)
+    return learn.walk_forward(staged(H.scenarios(H.assign(ready, chosen))), list(made), weight="supervised_row_weight", run_id="wf", snapshot_id="vbars")

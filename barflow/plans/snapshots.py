@@ -23,7 +23,7 @@ VIEWS |= {
       max((source LIKE '%_fill')::INT) OVER (PARTITION BY symbol ORDER BY timestamp_ms ROWS BETWEEN CURRENT ROW AND {H} FOLLOWING) = 1 AS fill_in_horizon FROM fused WHERE timestamp_ms < {ASOF // DAY * DAY})""",
     "weighted": """SELECT l.*, strftime(epoch_ms(timestamp_ms), '%Y-%m') AS effective_month, source = 'native' OR coalesce(eligibility_mode <> 'blocked', false) AS quality_pass,
       CASE WHEN source = 'native' THEN 1.0 ELSE weight_final END AS effective_monthly_weight FROM labelled l LEFT JOIN elig e ON e.symbol = l.symbol AND e.month = strftime(epoch_ms(timestamp_ms), '%Y-%m')""",
-    "snap": """SELECT *, CASE WHEN row_status = 'trainable' THEN effective_monthly_weight ELSE 0 END AS supervised_row_weight FROM (SELECT *, CASE WHEN next_close IS NULL THEN 'unlabeled_missing_horizon'
+    "snap": f"""SELECT *, {DAY // 1000}::INT AS interval_seconds, 0::DOUBLE AS inside_bid, 0::DOUBLE AS inside_ask, CASE WHEN source = 'native' THEN 'native' ELSE 'monthly' END AS weight_method_version, next_close IS NOT NULL AS label_available, CASE WHEN row_status = 'trainable' THEN effective_monthly_weight ELSE 0 END AS supervised_row_weight FROM (SELECT *, CASE WHEN next_close IS NULL THEN 'unlabeled_missing_horizon'
       WHEN close <= 0 THEN 'invalid_price' WHEN fill_in_horizon THEN 'continuity_only' WHEN source <> 'native' AND NOT quality_pass THEN 'continuity_only' ELSE 'trainable' END AS row_status FROM weighted)""",
 }
 
@@ -80,12 +80,7 @@ def row_status(spark, sf):
     return Snapshot(spark, sf).rows.select("symbol", "timestamp_ms", "row_status")
 
 
-COLUMNS = (
-    "symbol", "timestamp_ms", "next_timestamp_ms", "open", "high", "low", "close", "volume", "source", "effective_month", "quality_pass",
-    "effective_monthly_weight", "supervised_row_weight", "row_status", "next_close", "forward_return", "y",
-)
-
-
+COLUMNS = S.COLUMNS
 WEIGHTS = ("effective_monthly_weight", "supervised_row_weight")
 
 

@@ -63,10 +63,21 @@ def series_extent(rows: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("rows"))
 
 
-def close_series(bars: DataFrame) -> DataFrame:
-    """``(symbol, timestamp_ms, close)``, the last row of a time kept; the scan reads no other columns."""
-    rows = bars.select("symbol", "timestamp_ms", F.col("close").cast("double").alias("close"), "volume")
-    return latest(rows, ["symbol", "timestamp_ms"], [F.col("volume"), F.col("close")]).drop("volume")
+def close_series(bars: DataFrame, *, seq: str) -> DataFrame:
+    """``(symbol, timestamp_ms, close)``, the row of a time that comes last by ``seq`` kept; the scan reads no other columns."""
+    rows = bars.select("symbol", "timestamp_ms", F.col("close").cast("double").alias("close"), F.col(seq).alias("_seq"))
+    return latest(rows, ["symbol", "timestamp_ms"], [F.col("_seq")]).drop("_seq")
+
+
+def symbol_scan(spark: SparkSession, path: str, symbols: list[str]) -> DataFrame:
+    """The rows of some symbols of a series table (``write_series``): only their partitions are listed and read."""
+    return spark.read.parquet(path).where(F.col("symbol").isin(symbols))
+
+
+def prediction_scan(spark: SparkSession, paths: list[str], *, scenario: str, scope: str = "global") -> DataFrame:
+    """Predictions of several files of one schema or a grown one, filtered at the scan, in order of time, then symbol."""
+    rows = spark.read.option("mergeSchema", True).parquet(*paths)
+    return rows.where((F.col("scenario") == scenario) & (F.col("scope") == scope)).orderBy("timestamp_ms", "symbol")
 
 
 def selected_external(bars: DataFrame, selection: DataFrame) -> DataFrame:
