@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import indices, let, written
+from .common import fresh_names, indices, let, written
 
 
 def chunks(text: Column, *, divisor: int = 2, long_words: int = 50, long_chars: int = 200) -> Column:
@@ -120,7 +120,7 @@ def dedup(
     goes across one. An occurrence that overlaps the first one stays. Every line's first occurrence stays. Null text stays
     null; a text that loses all lines becomes empty, the row stays. Null ids come first. Rows that agree in id and text
     count as one document and come out alike. Very long texts are cut whole. Repeats below ``least_chars`` characters (empty
-    lines, brackets) stay. Columns named like the helper columns (``_lines_*``) are not allowed, others pass through.
+    lines, brackets) stay. Other columns pass through, whatever their names. An empty table gives an empty result.
     """
     key = F.xxhash64(F.lit(1), text_col)
     place = F.struct(F.col(id_col).alias("id"), key.alias("k"))
@@ -144,12 +144,13 @@ def dedup(
     gone = occurrence.join(first.withColumnRenamed("text", "same"), ["h", "n"]).where((F.col("text") == F.col("same")) & (F.col("place") != F.col("kept")))
     overlaps = F.col("place.id").eqNullSafe(F.col("kept.id")) & (F.col("place.k") == F.col("kept.k")) & (F.col("place.first") < F.col("kept.first") + F.col("lines"))
     gone = gone.where(~overlaps).select("place.id", "place.k", F.explode(F.sequence(F.col("place.first"), F.col("place.first") + F.col("lines") - 1)).alias("line"))
-    per = gone.groupBy("id", "k").agg(F.collect_set("line").alias("_lines_gone"))
-    per = written(per.select(F.coalesce(F.xxhash64("id"), F.lit(0)).alias("_lines_id"), F.col("k").alias("_lines_k"), "_lines_gone"), "line-gone")
+    lost, doc_key, text_key = fresh_names(docs, 3)
+    per = gone.groupBy("id", "k").agg(F.collect_set("line").alias(lost))
+    per = written(per.select(F.coalesce(F.xxhash64("id"), F.lit(0)).alias(doc_key), F.col("k").alias(text_key), lost), "line-gone")
     # 4. Documents lose those lines; texts travel once, by document.
-    keyed = docs.withColumns({"_lines_id": F.coalesce(F.xxhash64(id_col), F.lit(0)), "_lines_k": key})
-    joined = keyed.join(per.hint("merge"), ["_lines_id", "_lines_k"], "left")
-    stay = lambda lines: F.transform(F.array_except(indices(F.size(lines)), F.col("_lines_gone")), lambda i: F.element_at(lines, i))
+    keyed = docs.withColumns({doc_key: F.coalesce(F.xxhash64(id_col), F.lit(0)), text_key: key})
+    joined = keyed.join(per.hint("merge"), [doc_key, text_key], "left")
+    stay = lambda lines: F.transform(F.array_except(indices(F.size(lines)), F.col(lost)), lambda i: F.element_at(lines, i))
     left = F.array_join(let(F.split(F.col(text_col), "\n"), stay), "\n")
-    text = F.when(F.col("_lines_gone").isNull(), F.col(text_col)).otherwise(left)
+    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(left)
     return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
