@@ -75,6 +75,11 @@ def slippage(side: Column, reference: Column, price: Column) -> Column:
     return F.when((reference > 0) & (price > 0), F.greatest(F.lit(0.0), worse)).otherwise(0.0)
 
 
+def slippage_breach(share: Column, limit: float) -> Column:
+    """Whether a fill was worse than the reference price by more than the allowed share."""
+    return share > limit
+
+
 def reconcile(positions: DataFrame, balances: DataFrame, *, now_ms: int, tolerance: float = 1e-9) -> DataFrame:
     """Positions against venue balances (amount - hold, floored at 0): the new quantity and how it came about."""
     b = balances.where(F.trim("symbol") != "").groupBy("symbol").agg(F.sum(F.col("amount") - F.col("hold")).alias("available"))

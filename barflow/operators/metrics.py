@@ -9,10 +9,22 @@ from pyspark.sql import functions as F
 CLIP = 1e-6
 
 
+DAY_MS = 86_400_000
+
+
+def own_split() -> Column:
+    return F.when(F.col("source") == "native", "native").otherwise("synthetic")
+
+
 def splits(preds: DataFrame) -> DataFrame:
     """Every row in the split ``all`` and in ``native`` or ``synthetic`` (fills included)."""
-    own = F.when(F.col("source") == "native", "native").otherwise("synthetic")
-    return preds.withColumn("split", F.explode(F.array(F.lit("all"), own)))
+    return preds.withColumn("split", F.explode(F.array(F.lit("all"), own_split())))
+
+
+def _grains(rows: DataFrame) -> DataFrame:
+    """Rows of (symbol, own split) also under the split ``all`` and the symbol ``*``."""
+    wide = rows.withColumn("split", F.explode(F.array(F.lit("all"), F.col("split"))))
+    return wide.withColumn("symbol", F.explode(F.array(F.col("symbol"), F.lit("*"))))
 
 
 def _trading(threshold: float, fee: float) -> list[Column]:
@@ -38,21 +50,28 @@ def trading(preds: DataFrame, keys: list[str], *, threshold: float, fee: float)
     return preds.groupBy(*keys).agg(*_trading(threshold, fee))
 
 
-def drawdown(preds: DataFrame, keys: list[str], order: list[str], *, threshold: float, fee: float) -> DataFrame:
+def drawdown(preds: DataFrame, keys: list[str], order: list[str], *, threshold: float, fee: float, bucket_ms: int | None = DAY_MS) -> DataFrame:
     """Largest fall of the cumulative net return from its running maximum; the maximum starts at the first value.
 
-    ``order`` is chronological by default use; put the symbol first to follow file order instead. Trades of equal time
-    need a further column to be ordered. Keys without trades give 0.
+    ``order`` is chronological by default use, its first column a time in ms; put the symbol first to follow file order instead
+    and pass no ``bucket_ms``. Trades of equal time need a further column to be ordered. Keys without trades give 0.
     """
     net = F.when(F.col("probability") >= threshold, F.col("forward_return") - 2 * fee)
-    found = _falls(preds.withColumn("_net", net).where("_net is not null"), keys, order)
+    found = _falls(preds.withColumn("_net", net).where("_net is not null"), keys, order, bucket_ms)
     return preds.select(*keys).distinct().join(found, keys, "left").fillna(0.0, ["max_drawdown"])
 
 
-def _falls(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cum = trades.withColumn("_cum", F.sum("_net").over(w))
-    return cum.withColumn("_fall", F.max("_cum").over(w) - F.col("_cum")).groupBy(*keys).agg(F.max("_fall").alias("max_drawdown"))
+def _falls(trades: DataFrame, keys: list[str], order: list[str], bucket_ms: int | None) -> DataFrame:
+    """Rows are ordered within time buckets alone; a bucket is reduced to its sum, extremes and own fall, and only the buckets
+    of a key are ordered as a whole, so a key of all trades is never sorted in one task."""
+    bucket = F.floor(F.col(order[0]) / bucket_ms) if bucket_ms else F.lit(0)
+    rows = trades.withColumn("_b", bucket)
+    w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cum = rows.withColumn("_cum", F.sum("_net").over(w)).withColumn("_fall", F.max("_cum").over(w) - F.col("_cum"))
+    parts = cum.groupBy(*keys, "_b").agg(F.sum("_net").alias("s"), F.max("_cum").alias("top"), F.min("_cum").alias("low"), F.max("_fall").alias("fall"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0.0))).withColumn("high", F.max(F.col("base") + F.col("top")).over(before))
+    return placed.groupBy(*keys).agg(F.max(F.greatest("fall", F.col("high") - F.col("base") - F.col("low"))).alias("max_drawdown"))
 
 
 def probability_loss(preds: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,17 +79,24 @@ def probability_loss(preds: DataFrame, keys: list[str]) -> DataFrame:
     return preds.groupBy(*keys).agg(*_losses())
 
 
-def _by_score(preds: DataFrame, keys: list[str]) -> DataFrame:
+def _by_score(tied: DataFrame, keys: list[str]) -> DataFrame:
     """Cumulative counts over distinct scores, highest first: windows see scores, not rows, so ties are one step."""
-    tied = preds.groupBy(*keys, "probability").agg(F.sum("y").alias("tp"), F.sum(1 - F.col("y")).alias("fp"))
     w = Window.partitionBy(*keys).orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     return tied.withColumns({"ctp": F.sum("tp").over(w), "cfp": F.sum("fp").over(w), "P": F.sum("tp").over(whole), "N": F.sum("fp").over(whole)})
 
 
+def _tied(preds: DataFrame, keys: list[str]) -> DataFrame:
+    return preds.groupBy(*keys, "probability").agg(F.sum("y").alias("tp"), F.sum(1 - F.col("y")).alias("fp"))
+
+
 def ranking(preds: DataFrame, keys: list[str]) -> DataFrame:
     """ROC-AUC and average precision with ties grouped; null where one class is missing."""
-    c = _by_score(preds, keys)
+    return _ranked(_tied(preds, keys), keys)
+
+
+def _ranked(tied: DataFrame, keys: list[str]) -> DataFrame:
+    c = _by_score(tied, keys)
     area = F.col("fp") * (F.col("ctp") - F.col("tp") / 2)
     step = F.col("tp") * (F.col("ctp") / (F.col("ctp") + F.col("cfp")))
     agg = c.groupBy(*keys).agg(F.sum(area).alias("a"), F.sum(step).alias("s"), F.first("P").alias("P"), F.first("N").alias("N"))
@@ -78,14 +104,32 @@ def ranking(preds: DataFrame, keys: list[str]) -> DataFrame:
     return agg.select(*keys, F.when(both, F.col("a") / (F.col("P") * F.col("N"))).alias("roc_auc"), F.when(both, F.col("s") / F.col("P")).alias("pr_auc"))
 
 
-def fold_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list[str], keys: tuple[str, ...] = ("fold", "scenario", "scope")) -> DataFrame:
-    """One row per (keys, symbol or ``*`` for all, split) with all metrics."""
-    grains = splits(preds).withColumn("symbol", F.explode(F.array(F.col("symbol"), F.lit("*"))))
+def fold_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list[str], keys: tuple[str, ...] = ("fold", "scenario", "scope"), bucket_ms: int | None = DAY_MS) -> DataFrame:
+    """One row per (keys, symbol or ``*`` for all, split) with all metrics.
+
+    Rows are summed up once per (keys, symbol, own split), and once more by score; the coarser grains add up those sums. Only
+    trades are laid out for every grain, since drawdowns need their order. ``order`` begins with a time in ms, or ``bucket_ms``
+    is None.
+    """
     by = [*keys, "symbol", "split"]
-    # One aggregate for what needs no order, one window for drawdowns, over trades alone, and one over distinct scores.
-    base = grains.groupBy(*by).agg(*_trading(threshold, fee), *_losses())
-    net = grains.where(F.col("probability") >= threshold).withColumn("_net", F.col("forward_return") - 2 * fee)
-    return base.join(_falls(net, by, order), by, "left").join(ranking(grains, by), by).fillna(0.0, ["max_drawdown"])
+    own = preds.withColumn("split", own_split())
+    trade = F.col("probability") >= threshold
+    net = F.when(trade, F.col("forward_return") - 2 * fee)
+    p = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), F.col("probability")))
+    sums = own.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(trade).alias("trades"), F.sum(F.when(trade, F.col("forward_return"))).alias("gross_return"), F.sum(net).alias("net_return"),
+        F.count_if(net > 0).alias("wins"), F.sum(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))).alias("logloss"), F.sum(F.pow(p - F.col("y"), F.lit(2.0))).alias("brier"),
+    )
+    names = ("row_count", "trades", "gross_return", "net_return", "wins", "logloss", "brier")
+    wide = _grains(sums).groupBy(*by).agg(*(F.sum(c).alias(c) for c in names))
+    none = F.lit(0.0)
+    base = wide.select(
+        *by, "row_count", "trades", F.coalesce("gross_return", none).alias("gross_return"), F.coalesce("net_return", none).alias("net_return"),
+        F.when(F.col("trades") > 0, F.col("wins") / F.col("trades")).alias("win_rate"), *((F.col(c) / F.col("row_count")).alias(c) for c in ("logloss", "brier")),
+    )
+    scores = _grains(_tied(own, by)).groupBy(*by, "probability").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    trades = _grains(own.where(trade).select(*by, *(c for c in order if c not in by), net.alias("_net")))
+    return base.join(_falls(trades, by, order, bucket_ms), by, "left").join(_ranked(scores, by), by).fillna(0.0, ["max_drawdown"])
 
 
 def summary(metrics: DataFrame) -> DataFrame:

@@ -64,7 +64,8 @@ def exit_signals(snapshot: DataFrame, positions: DataFrame, *, now_ms: int, stop
 
 def entry_cap(entries: DataFrame, *, n: int) -> DataFrame:
     """The best n entries by (score, symbol); others hold. Entries of one cycle only, one row a symbol."""
-    w = Window.partitionBy("signal").orderBy(F.desc("score"), "symbol")
+    # only entries are ranked among each other; every other row is a partition of its own symbol
+    w = Window.partitionBy(F.when(F.col("signal") == "ENTER", "*").otherwise(F.col("symbol"))).orderBy(F.desc("score"), "symbol")
     over = (F.col("signal") == "ENTER") & (F.row_number().over(w) > n)
     rows = entries.withColumn("_over", over)
     return rows.select("symbol", F.when(F.col("_over"), "HOLD").otherwise(F.col("signal")).alias("signal"), F.when(F.col("_over"), "entry_cap_reached").otherwise(F.col("reason")).alias("reason"), "score")

@@ -178,10 +178,11 @@ def position_times(spark, sf):
     return L.position_times(rows.select("symbol", "seq", "side", all_out.alias("qty"), "filled_ms"))
 
 
-@query("SELECT symbol, seq, round(CASE WHEN ref > 0 AND price > 0 THEN greatest(0, CASE WHEN side = 'buy' THEN price / ref - 1 ELSE 1 - price / ref END) ELSE 0 END, 6) AS slippage FROM (SELECT *, price + seq % 7 - 3 AS ref FROM fills)")
+@query("SELECT symbol, seq, round(CASE WHEN ref > 0 AND price > 0 THEN greatest(0, CASE WHEN side = 'buy' THEN price / ref - 1 ELSE 1 - price / ref END) ELSE 0 END, 6) AS slippage, CASE WHEN ref > 0 AND price > 0 THEN greatest(0, CASE WHEN side = 'buy' THEN price / ref - 1 ELSE 1 - price / ref END) ELSE 0 END > 0.02::DOUBLE AS breach FROM (SELECT *, price + seq % 7 - 3 AS ref FROM fills)")
 def slippage(spark, sf):
     rows = X.fills(spark, sf)
-    return six(rows.select("symbol", "seq", L.slippage(F.col("side"), F.col("price") + F.col("seq") % 7 - 3, F.col("price")).alias("slippage")), "slippage")
+    made = rows.select("symbol", "seq", L.slippage(F.col("side"), F.col("price") + F.col("seq") % 7 - 3, F.col("price")).alias("slippage"))
+    return six(made.withColumn("breach", L.slippage_breach(F.col("slippage"), 0.02)), "slippage")
 
 
 VIEWS |= {

@@ -148,3 +148,30 @@ def test_pass_rate_falls_back_on_the_latest_quality_rows(spark):
 def test_last_row_of_a_time_wins(spark):
     rows = spark.createDataFrame([("A", 1, 5.0, 0), ("A", 1, 3.0, 1), ("A", 2, 7.0, 2)], "symbol string, timestamp_ms bigint, close double, seq int")
     assert sorted(map(tuple, tables.close_series(rows, seq="seq").collect())) == [("A", 1, 3.0), ("A", 2, 7.0)]
+
+
+def test_drawdown_across_buckets_equals_one_pass(spark):
+    import random
+
+    from barflow.operators import metrics as M
+
+    r = random.Random(3)
+    rows = [(i * 17 % 500 * 7, r.uniform(-1, 1), 0.9, str(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "timestamp_ms bigint, forward_return double, probability double, k string").selectExpr("*", "'A' as g")
+    cum = top = fall = 0.0
+    top = None
+    for _, v, _, _ in sorted(rows, key=lambda x: (x[0], x[3])):
+        cum += v
+        top = cum if top is None else max(top, cum)
+        fall = max(fall, top - cum)
+    for bucket in (None, 10, 333, 10**9):
+        got = M.drawdown(df, ["g"], ["timestamp_ms", "k"], threshold=0.5, fee=0.0, bucket_ms=bucket).first().max_drawdown
+        assert abs(got - fall) < 1e-9
+
+
+def test_cash_cap_and_slippage_breach(spark):
+    from barflow.operators import ledger
+
+    df = spark.createDataFrame([(5.0, 10.0), (12.0, 10.0), (12.0, -1.0)], "cash double, available double")
+    assert [r[0] for r in df.select(ledger.cap_cash(F.col("cash"), F.col("available"))).collect()] == [5.0, 10.0, 0.0]
+    assert [r[0] for r in df.select(ledger.slippage_breach(F.col("cash") / 100, 0.1)).collect()] == [False, True, True]
