@@ -30,7 +30,7 @@ class WordEncoder:
     file declares so (its words are split from white space, which is dropped), else whole texts are encoded.
     """
 
-    def __init__(self, content: str, most: int = 500_000) -> None:
+    def __init__(self, content: str, most: int = 1_000_000) -> None:
         import json
 
         from tokenizers import Tokenizer
@@ -135,7 +135,7 @@ def write(
         with writing(folder, f"tokens-{part:06d}.bin") as out:
             for whole in batches:
                 encoder = encoder or worker_encoder(shared.value)
-                for b in text_slices(whole, most=2_000_000):
+                for b in text_slices(whole, most=4_000_000):
                     tokens, count = encoder.encode(b.column(1), end_id)
                     out.write(tokens.astype(f"<u{width}").tobytes())
                     size.append(count)
