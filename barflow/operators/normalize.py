@@ -144,11 +144,15 @@ def factors(external: DataFrame, context: DataFrame, fx: DataFrame, keys: list[s
     their quote group, so that symbols without native history are converted too."""
     rated = asof_nearest(external.withColumn("month", month_key(F.col("timestamp_ms"))), fx)
     rated = with_factor(rated.withColumn("rate", home_rate(external, F.col("rate"))), context, fx, keys)
-    if shared is None:
-        return rated.withColumn("factor", conversion_factor(F.col("rate"), columns_of("own")))
-    grouped = rated.withColumn("quote_group", quote_group(F.upper("quote_currency")))
+    own = rated.withColumn("factor", conversion_factor(F.col("rate"), columns_of("own")))
+    return own if shared is None else with_shared(own, shared, fx)
+
+
+def with_shared(factored: DataFrame, shared: DataFrame, fx: DataFrame) -> DataFrame:
+    """Bars of ``factors`` whose own factor is missing take that of their quote group's shared context."""
+    grouped = factored.withColumn("quote_group", quote_group(F.upper("quote_currency")))
     both = with_factor(grouped, shared, fx, ["quote_group"], "shared")
-    return both.withColumn("factor", conversion_factor(F.col("rate"), columns_of("own"), columns_of("shared")))
+    return both.withColumn("factor", F.coalesce("factor", conversion_factor(F.col("rate"), columns_of("shared"))))
 
 
 PRICES = ("open", "high", "low", "close")

@@ -113,7 +113,7 @@ class Fusion:
 
     @cached_property
     def observations(self) -> DataFrame:
-        return N.overlap_observations(self.native, self.external, self.fx)
+        return staged(N.overlap_observations(self.native, self.external, self.fx))
 
     @cached_property
     def context(self) -> DataFrame:
@@ -156,7 +156,7 @@ class Fusion:
     @cached_property
     def converted(self) -> DataFrame:
         """External bars with the factor of their own context or the shared one."""
-        return N.factors(self.external, self.context, self.fx, ["venue", "symbol"], self.shared)
+        return N.with_shared(self.factored, self.shared, self.fx)
 
     @cached_property
     def fused(self) -> DataFrame:
