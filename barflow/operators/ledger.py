@@ -94,6 +94,14 @@ def cap_cash(cash: Column, available: Column) -> Column:
     return F.when(cash <= available + 1e-9, cash).otherwise(F.greatest(F.lit(0.0), available))
 
 
+def cap_books(books: DataFrame, balances: DataFrame) -> DataFrame:
+    """Cash of each account's book against what the venue has available for it (amount - hold, added up, 0 if not listed)."""
+    free = balances.groupBy("account").agg(F.sum(F.col("amount") - F.col("hold")).alias("available"))
+    rows = books.join(free, "account", "left").withColumn("available", F.coalesce("available", F.lit(0.0)))
+    new = cap_cash(F.col("cash"), F.col("available"))
+    return rows.select("account", F.col("cash").alias("old_cash"), new.alias("new_cash"), (F.col("cash") > F.col("available") + 1e-9).alias("capped"))
+
+
 def daily_pnl(replayed: DataFrame, *, cap: float) -> DataFrame:
     """Realised profit per UTC day, and whether it is at or below -cap."""
     day = F.date_format(F.timestamp_millis("filled_ms"), "yyyy-MM-dd")

@@ -132,6 +132,16 @@ def fold_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list[
     return base.join(_falls(trades, by, order, bucket_ms), by, "left").join(_ranked(scores, by), by).fillna(0.0, ["max_drawdown"])
 
 
+def total_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list[str], keys: tuple[str, ...] = ("fold", "scenario", "scope"), bucket_ms: int | None = DAY_MS) -> DataFrame:
+    """The rows of ``fold_metrics`` for the symbol ``*`` and the split ``all`` alone, as gates need them at their own threshold."""
+    by = list(keys)
+    trade = F.col("probability") >= threshold
+    trades = preds.where(trade).withColumn("_net", F.col("forward_return") - 2 * fee)
+    base = preds.groupBy(*by).agg(*_trading(threshold, fee), *_losses())
+    out = base.join(_falls(trades, by, order, bucket_ms), by, "left").join(ranking(preds, by), by).fillna(0.0, ["max_drawdown"])
+    return out.withColumns({"symbol": F.lit("*"), "split": F.lit("all")})
+
+
 def summary(metrics: DataFrame) -> DataFrame:
     """Over folds, all rows and symbols: counts and returns added up, others averaged without nulls."""
     rows = metrics.where("split = 'all' and symbol = '*'")

@@ -12,37 +12,47 @@ def candidates(preds: DataFrame, *, scenario: str | None = None, threshold: floa
     return rows.where(F.col("probability") >= threshold)
 
 
-def topk_per_bar(rows: DataFrame, *, k: int, by: tuple[str, ...] = ("timestamp_ms",), score: str = "probability", tie: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def topk_per_bar(rows: DataFrame, *, k: int | Column, by: tuple[str, ...] = ("timestamp_ms",), score: str = "probability", tie: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """The best k rows of a bar are accepted, others kept and tagged ``capacity``."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), *tie)
     return rows.withColumn("rank", F.row_number().over(w)).withColumn("outcome", F.when(F.col("rank") <= k, "accepted").otherwise("capacity"))
 
 
-def non_overlapping(rows: DataFrame, *, horizon_ms: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def non_overlapping(rows: DataFrame, *, horizon_ms: int | Column, keys: tuple[str, ...] = ("symbol",), block: int = 256) -> DataFrame:
     """Accepted entry times per key: a time is skipped while the last accepted one is still open (reopening at its exit).
 
-    A key's distinct times are folded in order; only those go into the array, not the rows.
+    A key's distinct times are folded in order; only those go into the array, not the rows. Accepted times are gathered in blocks,
+    so that a step copies a block at most. ``horizon_ms`` may be a column of ``keys``.
     """
     times = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("timestamp_ms")).alias("t"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out"))
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out"), F.array().cast("array<array<bigint>>").alias("blocks"))
 
     def step(s: Column, t: Column) -> Column:
         ok = s["last"].isNull() | (t >= s["last"] + horizon_ms)
-        return F.when(ok, F.struct(t.alias("last"), F.array_append(s["out"], t).alias("out"))).otherwise(s)
+        full = F.size(s["out"]) >= block
+        out = F.when(full, F.array(t)).otherwise(F.array_append(s["out"], t))
+        blocks = F.when(full, F.array_append(s["blocks"], s["out"])).otherwise(s["blocks"])
+        return F.when(ok, F.struct(t.alias("last"), out.alias("out"), blocks.alias("blocks"))).otherwise(s)
 
-    return times.select(*keys, F.explode(F.aggregate("t", start, step, lambda s: s["out"])).alias("timestamp_ms"))
+    taken = F.aggregate("t", start, step, lambda s: F.flatten(F.array_append(s["blocks"], s["out"])))
+    return times.select(*keys, F.explode(taken).alias("timestamp_ms"))
 
 
-def trade_pnl(rows: DataFrame, *, notional: float, cost: float) -> DataFrame:
+def trade_pnl(rows: DataFrame, *, notional: float, cost: float | Column) -> DataFrame:
     """Gross, net and net share of fixed-notional trades: paid n (1 + c), received n (1 + r)(1 - c)."""
     out = F.lit(notional) * (1 + F.col("forward_return")) * (1 - cost)
-    debit = notional * (1 + cost)
+    debit = F.lit(notional) * (1 + cost)
     return rows.withColumns({"gross_pnl": notional * F.col("forward_return"), "net_pnl": out - debit, "net_pct": (out - debit) / debit})
 
 
 def equity_curve(trades: DataFrame, *, capital: float, horizon_ms: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Realised equity at each exit time and the fall from its maximum. Trades are added up per time before the running sum."""
     per = trades.withColumn("exit_ms", F.col("timestamp_ms") + horizon_ms).groupBy(*keys, "exit_ms").agg(F.sum("net_pnl").alias("pnl"))
+    return _equity(per, capital, keys)
+
+
+def _equity(per: DataFrame, capital: float, keys: tuple[str, ...]) -> DataFrame:
+    """``per`` has one row per key and exit time, so a window holds times, not trades."""
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     w = part.orderBy("exit_ms").rowsBetween(Window.unboundedPreceding, 0)
     rows = per.withColumn("equity", capital + F.sum("pnl").over(w))
@@ -66,8 +76,11 @@ def trade_summary(trades: DataFrame, curve: DataFrame, *, capital: float) -> Dat
     one = lambda df: df.withColumn("_one", F.lit(1))
     t = trades.agg(F.count(F.lit(1)).alias("trades"), F.sum("net_pnl").alias("net_pnl"), F.avg((F.col("net_pnl") > 0).cast("double")).alias("win_rate"))
     c = curve.agg(F.max_by("equity", "exit_ms").alias("equity"), F.max("drawdown_pct").alias("max_drawdown_pct"), (F.max("exit_ms") - F.min("exit_ms")).alias("span"))
-    annual = F.when((F.col("span") >= 86_400_000) & (F.col("equity") > 0), F.pow(F.col("equity") / capital, YEAR_MS / F.col("span")) - 1)
-    return one(t).join(one(c), "_one").select("trades", "net_pnl", "win_rate", "equity", "max_drawdown_pct", annual.alias("annualized_return"))
+    return one(t).join(one(c), "_one").select("trades", "net_pnl", "win_rate", "equity", "max_drawdown_pct", _annualized(capital).alias("annualized_return"))
+
+
+def _annualized(capital: float) -> Column:
+    return F.when((F.col("span") >= 86_400_000) & (F.col("equity") > 0), F.pow(F.col("equity") / capital, YEAR_MS / F.col("span")) - 1)
 
 
 def pnl_breakdown(trades: DataFrame) -> DataFrame:
@@ -78,11 +91,23 @@ def pnl_breakdown(trades: DataFrame) -> DataFrame:
     )
 
 
-def sweep(preds: DataFrame, configs: list[tuple[float, int, float]], *, notional: float) -> DataFrame:
-    """Trades and net result for each (threshold, k, cost). Configurations are exploded within the rows and part of every key."""
-    items = F.array(*(F.struct(F.lit(i).alias("config"), F.lit(t).alias("threshold"), F.lit(k).alias("k"), F.lit(c).alias("cost")) for i, (t, k, c) in enumerate(configs)))
+def sweep(preds: DataFrame, configs: list[tuple[float, int, float, int]], *, notional: float, capital: float, horizon_ms: int) -> DataFrame:
+    """Trade evaluation for each configuration (threshold, k, cost, hold_ms), one row each.
+
+    Candidates reach the threshold; of a symbol's, those while an earlier one is held are left out (``hold_ms`` 0: none); the best
+    k of a bar are traded. Configurations are exploded within the rows and part of every key.
+    """
+    names = ("config", "threshold", "k", "cost", "hold_ms")
+    items = F.array(*(F.struct(F.lit(i).alias("config"), F.lit(t).alias("threshold"), F.lit(k).alias("k"), F.lit(c).alias("cost"), F.lit(h).cast("bigint").alias("hold_ms")) for i, (t, k, c, h) in enumerate(configs)))
     rows = preds.withColumn("p", F.explode(items)).select(*preds.columns, "p.*").where(F.col("probability") >= F.col("threshold"))
-    w = Window.partitionBy("config", "timestamp_ms").orderBy(F.desc("probability"), "symbol", "row_key")
-    kept = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k"))
-    net = F.lit(notional) * (1 + F.col("forward_return")) * (1 - F.col("cost")) - F.lit(notional) * (1 + F.col("cost"))
-    return kept.groupBy("config", "threshold", "k", "cost").agg(F.count(F.lit(1)).alias("trades"), F.sum(net).alias("net_pnl"))
+    held = ("config", "hold_ms", "symbol")
+    free = non_overlapping(rows.where("hold_ms > 0"), horizon_ms=F.col("hold_ms"), keys=held)
+    open_ = rows.where("hold_ms > 0").join(free, [*held, "timestamp_ms"], "left_semi").unionByName(rows.where("hold_ms <= 0"))
+    kept = topk_per_bar(open_, k=F.col("k"), by=("config", "timestamp_ms"), tie=("symbol", "row_key")).where("outcome = 'accepted'")
+    made = trade_pnl(kept, notional=notional, cost=F.col("cost"))
+    per = made.groupBy(*names, (F.col("timestamp_ms") + horizon_ms).alias("exit_ms")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("net_pnl") > 0).alias("wins"), F.sum("net_pnl").alias("pnl"))
+    out = _equity(per, capital, names).groupBy(*names).agg(
+        F.sum("n").alias("trades"), F.sum("pnl").alias("net_pnl"), (F.sum("wins") / F.sum("n")).alias("win_rate"), F.max_by("equity", "exit_ms").alias("equity"),
+        F.max("drawdown_pct").alias("max_drawdown_pct"), (F.max("exit_ms") - F.min("exit_ms")).alias("span"),
+    )
+    return out.withColumn("annualized_return", _annualized(capital)).drop("span")

@@ -19,6 +19,7 @@ from ..sources.staging import staged
 from . import ORACLES, QUERIES, VIEWS, query
 
 DAY, TH, FEE, SLIP = X.DAY, 0.6, 0.002, 0.001
+GATE_TH = 0.65  # entry threshold of the promotion: the gates score the predictions anew
 MAX_GAPS, MIN_COVERAGE = 10, 0.95
 ORDER = ["timestamp_ms", "symbol", "row_key"]
 G = "fold, scenario, scope, symbol, split"
@@ -56,7 +57,14 @@ VIEWS |= {
     "gpass": "SELECT avg((n >= 24)::INT) AS pass_rate FROM (SELECT symbol, strftime(epoch_ms(timestamp_ms), '%Y-%m') AS month, count(*) AS n FROM vbars WHERE venue = 'native' GROUP BY 1, 2)",
     "gcover": f"SELECT symbol, coalesce(sum(greatest(0, (nxt - timestamp_ms) // {DAY} - 1)), 0)::BIGINT AS gap_count, round(least(1, count(*) / ((max(timestamp_ms) - min(timestamp_ms)) // {DAY} + 1)), 9) AS coverage_pct FROM gbars GROUP BY 1",
     "gbreach": f"SELECT symbol, CASE WHEN gap_count > {MAX_GAPS} THEN 'combined_gap_count' ELSE 'combined_coverage' END AS gate, CASE WHEN gap_count > {MAX_GAPS} THEN gap_count::DOUBLE ELSE coverage_pct END AS observed, CASE WHEN gap_count > {MAX_GAPS} THEN {MAX_GAPS}::DOUBLE ELSE {MIN_COVERAGE}::DOUBLE END AS required FROM gcover WHERE gap_count > {MAX_GAPS} OR coverage_pct < {MIN_COVERAGE} ORDER BY symbol LIMIT 1",
-    "gfacts": "SELECT m.*, (SELECT parity FROM gparity) AS parity, (SELECT pass_rate FROM gpass) AS pass_rate FROM msum m WHERE scope = 'global'",
+    "gpreds": "SELECT * FROM preds WHERE scope = 'global'",
+    "gtrade": f"SELECT fold, scenario, count(*) AS row_count, count(*) FILTER (probability >= {GATE_TH}) AS trades, coalesce(sum(forward_return) FILTER (probability >= {GATE_TH}), 0) AS gross_return, coalesce(sum(forward_return - 2 * {FEE}::DOUBLE) FILTER (probability >= {GATE_TH}), 0) AS net_return, avg((forward_return - 2 * {FEE}::DOUBLE > 0)::INT) FILTER (probability >= {GATE_TH}) AS win_rate FROM gpreds GROUP BY 1, 2",
+    "gcum": f"SELECT fold, scenario, timestamp_ms, symbol, row_key, sum(forward_return - 2 * {FEE}::DOUBLE) OVER (PARTITION BY fold, scenario ORDER BY timestamp_ms, symbol, row_key ROWS UNBOUNDED PRECEDING) AS cum FROM gpreds WHERE probability >= {GATE_TH}",
+    "gdraw": "SELECT fold, scenario, max(top - cum) AS max_drawdown FROM (SELECT *, max(cum) OVER (PARTITION BY fold, scenario ORDER BY timestamp_ms, symbol, row_key ROWS UNBOUNDED PRECEDING) AS top FROM gcum) GROUP BY 1, 2",
+    "gsum": """SELECT scenario, sum(row_count)::BIGINT AS row_count, sum(trades)::BIGINT AS trades, sum(gross_return) AS gross_return, sum(net_return) AS net_return, avg(win_rate) AS win_rate, avg(coalesce(max_drawdown, 0)) AS max_drawdown,
+      avg(logloss) AS logloss, avg(brier) AS brier, avg(roc_auc) AS roc_auc, avg(pr_auc) AS pr_auc, count(*) AS folds FROM gtrade LEFT JOIN gdraw USING (fold, scenario)
+      JOIN (SELECT fold, scenario, logloss, brier, roc_auc, pr_auc FROM fmetrics WHERE scope = 'global' AND symbol = '*' AND split = 'all') USING (fold, scenario) GROUP BY 1""",
+    "gfacts": "SELECT m.*, (SELECT parity FROM gparity) AS parity, (SELECT pass_rate FROM gpass) AS pass_rate FROM gsum m",
     "gfail": f"""SELECT scenario, x.gate AS gate, x.observed AS observed, x.required AS required FROM (SELECT scenario, unnest([x FOR x IN [
       CASE WHEN folds < 13 THEN {{'gate': 'min_folds', 'observed': folds::DOUBLE, 'required': 13::DOUBLE}} END, CASE WHEN trades < 100 THEN {{'gate': 'min_trades', 'observed': trades::DOUBLE, 'required': 100::DOUBLE}} END,
       CASE WHEN net_return <= 0 THEN {{'gate': 'net_positive', 'observed': net_return, 'required': 0::DOUBLE}} END, CASE WHEN max_drawdown IS NULL OR max_drawdown > 0.35 THEN {{'gate': 'max_drawdown', 'observed': max_drawdown, 'required': 0.35::DOUBLE}} END,
@@ -105,7 +113,7 @@ class Evaluation:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """Global metrics with the snapshot's parity, the share of usable months and the first symbol that breaches; each is one row."""
+        """Global metrics at the gates' threshold with the snapshot's parity, the share of usable months and the first symbol that breaches; each is one row."""
         bars = staged(X.vbars(self.spark, self.sf).where("venue = 'native'").select("symbol", "timestamp_ms", "open", "high", "low", "close", "volume", "source"))
         weights = bars.groupBy("symbol", month_key(F.col("timestamp_ms")).alias("month")).agg(F.lit(1.0).alias("weight_final"), (F.count(F.lit(1)) >= 24).alias("supervised_eligible"))
         parity = S.parity(bars, S.build(bars, weights, horizon=2, interval_ms=DAY, fee=FEE, combined=False)).select("parity")
@@ -114,7 +122,8 @@ class Evaluation:
         listed = bars.select("symbol").distinct().select(F.lit("native").alias("dataset"), "symbol", F.lit(True).alias("has_pair"), F.lit(True).alias("has_file"))
         report = Q.coverage_report(bars.withColumn("dataset", F.lit("native")), listed, interval_ms=DAY).where("symbol <> '*'")
         breach = I.first_breach(report, max_gaps=MAX_GAPS, min_coverage=MIN_COVERAGE).select("breach")
-        out = self.summary.where("scope = 'global'").withColumn("_one", F.lit(1))
+        scored = M.total_metrics(self.preds.where("scope = 'global'"), threshold=GATE_TH, fee=FEE, order=ORDER)
+        out = M.summary(scored).withColumn("_one", F.lit(1))
         for one in (parity, rate, breach):
             out = out.join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one", "left")
         return staged(out.drop("_one"))
@@ -289,14 +298,30 @@ def pnl_breakdown(spark, sf):
     return six(J.pnl_breakdown(Evaluation(spark, sf).trades), "net_pnl", "avg_pnl", "win_rate")
 
 
-CONFIGS = [(0.5, 1, 0.002), (0.6, 2, 0.003), (0.8, 5, 0.001)]
+CONFIGS = [(0.5, 1, 0.002, 0), (0.6, 2, 0.003, 0), (0.8, 5, 0.001, 0), (0.6, 2, 0.003, 5 * DAY)]
+
+VIEWS |= {
+    "scfg": f"SELECT * FROM (VALUES {', '.join(f'({i}, {t}::DOUBLE, {k}, {c}::DOUBLE, {h}::BIGINT)' for i, (t, k, c, h) in enumerate(CONFIGS))}) v(config, threshold, k, cost, hold_ms)",
+    "scand": "SELECT c.*, symbol, timestamp_ms, row_key, probability, forward_return FROM preds p, scfg c WHERE probability >= threshold",
+    "stimes": "SELECT config, hold_ms, symbol, timestamp_ms, row_number() OVER (PARTITION BY config, symbol ORDER BY timestamp_ms) AS n FROM (SELECT DISTINCT config, hold_ms, symbol, timestamp_ms FROM scand WHERE hold_ms > 0)",
+    "sholds": """SELECT config, hold_ms, symbol, n, timestamp_ms, timestamp_ms AS last_ms, true AS ok FROM stimes WHERE n = 1 UNION ALL SELECT c.config, c.hold_ms, c.symbol, c.n, c.timestamp_ms,
+      CASE WHEN c.timestamp_ms >= h.last_ms + c.hold_ms THEN c.timestamp_ms ELSE h.last_ms END, c.timestamp_ms >= h.last_ms + c.hold_ms FROM sholds h JOIN stimes c ON c.config = h.config AND c.symbol = h.symbol AND c.n = h.n + 1""",
+    "sopen": "SELECT c.* FROM scand c WHERE hold_ms = 0 OR EXISTS (SELECT 1 FROM sholds h WHERE h.ok AND h.config = c.config AND h.symbol = c.symbol AND h.timestamp_ms = c.timestamp_ms)",
+    "srank": "SELECT *, row_number() OVER (PARTITION BY config, timestamp_ms ORDER BY probability DESC, symbol, row_key) AS r FROM sopen",
+    "strade": "SELECT *, 1000 * (1 + forward_return) * (1 - cost) - 1000 * (1 + cost) AS pnl FROM srank WHERE r <= k",
+    "scurve0": f"SELECT config, timestamp_ms + {2 * DAY} AS exit_ms, sum(pnl) AS pnl FROM strade GROUP BY 1, 2",
+    "scurve1": "SELECT *, 100000 + sum(pnl) OVER (PARTITION BY config ORDER BY exit_ms ROWS UNBOUNDED PRECEDING) AS equity FROM scurve0",
+    "scurve": "SELECT *, (top - equity) / top AS drawdown_pct FROM (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY config ORDER BY exit_ms ROWS UNBOUNDED PRECEDING)) AS top FROM scurve1)",
+}
 
 
-@query(f"""WITH cfg AS (SELECT * FROM (VALUES {', '.join(f'({i}, {t}::DOUBLE, {k}, {c}::DOUBLE)' for i, (t, k, c) in enumerate(CONFIGS))}) v(config, threshold, k, cost)),
-  rk AS (SELECT c.*, p.forward_return, row_number() OVER (PARTITION BY config, timestamp_ms ORDER BY probability DESC, symbol, row_key) AS r FROM preds p, cfg c WHERE probability >= threshold)
-  SELECT config, threshold, k, cost, count(*) AS trades, round(sum(1000 * (1 + forward_return) * (1 - cost) - 1000 * (1 + cost)), 6) AS net_pnl FROM rk WHERE r <= k GROUP BY 1, 2, 3, 4""")
+@query(f"""SELECT config, threshold, k, cost, hold_ms, trades, round(net_pnl, 6) AS net_pnl, round(win_rate, 6) AS win_rate, round(equity, 6) AS equity, round(max_drawdown_pct, 6) AS max_drawdown_pct,
+  round(CASE WHEN span >= {DAY} AND equity > 0 THEN pow(equity / 100000, {J.YEAR_MS}::DOUBLE / span) - 1 END, 6) AS annualized_return
+  FROM (SELECT config, threshold, k, cost, hold_ms, count(*) AS trades, sum(pnl) AS net_pnl, avg((pnl > 0)::INT) AS win_rate FROM strade GROUP BY ALL)
+  JOIN (SELECT config, arg_max(equity, exit_ms) AS equity, max(drawdown_pct) AS max_drawdown_pct, max(exit_ms) - min(exit_ms) AS span FROM scurve GROUP BY 1) USING (config)""")
 def param_sweep(spark, sf):
-    return six(J.sweep(Evaluation(spark, sf).preds, CONFIGS, notional=1000.0), "net_pnl")
+    out = J.sweep(staged(Evaluation(spark, sf).preds), CONFIGS, notional=1000.0, capital=100_000.0, horizon_ms=2 * DAY)
+    return six(out, "net_pnl", "win_rate", "equity", "max_drawdown_pct", "annualized_return")
 
 
 for _name, _f in list(QUERIES.items()):

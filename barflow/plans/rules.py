@@ -201,6 +201,14 @@ def reconcile(spark, sf):
     return six(L.reconcile(positions, balances, now_ms=NOW), "new_qty", "avg_entry_price")
 
 
+@query("""SELECT account, round(cash, 6) AS old_cash, round(CASE WHEN cash <= a + 1e-9 THEN cash ELSE greatest(0, a) END, 6) AS new_cash, cash > a + 1e-9 AS capped
+  FROM (SELECT c_nationkey AS account, cash, coalesce(a, 0) AS a FROM (SELECT c_nationkey, sum(abs(c_acctbal)) / 12 AS cash FROM customer GROUP BY 1) LEFT JOIN (SELECT s_nationkey AS c_nationkey, sum(s_acctbal - s_suppkey % 3) AS a FROM supplier GROUP BY 1) USING (c_nationkey))""")
+def cash_cap(spark, sf):
+    books = A.read_table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("account")).agg((F.sum(F.abs("c_acctbal")) / 12).alias("cash"))
+    balances = A.read_table(spark, sf, "supplier").select(F.col("s_nationkey").alias("account"), F.col("s_acctbal").alias("amount"), (F.col("s_suppkey") % 3).alias("hold"))
+    return six(L.cap_books(books, balances), "old_cash", "new_cash")
+
+
 @query("SELECT day, round(p, 6) AS realized_pnl, round(p, 6) <= -50 AS breach FROM (SELECT strftime(epoch_ms(filled_ms), '%Y-%m-%d') AS day, sum(realized_pnl) AS p FROM replay GROUP BY 1)")
 def daily_pnl(spark, sf):
     return six(L.daily_pnl(Rules(spark, sf).replay, cap=50.0), "realized_pnl")

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from barflow.operators import folds as H
 from barflow.operators import metrics as M
@@ -65,3 +66,31 @@ def test_topk_keeps_rejected_rows(spark):
     df = spark.createDataFrame([(1, "a", 0.7), (1, "b", 0.69), (1, "c", 0.7), (2, "a", 0.1)], "timestamp_ms bigint, symbol string, probability double")
     out = {(r.timestamp_ms, r.symbol): r.outcome for r in J.topk_per_bar(df, k=1).collect()}
     assert out == {(1, "a"): "accepted", (1, "b"): "capacity", (1, "c"): "capacity", (2, "a"): "accepted"}
+
+
+def test_holds_of_many_blocks_equal_a_loop(spark):
+    times = [t * 3 % 1009 for t in range(1009)]
+    df = spark.createDataFrame([("A", 2, t) for t in times] + [("B", 5, t) for t in times], "symbol string, h bigint, timestamp_ms bigint")
+    got = {(r.symbol, r.timestamp_ms) for r in J.non_overlapping(df, horizon_ms=F.col("h"), keys=("symbol", "h"), block=7).collect()}
+    want = {("A", t) for t in range(0, 1009, 2)} | {("B", t) for t in range(0, 1009, 5)}
+    assert got == want
+
+
+def test_sweep_holds_before_the_best_of_a_bar(spark):
+    rows = [("A", 0, 0.9, 0.1, "a"), ("B", 0, 0.8, -0.2, "b"), ("A", 1, 0.9, 0.1, "c"), ("B", 1, 0.7, 0.1, "d"), ("A", 5, 0.6, 0.1, "e")]
+    df = spark.createDataFrame(rows, "symbol string, timestamp_ms bigint, probability double, forward_return double, row_key string")
+    configs = [(0.5, 1, 0.0, 0), (0.5, 1, 0.0, 5), (0.75, 2, 0.0, 0), (0.99, 1, 0.0, 0)]
+    out = {r.config: r for r in J.sweep(df, configs, notional=100.0, capital=1000.0, horizon_ms=2).collect()}
+    assert {c: (r.trades, round(r.net_pnl, 6), round(r.equity, 6)) for c, r in out.items()} == {0: (3, 30.0, 1030.0), 1: (2, 20.0, 1020.0), 2: (3, 0.0, 1000.0)}
+    assert out[0].win_rate == 1.0 and out[0].annualized_return is None and abs(out[2].max_drawdown_pct - 0.01) < 1e-12
+    assert J.sweep(df.limit(0), configs, notional=100.0, capital=1000.0, horizon_ms=2).count() == 0
+
+
+def test_total_metrics_are_the_coarsest_rows_of_fold_metrics(spark):
+    rows = [(f, "w", "global", "AB"[i % 2], i // 2, "native" if i % 3 else "x", i % 2, (i * 7 % 11 - 5) / 50, (i * 5 % 13) / 13, str(i)) for f in (1, 2) for i in range(40)]
+    preds = spark.createDataFrame(rows, PREDS)
+    spec = {"threshold": 0.4, "fee": 0.001, "order": ["timestamp_ms", "symbol", "row_key"]}
+    mine = M.total_metrics(preds, **spec)
+    other = M.fold_metrics(preds.withColumn("real", F.col("symbol")), **spec | {"order": ["timestamp_ms", "real", "row_key"]}).where("symbol = '*' and split = 'all'")
+    flat = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*sorted(mine.columns)).collect())
+    assert flat(mine) == flat(other) and mine.count() == 2

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "ohlcv_bars", "lenient_scan", "gap_repair", "coverage_report", "missing_windows", "universe_resolve", "pair_resolve", "quote_suffix", "overlap_obs", "conversion_context", "asof_nearest",
     "combined_bars", "calibrate_weights", "snapshot_rows", "feat_rsi", "feat_zscore", "feat_ema", "fold_assign", "skip_reasons", "fold_metrics", "promotion_record", "param_sweep",
-    "indicator_snapshot", "decisions", "position_replay", "reconcile", "error_streaks", "fill_normalize",
+    "indicator_snapshot", "decisions", "position_replay", "reconcile", "cash_cap", "gate_metrics", "error_streaks", "fill_normalize",
 ]
 
 

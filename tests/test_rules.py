@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from barflow.operators import attribution, calibrate, features, folds, learn, normalize, quality, snapshot
+from barflow.operators import attribution, calibrate, features, folds, learn, ledger, normalize, quality, snapshot
 from barflow.sources import tables
 
 DAY = 86_400_000
@@ -170,8 +170,13 @@ def test_drawdown_across_buckets_equals_one_pass(spark):
 
 
 def test_cash_cap_and_slippage_breach(spark):
-    from barflow.operators import ledger
-
     df = spark.createDataFrame([(5.0, 10.0), (12.0, 10.0), (12.0, -1.0)], "cash double, available double")
     assert [r[0] for r in df.select(ledger.cap_cash(F.col("cash"), F.col("available"))).collect()] == [5.0, 10.0, 0.0]
     assert [r[0] for r in df.select(ledger.slippage_breach(F.col("cash") / 100, 0.1)).collect()] == [False, True, True]
+
+
+def test_books_without_a_balance_are_capped_at_nothing(spark):
+    books = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("c", 5.0)], "account string, cash double")
+    balances = spark.createDataFrame([("a", 4.0, 1.0), ("a", 3.0, 1.0), ("b", 4.0, 1.0)], "account string, amount double, hold double")
+    out = {r.account: (r.new_cash, r.capped) for r in ledger.cap_books(books, balances).collect()}
+    assert out == {"a": (5.0, False), "b": (3.0, True), "c": (0.0, True)}
