@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, line_dedup, ngram_join, quality, secrets, sentencepiece_viterbi, token_files, warc
+from . import chat, decontaminate, embeddings, line_dedup, negatives, ngram_join, quality, repeats, secrets, sentencepiece_viterbi, spelling, token_files, warc
 from .common import load
 
 
@@ -65,6 +65,21 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(load(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents"), noise=31)
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(load(spark, sf_dir, "documents"))
+    kept = (F.col("n_bytes") - F.octet_length("kept")).cast("bigint")
+    return done.select("doc_id", "n_bytes", kept.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,13 +89,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_secret_scan, op2_quality_classifier, op3_chat_formatting, op4_sentencepiece, op5_decontamination, op6_token_files,
-        op7_ngram_join, op8_line_dedup, op9_warc, op10_embedding_near_dedup, pipeline,
+        op7_ngram_join, op8_line_dedup, op9_warc, op10_embedding_near_dedup, op11_hard_negatives, op12_spelling_variants, op13_suffix_dedup, pipeline,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": CHAT_SQL, "op7_ngram_join": JACCARD_SQL, "op10_embedding_near_dedup": COSINE_SQL}
+    return {"op3_chat_formatting": CHAT_SQL, "op7_ngram_join": JACCARD_SQL, "op10_embedding_near_dedup": COSINE_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_spelling_variants": VARIANTS_SQL}
 
 
 CHAT_SQL = r"""
@@ -124,3 +139,51 @@ WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddi
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS kept
 FROM (SELECT node AS vec_id, min(r) AS component_id FROM reach GROUP BY 1) LEFT JOIN per ON u = vec_id
 """
+
+NEGATIVES_SQL = """
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+VARIANTS_SQL = r"""
+WITH RECURSIVE bits AS (  -- CRC-32, byte by byte: what eight shifts make of each byte
+  SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS t(b)
+), lut AS (SELECT list(c ORDER BY b) AS t FROM bits
+), runs AS (
+  SELECT doc_id, w, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM documents
+  ) WHERE length(w) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT w, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(s)) + 1), lambda i: ('0x' || substr(hex(encode(s)), (2 * i - 1)::INT, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT w, k, doc_id || ':' || w AS s FROM runs), lut
+), words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT k, CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM hashed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), holes AS (  -- each word as it is, and with each of its code points gone: near words meet in one of these
+  SELECT word, 0 AS i, word AS s FROM words
+  UNION ALL SELECT word, i, left(word, i - 1) || substr(word, i + 1) FROM words, unnest(range(1, length(word) + 1)) AS t(i)
+), near AS (
+  SELECT DISTINCT a.word AS u, b.word AS v FROM holes a JOIN holes b ON a.s = b.s AND a.word <> b.word
+  WHERE a.i = b.i OR (a.i = 0) <> (b.i = 0)
+), best AS (
+  SELECT u AS word, count(*) AS n_near, min((-n, v)) AS m FROM near JOIN words ON words.word = v GROUP BY u
+), known AS (
+  SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -m[1] >= 10 * n THEN m[2] END AS form, CASE WHEN -m[1] >= 10 * n THEN -m[1] END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), way AS (
+  SELECT word, word AS root, form AS next FROM known UNION ALL SELECT way.word, k.word, k.form FROM way JOIN known k ON k.word = way.next
+)
+SELECT k.word, n, n_near, form, form_n, root FROM known k JOIN way ON k.word = way.word WHERE way.next IS NULL
+"""
