@@ -309,6 +309,7 @@ def remove_repeats(
     # Equal texts: the first stands for all, the others are passed over.
     each = texts.select("batch", F.posexplode("digests").alias("at", "digest"))
     several = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("batch", "at")).alias("first")).where("n > 1")
+    several = written(several, "several")  # a table of its own, so that the join can split a hot digest
     copies = each.join(several, "digest").groupBy("batch").agg(
         F.collect_list("at").alias("copied"), F.collect_list(F.when(F.struct("batch", "at") != F.col("first"), F.col("at"))).alias("passed")
     )
