@@ -27,6 +27,8 @@ from .words import Table, cut, gather
 SPACE = "▁"
 #: Marks where texts are cut, and what stands for it in a text that holds it.
 CUT, CUT_TEXT = "\x01", "\U0010fffd"
+#: Words above so many characters are cut where no piece spans; parts above WINDOW go by windows.
+LONG, WINDOW, OVERLAP = 48, 512, 128
 FREE, HALF, SLOTS = -(1 << 40), 1 << 21, 1 << 21
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -76,6 +78,9 @@ class Pieces:
         # Characters that no longer piece holds never merge: texts are cut around them.
         inner = set("".join(t for t in self.by_text if len(t) > 1))
         self.cut_lines = "\n" not in inner
+        # Nor do neighbours that no piece holds side by side: long words are cut there. Runs of unknown characters stay together
+        # where they are one piece.
+        self.pairs = {t[i : i + 2] for t in self.by_text for i in range(len(t) - 1)} if self.byte_ids[0] >= 0 else None
         if any(SPACE in t.lstrip(SPACE) for t in self.by_text):
             raise ValueError("a piece holds a space after another character")
 
@@ -189,6 +194,35 @@ def _admissible(p: Pieces, before: np.ndarray, piece: np.ndarray, known: np.ndar
     return out
 
 
+def _stitched(p: Pieces, word: str) -> np.ndarray | None:
+    """Raw piece ids of a very long word from windows of one length that overlap, all in one pass; None where they don't meet.
+
+    Merges are decided between neighbours: if every two neighbouring pieces are what merging gives, the whole is. So windows may
+    be joined at a piece that both hold in the same place. Best sums of scores have no such property.
+    """
+    if p.unigram:
+        return None
+    starts = [*range(0, len(word) - WINDOW, WINDOW - OVERLAP), len(word) - WINDOW]
+    ids, count = _viterbi(p, [word[a : a + WINDOW] for a in starts])
+    out: list[np.ndarray] = []
+    left, reached = 0, np.zeros(0, np.int64)  # pieces of the window before from here on, and their places
+    before = np.zeros(0, np.int64)
+    for a, part in zip(starts, np.split(ids, np.cumsum(count)[:-1]), strict=True):
+        size = np.fromiter((len(p.texts[i]) if i >= 0 else 1 for i in part.tolist()), np.int64, len(part))
+        places = a + np.cumsum(size) - size
+        if not len(before):
+            left, before, reached = 0, part, places
+            continue
+        _, x, y = np.intersect1d(reached, places, assume_unique=True, return_indices=True)
+        same = (before[x] == part[y]) & (x >= left)
+        if not same.any():
+            return None
+        k = int(np.argmax(same))
+        out.append(before[left : x[k] + 1])
+        left, before, reached = int(y[k]) + 1, part, places
+    return np.concatenate([*out, before[left:]])
+
+
 class Encoder:
     """Encodes texts word by word; results of words are kept in a bounded cache of flat arrays."""
 
@@ -197,18 +231,33 @@ class Encoder:
         self.pattern = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if pieces.cut_lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.table = Table(np.int32)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], whole: bool = False) -> None:
+        """Store the pieces of words; long ones (texts without spaces) are put together from their parts."""
         by_length: dict[int, list[str]] = {}
+        long: list[tuple[str, list[str]]] = []
         for w in words:
             if not w:
                 self.table.add([w], np.zeros(0, np.int64), np.zeros(1, np.int64))
-                continue
-            by_length.setdefault(len(w), []).append(w)
+            elif len(w) > LONG and not whole and self.p.pairs is not None:
+                ends = [0, *(i for i in range(1, len(w)) if w[i - 1 : i + 1] not in self.p.pairs), len(w)]
+                long.append((w, [w[a:b] for a, b in zip(ends, ends[1:], strict=False)]))
+            elif len(w) > WINDOW and (stitched := _stitched(self.p, w)) is not None:
+                self._store([w], stitched, np.array([len(stitched)]))
+            else:
+                by_length.setdefault(len(w), []).append(w)
+        own = {w for w, parts in long if len(parts) == 1}
+        if long:
+            self._learn(sorted(own | set(self.table.missing(list(dict.fromkeys(x for w, parts in long if w not in own for x in parts))))), whole=True)
         for n, group in sorted(by_length.items()):
+            group = self.table.missing(group)  # a part may have been a word too
             step = max(1, self.rows // n)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 self._store(part, *_viterbi(self.p, part))
+        for w, parts in long:
+            if w not in own:
+                starts, size = self.table.spans(self.table.places(parts))
+                self.table.add([w], gather(self.table.flat, starts, size), np.array([size.sum()]))
 
     def _store(self, words: list[str], ids: np.ndarray, count: np.ndarray) -> None:
         if (ids < 0).any():
