@@ -271,14 +271,15 @@ def _linked(
     known = classes.select("digest", "rep", "weight", "n_words")
     members = members.join(known, "digest")
     grouped = written(groups.withColumnRenamed("node", "digest").join(known, "digest"), "grouped")
-    # One text for each (id, hash), however often the row is repeated. Texts are joined by sort-merge at every size, on the keys
-    # that they are grouped by: neither side is bounded.
-    keys = lambda id, h: [h.alias("k_h"), F.coalesce(id, F.lit(0)).alias("k_id"), id.isNull().alias("k_none")]
-    by = ["k_h", "k_id", "k_none"]
-    texts = docs.where(F.col(text_col).isNotNull()).select(*keys(F.col(id_col).cast("bigint"), F.xxhash64(text_col)), F.col(text_col).alias("text"))
-    texts = texts.groupBy(*by).agg(F.first("text").alias("text"))
-    chosen = grouped.select("digest", "weight", "component", *keys(F.col("rep.id"), F.col("rep.h")))
-    found = texts.join(chosen.hint("merge"), by).select("text", "digest", "weight", "component")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    # Texts are joined by sort-merge at every size: neither side is bounded. Of a row that is repeated one text is taken.
+    repeated = written(rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.struct(F.col("id").isNull().alias("none"), "id", "h").alias("rep"), F.lit(True).alias("many")), "repeated")
+    chosen = grouped.join(repeated, "rep", "left").select("digest", "weight", "component", F.col("rep.id").alias("rep_id"), F.col("rep.h").alias("rep_h"), F.coalesce("many", F.lit(False)).alias("many"))
+    match = (F.col("h") == F.col("rep_h")) & F.col("id").eqNullSafe(F.col("rep_id"))
+    found = texts.join(chosen.where("not many").hint("merge"), match).select("text", "digest", "weight", "component")
+    if not repeated.isEmpty():
+        again = texts.join(chosen.where("many").hint("merge"), match).groupBy("digest").agg(*(F.first(c).alias(c) for c in ("text", "weight", "component")))
+        found = found.unionByName(again)
     sets = written(_sets(found, ["digest", "weight", "component"]), "sets")
     # Small groups share units of work; larger ones are dealt into chunks, and each pair of chunks is a block. Groups of more
     # than most_chunks chunks are taken apart into their nodes, which are dealt alike.
