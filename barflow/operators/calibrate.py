@@ -96,9 +96,17 @@ def weight_shrinkage(rows: DataFrame, *, lo: float = 0.20, hi: float = 0.80, def
     return joined.withColumn("weight_final", F.when(F.col("quality_pass") & (F.col("overlap_rows") >= min_rows), mixed).otherwise(F.lit(guard)))
 
 
-def eligibility(rows: DataFrame, *, min_rows: int, max_ape: float) -> DataFrame:
-    """Direct months; months without overlap carry the last direct one forward, else the next one backward; others are blocked."""
-    need = max(250, min_rows // 4) if min_rows >= 1000 else min_rows
+#: Fixed value: least overlap of a month that may be trained on, whatever the quality rule asks for.
+LEAST_OVERLAP = 250
+
+
+def eligibility(rows: DataFrame, *, min_rows: int, max_ape: float, least_rows: int = LEAST_OVERLAP) -> DataFrame:
+    """Direct months; months without overlap carry the last direct one forward, else the next one backward; others are blocked.
+
+    A direct month has a quarter of the quality rule's ``min_rows``, and ``least_rows`` in any case; series coarser than the
+    15-minute grid that the default is made for pass one that their months can meet.
+    """
+    need = max(least_rows, max(1, min_rows // 4))
     direct = (F.col("overlap_rows") >= need) & (F.col("median_ape_close") <= max_ape) & (F.col("ret_corr") >= 0.30)
     w = Window.partitionBy("symbol").orderBy("month")
     anchor = F.when(direct, F.col("month"))

@@ -132,6 +132,9 @@ def ema_ratios(rows: DataFrame) -> DataFrame:
     return out.withColumns({f"ema_ratio_{a}_{b}": ratio(a, b) for a, b in EMA_PAIRS}).drop(*(f"_ema_{s}" for p in EMA_PAIRS for s in p))
 
 
+WEIGHT_FEATURES = {"effective_monthly_weight": "effective_monthly_weight", "supervised_row_weight": "supervised_row_weight_feature"}
+
+
 def feature_table(rows: DataFrame, external_close: DataFrame, native_close: DataFrame, rates: DataFrame, *, with_ema: bool = True) -> DataFrame:
     """All features as float32 with 0 for nulls, over all rows; then only the trainable ones. One ordering serves all windows.
 
@@ -143,7 +146,10 @@ def feature_table(rows: DataFrame, external_close: DataFrame, native_close: Data
         wide = ema_ratios(wide)
     wide = with_base(wide).withColumns({"_er": n_bar_return("ext_close", 1), "_basis": basis_level(F.col("fx_rate"))})
     columns = returns() | trend() | volatility() | volume() | rsi() | distance() | source_flags() | external() | native() | basis()
+    # The weights are features too, the row's own under another name than the weight that fits use.
+    columns |= {new: F.col(old).cast("double") for old, new in WEIGHT_FEATURES.items() if old in rows.columns and new not in rows.columns}
     made = wide.withColumns(columns)
-    names = [*columns, *(f"ema_ratio_{a}_{b}" for a, b in EMA_PAIRS if with_ema)]
-    keep = [c for c in ("symbol", "timestamp_ms", "source", "y", "forward_return", "supervised_row_weight", "effective_monthly_weight") if c in rows.columns]
+    weights = [new for old, new in WEIGHT_FEATURES.items() if old in rows.columns]
+    names = [*dict.fromkeys([*columns, *weights]), *(f"ema_ratio_{a}_{b}" for a, b in EMA_PAIRS if with_ema)]
+    keep = [c for c in ("symbol", "timestamp_ms", "source", "y", "forward_return", "supervised_row_weight") if c in rows.columns]
     return made.where("row_status = 'trainable'").select(*keep, *(clean(F.col(n)).alias(n) for n in names))

@@ -23,10 +23,16 @@ def full_months(rows: DataFrame, *, interval_ms: int, ts: str = "timestamp_ms")
 
 
 def walk_forward_folds(months: DataFrame, *, train: int, valid: int, step: int, last: int) -> DataFrame:
-    """The last folds that fit, numbered from 1. The months are few: they are counted in one row."""
+    """The last folds that fit, numbered from 1; fewer full months than a fold needs are an error when the result is used.
+
+    The months are few: they are counted in one row.
+    """
+    if min(train, valid, step, last) <= 0:
+        raise ValueError("walk-forward windows, step and folds must be above 0")
     span = months.agg(F.min("month").alias("first"), F.count(F.lit(1)).alias("n"))
-    total = F.floor((F.col("n") - train - valid) / step) + 1
-    folds = span.where(F.col("n") >= train + valid).select("first", total.alias("total"), F.explode(F.sequence(F.lit(0).cast("bigint"), total - 1)).alias("k"))
+    short = F.raise_error(F.concat(F.lit("insufficient full months for walk-forward folds: have="), F.col("n").cast("string"), F.lit(f" need>={train + valid}")))
+    total = F.when(F.col("n") >= train + valid, F.floor((F.col("n") - train - valid) / step) + 1).otherwise(short.cast("bigint"))
+    folds = span.select("first", total.alias("total")).select("first", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1)).alias("k"))
     at = lambda months_on: add_months(F.col("first"), (F.col("k") * step + months_on).cast("int"))
     kept = folds.where(F.col("k") >= F.col("total") - last)
     number = F.col("k") - F.greatest(F.col("total") - last, F.lit(0)) + 1
@@ -81,8 +87,13 @@ def fold_audit(assigned: DataFrame) -> DataFrame:
     return counts.groupBy("fold_index").agg(*(of(r, None).alias(f"{r}_rows") for r in ("train", "valid")), *(of(r, s).alias(f"{r}_{s}") for r in ("train", "valid") for s in tags))
 
 
-def scenario_status(reasons: DataFrame) -> DataFrame:
-    """trained if every fold is there, partial if some are, else skipped."""
+def scenario_status(reasons: DataFrame, *, required: str | None = None) -> DataFrame:
+    """trained if every fold is there, partial if some are, else skipped. A fold of the ``required`` scenario that has to be
+    skipped is an error when the result is used."""
+    if required is not None:
+        missed = (F.col("scenario") == required) & F.col("reason").isNotNull()
+        said = F.concat(F.lit("fold="), F.col("fold_index").cast("string"), F.lit(f" scenario={required} "), F.col("reason"))
+        reasons = reasons.withColumn("reason", F.when(missed, F.raise_error(said).cast("string")).otherwise(F.col("reason")))
     agg = reasons.groupBy("scenario").agg(F.count(F.lit(1)).alias("folds"), F.count_if(F.col("reason").isNull()).alias("completed"))
     status = F.when(F.col("completed") == F.col("folds"), "trained").when(F.col("completed") > 0, "partial").otherwise("skipped")
     return agg.withColumn("status", status)

@@ -6,48 +6,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import latest
+from .ordered import prefix_sums
 from .recurrence import linear_recurrence
 
 FLAT = 1e-12
 
 
+def _cells() -> list[Column]:
+    """Fills of a symbol lie in cells of 512 numbers, 512 of which are a coarser cell."""
+    return [F.floor(F.col("seq") / (1 << 18)).cast("bigint"), F.floor(F.col("seq") / (1 << 9)).cast("bigint")]
+
+
+def _signed() -> Column:
+    return F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
+
+
+def _cash() -> Column:
+    value = F.col("qty") * F.col("price")
+    return F.when(F.col("side") == "buy", -(value + F.col("fee"))).otherwise(value - F.col("fee"))
+
+
+def _flat(q: Column) -> Column:
+    return F.when(F.abs(q) <= FLAT, 0.0).otherwise(q)
+
+
 def position_replay(fills: DataFrame) -> DataFrame:
     """Quantity, fee-capitalised average cost and realised profit after each fill.
 
     Quantity is a running sum. The cost basis C is a linear recurrence: a purchase adds qty * price + fee, a sale keeps the
-    share 1 - f / q of it. Profit of a sale is proceeds - fee - average cost before it times the quantity sold.
+    share 1 - f / q of it. Profit of a sale is proceeds - fee - average cost before it times the quantity sold. Both are put
+    together over cells of fills, so that a symbol's fills are never ordered as a whole.
     """
-    w = Window.partitionBy("symbol").orderBy("seq")
     buy = F.col("side") == "buy"
-    signed = F.when(buy, F.col("qty")).otherwise(-F.col("qty"))
-    rows = fills.withColumn("_q", F.sum(signed).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("position_qty", F.when(F.abs(F.col("_q")) <= FLAT, 0.0).otherwise(F.col("_q"))).withColumn("_before", F.coalesce(F.lag("position_qty").over(w), F.lit(0.0)))
+    rows = prefix_sums(fills, ["symbol"], _cells(), ["seq"], {"_q": _signed()})
+    rows = rows.withColumns({"_before": _flat(F.col("_q")), "position_qty": _flat(F.col("_q") + _signed())})
     a = F.when(buy, 1.0).when((F.col("position_qty") == 0) | (F.col("_before") <= 0), 0.0).otherwise(1 - F.col("qty") / F.col("_before"))
     b = F.when(buy, F.col("qty") * F.col("price") + F.col("fee")).otherwise(0.0)
-    done = linear_recurrence(rows, ["symbol"], ["seq"], a, b, "_cost")
-    before = F.coalesce(F.lag("_cost").over(w), F.lit(0.0))
-    done = done.withColumn("_cost_before", before)
+    done = linear_recurrence(rows, ["symbol"], ["seq"], a, b, "_cost", span=512, before=True)
     avg_before = F.when(F.col("_before") > 0, F.col("_cost_before") / F.col("_before")).otherwise(0.0)
     pnl = F.when(~buy, F.col("qty") * F.col("price") - F.col("fee") - avg_before * F.col("qty")).otherwise(0.0)
     avg = F.when(F.col("position_qty") > 0, F.col("_cost") / F.col("position_qty")).otherwise(0.0)
-    cash = F.when(buy, -(F.col("qty") * F.col("price") + F.col("fee"))).otherwise(F.col("qty") * F.col("price") - F.col("fee"))
-    return done.withColumns({"avg_entry_price": avg, "realized_pnl": pnl, "cash_delta": cash}).drop("_q", "_before", "_cost", "_cost_before")
+    return done.withColumns({"avg_entry_price": avg, "realized_pnl": pnl, "cash_delta": _cash()}).drop("_q", "_before", "_cost", "_cost_before")
 
 
 def fill_violations(fills: DataFrame, *, cash: float) -> DataFrame:
     """Oversold, non-positive quantity or price, negative fee, and negative cash (per symbol account), as rows."""
-    w = Window.partitionBy("symbol").orderBy("seq")
-    buy = F.col("side") == "buy"
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    qty = F.sum(F.when(buy, F.col("qty")).otherwise(-F.col("qty"))).over(running)
-    left = cash + F.sum(F.when(buy, -(F.col("qty") * F.col("price") + F.col("fee"))).otherwise(F.col("qty") * F.col("price") - F.col("fee"))).over(running)
-    rows = fills.withColumns({"_q": qty, "_cash": left})
+    rows = prefix_sums(fills, ["symbol"], _cells(), ["seq"], {"_q": _signed(), "_cash": _cash()})
     rules = F.array(
-        F.when(F.col("_q") < -FLAT, "oversell"),
+        F.when(F.col("_q") + _signed() < -FLAT, "oversell"),
         F.when(F.col("qty") <= 0, "quantity"),
         F.when(F.col("price") <= 0, "price"),
         F.when(F.col("fee") < 0, "fee"),
-        F.when(F.col("_cash") < 0, "negative_cash"),
+        F.when(cash + F.col("_cash") + _cash() < 0, "negative_cash"),
     )
     return rows.select("symbol", "seq", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("violation"))
 
@@ -60,10 +70,9 @@ def totals(replayed: DataFrame) -> DataFrame:
 
 def position_times(fills: DataFrame) -> DataFrame:
     """Entry time (first purchase since the position was flat) and last exit (time of the last full close) per symbol."""
-    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    q = F.sum(F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))).over(w)
-    rows = fills.withColumn("_flat", (F.abs(q) <= FLAT).cast("int"))
-    island = rows.withColumn("_island", F.sum("_flat").over(w) - F.col("_flat"))
+    rows = prefix_sums(fills, ["symbol"], _cells(), ["seq"], {"_q": _signed()})
+    rows = rows.withColumn("_flat", (F.abs(F.col("_q") + _signed()) <= FLAT).cast("int"))
+    island = prefix_sums(rows, ["symbol"], _cells(), ["seq"], {"_island": F.col("_flat")})
     per = island.groupBy("symbol", "_island").agg(F.min_by("filled_ms", F.when(F.col("side") == "buy", F.col("seq"))).alias("entry_ms"), F.max("_flat").alias("closed"), F.max_by("filled_ms", "seq").alias("end_ms"))
     agg = per.groupBy("symbol").agg(F.max_by(F.struct("entry_ms", "closed"), "_island").alias("x"), F.max_by("end_ms", F.when(F.col("closed") == 1, F.col("_island"))).alias("last_exit_ms"))
     return agg.select("symbol", F.when(F.col("x.closed") == 0, F.col("x.entry_ms")).alias("entry_ms"), "last_exit_ms")
@@ -110,13 +119,19 @@ def daily_pnl(replayed: DataFrame, *, cap: float) -> DataFrame:
 
 
 def error_streaks(cycles: DataFrame, *, limit: int, warn: int = 2) -> DataFrame:
-    """Running error count per cycle: failing cycles add theirs, successes and new days begin anew."""
+    """Running error count per cycle: failing cycles add theirs, successes and new days begin anew.
+
+    Where ``cycles`` has a column ``breaches`` (fills of the cycle beyond the slippage guard), each counts as an error of its
+    cycle, which is then no success, and the cycle halts at once.
+    """
+    breaches = F.coalesce(F.col("breaches"), F.lit(0)) if "breaches" in cycles.columns else F.lit(0)
     w = Window.partitionBy("runner", "day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = cycles.withColumn("_island", F.sum(F.col("ok").cast("int")).over(w))
+    fine = F.col("ok") & (breaches == 0)
+    rows = cycles.withColumn("_island", F.sum(fine.cast("int")).over(w))
     run = Window.partitionBy("runner", "day", "_island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    count = F.sum(F.when(F.col("ok"), 0).otherwise(F.col("errors"))).over(run)
+    count = F.sum(F.when(fine, 0).otherwise(F.when(F.col("ok"), 0).otherwise(F.col("errors")) + breaches)).over(run)
     rows = rows.withColumn("consecutive_errors", count)
-    level = F.when(F.col("consecutive_errors") >= limit, "halt").when(F.col("consecutive_errors") >= warn, "warn").otherwise("ok")
+    level = F.when((F.col("consecutive_errors") >= limit) | (breaches > 0), "halt").when(F.col("consecutive_errors") >= warn, "warn").otherwise("ok")
     return rows.select("runner", "day", "seq", "consecutive_errors", level.alias("level"))
 
 

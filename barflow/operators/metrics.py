@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import prefix_sums
+
 #: Fixed value: probabilities stay this far from 0 and 1.
 CLIP = 1e-6
 
@@ -80,10 +82,12 @@ def probability_loss(preds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _by_score(tied: DataFrame, keys: list[str]) -> DataFrame:
-    """Cumulative counts over distinct scores, highest first: windows see scores, not rows, so ties are one step."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return tied.withColumns({"ctp": F.sum("tp").over(w), "cfp": F.sum("fp").over(w), "P": F.sum("tp").over(whole), "N": F.sum("fp").over(whole)})
+    """Cumulative counts over distinct scores, highest first, so that ties are one step. Scores lie in cells of 2^-10 and 2^-20;
+    windows hold cells of a coarser one, or the scores of a fine one."""
+    cell = lambda bits: F.coalesce(-F.floor(F.col("probability") * (1 << bits)).cast("bigint"), F.lit(1 << 60))
+    run = prefix_sums(tied, keys, [cell(10), cell(20)], [F.desc("probability")], {"_tp": F.col("tp"), "_fp": F.col("fp")})
+    whole = tied.groupBy(*keys).agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
+    return run.join(whole, keys).withColumns({"ctp": F.col("_tp") + F.col("tp"), "cfp": F.col("_fp") + F.col("fp")})
 
 
 def _tied(preds: DataFrame, keys: list[str]) -> DataFrame:

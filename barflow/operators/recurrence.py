@@ -2,87 +2,100 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import scan
+
 
-def linear_recurrences(df: DataFrame, keys: list[str], order: list[str], maps: dict[str, tuple[Column, Column]], *, y0: float = 0.0, chunk: int = 512) -> DataFrame:
-    """``df`` plus a column for each (a, b) of ``maps``. The first row of a key sees y0. Rows that tie in ``order`` are ordered arbitrarily.
+def linear_recurrences(
+    df: DataFrame, keys: list[str], order: list[str], maps: dict[str, tuple[Column, ...]], *, y0: float | None = 0.0, chunk: int = 512, span: int | None = None, before: bool = False
+) -> DataFrame:
+    """``df`` plus a column for each (a, b) of ``maps``. The first row of a key sees y0; if that is None, it takes the third
+    column of its map. With ``before`` the value before each row is added too, as ``<name>_before``. Rows that tie in ``order``
+    are ordered arbitrarily.
 
-    1. Rows are numbered per key and dealt into chunks of ``chunk`` rows.
-    2. Each chunk's maps are composed to one affine map (k, b) by a fold over its sorted array.
-    3. The short list of a key's chunk maps is folded to each chunk's carry-in (one row a chunk).
+    1. Rows are numbered within spans of their first order column and dealt into chunks of ``chunk`` rows. Without ``span`` a
+       key is one span, which suits short keys only.
+    2. Each chunk's maps are composed to one map by a fold over its sorted array: affine (k, b), and v, what it makes of no value.
+    3. ``ordered.scan`` composes the maps of all earlier chunks, level by level.
     4. Each chunk is folded again from its carry-in, and its values go back to the rows.
 
-    Chunks are arrays of bounded size, so a hot key is many groups; only the numbering orders a key as a whole. All
-    recurrences share the chunks, so a further one costs no further shuffle.
+    Chunks are arrays of bounded size, so a hot key is many groups. All recurrences share the chunks, so a further one costs no
+    further shuffle.
     """
     outs = list(maps)
     each = range(len(outs))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    coefficients = {f"_{n}{i}": maps[out][j].cast("double") for i, out in enumerate(outs) for j, n in enumerate("ab")}
-    rows = df.withColumns({"_n": F.row_number().over(w)} | coefficients).withColumn("_c", F.floor((F.col("_n") - 1) / chunk))
+    nothing = F.lit(None).cast("double")
+    coefficients = {f"_{n}{i}": (*maps[out], nothing)[j].cast("double") for i, out in enumerate(outs) for j, n in enumerate("abf")}
+    rows = df.withColumn("_t", F.floor(F.col(order[0]) / span).cast("bigint") if span else F.lit(0).cast("bigint"))
+    w = Window.partitionBy(*keys, "_t").orderBy(*order)
+    rows = rows.withColumns({"_n": F.row_number().over(w)} | coefficients)
+    rows = rows.withColumns({"_big": F.floor(F.col("_t") / 256).cast("bigint"), "_s": F.floor((F.col("_n") - 1) / chunk).cast("bigint")})
+    levels = ["_big", "_t", "_s"]
     payload = F.struct("_n", *coefficients, F.struct(*df.columns).alias("row"))
-    chunks = rows.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(payload), lambda x, y: (x["_n"] - y["_n"]).cast("int")).alias("rows"))
-    identity = F.struct(*(F.lit(v).alias(f"{n}{i}") for i in each for n, v in (("k", 1.0), ("b", 0.0))))
-    composed = F.aggregate(
-        "rows",
-        identity,
-        lambda m, r: F.struct(*(x for i in each for x in ((m[f"k{i}"] * r[f"_a{i}"]).alias(f"k{i}"), (m[f"b{i}"] * r[f"_a{i}"] + r[f"_b{i}"]).alias(f"b{i}")))),
-    )
+    chunks = rows.groupBy(*keys, *levels).agg(F.array_sort(F.collect_list(payload), lambda x, y: (x["_n"] - y["_n"]).cast("int")).alias("rows"))
+    identity = F.struct(*(x for i in each for x in (F.lit(1.0).alias(f"k{i}"), F.lit(0.0).alias(f"b{i}"), nothing.alias(f"v{i}"))))
+
+    def joined(m: Column, k: Callable[[int], Column], b: Callable[[int], Column], v: Callable[[int], Column]) -> Column:
+        fields = []
+        for i in each:
+            fields += [
+                (m[f"k{i}"] * k(i)).alias(f"k{i}"),
+                (m[f"b{i}"] * k(i) + b(i)).alias(f"b{i}"),
+                F.when(m[f"v{i}"].isNull(), v(i)).otherwise(m[f"v{i}"] * k(i) + b(i)).alias(f"v{i}"),
+            ]
+        return F.struct(*fields)
+
+    composed = F.aggregate("rows", identity, lambda m, r: joined(m, lambda i: r[f"_a{i}"], lambda i: r[f"_b{i}"], lambda i: r[f"_f{i}"]))
     chunks = chunks.withColumn("_map", composed)
-    folded = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", F.col("_map").alias("m")))).alias("maps"))
-    fields = ",".join(f"y{i}:double" for i in each)
-    values = lambda s: F.struct(*(s[f"y{i}"].alias(f"y{i}") for i in each))
-    begin = F.struct(*(F.lit(float(y0)).alias(f"y{i}") for i in each), F.array().cast(f"array<struct<_c:bigint,y:struct<{fields}>>>").alias("out"))
-    carried = F.aggregate(
-        "maps",
-        begin,
-        lambda s, m: F.struct(
-            *((m["m"][f"k{i}"] * s[f"y{i}"] + m["m"][f"b{i}"]).alias(f"y{i}") for i in each),
-            F.array_append(s["out"], F.struct(m["_c"].alias("_c"), values(s).alias("y"))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    carry = folded.select(*keys, F.explode(carried).alias("c")).select(*keys, F.col("c._c").alias("_c"), F.col("c.y").alias("_carry"))
-    first = F.struct(*(F.col(f"_carry.y{i}").alias(f"y{i}") for i in each), F.array().cast(f"array<struct<{fields}>>").alias("out"))
-    step = lambda s, r, i: (r[f"_a{i}"] * s[f"y{i}"] + r[f"_b{i}"]).alias(f"y{i}")
+    carry = scan(chunks.select(*keys, *levels, "_map"), keys, levels, "_map", identity, lambda m, n: joined(m, lambda i: n[f"k{i}"], lambda i: n[f"b{i}"], lambda i: n[f"v{i}"]))
+    come = lambda i: F.col(f"_carry.v{i}") if y0 is None else F.col(f"_carry.k{i}") * float(y0) + F.col(f"_carry.b{i}")
+    fields = ",".join(f"y{i}:double,p{i}:double" for i in each)
+    first = F.struct(*(come(i).alias(f"y{i}") for i in each), F.array().cast(f"array<struct<{fields}>>").alias("out"))
+
+    def next_(s: Column, r: Column, i: int) -> Column:
+        y = s[f"y{i}"]
+        return F.when(y.isNull(), r[f"_f{i}"]).otherwise(r[f"_a{i}"] * y + r[f"_b{i}"]) if y0 is None else r[f"_a{i}"] * y + r[f"_b{i}"]
+
     found = F.aggregate(
         "rows",
         first,
-        lambda s, r: F.struct(*(step(s, r, i) for i in each), F.array_append(s["out"], F.struct(*(step(s, r, i) for i in each))).alias("out")),
+        lambda s, r: F.struct(
+            *(next_(s, r, i).alias(f"y{i}") for i in each),
+            F.array_append(s["out"], F.struct(*(x for i in each for x in (next_(s, r, i).alias(f"y{i}"), s[f"y{i}"].alias(f"p{i}"))))).alias("out"),
+        ),
         lambda s: s["out"],
     )
-    done = chunks.join(carry, [*keys, "_c"]).select(F.explode(F.arrays_zip(F.col("rows.row").alias("row"), found.alias("y"))).alias("z"))
-    return done.select("z.row.*", *(F.col(f"z.y.y{i}").alias(out) for i, out in enumerate(outs)))
-
-
-def linear_recurrence(df: DataFrame, keys: list[str], order: list[str], a: Column, b: Column, out: str, *, y0: float = 0.0, chunk: int = 512) -> DataFrame:
-    return linear_recurrences(df, keys, order, {out: (a, b)}, y0=y0, chunk=chunk)
+    done = chunks.join(carry, [*keys, *levels]).select(F.explode(F.arrays_zip(F.col("rows.row").alias("row"), found.alias("y"))).alias("z"))
+    extra = [F.col(f"z.y.p{i}").alias(f"{out}_before") for i, out in enumerate(outs)] if before else []
+    return done.select("z.row.*", *(F.col(f"z.y.y{i}").alias(out) for i, out in enumerate(outs)), *extra)
 
 
-FIRST = "_first"
+def linear_recurrence(df: DataFrame, keys: list[str], order: list[str], a: Column, b: Column, out: str, **options) -> DataFrame:
+    return linear_recurrences(df, keys, order, {out: (a, b)}, **options)
 
 
-def with_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Marks the first row of a key, which seeds a mean."""
-    return df.withColumn(FIRST, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
-
-
-def ema_map(value: str, span: int) -> tuple[Column, Column]:
+def ema_map(value: str, span: int) -> tuple[Column, Column, Column]:
     """Exponential mean with alpha = 2 / (span + 1), seeded at the first value."""
     alpha = 2.0 / (span + 1)
-    return F.when(F.col(FIRST), 0.0).otherwise(1 - alpha), F.when(F.col(FIRST), F.col(value)).otherwise(alpha * F.col(value))
+    return F.lit(1 - alpha), alpha * F.col(value), F.col(value)
 
 
-def wilder_map(value: str, period: int) -> tuple[Column, Column]:
+def wilder_map(value: str, period: int) -> tuple[Column, Column, Column]:
     """Wilder's mean: the first value, then ((n - 1) * previous + value) / n."""
-    return F.when(F.col(FIRST), 0.0).otherwise((period - 1) / period), F.when(F.col(FIRST), F.col(value)).otherwise(F.col(value) / period)
+    return F.lit((period - 1) / period), F.col(value) / period, F.col(value)
+
+
+#: Bars of four days share a span; a key's spans are folded by levels.
+SPAN_MS = 4 * 86_400_000
 
 
-def means(df: DataFrame, keys: list[str], order: list[str], maps: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Several seeded means in one scan, without warm-up nulls."""
-    return linear_recurrences(with_first(df, keys, order), keys, order, maps).drop(FIRST)
+def means(df: DataFrame, keys: list[str], order: list[str], maps: dict[str, tuple[Column, ...]], *, span: int | None = SPAN_MS) -> DataFrame:
+    """Several seeded means in one scan, without warm-up nulls. The first order column is a time in ms, or ``span`` is in its units."""
+    return linear_recurrences(df, keys, order, maps, y0=None, span=span)
 
 
 def ema(df: DataFrame, keys: list[str], order: list[str], value: str, span: int, out: str) -> DataFrame:

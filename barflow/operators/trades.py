@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import let, scan
+
 
 def candidates(preds: DataFrame, *, scenario: str | None = None, threshold: float) -> DataFrame:
     """Rows of a scenario (or of the one that ``preds`` holds already) whose probability reaches the threshold."""
@@ -18,24 +20,42 @@ def topk_per_bar(rows: DataFrame, *, k: int | Column, by: tuple[str, ...] = ("ti
     return rows.withColumn("rank", F.row_number().over(w)).withColumn("outcome", F.when(F.col("rank") <= k, "accepted").otherwise("capacity"))
 
 
-def non_overlapping(rows: DataFrame, *, horizon_ms: int | Column, keys: tuple[str, ...] = ("symbol",), block: int = 256) -> DataFrame:
+def non_overlapping(rows: DataFrame, *, horizon_ms: int | Column, keys: tuple[str, ...] = ("symbol",), bucket_ms: int = 86_400_000) -> DataFrame:
     """Accepted entry times per key: a time is skipped while the last accepted one is still open (reopening at its exit).
 
-    A key's distinct times are folded in order; only those go into the array, not the rows. Accepted times are gathered in blocks,
-    so that a step copies a block at most. ``horizon_ms`` may be a column of ``keys``.
+    A bucket of times is a map from the time at which the last position is closed to that after the bucket, a step function: for a
+    time up to the first entry of the bucket it is what that entry leads to, and so on; a later time passes unchanged.
+    ``ordered.scan`` composes these over buckets, and each bucket is then gone through from what it is told. So a key is many
+    tasks, and none has all its times. ``horizon_ms`` may be a column of ``keys``.
     """
-    times = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("timestamp_ms")).alias("t"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out"), F.array().cast("array<array<bigint>>").alias("blocks"))
-
-    def step(s: Column, t: Column) -> Column:
-        ok = s["last"].isNull() | (t >= s["last"] + horizon_ms)
-        full = F.size(s["out"]) >= block
-        out = F.when(full, F.array(t)).otherwise(F.array_append(s["out"], t))
-        blocks = F.when(full, F.array_append(s["blocks"], s["out"])).otherwise(s["blocks"])
-        return F.when(ok, F.struct(t.alias("last"), out.alias("out"), blocks.alias("blocks"))).otherwise(s)
-
-    taken = F.aggregate("t", start, step, lambda s: F.flatten(F.array_append(s["blocks"], s["out"])))
-    return times.select(*keys, F.explode(taken).alias("timestamp_ms"))
+    steps = "array<struct<upto:bigint,free:bigint>>"
+    levels = ["_big", "_bucket"]
+    keyed = rows.select(*keys, "timestamp_ms").withColumn("_bucket", F.floor(F.col("timestamp_ms") / bucket_ms).cast("bigint")).withColumn("_big", F.floor(F.col("_bucket") / 64).cast("bigint"))
+    times = keyed.groupBy(*keys, *levels).agg(F.array_sort(F.collect_set("timestamp_ms")).alias("t"))
+    horizon = F.lit(horizon_ms).cast("bigint") if isinstance(horizon_ms, int) else horizon_ms.cast("bigint")
+
+    def at(m: Column, free: Column) -> Column:
+        return F.coalesce(F.get(F.filter(m, lambda s: s["upto"] >= free), F.lit(0))["free"], free)
+
+    def step(upto: Column, free: Column) -> Column:
+        return F.struct(upto.alias("upto"), free.alias("free"))
+
+    def compose(m: Column, n: Column) -> Column:
+        led = F.transform(m, lambda s: step(s["upto"], at(n, s["free"])))
+        last = F.coalesce(F.get(m, F.size(m) - 1)["upto"], F.lit(-(1 << 62)))
+        later = F.filter(n, lambda s: s["upto"] > last)
+        # Neighbours that lead to the same time are one step.
+        return let(F.concat(led, later), lambda both: F.filter(both, lambda s, i: (i == F.size(both) - 1) | (F.get(both, i + 1)["free"] != s["free"])))
+
+    none = F.array().cast(steps)
+    built = F.aggregate(F.reverse("t"), none, lambda m, t: F.concat(F.array(step(t, at(m, t + horizon))), m))
+    chunks = times.withColumn("_map", F.transform(built, lambda s: step(s["upto"].cast("bigint"), s["free"].cast("bigint"))))
+    carry = scan(chunks.select(*keys, *levels, "_map"), list(keys), levels, "_map", none, compose)
+    free = at(F.col("_carry"), F.lit(-(1 << 61)))
+    start = F.struct(free.alias("free"), F.array().cast("array<bigint>").alias("out"))
+    take = lambda s, t: F.when(t >= s["free"], F.struct((t + horizon).alias("free"), F.array_append(s["out"], t).alias("out"))).otherwise(s)
+    taken = F.aggregate("t", start, take, lambda s: s["out"])
+    return times.join(carry, [*keys, *levels]).select(*keys, F.explode(taken).alias("timestamp_ms"))
 
 
 def trade_pnl(rows: DataFrame, *, notional: float, cost: float | Column) -> DataFrame:

@@ -7,7 +7,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import month_key
 from ..operators import attribution as I
 from ..operators import calibrate as C
 from ..operators import metrics as M
@@ -17,6 +16,8 @@ from ..operators import trades as J
 from ..sources import fixtures as X
 from ..sources.staging import staged
 from . import ORACLES, QUERIES, VIEWS, query
+from .fusion import MIN_ROWS
+from .snapshots import ASOF, Snapshot
 
 DAY, TH, FEE, SLIP = X.DAY, 0.6, 0.002, 0.001
 GATE_TH = 0.65  # entry threshold of the promotion: the gates score the predictions anew
@@ -51,10 +52,9 @@ VIEWS |= {
       WHEN 'cost_fragility' THEN nullif(concat_ws(',', CASE WHEN r4 THEN 'fees_erase_edge' END, CASE WHEN r5 THEN 'slippage_stress_non_positive' END), '')
       WHEN 'synthetic_fragility' THEN nullif(concat_ws(',', CASE WHEN r6 THEN 'synthetic_dominant_negative' END, CASE WHEN r7 THEN 'synthetic_underperforms_native' END), '')
       WHEN 'weak_signal' THEN nullif(concat_ws(',', CASE WHEN r8 THEN 'net_return_negative' END, CASE WHEN r9 THEN 'roc_auc_lt_0.52' END), '') END, CASE WHEN r10 THEN 'max_drawdown_gt_0.35' END) AS reasons FROM weak1""",
-    "gbars": "SELECT symbol, timestamp_ms, close, lead(timestamp_ms) OVER (PARTITION BY symbol ORDER BY timestamp_ms) AS nxt, lead(timestamp_ms, 2) OVER (PARTITION BY symbol ORDER BY timestamp_ms) AS nxt2 FROM vbars WHERE venue = 'native'",
-    "gparity": f"""SELECT (SELECT count(*) FROM vbars WHERE venue = 'native') = count(*) FILTER (status IN ('trainable', 'invalid_price', 'unlabeled_missing_horizon')) AS parity FROM
-      (SELECT CASE WHEN nxt2 IS DISTINCT FROM timestamp_ms + {2 * DAY} THEN 'unlabeled_missing_horizon' WHEN close <= 0 THEN 'invalid_price' ELSE 'trainable' END AS status FROM gbars)""",
-    "gpass": "SELECT avg((n >= 24)::INT) AS pass_rate FROM (SELECT symbol, strftime(epoch_ms(timestamp_ms), '%Y-%m') AS month, count(*) AS n FROM vbars WHERE venue = 'native' GROUP BY 1, 2)",
+    "gbars": f"SELECT symbol, timestamp_ms, lead(timestamp_ms) OVER (PARTITION BY symbol ORDER BY timestamp_ms) AS nxt FROM fused WHERE timestamp_ms < {ASOF // DAY * DAY}",
+    "gparity": "SELECT (SELECT count(*) FROM gbars) = count(*) FILTER (row_status IN ('trainable', 'continuity_only', 'invalid_price', 'unlabeled_missing_horizon')) AS parity FROM snap",
+    "gpass": "SELECT avg((eligibility_mode <> 'blocked')::INT) AS pass_rate FROM elig WHERE symbol IN (SELECT symbol FROM snap)",
     "gcover": f"SELECT symbol, coalesce(sum(greatest(0, (nxt - timestamp_ms) // {DAY} - 1)), 0)::BIGINT AS gap_count, round(least(1, count(*) / ((max(timestamp_ms) - min(timestamp_ms)) // {DAY} + 1)), 9) AS coverage_pct FROM gbars GROUP BY 1",
     "gbreach": f"SELECT symbol, CASE WHEN gap_count > {MAX_GAPS} THEN 'combined_gap_count' ELSE 'combined_coverage' END AS gate, CASE WHEN gap_count > {MAX_GAPS} THEN gap_count::DOUBLE ELSE coverage_pct END AS observed, CASE WHEN gap_count > {MAX_GAPS} THEN {MAX_GAPS}::DOUBLE ELSE {MIN_COVERAGE}::DOUBLE END AS required FROM gcover WHERE gap_count > {MAX_GAPS} OR coverage_pct < {MIN_COVERAGE} ORDER BY symbol LIMIT 1",
     "gpreds": "SELECT * FROM preds WHERE scope = 'global'",
@@ -113,14 +113,16 @@ class Evaluation:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """Global metrics at the gates' threshold with the snapshot's parity, the share of usable months and the first symbol that breaches; each is one row."""
-        bars = staged(X.vbars(self.spark, self.sf).where("venue = 'native'").select("symbol", "timestamp_ms", "open", "high", "low", "close", "volume", "source"))
-        weights = bars.groupBy("symbol", month_key(F.col("timestamp_ms")).alias("month")).agg(F.lit(1.0).alias("weight_final"), (F.count(F.lit(1)) >= 24).alias("supervised_eligible"))
-        parity = S.parity(bars, S.build(bars, weights, horizon=2, interval_ms=DAY, fee=FEE, combined=False)).select("parity")
-        quality = weights.limit(0).select("symbol", F.lit(0).alias("overlap_rows"), F.lit(False).alias("quality_pass"), F.col("month").alias("period"), F.col("month").alias("updated"))
-        rate = C.conversion_pass_rate(weights, quality, bars.select("symbol").distinct(), min_rows=24)
-        listed = bars.select("symbol").distinct().select(F.lit("native").alias("dataset"), "symbol", F.lit(True).alias("has_pair"), F.lit(True).alias("has_file"))
-        report = Q.coverage_report(bars.withColumn("dataset", F.lit("native")), listed, interval_ms=DAY).where("symbol <> '*'")
+        """Global metrics at the gates' threshold with the fused snapshot's parity, the share of months that may be trained on by their
+        calibrated weights (else by the quality rows), and the first symbol of the fused bars that breaches; each is one row."""
+        run = Snapshot(self.spark, self.sf)
+        snap = staged(run.rows.select("symbol", "row_status"))
+        closed = staged(run.closed)
+        parity = S.parity(closed, snap).select("parity")
+        quality = run.run.scored.withColumns({"period": F.col("month"), "updated": F.col("venue")})
+        rate = C.conversion_pass_rate(run.weights, quality, snap.select("symbol").distinct(), min_rows=MIN_ROWS)
+        listed = closed.select("symbol").distinct().select(F.lit("combined").alias("dataset"), "symbol", F.lit(True).alias("has_pair"), F.lit(True).alias("has_file"))
+        report = Q.coverage_report(closed.withColumn("dataset", F.lit("combined")), listed, interval_ms=DAY).where("symbol <> '*'")
         breach = I.first_breach(report, max_gaps=MAX_GAPS, min_coverage=MIN_COVERAGE).select("breach")
         scored = M.total_metrics(self.preds.where("scope = 'global'"), threshold=GATE_TH, fee=FEE, order=ORDER)
         out = M.summary(scored).withColumn("_one", F.lit(1))

@@ -110,6 +110,18 @@ def feat_ema(spark, sf):
     return G.ema_ratios(bars(spark, sf)).select("symbol", "timestamp_ms", *(F.round(n, 8).alias(n) for n in names))
 
 
+VIEWS |= {
+    "sjoined": """SELECT s.symbol, s.timestamp_ms, s.close, s.volume, s.source, s.row_status, s.y, s.forward_return, s.effective_monthly_weight, s.supervised_row_weight, e.close AS ext_close, n.close AS native_close,
+      CASE WHEN s.symbol IN ('S0', 'S1') THEN 1 ELSE fx.rate END AS fx_rate FROM snap s LEFT JOIN fx ON fx.timestamp_ms = s.timestamp_ms LEFT JOIN (SELECT * FROM vbars WHERE venue = 'ext_a') e ON e.symbol = s.symbol AND e.timestamp_ms = s.timestamp_ms
+      LEFT JOIN (SELECT * FROM vbars WHERE venue = 'native') n ON n.symbol = s.symbol AND n.timestamp_ms = s.timestamp_ms""",
+    "sfb": f"""SELECT *, {ret('close', 1)} AS r, close - lag(close) OVER ({P}) AS d, {ret('ext_close', 1)} AS er, CASE WHEN native_close > 0 AND ext_close > 0 AND fx_rate > 0 THEN native_close / (ext_close * fx_rate) END AS b,
+      row_number() OVER ({P}) AS n FROM sjoined""",
+    "semas": "SELECT symbol, n, "
+    + ", ".join(f"close AS e{s}" for s in (8, 16, 32, 64, 128))
+    + " FROM sfb WHERE n = 1 UNION ALL SELECT f.symbol, f.n, "
+    + ", ".join(f"(1 - 2::DOUBLE / {s + 1}) * e.e{s} + 2::DOUBLE / {s + 1} * f.close" for s in (8, 16, 32, 64, 128))
+    + " FROM semas e JOIN sfb f ON f.symbol = e.symbol AND f.n = e.n + 1",
+}
 ALL = {n: e for g in SQLS.values() for n, e in g.items()}
 
 
@@ -119,3 +131,28 @@ def feature_table(spark, sf):
     rows = bars(spark, sf).withColumn("row_status", F.lit("trainable"))
     made = G.feature_table(rows, v.where("venue = 'ext_a'"), v.where("venue = 'native'"), rates(spark, sf, rows), with_ema=False)
     return made.select("symbol", "timestamp_ms", "source", *(F.round(F.col(n).cast("double"), 4).alias(n) for n in ALL))
+
+
+EMAS = {f"ema_ratio_{a}_{b}": f"CASE WHEN n >= {b} THEN e{a} / nullif(e{b}, 0) - 1 END" for a, b in G.EMA_PAIRS}
+OWN = {new: old for old, new in G.WEIGHT_FEATURES.items()}
+WHOLE = [*ALL, *OWN, *EMAS]
+
+
+def snapshot_table(spark, sf) -> DataFrame:
+    """All features of the fused snapshot's trainable rows, with their labels and the weight that fits use."""
+    from .snapshots import Snapshot
+
+    v = staged(X.vbars(spark, sf))
+    rows = staged(Snapshot(spark, sf).rows)
+    return G.feature_table(rows, v.where("venue = 'ext_a'"), v.where("venue = 'native'"), rates(spark, sf, rows))
+
+
+@query(
+    "SELECT symbol, timestamp_ms, "
+    + ", ".join(f"round((coalesce({n}, 0))::REAL::DOUBLE, 4) AS {n}" for n in WHOLE)
+    + " FROM (SELECT symbol, timestamp_ms, row_status, " + ", ".join(f"{e} AS {n}" for n, e in (ALL | OWN).items()) + " FROM sfb) JOIN (SELECT symbol, n, " + ", ".join(f"{e} AS {n}" for n, e in EMAS.items())
+    + " FROM semas) USING (symbol) JOIN (SELECT symbol, n AS m, timestamp_ms FROM sfb) USING (symbol, timestamp_ms) WHERE n = m AND row_status = 'trainable'"
+)
+def snapshot_features(spark, sf):
+    made = snapshot_table(spark, sf)
+    return made.select("symbol", "timestamp_ms", *(F.round(F.col(n).cast("double"), 4).alias(n) for n in WHOLE))

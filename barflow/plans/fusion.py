@@ -185,7 +185,7 @@ class Fusion:
         span = months.agg(F.collect_list("month").alias("m")).select("m", F.lit(1).alias("_one"))  # as many as there are months
         calendar = self.bars.select("symbol", F.lit(1).alias("_one")).distinct().join(span, "_one").select("symbol", F.explode("m").alias("month"))
         rows = calendar.join(self.shrunk, ["symbol", "month"], "left").fillna({"overlap_rows": 0, "weight_final": 0.25, "ret_corr": 0.0, "median_ape_close": 1.0})
-        return C.eligibility(rows, min_rows=MIN_ROWS, max_ape=MAX_APE)
+        return C.eligibility(rows, min_rows=MIN_ROWS, max_ape=MAX_APE, least_rows=MIN_ROWS)  # daily bars: a month never has 250
 
 
 @query("SELECT * FROM obs")

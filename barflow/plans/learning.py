@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import folds as H
 from ..operators import learn
 from ..sources import fixtures as X
-from ..sources.staging import staged
+from ..sources.staging import stage_folder, staged
 from . import VIEWS, query
 
 DAY = X.DAY
@@ -100,17 +100,62 @@ def blend_score(spark, sf):
     return H.blend(X.preds(spark, sf), keys=["fold", "symbol", "timestamp_ms"], enough=100).withColumn("score", F.round("score", 9))
 
 
+def trained(spark, sf, *, last: int, trees: int, folder: str) -> DataFrame:
+    """Walk-forward predictions on all features of the fused snapshot, rows weighted by their calibrated weight."""
+    from . import features as P
+
+    features = P.WHOLE
+    made = P.snapshot_table(spark, sf)
+    ready = staged(made.select("symbol", "timestamp_ms", "source", "forward_return", F.col("y").cast("int").alias("y"), "supervised_row_weight", *(F.col(n).cast("double").alias(n) for n in features)))
+    chosen = H.walk_forward_folds(H.full_months(ready, interval_ms=DAY), train=T, valid=V, step=S, last=last)
+    return learn.walk_forward(H.scenarios(H.assign(ready, chosen)), list(features), weight="supervised_row_weight", run_id="wf", snapshot_id="fused", trees=trees, folder=folder)
+
+
 @query()
 def wf_train_predict(spark, sf):
-    """Every fold, both scenarios, the global model and the eligible symbols' own ones, on all features but the recursive ones."""
-    from ..operators import features as G
-    from . import features as P
+    """Every fold, both scenarios, the global model and the eligible symbols' own ones, on the whole feature table."""
+    return trained(spark, sf, last=N, trees=20, folder=stage_folder(spark))
 
-    made = G.returns() | G.trend() | G.volatility() | G.volume() | G.rsi() | G.distance() | G.source_flags() | G.external() | G.native() | G.basis()
-    base = P.base(spark, sf).withColumns(made)
-    lead = F.lead("close").over(G.ordering()) / F.col("close") - 1
-    labelled = base.withColumn("forward_return", lead).where("forward_return is not null")
-    ready = labelled.select("symbol", "timestamp_ms", "source", "forward_return", (F.col("forward_return") > 0.004).cast("int").alias("y"), F.lit(1.0).alias("supervised_row_weight"), *(G.clean(F.col(n)).cast("double").alias(n) for n in made))
-    ready = staged(ready)
-    chosen = H.walk_forward_folds(H.full_months(ready, interval_ms=DAY), train=T, valid=V, step=S, last=N)
-    return learn.walk_forward(staged(H.scenarios(H.assign(ready, chosen))), list(made), weight="supervised_row_weight", run_id="wf", snapshot_id="vbars")
+
+CHAIN_TH, CHAIN_FEE, CHAIN_K, CHAIN_CAPITAL = 0.55, 0.002, 2, 100_000.0
+
+
+@query()
+def training_chain(spark, sf):
+    """From the snapshot to trades: train, write predictions, scan them, metrics, gates, choice, trades of the chosen scenario.
+
+    One row for each figure: ``part`` (metrics, gate, choice, trades), ``scenario``, ``name``, ``value``.
+    """
+    from ..operators import attribution as I
+    from ..operators import metrics as M
+    from ..operators import trades as J
+
+    folder = stage_folder(spark)
+    trained(spark, sf, last=2, trees=5, folder=folder)
+    return chain_results(spark, [f"{folder}/predictions"], M, I, J)
+
+
+def chain_results(spark, paths: list[str], M, I, J) -> DataFrame:  # noqa: E741, N803
+    from ..sources import tables as A
+
+    preds = {s: staged(A.prediction_scan(spark, paths, scenario=s).withColumn("row_key", F.concat_ws(":", "symbol", "timestamp_ms"))) for s in ("weighted", "native_only")}
+    both = preds["weighted"].unionByName(preds["native_only"])
+    metrics = staged(M.fold_metrics(both, threshold=CHAIN_TH, fee=CHAIN_FEE, order=["timestamp_ms", "symbol"]))
+    whole = staged(M.summary(metrics))
+    # The snapshot's facts are gates of their own queries; here nothing but the predictions decides.
+    none = {"parity": F.lit(True), "pass_rate": F.lit(1.0), "breach": F.lit(None).cast("struct<gate:string,observed:double,required:double>")}
+    facts = staged(whole.withColumns(none))
+    failures = staged(I.gates(facts, slip=0.001, min_folds=2, min_trades=100))
+    choice = staged(I.choose(facts, failures))
+    picked = J.topk_per_bar(J.candidates(both.join(F.broadcast(choice.select("scenario")), "scenario"), threshold=CHAIN_TH), k=CHAIN_K).where("outcome = 'accepted'")
+    trades = staged(J.trade_pnl(picked, notional=1000.0, cost=CHAIN_FEE))
+    summary = J.trade_summary(trades, J.equity_curve(trades, capital=CHAIN_CAPITAL, horizon_ms=2 * DAY), capital=CHAIN_CAPITAL)
+
+    def long(df: DataFrame, part: str, scenario, names: tuple[str, ...]) -> DataFrame:
+        cells = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names)))
+        return df.select(F.lit(part).alias("part"), scenario.alias("scenario"), cells.alias("c")).select("part", "scenario", "c.*")
+
+    rows = long(whole.where("scope = 'global'"), "metrics", F.col("scenario"), ("folds", "row_count", "trades", "gross_return", "net_return", "max_drawdown", "roc_auc", "pr_auc"))
+    rows = rows.unionByName(failures.select(F.lit("gate").alias("part"), "scenario", F.col("gate").alias("name"), F.col("observed").cast("double").alias("value")))
+    rows = rows.unionByName(long(choice, "choice", F.col("scenario"), ("failed",)))
+    return rows.unionByName(long(summary, "trades", F.lit(None).cast("string"), ("trades", "net_pnl", "equity", "max_drawdown_pct")))

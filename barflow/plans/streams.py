@@ -75,4 +75,20 @@ def stream_coverage(spark, sf):
 
 @query()
 def stream_indicators(spark, sf):
-    return finished(spark, M.incremental_indicators(bar_stream(spark, sf), fast=12, slow=26, atr=14))
+    with M.rocksdb_state(spark):
+        return finished(spark, M.incremental_indicators(bar_stream(spark, sf), fast=12, slow=26, atr=14))
+
+
+@query()
+def stream_late_bars(spark, sf):
+    """Hourly bars of ticks that arrive in many batches, every seventh a day late: equal to the batch bars that are closed."""
+    ticks = X.ticks(spark, sf).where((F.col("ts_ms") >= X.TICKS_FROM) & (F.col("ts_ms") < X.TICKS_TO))
+    arrives = F.col("ts_ms") + F.when(F.col("seq") % 7 == 0, X.DAY).otherwise(0)
+    folder, incoming = stage_folder(spark), stage_folder(spark)
+    ticks.repartitionByRange(12, arrives).write.parquet(incoming)
+    live = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 3).parquet(incoming)
+    build = lambda t: B.ohlcv_bars(t, interval_ms=X.HOUR, start_ms=X.TICKS_FROM, end_ms=X.TICKS_TO)
+    sink = M.late_bars_sink(folder, build, interval_ms=X.HOUR, delay_ms=X.HOUR)
+    live.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    bars = spark.read.parquet(f"{folder}/bars")
+    return bars.drop("day", "version", "batch")

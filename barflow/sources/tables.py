@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, finite_positive, twelve_digits
 from .schemas import BAR_DEFAULTS, TICK_CSV
+from .staging import staged
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,9 +79,14 @@ def symbol_scan(spark: SparkSession, path: str, symbols: list[str]) -> DataFrame
 
 
 def prediction_scan(spark: SparkSession, paths: list[str], *, scenario: str, scope: str = "global") -> DataFrame:
-    """Predictions of several files of one schema or a grown one, filtered at the scan, in order of time, then symbol."""
+    """Predictions of several files or folders of one schema or a grown one, in order of time, then falling probability, then symbol.
+
+    The filter reaches the scan; in what ``learn.walk_forward`` writes it selects folders. Its ``fold_index`` and ``model_scope`` are
+    read under the names that metrics and gates use, ``fold`` and ``scope``.
+    """
     rows = spark.read.option("mergeSchema", True).parquet(*paths)
-    return rows.where((F.col("scenario") == scenario) & (F.col("scope") == scope)).orderBy("timestamp_ms", "symbol")
+    rows = rows.withColumnsRenamed({"fold_index": "fold", "model_scope": "scope"})
+    return rows.where((F.col("scenario") == scenario) & (F.col("scope") == scope)).orderBy("timestamp_ms", F.desc("probability"), "symbol")
 
 
 def selected_external(bars: DataFrame, selection: DataFrame) -> DataFrame:
@@ -105,6 +114,37 @@ def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def upsert_partitions(spark: SparkSession, incoming: DataFrame, path: str, *, keys: list[str], by: list[str], seq: str, batch: int, listed: int = 1000) -> None:
+    """Increment number ``batch`` into a table partitioned by ``by`` (functions of ``keys``): of a key the row of the highest (batch,
+    ``seq``) stays. Only partitions that gain a row are read and rewritten; a batch that runs again changes no file.
+
+    Up to ``listed`` partitions are named in the filter of the scan; more are found by a semi-join.
+    """
+    fresh = latest(incoming, keys, [F.col(seq)]).withColumn("batch", F.lit(batch).cast("bigint"))
+    try:
+        target = spark.read.parquet(path)
+    except AnalysisException:  # the table begins with this increment
+        replace_partitions(fresh, path, by)
+        return
+
+    def within(rows: DataFrame, of: DataFrame) -> DataFrame:
+        parts = of.select(*by).distinct()
+        few = parts.limit(listed + 1).collect()
+        if len(few) > listed:
+            return rows.join(parts, by, "left_semi")
+        hit = F.lit(False)
+        for p in few:
+            hit = hit | reduce(Column.__and__, [F.col(c) == F.lit(p[c]) for c in by])
+        return rows.where(hit)
+
+    known = within(target, fresh).select(*keys, F.col("batch").alias("_known"))
+    new = staged(fresh.join(known.where(F.col("_known") >= batch), keys, "left_anti"))
+    if new.isEmpty():
+        return
+    both = within(target, new).select(*new.columns).unionByName(new)
+    replace_partitions(staged(latest(both, keys, [F.col("batch"), F.col(seq)])), path, by)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """CSV log; doubles with 12 significant digits."""
     text = [twelve_digits(F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in rows.dtypes]

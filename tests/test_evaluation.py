@@ -23,7 +23,16 @@ def test_folds_golden(spark):
     assert months.count() == 15
     out = H.walk_forward_folds(months, train=12, valid=1, step=1, last=2).orderBy("fold_index").collect()
     assert [(r.fold_index, r.train_start, r.train_end, r.valid_start) for r in out] == [(1, "2025-02", "2026-01", "2026-02"), (2, "2025-03", "2026-02", "2026-03")]
-    assert H.walk_forward_folds(months.limit(1), train=12, valid=1, step=1, last=2).count() == 0
+    with pytest.raises(Exception, match="insufficient full months for walk-forward folds: have=1 need>=13"):
+        H.walk_forward_folds(months.limit(1), train=12, valid=1, step=1, last=2).collect()
+
+
+def test_required_scenario_must_not_be_skipped(spark):
+    df = spark.createDataFrame([("weighted", 1, None), ("weighted", 2, "valid has no rows"), ("native_only", 1, "train has no rows")], "scenario string, fold_index int, reason string")
+    assert {r.scenario: r.status for r in H.scenario_status(df).collect()} == {"weighted": "partial", "native_only": "skipped"}
+    assert H.scenario_status(df, required="native").count() == 2
+    with pytest.raises(Exception, match="fold=2 scenario=weighted valid has no rows"):
+        H.scenario_status(df, required="weighted").collect()
 
 
 def test_trading_golden(spark):
@@ -71,7 +80,7 @@ def test_topk_keeps_rejected_rows(spark):
 def test_holds_of_many_blocks_equal_a_loop(spark):
     times = [t * 3 % 1009 for t in range(1009)]
     df = spark.createDataFrame([("A", 2, t) for t in times] + [("B", 5, t) for t in times], "symbol string, h bigint, timestamp_ms bigint")
-    got = {(r.symbol, r.timestamp_ms) for r in J.non_overlapping(df, horizon_ms=F.col("h"), keys=("symbol", "h"), block=7).collect()}
+    got = {(r.symbol, r.timestamp_ms) for r in J.non_overlapping(df, horizon_ms=F.col("h"), keys=("symbol", "h"), bucket_ms=7).collect()}
     want = {("A", t) for t in range(0, 1009, 2)} | {("B", t) for t in range(0, 1009, 5)}
     assert got == want
 

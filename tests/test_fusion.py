@@ -47,7 +47,7 @@ def test_combined_precedence_scales_prices_not_volume(spark):
 def test_eligibility_modes(spark):
     rows = [("A", "2025-12", 0, 1.0, 0.0), ("A", "2026-01", 50, 0.0, 0.9), ("A", "2026-02", 0, 1.0, 0.0), ("A", "2026-03", 3, 0.5, 0.0), ("B", "2026-01", 0, 1.0, 0.0)]
     df = spark.createDataFrame(rows, "symbol string, month string, overlap_rows bigint, median_ape_close double, ret_corr double")
-    out = {(r.symbol, r.month): (r.eligibility_mode, r.anchor_month) for r in C.eligibility(df, min_rows=10, max_ape=0.05).collect()}
+    out = {(r.symbol, r.month): (r.eligibility_mode, r.anchor_month) for r in C.eligibility(df, min_rows=10, max_ape=0.05, least_rows=10).collect()}
     assert out[("A", "2025-12")] == ("carry_backward", "2026-01") and out[("A", "2026-01")] == ("direct", "2026-01")
     assert out[("A", "2026-02")] == ("carry_forward", "2026-01") and out[("A", "2026-03")][0] == "blocked" and out[("B", "2026-01")] == ("blocked", None)
 
@@ -65,3 +65,10 @@ def test_horizon_labels(spark):
 def test_seal_is_idempotent(spark, tmp_path):
     df = spark.createDataFrame([("A", 1)], "symbol string, timestamp_ms bigint")
     assert S.seal(df, "d1", str(tmp_path)) and not S.seal(df, "d1", str(tmp_path)) and S.seal(df, "d2", str(tmp_path))
+
+
+def test_eligibility_asks_for_250_rows_at_least(spark):
+    """Golden: a quarter of the quality rule's rows, but never below 250, whatever that rule is."""
+    df = spark.createDataFrame([("A", f"2025-{m:02d}", n, 0.01, 0.9) for m, n in ((1, 249), (2, 250), (3, 499), (4, 500))], "symbol string, month string, overlap_rows int, median_ape_close double, ret_corr double")
+    direct = lambda **k: [r.month[-1] for r in C.eligibility(df, max_ape=0.05, **k).where("eligibility_mode = 'direct'").orderBy("month").collect()]
+    assert direct(min_rows=12) == direct(min_rows=1000) == ["2", "3", "4"] and direct(min_rows=2000) == ["4"] and direct(min_rows=10_000) == []

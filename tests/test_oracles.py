@@ -44,5 +44,5 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_is_registered_once_with_sql_or_a_reason():
-    rows_only = {"content_hash", "tick_csv_scan", "wf_train_predict", "stream_bars", "stream_dedup", "stream_sessions", "stream_late_repair", "stream_coverage", "stream_indicators"}
+    rows_only = {"content_hash", "tick_csv_scan", "wf_train_predict", "stream_bars", "stream_dedup", "stream_sessions", "stream_late_repair", "stream_late_bars", "training_chain", "stream_coverage", "stream_indicators"}
     assert set(registry.queries()) - set(registry.oracle_sql()) == rows_only

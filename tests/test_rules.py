@@ -71,14 +71,51 @@ def test_skip_reasons(spark):
     assert own == {1: None, 2: "valid_rows_lt_5", 3: "train_rows_lt_10", 4: "train_missing_class", 5: "valid_missing_class", 6: "train_rows_lt_10", 7: "valid_rows_lt_5"}
 
 
-def test_walk_forward_trains_scenarios_and_eligible_symbols(spark):
+def test_walk_forward_trains_scenarios_and_eligible_symbols(spark, tmp_path):
     rows = [(s, 1, sc, role, i, float(i % 5), int(i % 5 > 2), "native", 0.01, 0.5) for s, n in (("A", 40), ("B", 12)) for sc in ("weighted", "native_only") for role in ("train", "valid") for i in range(n)]
     df = spark.createDataFrame(rows, "symbol string, fold_index int, scenario string, role string, timestamp_ms bigint, x double, y int, source string, forward_return double, supervised_row_weight double")
-    out = learn.walk_forward(df.where("not (scenario = 'native_only' and role = 'valid')"), ["x"], weight="supervised_row_weight", run_id="r", snapshot_id="s", trees=2, min_train=20, min_valid=20)
+    folder = str(tmp_path)
+    out = learn.walk_forward(df.where("not (scenario = 'native_only' and role = 'valid')"), ["x"], weight="supervised_row_weight", run_id="r", snapshot_id="s", trees=2, min_train=20, min_valid=20, folder=folder)
     assert tuple(out.columns) == learn.PREDICTION and len(out.columns) == 13
     counts = {(r.scenario, r.model_scope, r.model_symbol, r.symbol): r["count"] for r in out.groupBy("scenario", "model_scope", "model_symbol", "symbol").count().collect()}
     assert counts == {("weighted", "global", None, "A"): 40, ("weighted", "global", None, "B"): 12, ("weighted", "symbol", "A", "A"): 40}
     assert learn.walk_forward(df.limit(0), ["x"], weight="supervised_row_weight", run_id="r", snapshot_id="s").count() == 0
+    with pytest.raises(ValueError, match="fold=1 scenario=weighted valid has no rows"):
+        learn.walk_forward(df.where("role = 'train'"), ["x"], weight="supervised_row_weight", run_id="r", snapshot_id="s")
+    # A fit reads the files of its own partitions alone, and the library scans what it has written.
+    one = spark.read.parquet(f"{folder}/assigned").where("scenario = 'weighted' and fold_index = 1 and symbol = 'B'")
+    assert {p.split("/assigned/")[1].rsplit("/", 1)[0] for p in one.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]} == {"scenario=weighted/fold_index=1/symbol=B"}
+    scanned = tables.prediction_scan(spark, [f"{folder}/predictions"], scenario="weighted").collect()
+    want = sorted(scanned, key=lambda r: (r.timestamp_ms, -r.probability, r.symbol))
+    assert len(scanned) == 52 and scanned == want and {(r.fold, r.scope) for r in scanned} == {(1, "global")}
+
+
+def test_chain_from_written_predictions_to_trades(spark, tmp_path):
+    """Metrics, gates and trades of a run's own predictions against a small loop."""
+    from barflow.operators import attribution, metrics, trades
+    from barflow.plans import learning
+
+    import random
+
+    r = random.Random(3)
+    rows = [(s, f, sc, role, (f * 40 + i) * DAY, float(x := r.randrange(5)), int(x + r.randrange(3) > 3), "native", r.uniform(-0.02, 0.03), 0.5) for s in "ABC" for f in (1, 2) for sc in ("weighted", "native_only") for role in ("train", "valid") for i in range(30)]
+    df = spark.createDataFrame(rows, "symbol string, fold_index int, scenario string, role string, timestamp_ms bigint, x double, y int, source string, forward_return double, supervised_row_weight double")
+    learn.walk_forward(df, ["x"], weight="supervised_row_weight", run_id="r", snapshot_id="s", trees=3, folder=str(tmp_path))
+    got = {(x.part, x.scenario, x.name): x.value for x in learning.chain_results(spark, [f"{tmp_path}/predictions"], metrics, attribution, trades).collect()}
+    preds = spark.read.parquet(f"{tmp_path}/predictions").where("model_scope = 'global'").collect()
+    th, fee = learning.CHAIN_TH, learning.CHAIN_FEE
+    for sc in ("weighted", "native_only"):
+        taken = [p for p in preds if p.scenario == sc and p.probability >= th]
+        assert got["metrics", sc, "trades"] == len(taken) > 0 and got["metrics", sc, "net_return"] == pytest.approx(sum(p.forward_return - 2 * fee for p in taken))
+        assert got["gate", sc, "min_trades"] == len(taken)
+    (chosen,) = (k[1] for k in got if k[0] == "choice")
+    bars = {}
+    for p in preds:
+        if p.scenario == chosen and p.probability >= th:
+            bars.setdefault(p.timestamp_ms, []).append(p)
+    made = [p for ps in bars.values() for p in sorted(ps, key=lambda p: (-p.probability, p.symbol))[: learning.CHAIN_K]]
+    pnl = sum(1000 * (1 + p.forward_return) * (1 - fee) - 1000 * (1 + fee) for p in made)
+    assert got["trades", None, "trades"] == len(made) and got["trades", None, "net_pnl"] == pytest.approx(pnl) and got["trades", None, "equity"] == pytest.approx(100_000 + pnl)
 
 
 def test_symbols_without_native_history_come_by_the_shared_context(spark):
@@ -180,3 +217,32 @@ def test_books_without_a_balance_are_capped_at_nothing(spark):
     balances = spark.createDataFrame([("a", 4.0, 1.0), ("a", 3.0, 1.0), ("b", 4.0, 1.0)], "account string, amount double, hold double")
     out = {r.account: (r.new_cash, r.capped) for r in ledger.cap_books(books, balances).collect()}
     assert out == {"a": (5.0, False), "b": (3.0, True), "c": (0.0, True)}
+
+
+def test_slippage_breaches_add_to_the_streak_and_halt(spark):
+    rows = [("r", "d", 1, False, 1, 0), ("r", "d", 2, True, 0, 2), ("r", "d", 3, True, 0, 0), ("r", "d", 4, False, 1, None), ("r", "e", 1, False, 2, 1)]
+    df = spark.createDataFrame(rows, "runner string, day string, seq int, ok boolean, errors int, breaches int")
+    out = {(r.day, r.seq): (r.consecutive_errors, r.level) for r in ledger.error_streaks(df, limit=5).collect()}
+    assert out == {("d", 1): (1, "ok"), ("d", 2): (3, "halt"), ("d", 3): (0, "ok"), ("d", 4): (1, "ok"), ("e", 1): (3, "halt")}
+    assert ledger.error_streaks(df.drop("breaches"), limit=5).where("level = 'halt'").count() == 0
+
+
+def test_upserts_rewrite_touched_partitions_alone(spark, tmp_path):
+    from barflow.sources import tables as A
+
+    kind, path = "symbol string, day string, t int, v double, seq int", str(tmp_path / "t")
+    up = lambda rows, batch: A.upsert_partitions(spark, spark.createDataFrame(rows, kind), path, keys=["symbol", "day", "t"], by=["day"], seq="seq", batch=batch)
+    read = lambda: sorted((r.symbol, r.day, r.t, r.v) for r in spark.read.parquet(path).collect())
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    up([("A", "d1", 1, 1.0, 0), ("A", "d2", 1, 2.0, 0), ("B", "d3", 1, 3.0, 0)], 1)
+    old = files()
+    up([("A", "d2", 1, 5.0, 1), ("A", "d2", 1, 4.0, 0), ("C", "d4", 1, 9.0, 0)], 2)
+    new = files()
+    assert read() == [("A", "d1", 1, 1.0), ("A", "d2", 1, 5.0), ("B", "d3", 1, 3.0), ("C", "d4", 1, 9.0)]
+    assert {f for f in old if new.get(f) != old[f]} == {f for f in old if "day=d2" in f}
+    up([("A", "d2", 1, 7.0, 9)], 1)  # an old increment that runs again
+    assert files() == new
+    up([("A", "d2", 1, 5.0, 1), ("A", "d2", 1, 4.0, 0), ("C", "d4", 1, 9.0, 0)], 2)  # the last one again
+    assert files() == new
+    A.upsert_partitions(spark, spark.createDataFrame([(f"S{k}", f"d{k}", 1, 0.0, 0) for k in range(5)], kind), path, keys=["symbol", "day", "t"], by=["day"], seq="seq", batch=3, listed=2)
+    assert len(read()) == 9
