@@ -20,7 +20,7 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 )
-RANDOM = ("random", r"[A-Za-z0-9+/_=-]+")
+RANDOM = ("random", r"[A-Za-z0-9+/_-]+=*")
 #: Encodings tried in order: name, pattern of a whole token, alphabet (the position in it is the symbol's value).
 ENCODINGS = (
     ("hex", "^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
@@ -210,9 +210,12 @@ def battery(token: Column) -> Column:
 def candidates(text: Column, least: int = 20) -> Column:
     """Tokens for the battery: every run of encoded characters, ``least`` long or longer, that some encoding can read.
 
-    Nothing else is asked of a token, neither digits nor a greatest length: prose, identifiers and paths are left to the tests.
+    An equals sign belongs to a token as padding at its end alone; else it stands between a name and what the name is given, two
+    tokens. Nothing else is asked of a token, neither digits nor a greatest length: prose, identifiers and paths are left to the tests.
     """
-    found = matches(text, f"[A-Za-z0-9+/_=-]{{{least},}}")
+    some = "[A-Za-z0-9+/_-]"
+    found = matches(text, f"{some}{{{least - 2},}}+={{1,2}}(?![A-Za-z0-9+/_=-])|{some}{{{least},}}+")
+    found = F.filter(found, lambda m: m["end"] - m["start"] >= least)
     tested = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["s"]).alias("b")))
     return F.filter(tested, lambda m: m["b"].isNotNull())
 

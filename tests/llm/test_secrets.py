@@ -80,3 +80,24 @@ def test_random_tokens_of_few_digits_and_long_ones_are_tested(spark):
     out = {x.doc_id: x.n_random for x in secrets.report(secrets.scan(df)).collect()}
     assert len(few) > 150 and sum(out[i] for i in range(len(few))) >= 0.9 * len(few) and out[len(few) - 2] == out[len(few) - 1] == 1
     assert [out[i] for i in range(len(few), len(out))] == [0] * len(prose)
+
+
+def test_tokens_around_equals_signs(spark):
+    """A name, an equals sign and a key are two tokens; padding stays with its token; identifiers are none."""
+    r = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n=40: "".join(r.choice(alphabet) for _ in range(n))
+    shapes = ["DB_KEY={}", "https://host.example/get?sig={}&x=1", "x={}", "A_VERY_LONG_VARIABLE_NAME_OF_SORTS={}", "v={}==", "k=={}", "({}=)", "a={}=b"]
+    rows = [(i, shape.format(key()), shape.index("{}")) for i, shape in enumerate(shapes * 5)]
+    names = ["SOME_CONFIGURATION_OPTION_NAME=another_configuration_value", "averylongidentifierinprose=othervalueofwordstogether", "return_value=compute_the_result_of_this"]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + i, t) for i, t in enumerate(names)], "doc_id bigint, text string")
+    out = {x.doc_id: x.spans for x in secrets.report(secrets.scan(df)).collect()}
+    hits = 0
+    for i, text, at in rows:
+        end = at + 40
+        padded = end + len(re.match("=*", text[end:]).group()) if not re.match("=*[A-Za-z0-9]", text[end:]) else end
+        hits += out[i] == f"random:{at}:{padded}"
+        assert out[i] in (f"random:{at}:{padded}", ""), (text, out[i])
+    assert hits >= 0.95 * len(rows) and [out[1000 + i] for i in range(3)] == [""] * 3
+    found = df.where("doc_id = 4").select(F.explode(secrets.candidates(F.col("text"))).alias("c")).select("c.start", "c.end").collect()
+    assert [tuple(x) for x in found] == [(2, 44)]
