@@ -34,7 +34,11 @@ NEGATIVE = "block bigint, at int, anchor_id bigint, place int, positive_id bigin
 
 
 def _vectors(cells: list[bytes], size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(cells), "<f8").reshape(len(cells), size)
+    return _matrix(b"".join(cells), len(cells), size)
+
+
+def _matrix(cell: bytes, n: int, size: int) -> np.ndarray:
+    return np.frombuffer(cell, "<f8").reshape(n, size) if cell else np.zeros((n, size))
 
 
 def _record(sql: str, columns: list) -> pa.RecordBatch:
@@ -54,7 +58,7 @@ def _quantise(scale: float):
                 with np.errstate(over="ignore", invalid="ignore"):
                     q = np.floor(scale * np.array(v, np.float64))
                 # a product of such vectors fits a long
-                if np.isfinite(q).all() and (not len(q) or len(q) * float(np.abs(q).max()) ** 2 < 2**62):
+                if np.isfinite(q).all() and (not len(q) or float(np.abs(q).max()) < 2**31 / len(q) ** 0.5):
                     rows.append((vec_id, label, bool(anchor), len(q), (q + 0.0).tobytes()))
             yield _record(QUANTISED, list(zip(*rows, strict=True)) if rows else [[]] * 5)
 
@@ -176,7 +180,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
             if r["a_at"]:
-                q, ids = np.frombuffer(r["q"], "<f8").reshape(r["n"], r["size"]), np.frombuffer(r["ids"], "<i8")
+                q, ids = _matrix(r["q"], r["n"], r["size"]), np.frombuffer(r["ids"], "<i8")
                 m = len(r["a_at"])
                 yield _record(ANCHOR, [[r["block"]] * m, r["a_at"], ids[r["a_at"]].tolist(), [r["label"]] * m, [r["size"]] * m, [q[k].tobytes() for k in r["a_at"]], r["a_least"]])
 
@@ -251,7 +255,7 @@ def _score_positives(k: int):
         for b in batches:
             for r in b.to_pylist():
                 a = _opened(r["pack"])
-                ids, q = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q"], "<f8").reshape(r["n"], r["size"])
+                ids, q = np.frombuffer(r["ids"], "<i8"), _matrix(r["q"], r["n"], r["size"])
                 scores = _products(_vectors(a["q"], r["size"]), q)
                 ok = np.ones(scores.shape, bool)
                 for i, (block, at) in enumerate(zip(a["block"], a["at"], strict=True)):
@@ -272,7 +276,7 @@ def _score_negatives(k: int, low: int):
         for b in batches:
             for r in b.to_pylist():
                 a = _opened(r["pack"])
-                ids, q = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q"], "<f8").reshape(r["n"], r["size"])
+                ids, q = np.frombuffer(r["ids"], "<i8"), _matrix(r["q"], r["n"], r["size"])
                 scores = _products(_vectors(a["q"], r["size"]), q)
                 out = []
                 for place in range(max(map(len, a["scores"]))):

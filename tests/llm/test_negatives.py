@@ -39,7 +39,7 @@ def test_equals_brute_force(spark):
 
 
 def test_rows_without_part(spark):
-    bad = [(10, None, 1), (20, [1.0, None], 1), (30, [1.0, float("nan")], 1), (40, [float("inf"), 1.0], 1), (None, [1.0, 1.0], 1), (50, [1.0, 1.0], None), (60, [1e300, 0.0], 1), (70, [], 1), (80, [], 2)]
+    bad = [(10, None, 1), (20, [1.0, None], 1), (30, [1.0, float("nan")], 1), (40, [float("inf"), 1.0], 1), (None, [1.0, 1.0], 1), (50, [1.0, 1.0], None), (60, [1e300, 0.0], 1), (70, [], 1), (71, [], 1), (80, [], 2)]
     good = [(90, [1.0, 1.0], 1), (91, [1.0, 0.9], 1), (92, [1.0, 0.8], 2), (92, [1.0, 0.8], 2), (90, [1.0, 1.0], 1), (100, [0.0, 0.0], 1), (101, [0.0, 0.0], 2), (110, [-1.0, 0.0], 5), (111, [1.0, 0.0], 5)]
     want = brute([x for x in bad if x[0] != 60] + good)
     assert found(spark, bad + good) == want and any(x[0] == 70 for x in want)
