@@ -32,6 +32,7 @@ def indicator_snapshot(bars: DataFrame, *, fast: int, slow: int, atr: int) -> Da
 
 def entry_signals(snapshot: DataFrame, positions: DataFrame, *, now_ms: int, cooldown_ms: int) -> DataFrame:
     """First reason that applies decides; a symbol without a position row is flat."""
+    #: The names of the reasons, here and below.
     j = snapshot.join(positions, "symbol", "left")
     cooling = F.col("last_exit_ms").isNotNull() & (now_ms - F.col("last_exit_ms") < cooldown_ms)
     reason = (

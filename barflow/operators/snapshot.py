@@ -147,6 +147,6 @@ def seal(snapshot: DataFrame, digest: str, path: str, snapshot_id: str | None =
         if not fs.exists(named(mark)):
             raise ValueError(f"the snapshot in {target} has other content")
         return False
-    snapshot.write.option("compression", "zstd").partitionBy("symbol").parquet(target)
-    fs.create(named(mark)).close()
+    fs.create(named(mark)).close()  # before the commit, so that a finished folder always says what it holds
+    snapshot.write.mode("append").option("compression", "zstd").partitionBy("symbol").parquet(target)
     return True
