@@ -224,10 +224,11 @@ def _stitched(p: Pieces, word: str) -> np.ndarray | None:
 
 
 class Encoder:
-    """Encodes texts word by word; results of words are kept in a bounded cache of flat arrays."""
+    """Encodes texts word by word; results of words are kept in a cache of flat arrays, bounded in words and in their characters."""
 
-    def __init__(self, pieces: Pieces, most_words: int = 250_000, slice_rows: int = 20_000) -> None:
+    def __init__(self, pieces: Pieces, most_words: int = 600_000, slice_rows: int = 20_000) -> None:
         self.p, self.most, self.rows = pieces, most_words, slice_rows
+        self.chars = 0
         self.pattern = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if pieces.cut_lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.table = Table(np.int32)
 
@@ -299,9 +300,12 @@ class Encoder:
             marked = pa.array(slow, pa.string())
         codes, count, words = cut(marked, CUT)
         words = [w.replace(CUT_TEXT, CUT) for w in words]
-        if len(self.table.index) > self.most:
+        if len(self.table.index) > self.most or self.chars > 16 * self.most:
             self.table.keep_half()
-        self._learn(self.table.missing([w for w in words if w]) + ([""] if "" not in self.table.index else []))
+            self.chars = sum(map(len, self.table.index))
+        fresh = self.table.missing([w for w in words if w])
+        self.chars += sum(map(len, fresh))
+        self._learn(fresh + ([""] if "" not in self.table.index else []))
         starts, size = self.table.spans(self.table.places(words))
         ids = gather(self.table.flat, starts[codes], size[codes])
         return ids, np.concatenate([[0], np.cumsum(size[codes])])[np.cumsum(count)]
