@@ -214,7 +214,8 @@ def candidates(text: Column, least: int = 20) -> Column:
     tokens. Nothing else is asked of a token, neither digits nor a greatest length: prose, identifiers and paths are left to the tests.
     """
     some = "[A-Za-z0-9+/_-]"
-    found = matches(text, f"{some}{{{least - 2},}}+={{1,2}}(?![A-Za-z0-9+/_=-])|{some}{{{least},}}+")
+    # A token begins where a run does, so no run is read from each of its characters.
+    found = matches(text, f"(?<!{some}){some}{{{least - 2},}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?")
     found = F.filter(found, lambda m: m["end"] - m["start"] >= least)
     tested = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["s"]).alias("b")))
     return F.filter(tested, lambda m: m["b"].isNotNull())
