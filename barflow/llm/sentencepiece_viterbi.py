@@ -68,9 +68,10 @@ class Pieces:
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_ids = keys[order], ids[order]
         # The pieces' characters, so that a probe that meets a key is compared as text.
-        self.codes = np.zeros((len(self.texts), self.longest), np.uint32)
-        for t, i in self.by_text.items():
-            self.codes[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        self.code_size = np.zeros(len(self.texts), np.int64)
+        self.code_size[ids] = np.fromiter(map(len, self.by_text), np.int64, len(self.by_text))
+        self.code_at = np.cumsum(self.code_size) - self.code_size
+        self.codes = np.frombuffer("".join(t for t, _ in sorted(self.by_text.items(), key=lambda x: x[1])).encode("utf-32-le"), np.uint32)
         self.hint = np.zeros(1 << 20, bool)  # hashes that can't be keys are told by 20 bits
         self.hint[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         if (self.keys[1:] == self.keys[:-1]).any():
@@ -129,34 +130,37 @@ def _viterbi(p: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     back = np.zeros((n + 1, b), np.int16)
     total = np.zeros((n + 1, b))
     worst = float(p.scores.min()) - 10.0
+    flat = codes.ravel()
     for j in range(1, n + 1):
-        best = np.full(b, -np.inf)
-        for width in range(1, min(j, p.longest) + 1):
-            i = j - width
-            with np.errstate(over="ignore"):
-                h = prefix[j] - prefix[i] * powers[width]
-            piece = np.full(b, -1, np.int64)
-            rows = np.flatnonzero(p.hint[(h >> np.uint64(44)).astype(np.int64)])
-            if len(rows):
-                at = np.minimum(np.searchsorted(p.keys, h[rows]), len(p.keys) - 1)
-                found = p.keys[at] == h[rows]
-                rows, ids = rows[found], p.key_ids[at[found]]
-                same = (codes[rows, i:j] == p.codes[ids, :width]).all(1) & ((p.codes[ids, width] == 0) if width < p.longest else True)
-                piece[rows[same]] = ids[same]
-            if width == 1:
-                piece = np.where(piece < 0, -1 - codes[:, i].astype(np.int64), piece)
-            elif not (piece >= 0).any():
-                continue
-            if p.unigram:
-                gain = np.where(piece >= 0, p.scores[np.maximum(piece, 0)], worst if width == 1 else -np.inf) + total[i]
-            else:
-                known = (piece >= 0) | (width == 1)
-                gain = np.where(known & _admissible(p, last[i], piece, known, i), float(width), -np.inf)
-            better = gain > best
-            best = np.where(better, gain, best)
-            last[j] = np.where(better, piece, last[j])
-            back[j] = np.where(better, width, back[j])
-        total[j] = best
+        # All widths at once: row w - 1 of these tables is the substring of width w that ends at j.
+        most = min(j, p.longest)
+        starts = np.arange(j - 1, j - 1 - most, -1)
+        with np.errstate(over="ignore"):
+            h = (prefix[j] - prefix[starts] * powers[1 : most + 1, None]).ravel()
+        cells = np.flatnonzero(p.hint[(h >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(p.keys, h[cells]), len(p.keys) - 1)
+        found = (p.keys[at] == h[cells]) & (p.code_size[p.key_ids[at]] == cells // b + 1)
+        cells, piece = cells[found], p.key_ids[at[found]]
+        i, rows = starts[cells // b], cells % b
+        differ = gather(flat, rows * n + i, j - i) != gather(p.codes, p.code_at[piece], j - i)
+        if differ.any():
+            same = np.bincount(np.repeat(np.arange(len(cells)), j - i), differ, len(cells)) == 0
+            cells, piece = cells[same], piece[same]
+        single = -1 - codes[:, j - 1].astype(np.int64)  # a character is a part even where no piece is it
+        one = cells < b
+        single[cells[one]] = piece[one]
+        cells, piece = np.concatenate([np.arange(b), cells[~one]]), np.concatenate([single, piece[~one]])
+        i, rows = starts[cells // b], cells % b
+        gain = np.full(most * b, -np.inf)
+        if p.unigram:
+            gain[cells] = np.where(piece >= 0, p.scores[np.maximum(piece, 0)], worst) + total[i, rows]
+        else:
+            gain[cells] = np.where(_admissible(p, last[i, rows], piece, i), j - i, -np.inf)
+        width = gain.reshape(most, b).argmax(0)
+        pieces = np.zeros(most * b, np.int64)
+        pieces[cells] = piece
+        chosen = width * b + np.arange(b)
+        last[j], back[j], total[j] = pieces[chosen], width + 1, gain[chosen]
     ids = np.full((b, n), FREE, np.int64)
     at, rows, k = np.full(b, n), np.arange(b), n
     while (left := at > 0).any():
@@ -167,11 +171,10 @@ def _viterbi(p: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids[keep], keep.sum(1)
 
 
-def _admissible(p: Pieces, before: np.ndarray, piece: np.ndarray, known: np.ndarray, i: int) -> np.ndarray:
-    if i == 0:
-        return known
-    out = np.zeros(len(piece), bool)
-    rows = np.flatnonzero(known)
+def _admissible(p: Pieces, before: np.ndarray, piece: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each piece may follow the one before it; at the start of a word any may."""
+    out = starts == 0
+    rows = np.flatnonzero(~out)
     if not len(rows):
         return out
     key = ((before[rows] + HALF) << 22) | (piece[rows] + HALF)
