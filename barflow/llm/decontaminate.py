@@ -4,6 +4,8 @@ Native. Only windows that share a five-word shingle with an item can be alike, s
 such shingles. A place counts in a stretch of window starts: those at which the window covers it and holds fewer earlier
 ones of the same shingle than the item has. The overlap of a window with an item as multisets is the number of stretches
 that hold its start, so one sweep over the ends of the stretches scores all windows of a document and an item at once.
+
+Items below five words are one shingle of their own length: their windows are the runs of so many words.
 """
 
 from __future__ import annotations
@@ -21,10 +23,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(ws: Column) -> Column:
-    """64-bit hash of the five words from each position on; one to four words are one shingle."""
-    some = F.when(F.size(ws) > 0, F.array(F.xxhash64(ws))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(F.size(ws) >= WORDS, F.transform(indices(F.size(ws) - (WORDS - 1)), lambda i: F.xxhash64(F.slice(ws, i, WORDS)))).otherwise(some)
+def shingles(ws: Column, size: int = WORDS) -> Column:
+    """64-bit hash of the ``size`` words from each position on; none in fewer words."""
+    return F.transform(indices(F.size(ws) - (size - 1)), lambda i: F.xxhash64(F.slice(ws, i, size)))
 
 
 def _bitmap(items: DataFrame, many: int, most_bits: int) -> tuple[Column, int]:
@@ -42,6 +43,25 @@ def _bitmap(items: DataFrame, many: int, most_bits: int) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>"), most_bits
 
 
+def _marked(bitmap: Column, size: int, h: Column) -> Column:
+    """Whether some item has the slot of hash ``h``."""
+    slot = F.pmod(h, F.lit(size))
+    return F.getbit(F.element_at(bitmap, (F.shiftright(slot, 6) + 1).cast("int")), slot.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
+
+
+def _short_items(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, most_bits: int) -> DataFrame | None:
+    """Pairs ``(id, item_id)`` of documents that hold the words of an item below five words in a row; None without such items."""
+    counts = {r["words"]: r["n"] for r in items.where(F.col("words") < WORDS).groupBy("words").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return None
+    wanted = items.where(F.col("words") < WORDS).select("item_id", F.col("shingles")[0].alias("h"), "shingles")
+    bitmap, size = _bitmap(wanted, sum(counts.values()), most_bits)
+    runs = lambda ws: F.array_distinct(F.filter(F.concat(*(shingles(ws, k) for k in sorted(counts))), lambda h: _marked(bitmap, size, h)))
+    held = docs.select(F.col(id_col).alias("id"), F.explode(let(words(F.col(text_col)), runs)).alias("h"))
+    wanted = wanted.select("item_id", "h")
+    return held.join(F.broadcast(wanted) if sum(counts.values()) <= 200_000 else wanted, "h").select("id", "item_id")
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -55,25 +75,28 @@ def contamination(
 ) -> DataFrame:
     """Pairs ``(id, item_id, similarity)`` of documents with a window at least ``similarity`` alike to an item; the best window counts.
 
-    A window has as many shingles as its item, or is the whole text where that is shorter; all windows are scored. Texts and
-    items below five words are one shingle: they meet only if they have the same words. Null texts hold nothing. Repeated
+    A window has as many shingles as its item, or is the whole text where that is shorter; all windows are scored. Items below
+    five words are held by each text with the same words in a row, at similarity 1; texts below five words hold no others.
+    Items without words are in no text. Null texts hold nothing. Repeated
     rows count once; rows that share an id are one document, each text scored by itself; a null id is an id, and so is a null
     item id. Very long texts and items are scored whole. Empty tables give an empty result; other columns are not read.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), let(words(F.col(item_text_col)), shingles).alias("shingles")).where(F.size("shingles") > 0)
-    items = written(items.withColumn("item", F.xxhash64("item_id", "shingles")).dropDuplicates(["item"]), "items")
+    one = lambda ws: F.when(F.size(ws) >= WORDS, shingles(ws)).otherwise(F.array(F.xxhash64(ws)))
+    own = lambda ws: F.struct(F.size(ws).alias("words"), one(ws).alias("shingles"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), let(words(F.col(item_text_col)), own).alias("f")).select("item_id", "f.*").where(F.col("words") > 0)
+    items = written(items.withColumn("item", F.xxhash64("item_id", "words", "shingles")).dropDuplicates(["item"]), "items")
+    short = _short_items(docs, items, id_col, text_col, most_bits)
+    items = items.where(F.col("words") >= WORDS)
     many = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
     bitmap, size = _bitmap(items, many, most_bits)
 
     def present(hashes: Column) -> Column:
         """The text's number of shingles, and the places of those whose slot some item has."""
-        slot = lambda h: F.pmod(h, F.lit(size))
-        hit = lambda h: F.getbit(F.element_at(bitmap, (F.shiftright(slot(h), 6) + 1).cast("int")), slot(h).bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
-        places = F.filter(F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("h"))), lambda p: hit(p["h"]))
+        places = F.filter(F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("h"))), lambda p: _marked(bitmap, size, p["h"]))
         return F.struct(F.size(hashes).alias("n"), places.alias("places"))
 
     text = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
-    found = docs.select(text.alias("doc"), let(let(words(F.col(text_col)), shingles), present).alias("f"))
+    found = docs.select(text.alias("doc"), let(let(words(F.col(text_col)), lambda ws: shingles(ws)), present).alias("f"))
     places = found.select("doc", "f.n", F.explode("f.places").alias("p")).select("doc", "n", "p.at", "p.h")
     wanted = items.select("item", "item_id", F.size("shingles").alias("m"), F.explode("shingles").alias("h")).groupBy("item", "item_id", "m", "h").agg(F.count(F.lit(1)).cast("int").alias("c"))
     wanted = F.broadcast(wanted) if many <= 200_000 else wanted  # counted above
@@ -92,7 +115,10 @@ def contamination(
     scored = swept.select("doc.id", "item_id", span.alias("span"), "m", most.alias("both")).select(
         "id", "item_id", (F.col("both") / (F.col("span") + F.col("m") - F.col("both"))).alias("similarity")
     )
-    return scored.where(F.col("similarity") >= similarity).groupBy("id", "item_id").agg(F.max("similarity").alias("similarity"))
+    alike = scored.where(F.col("similarity") >= similarity)
+    if short is not None:
+        alike = alike.unionByName(short.withColumn("similarity", F.lit(1.0)))
+    return alike.groupBy("id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def findings(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

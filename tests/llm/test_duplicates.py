@@ -176,6 +176,21 @@ def test_decontamination_verifies_every_window(spark):
     assert out == {i: 0.818182 for i in range(6)} | {10 + i: 0.960784 for i in range(6)}
 
 
+def test_decontamination_finds_short_items_inside_texts(spark, no_docs):
+    texts = {1: "The Answer is forty-two, of course", 2: "the answer is", 3: "answer is forty two", 4: "the answer was forty two", 5: "forty", 6: None, 7: "", 8: "yes " * 5000 + "a b c d", 9: "a b c d e f", 10: "x the answer"}
+    items = {1: "the answer is", 2: "Forty two", 3: "forty", 4: "a b c d", 5: "the answer is forty two", 6: "", 7: None, 8: "a b c d e f", 9: "the answer"}
+    w = lambda t: re.findall(r"[a-z]+", (t or "").lower())
+    held = lambda t, i: any(w(t)[k : k + len(w(i))] == w(i) for k in range(len(w(t)))) if w(i) else False
+    want = {(d, i, 1.0) for d, t in texts.items() for i, item in items.items() if held(t, item)}
+    rows = [*texts.items(), (9, texts[9]), (None, "forty")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame([*items.items(), (3, "forty")], "item_id bigint, text string")
+    got = [tuple(r) for r in decontaminate.contamination(df, bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | {(None, 3, 1.0)}
+    assert {(1, 1, 1.0), (1, 5, 1.0), (8, 4, 1.0), (5, 3, 1.0)} <= want and not any(d == 8 and i == 8 for d, i, _ in want)
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {6, 7} and decontaminate.findings(no_docs, bench).count() == 0
+
+
 def test_block_links_pairs_without_a_common_key():
     """Exact similarity decides inside a block, also across chunks; keys (no two alike here) don't."""
     sets = [np.arange(k, k + 90, dtype=np.uint64) for k in (0, 10, 20, 500)]
