@@ -39,9 +39,10 @@ def _candles(rows: DataFrame, fields: dict[str, int], interval_ms: int, shift: i
     for i in fields.values():
         if 0 < i <= 6:
             ok = ok & finite(get(i))
-    return rows.where(ok).select(
-        "symbol", ts.alias("timestamp_ms"), *((F.coalesce(get(i), F.lit(0.0)) if i > 0 else F.lit(0.0)).alias(n) for n, i in fields.items())
-    )
+    values = {n: F.coalesce(get(i), F.lit(0.0)) if i > 0 else F.lit(0.0) for n, i in fields.items()}
+    # Exploded, since a filter on the arrays would be pushed below what builds them and build them anew for each field it tests.
+    made = F.explode(F.array(F.when(ok, F.struct("symbol", ts.alias("timestamp_ms"), *(v.alias(n) for n, v in values.items())))))
+    return rows.select(made.alias("bar")).where("bar is not null").select("bar.*")
 
 
 def normalize_native(rows: DataFrame, *, interval_ms: int) -> DataFrame:

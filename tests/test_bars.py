@@ -53,6 +53,14 @@ def test_normalizers_drop_short_and_non_finite(spark):
     assert [(r.timestamp_ms, r.open) for r in opened] == [(T0 + I, 12.0)]
 
 
+def test_normalizers_build_a_candle_once(spark):
+    """However the arrays are built, a row's is built once, not for every field that is tested."""
+    rows = spark.range(5).select(F.lit("A").alias("symbol"), F.concat(F.array(F.lit(T0 + 5.0), F.col("id") + 1.0, F.lit(9.0), F.lit(10.0), F.lit(11.0)), F.array(F.lit(3.0))).alias("candle"))
+    for df in (B.normalize_native(rows, interval_ms=I), B.normalize_open_labelled(rows, interval_ms=I)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("concat(") == 1
+        assert df.count() == 5
+
+
 def test_merge_is_idempotent(spark):
     base = series(spark).withColumn("seq", F.lit(0))
     again = base.withColumns({"close": F.col("close") + 1, "seq": F.lit(1)})
