@@ -67,13 +67,38 @@ def _falls(trades: DataFrame, keys: list[str], order: list[str], bucket_ms: int
     """Rows are ordered within time buckets alone; a bucket is reduced to its sum, extremes and own fall, and only the buckets
     of a key are ordered as a whole, so a key of all trades is never sorted in one task."""
     bucket = F.floor(F.col(order[0]) / bucket_ms) if bucket_ms else F.lit(0)
-    rows = trades.withColumn("_b", bucket)
-    w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cum = rows.withColumn("_cum", F.sum("_net").over(w)).withColumn("_fall", F.max("_cum").over(w) - F.col("_cum"))
-    parts = cum.groupBy(*keys, "_b").agg(F.sum("_net").alias("s"), F.max("_cum").alias("top"), F.min("_cum").alias("low"), F.max("_fall").alias("fall"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = _paths(trades.withColumn("_b", bucket), ["_b", *keys], order, {"": F.col("_net")})
+    return _chained(parts, keys, ["_b"]).select(*keys, F.col("fall").alias("max_drawdown"))
+
+
+def _falls_by_symbol(trades: DataFrame, keys: list[str], order: list[str], bucket_ms: int | None, nets: dict[str, Column], grain: Column, by: list[str]) -> DataFrame:
+    """Falls of several sets of trades, ``nets`` by name (``split``), null outside of a set, where ``order`` begins with a time and the symbol.
+
+    Rows of a time and symbol are then neighbours in every set, of the symbol as of all symbols: they are ordered once and reduced to
+    what ``_falls`` keeps of a bucket. ``grain`` lists the symbols under which such a run counts; ``by`` are the keys of the result.
+    """
+    runs = _paths(trades, [order[0], "symbol", *keys], order[2:] or order[:1], nets)
+    parts = ("s", "top", "low", "fall")
+    sets = F.array(*(F.struct(F.lit(n).alias("split"), *(F.col(f"{c}{n}").alias(c) for c in parts)) for n in nets))
+    listed = runs.select(*keys, order[0], "symbol", F.explode(sets).alias("x")).select(*keys, order[0], F.col("symbol").alias("_real"), F.explode(grain).alias("symbol"), "x.*").where("s is not null")
+    buckets = listed.withColumn("_b", F.floor(F.col(order[0]) / bucket_ms) if bucket_ms else F.lit(0))
+    return _chained(_chained(buckets, ["_b", *by], [order[0], "_real"]), by, ["_b"]).select(*by, F.col("fall").alias("max_drawdown"))
+
+
+def _paths(rows: DataFrame, by: list[str], order: list[str], nets: dict[str, Column]) -> DataFrame:
+    """Sum, highest and lowest running sum and largest fall of each of ``nets`` per ``by``, nulls left out; what parts rows comes first in ``by``."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cum = rows.withColumns({f"_net{n}": net for n, net in nets.items()}).withColumns({f"_cum{n}": F.sum(f"_net{n}").over(w) for n in nets})
+    cum = cum.withColumns({f"_fall{n}": F.max(f"_cum{n}").over(w) - F.col(f"_cum{n}") for n in nets})
+    return cum.groupBy(*by).agg(*(x for n in nets for x in (F.sum(f"_net{n}").alias(f"s{n}"), F.max(f"_cum{n}").alias(f"top{n}"), F.min(f"_cum{n}").alias(f"low{n}"), F.max(f"_fall{n}").alias(f"fall{n}"))))
+
+
+def _chained(parts: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Parts of a path, one after another, as one."""
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0.0))).withColumn("high", F.max(F.col("base") + F.col("top")).over(before))
-    return placed.groupBy(*keys).agg(F.max(F.greatest("fall", F.col("high") - F.col("base") - F.col("low"))).alias("max_drawdown"))
+    at = lambda c: F.col("base") + F.col(c)
+    return placed.groupBy(*by).agg(F.sum("s").alias("s"), F.max(at("top")).alias("top"), F.min(at("low")).alias("low"), F.max(F.greatest("fall", F.col("high") - at("low"))).alias("fall"))
 
 
 def probability_loss(preds: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,9 +136,9 @@ def _ranked(tied: DataFrame, keys: list[str]) -> DataFrame:
 def fold_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list[str], keys: tuple[str, ...] = ("fold", "scenario", "scope"), bucket_ms: int | None = DAY_MS) -> DataFrame:
     """One row per (keys, symbol or ``*`` for all, split) with all metrics.
 
-    Rows are summed up once per (keys, symbol, own split), and once more by score; the coarser grains add up those sums. Only
-    trades are laid out for every grain, since drawdowns need their order. ``order`` begins with a time in ms, or ``bucket_ms``
-    is None.
+    Rows are summed up once per (keys, symbol, own split), and once more by score; the coarser grains add up those sums. Trades
+    are ordered once for all grains if ``order`` begins with a time and ``symbol``, which is the row's own there; in another order they
+    are laid out for every grain. ``order`` begins with a time in ms, or ``bucket_ms`` is None.
     """
     by = [*keys, "symbol", "split"]
     own = preds.withColumn("split", own_split())
@@ -132,8 +157,13 @@ def fold_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list[
         F.when(F.col("trades") > 0, F.col("wins") / F.col("trades")).alias("win_rate"), *((F.col(c) / F.col("row_count")).alias(c) for c in ("logloss", "brier")),
     )
     scores = _grains(_tied(own, by)).groupBy(*by, "probability").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    trades = _grains(own.where(trade).select(*by, *(c for c in order if c not in by), net.alias("_net")))
-    return base.join(_falls(trades, by, order, bucket_ms), by, "left").join(_ranked(scores, by), by).fillna(0.0, ["max_drawdown"])
+    taken = own.where(trade).select(*by, *(c for c in order if c not in by), net.alias("_net"))
+    if order[1:2] == ["symbol"]:
+        nets = {"all": F.col("_net")} | {n: F.when(F.col("split") == n, F.col("_net")) for n in ("native", "synthetic")}
+        falls = _falls_by_symbol(taken, list(keys), order, bucket_ms, nets, F.array(F.col("symbol"), F.lit("*")), by)
+    else:
+        falls = _falls(_grains(taken), by, order, bucket_ms)
+    return base.join(falls, by, "left").join(_ranked(scores, by), by).fillna(0.0, ["max_drawdown"])
 
 
 def total_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list[str], keys: tuple[str, ...] = ("fold", "scenario", "scope"), bucket_ms: int | None = DAY_MS) -> DataFrame:
@@ -142,7 +172,11 @@ def total_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list
     trade = F.col("probability") >= threshold
     trades = preds.where(trade).withColumn("_net", F.col("forward_return") - 2 * fee)
     base = preds.groupBy(*by).agg(*_trading(threshold, fee), *_losses())
-    out = base.join(_falls(trades, by, order, bucket_ms), by, "left").join(ranking(preds, by), by).fillna(0.0, ["max_drawdown"])
+    if order[1:2] == ["symbol"]:
+        falls = _falls_by_symbol(trades, by, order, bucket_ms, {"all": F.col("_net")}, F.array(F.lit("*")), by)
+    else:
+        falls = _falls(trades, by, order, bucket_ms)
+    out = base.join(falls, by, "left").join(ranking(preds, by), by).fillna(0.0, ["max_drawdown"])
     return out.withColumns({"symbol": F.lit("*"), "split": F.lit("all")})
 
 

@@ -96,8 +96,7 @@ class Evaluation:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        grains = M.fold_metrics(self.preds.withColumn("real_symbol", F.col("symbol")), threshold=TH, fee=FEE, order=["timestamp_ms", "real_symbol", "row_key"])
-        return staged(grains)
+        return staged(M.fold_metrics(self.preds, threshold=TH, fee=FEE, order=ORDER))
 
     @cached_property
     def summary(self) -> DataFrame:

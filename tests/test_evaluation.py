@@ -103,3 +103,19 @@ def test_total_metrics_are_the_coarsest_rows_of_fold_metrics(spark):
     other = M.fold_metrics(preds.withColumn("real", F.col("symbol")), **spec | {"order": ["timestamp_ms", "real", "row_key"]}).where("symbol = '*' and split = 'all'")
     flat = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*sorted(mine.columns)).collect())
     assert flat(mine) == flat(other) and mine.count() == 2
+
+
+def test_drawdowns_of_all_grains_from_one_order(spark):
+    """Against a loop over each grain; rows of a time are in the order of their own symbol, also under ``*``."""
+    r = random.Random(7)
+    rows = [(1, "w", "g", r.choice("AB"), r.randrange(6) * 43_200_000, r.choice(["native", "x"]), 1, r.uniform(-0.1, 0.1), r.random(), f"{r.randrange(10**6):06d}{i}") for i in range(200)]
+    got = {(x.symbol, x.split): x.max_drawdown for x in M.fold_metrics(spark.createDataFrame(rows, PREDS).repartition(3), threshold=0.3, fee=0.0, order=["timestamp_ms", "symbol", "row_key"]).collect()}
+    for symbol, split in got:
+        mine = [x for x in rows if symbol in ("*", x[3]) and split in ("all", "native" if x[5] == "native" else "synthetic") and x[8] >= 0.3]
+        cum, top, fall = 0.0, None, 0.0
+        for x in sorted(mine, key=lambda x: (x[4], x[3], x[9])):
+            cum += x[7]
+            top = cum if top is None else max(top, cum)
+            fall = max(fall, top - cum)
+        assert got[symbol, split] == pytest.approx(fall, abs=1e-12)
+    assert len(got) == 9
