@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ..sources.staging import staged
 from .ordered import scan
 
 
@@ -17,26 +19,29 @@ def linear_recurrences(
     column of its map. With ``before`` the value before each row is added too, as ``<name>_before``. Rows that tie in ``order``
     are ordered arbitrarily.
 
-    1. Rows are numbered within spans of their first order column and dealt into chunks of ``chunk`` rows. Without ``span`` a
-       key is one span, which suits short keys only.
-    2. Each chunk's maps are composed to one map by a fold over its sorted array: affine (k, b), and v, what it makes of no value.
-    3. ``ordered.scan`` composes the maps of all earlier chunks, level by level.
-    4. Each chunk is folded again from its carry-in, and its values go back to the rows.
+    1. Rows are sorted within spans of their first order column and go through ``_running`` in batches: each gets its number, dealt
+       into chunks of ``chunk`` rows, and the map of all rows of its chunk up to it. Without ``span`` a key is one span, which suits
+       short keys only.
+    2. A map is affine (k, b), and v, what it makes of no value; the one of a chunk's last row is the chunk's.
+    3. Chunks' maps are staged, since each level of ``ordered.scan`` reads them, which composes those of all earlier chunks; each
+       row's map is applied to what comes out.
 
-    Chunks are arrays of bounded size, so a hot key is many groups. All recurrences share the chunks, so a further one costs no
-    further shuffle.
+    No rows are collected, so a hot key is many groups and none of them is in memory. All recurrences share the pass, so a further
+    one costs no further shuffle.
     """
     outs = list(maps)
     each = range(len(outs))
     nothing = F.lit(None).cast("double")
     coefficients = {f"_{n}{i}": (*maps[out], nothing)[j].cast("double") for i, out in enumerate(outs) for j, n in enumerate("abf")}
     rows = df.withColumn("_t", F.floor(F.col(order[0]) / span).cast("bigint") if span else F.lit(0).cast("bigint"))
-    w = Window.partitionBy(*keys, "_t").orderBy(*order)
-    rows = rows.withColumns({"_n": F.row_number().over(w)} | coefficients)
-    rows = rows.withColumns({"_big": F.floor(F.col("_t") / 256).cast("bigint"), "_s": F.floor((F.col("_n") - 1) / chunk).cast("bigint")})
+    rows = rows.withColumns(coefficients).repartition(*keys, "_t").sortWithinPartitions(*keys, "_t", *order)
+    points = [f"{n}{i}" for i in each for n in ("k", "b", "v", *(("pk", "pb", "pv") if before else ()))]
+    made = StructType([*df.schema.fields, *(StructField(c, LongType()) for c in ("_t", "_n")), *(StructField(f"_{p}", DoubleType()) for p in points)])
+    placed = rows.mapInArrow(_running([*keys, "_t"], df.columns, len(outs), chunk, before), made)
+    placed = placed.withColumns({"_big": F.floor(F.col("_t") / 256).cast("bigint"), "_s": F.floor((F.col("_n") - 1) / chunk).cast("bigint")})
     levels = ["_big", "_t", "_s"]
-    payload = F.struct("_n", *coefficients, F.struct(*df.columns).alias("row"))
-    chunks = rows.groupBy(*keys, *levels).agg(F.array_sort(F.collect_list(payload), lambda x, y: (x["_n"] - y["_n"]).cast("int")).alias("rows"))
+    whole = F.struct(*(F.col(f"_{n}{i}").alias(f"{n}{i}") for i in each for n in "kbv"))
+    chunks = staged(placed.groupBy(*keys, *levels).agg(F.max_by(whole, "_n").alias("_map")))
     identity = F.struct(*(x for i in each for x in (F.lit(1.0).alias(f"k{i}"), F.lit(0.0).alias(f"b{i}"), nothing.alias(f"v{i}"))))
 
     def joined(m: Column, k: Callable[[int], Column], b: Callable[[int], Column], v: Callable[[int], Column]) -> Column:
@@ -49,29 +54,55 @@ def linear_recurrences(
             ]
         return F.struct(*fields)
 
-    composed = F.aggregate("rows", identity, lambda m, r: joined(m, lambda i: r[f"_a{i}"], lambda i: r[f"_b{i}"], lambda i: r[f"_f{i}"]))
-    chunks = chunks.withColumn("_map", composed)
     carry = scan(chunks.select(*keys, *levels, "_map"), keys, levels, "_map", identity, lambda m, n: joined(m, lambda i: n[f"k{i}"], lambda i: n[f"b{i}"], lambda i: n[f"v{i}"]))
     come = lambda i: F.col(f"_carry.v{i}") if y0 is None else F.col(f"_carry.k{i}") * float(y0) + F.col(f"_carry.b{i}")
-    fields = ",".join(f"y{i}:double,p{i}:double" for i in each)
-    first = F.struct(*(come(i).alias(f"y{i}") for i in each), F.array().cast(f"array<struct<{fields}>>").alias("out"))
-
-    def next_(s: Column, r: Column, i: int) -> Column:
-        y = s[f"y{i}"]
-        return F.when(y.isNull(), r[f"_f{i}"]).otherwise(r[f"_a{i}"] * y + r[f"_b{i}"]) if y0 is None else r[f"_a{i}"] * y + r[f"_b{i}"]
-
-    found = F.aggregate(
-        "rows",
-        first,
-        lambda s, r: F.struct(
-            *(next_(s, r, i).alias(f"y{i}") for i in each),
-            F.array_append(s["out"], F.struct(*(x for i in each for x in (next_(s, r, i).alias(f"y{i}"), s[f"y{i}"].alias(f"p{i}"))))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    done = chunks.join(carry, [*keys, *levels]).select(F.explode(F.arrays_zip(F.col("rows.row").alias("row"), found.alias("y"))).alias("z"))
-    extra = [F.col(f"z.y.p{i}").alias(f"{out}_before") for i, out in enumerate(outs)] if before else []
-    return done.select("z.row.*", *(F.col(f"z.y.y{i}").alias(out) for i, out in enumerate(outs)), *extra)
+
+    def value(i: int, p: str = "") -> Column:
+        k, b, v = (F.col(f"_{p}{n}{i}") for n in "kbv")
+        return F.when(come(i).isNull() | k.isNull(), v).otherwise(k * come(i) + b) if y0 is None else k * come(i) + b
+
+    done = placed.join(carry, [*keys, *levels])
+    extra = [value(i, "p").alias(f"{out}_before") for i, out in enumerate(outs)] if before else []
+    return done.select(*df.columns, *(value(i).alias(out) for i, out in enumerate(outs)), *extra)
+
+
+def _running(by: list[str], columns: list[str], n: int, chunk: int, before: bool) -> Callable[[Iterator], Iterator]:
+    """Sorted batches plus each row's number within ``by`` and, for each of ``n`` recurrences, the map of its chunk's rows up to it (and before it)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        parts = ("k", "b", "v", "pk", "pb", "pv") if before else ("k", "b", "v")
+        names = [*columns, "_t", "_n", *(f"_{p}{i}" for i in range(n) for p in parts)]
+        last, number, states = None, 0, [(1.0, 0.0, None)] * n
+        for batch in batches:
+            numbers = []
+            for at in zip(*(batch.column(c).to_pylist() for c in by), strict=True):
+                number = number + 1 if at == last else 1
+                last = at
+                numbers.append(number)
+            out = []
+            for i in range(n):
+                k, b, v = states[i]
+                here, prior = [], []
+                for at, a_, b_, f_ in zip(numbers, *(batch.column(f"_{c}{i}").to_pylist() for c in "abf"), strict=True):
+                    if (at - 1) % chunk == 0:
+                        k, b, v = 1.0, 0.0, None
+                    prior.append((k, b, v))
+                    if a_ is None or b_ is None:
+                        k, b, v = None, None, f_ if v is None else None
+                    else:
+                        if k is not None:
+                            k, b = k * a_, b * a_ + b_
+                        v = f_ if v is None else v * a_ + b_
+                    here.append((k, b, v))
+                states[i] = (k, b, v)
+                for points in (here, prior) if before else (here,):
+                    out += [pa.array(p, pa.float64()) for p in (zip(*points, strict=True) if points else ((), (), ()))]
+            arrays = [*(batch.column(c) for c in [*columns, "_t"]), pa.array(numbers, pa.int64()), *out]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return run
 
 
 def linear_recurrence(df: DataFrame, keys: list[str], order: list[str], a: Column, b: Column, out: str, **options) -> DataFrame:

@@ -81,6 +81,18 @@ def test_replay_of_one_symbol_over_many_cells(spark):
     assert L.fill_violations(df, cash=1e12).count() == 0
 
 
+def test_recurrences_collect_no_rows(spark):
+    """A hot key's rows go through in batches; nothing holds lists of them."""
+    df = spark.createDataFrame([("k", i, 0.5, 1.0 if i else None) for i in range(40)], "k string, t bigint, a double, b double").repartition(3)
+    out = linear_recurrences(df, ["k"], ["t"], {"y": (F.col("a"), F.col("b"), F.col("b"))}, y0=None, chunk=8, span=100)
+    placed = [line for line in plan(out).splitlines() if "collect_list(struct(_n" in line]
+    assert not placed and "MapInArrow" in plan(out)
+    got, y = {x.t: x.y for x in out.collect()}, None
+    for t in range(40):
+        y = (1.0 if t else None) if y is None else 0.5 * y + 1.0
+        assert got[t] == (None if y is None else pytest.approx(y))
+
+
 def test_recurrences_over_spans(spark):
     r = random.Random(5)
     rows = [(k, t, r.uniform(-1, 1), r.uniform(-1, 1)) for k in "ab" for t in r.sample(range(5000), 700)]
