@@ -35,12 +35,13 @@ def linear_recurrences(
     coefficients = {f"_{n}{i}": (*maps[out], nothing)[j].cast("double") for i, out in enumerate(outs) for j, n in enumerate("abf")}
     rows = df.withColumn("_t", F.floor(F.col(order[0]) / span).cast("bigint") if span else F.lit(0).cast("bigint"))
     rows = rows.withColumns(coefficients).repartition(*keys, "_t").sortWithinPartitions(*keys, "_t", *order)
-    points = [f"{n}{i}" for i in each for n in ("k", "b", "v", *(("pk", "pb", "pv") if before else ()))]
+    parts = _parts(y0 is None, before)
+    points = [f"{n}{i}" for i in each for n in parts]
     made = StructType([*df.schema.fields, *(StructField(c, LongType()) for c in ("_t", "_n")), *(StructField(f"_{p}", DoubleType()) for p in points)])
-    placed = rows.mapInArrow(_running([*keys, "_t"], df.columns, len(outs), chunk, before), made)
+    placed = rows.mapInArrow(_running([*keys, "_t"], df.columns, len(outs), chunk, y0 is None, before), made)
     placed = placed.withColumns({"_big": F.floor(F.col("_t") / 256).cast("bigint"), "_s": F.floor((F.col("_n") - 1) / chunk).cast("bigint")})
     levels = ["_big", "_t", "_s"]
-    whole = F.struct(*(F.col(f"_{n}{i}").alias(f"{n}{i}") for i in each for n in "kbv"))
+    whole = F.struct(*((F.col(f"_{n}{i}") if n in parts else nothing).alias(f"{n}{i}") for i in each for n in "kbv"))
     chunks = staged(placed.groupBy(*keys, *levels).agg(F.max_by(whole, "_n").alias("_map")))
     identity = F.struct(*(x for i in each for x in (F.lit(1.0).alias(f"k{i}"), F.lit(0.0).alias(f"b{i}"), nothing.alias(f"v{i}"))))
 
@@ -58,21 +59,27 @@ def linear_recurrences(
     come = lambda i: F.col(f"_carry.v{i}") if y0 is None else F.col(f"_carry.k{i}") * float(y0) + F.col(f"_carry.b{i}")
 
     def value(i: int, p: str = "") -> Column:
-        k, b, v = (F.col(f"_{p}{n}{i}") for n in "kbv")
-        return F.when(come(i).isNull() | k.isNull(), v).otherwise(k * come(i) + b) if y0 is None else k * come(i) + b
+        y = F.col(f"_{p}k{i}") * come(i) + F.col(f"_{p}b{i}")
+        return F.when(come(i).isNull() | F.col(f"_{p}k{i}").isNull(), F.col(f"_{p}v{i}")).otherwise(y) if y0 is None else y
 
     done = placed.join(carry, [*keys, *levels])
     extra = [value(i, "p").alias(f"{out}_before") for i, out in enumerate(outs)] if before else []
     return done.select(*df.columns, *(value(i).alias(out) for i, out in enumerate(outs)), *extra)
 
 
-def _running(by: list[str], columns: list[str], n: int, chunk: int, before: bool) -> Callable[[Iterator], Iterator]:
+def _parts(seeded: bool, before: bool) -> list[str]:
+    """What a row's map has; v only where the first value seeds the recurrence, and the map before the row if that is asked for."""
+    own = ["k", "b", *(["v"] if seeded else [])]
+    return [*own, *(f"p{n}" for n in own if before)]
+
+
+def _running(by: list[str], columns: list[str], n: int, chunk: int, seeded: bool, before: bool) -> Callable[[Iterator], Iterator]:
     """Sorted batches plus each row's number within ``by`` and, for each of ``n`` recurrences, the map of its chunk's rows up to it (and before it)."""
+    parts = _parts(seeded, before)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        parts = ("k", "b", "v", "pk", "pb", "pv") if before else ("k", "b", "v")
         names = [*columns, "_t", "_n", *(f"_{p}{i}" for i in range(n) for p in parts)]
         last, number, states = None, 0, [(1.0, 0.0, None)] * n
         for batch in batches:
@@ -81,24 +88,29 @@ def _running(by: list[str], columns: list[str], n: int, chunk: int, before: bool
                 number = number + 1 if at == last else 1
                 last = at
                 numbers.append(number)
+            first = [(at - 1) % chunk == 0 for at in numbers]
             out = []
             for i in range(n):
                 k, b, v = states[i]
-                here, prior = [], []
-                for at, a_, b_, f_ in zip(numbers, *(batch.column(f"_{c}{i}").to_pylist() for c in "abf"), strict=True):
-                    if (at - 1) % chunk == 0:
+                ks, bs, vs = [k], [b], [v]  # the map before each row, but for first ones
+                for new, a_, b_, f_ in zip(first, *(batch.column(f"_{c}{i}").to_pylist() for c in "abf"), strict=True):
+                    if new:
                         k, b, v = 1.0, 0.0, None
-                    prior.append((k, b, v))
                     if a_ is None or b_ is None:
                         k, b, v = None, None, f_ if v is None else None
                     else:
                         if k is not None:
                             k, b = k * a_, b * a_ + b_
-                        v = f_ if v is None else v * a_ + b_
-                    here.append((k, b, v))
+                        if seeded:
+                            v = f_ if v is None else v * a_ + b_
+                    ks.append(k)
+                    bs.append(b)
+                    vs.append(v)
                 states[i] = (k, b, v)
-                for points in (here, prior) if before else (here,):
-                    out += [pa.array(p, pa.float64()) for p in (zip(*points, strict=True) if points else ((), (), ()))]
+                maps = [(ks, 1.0), (bs, 0.0), *([(vs, None)] if seeded else [])]
+                out += [pa.array(x[1:], pa.float64()) for x, _ in maps]
+                if before:
+                    out += [pa.array([start if new else y for new, y in zip(first, x)], pa.float64()) for x, start in maps]
             arrays = [*(batch.column(c) for c in [*columns, "_t"]), pa.array(numbers, pa.int64()), *out]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
