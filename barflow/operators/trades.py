@@ -31,7 +31,8 @@ def non_overlapping(rows: DataFrame, *, horizon_ms: int | Column, keys: tuple[st
     steps = "array<struct<upto:bigint,free:bigint>>"
     levels = ["_big", "_bucket"]
     keyed = rows.select(*keys, "timestamp_ms").withColumn("_bucket", F.floor(F.col("timestamp_ms") / bucket_ms).cast("bigint")).withColumn("_big", F.floor(F.col("_bucket") / 64).cast("bigint"))
-    times = keyed.groupBy(*keys, *levels).agg(F.array_sort(F.collect_set("timestamp_ms")).alias("t"))
+    # Made distinct first: collecting sets goes over to sorting all rows once a task has more than a few groups.
+    times = keyed.distinct().groupBy(*keys, *levels).agg(F.array_sort(F.collect_list("timestamp_ms")).alias("t"))
     horizon = F.lit(horizon_ms).cast("bigint") if isinstance(horizon_ms, int) else horizon_ms.cast("bigint")
 
     def at(m: Column, free: Column) -> Column:

@@ -121,3 +121,10 @@ def test_holds_by_composition(spark, horizon):
             last = t
     got = J.non_overlapping(df, horizon_ms=horizon).collect()
     assert sorted(x.timestamp_ms for x in got if x.symbol == "S") == want and [x.timestamp_ms for x in got if x.symbol == "T"] == [times[3]]
+
+
+def test_holds_meet_distinct_times_only(spark):
+    """Times are made distinct by hashing before they are listed, so rows are not sorted to collect sets."""
+    df = spark.createDataFrame([("S", t * DAY) for t in (0, 0, 1, 5, 5, 6)], "symbol string, timestamp_ms bigint")
+    out = J.non_overlapping(df, horizon_ms=5 * DAY)
+    assert "collect_set" not in plan(out) and sorted(x.timestamp_ms // DAY for x in out.collect()) == [0, 5]
