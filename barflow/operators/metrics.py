@@ -12,6 +12,8 @@ CLIP = 1e-6
 
 
 DAY_MS = 86_400_000
+#: What metrics are made for, besides symbols and splits.
+KEYS = ("fold", "scenario", "scope")
 
 
 def own_split() -> Column:
@@ -23,10 +25,18 @@ def splits(preds: DataFrame) -> DataFrame:
     return preds.withColumn("split", F.explode(F.array(F.lit("all"), own_split())))
 
 
-def _grains(rows: DataFrame) -> DataFrame:
-    """Rows of (symbol, own split) also under the split ``all`` and the symbol ``*``."""
-    wide = rows.withColumn("split", F.explode(F.array(F.lit("all"), F.col("split"))))
-    return wide.withColumn("symbol", F.explode(F.array(F.col("symbol"), F.lit("*"))))
+#: The splits of predictions, the symbols' own rows and those of all symbols.
+SPLITS, SYMBOLS = ("all", "native", "synthetic"), ("own", "*")
+
+
+def _listed(symbols: tuple[str, ...]) -> Column:
+    return F.explode(F.array(*(F.lit("*") if s == "*" else F.col("symbol") for s in symbols)))
+
+
+def _grains(rows: DataFrame, symbols: tuple[str, ...] = SYMBOLS, splits: tuple[str, ...] = SPLITS) -> DataFrame:
+    """Rows of (symbol, own split) also under the split ``all`` and the symbol ``*``, as far as these are asked for."""
+    wide = rows.withColumn("split", F.lit("all") if splits == ("all",) else F.explode(F.array(F.lit("all"), F.col("split"))))
+    return wide.where(F.col("split").isin(*splits)).withColumn("symbol", _listed(symbols))
 
 
 def _trading(threshold: float, fee: float) -> list[Column]:
@@ -71,17 +81,25 @@ def _falls(trades: DataFrame, keys: list[str], order: list[str], bucket_ms: int
     return _chained(parts, keys, ["_b"]).select(*keys, F.col("fall").alias("max_drawdown"))
 
 
-def _falls_by_symbol(trades: DataFrame, keys: list[str], order: list[str], bucket_ms: int | None, nets: dict[str, Column], grain: Column, by: list[str]) -> DataFrame:
-    """Falls of several sets of trades, ``nets`` by name (``split``), null outside of a set, where ``order`` begins with a time and the symbol.
+def trade_runs(preds: DataFrame, *, thresholds: dict[str, float], fee: float, order: list[str], keys: tuple[str, ...] = KEYS, splits: tuple[str, ...] = SPLITS) -> DataFrame:
+    """Trades at each of ``thresholds`` (by name), where ``order`` begins with a time and the symbol, reduced to one row per (keys, time, symbol).
 
-    Rows of a time and symbol are then neighbours in every set, of the symbol as of all symbols: they are ordered once and reduced to
-    what ``_falls`` keeps of a bucket. ``grain`` lists the symbols under which such a run counts; ``by`` are the keys of the result.
+    Rows of a time and symbol are neighbours at every threshold and in every split, of the symbol as of all symbols: they are ordered
+    once and reduced to what ``_falls`` keeps of a bucket.
     """
-    runs = _paths(trades, [order[0], "symbol", *keys], order[2:] or order[:1], nets)
+    net, score = F.col("forward_return") - 2 * fee, F.col("probability")
+    of = lambda split: F.lit(True) if split == "all" else own_split() == split
+    nets = {f"_{name}_{split}": F.when((score >= least) & of(split), net) for name, least in thresholds.items() for split in splits}
+    return _paths(preds.where(score >= min(thresholds.values())), [order[0], "symbol", *keys], order[2:] or order[:1], nets)
+
+
+def falls_of(runs: DataFrame, name: str, *, order: list[str], keys: tuple[str, ...] = KEYS, bucket_ms: int | None = DAY_MS, symbols: tuple[str, ...] = SYMBOLS, splits: tuple[str, ...] = SPLITS) -> DataFrame:
+    """``max_drawdown`` per (keys, symbol or ``*``, split) at the threshold ``name`` of ``trade_runs``."""
+    by = [*keys, "symbol", "split"]
     parts = ("s", "top", "low", "fall")
-    sets = F.array(*(F.struct(F.lit(n).alias("split"), *(F.col(f"{c}{n}").alias(c) for c in parts)) for n in nets))
-    listed = runs.select(*keys, order[0], "symbol", F.explode(sets).alias("x")).select(*keys, order[0], F.col("symbol").alias("_real"), F.explode(grain).alias("symbol"), "x.*").where("s is not null")
-    buckets = listed.withColumn("_b", F.floor(F.col(order[0]) / bucket_ms) if bucket_ms else F.lit(0))
+    sets = F.array(*(F.struct(F.lit(x).alias("split"), *(F.col(f"{c}_{name}_{x}").alias(c) for c in parts)) for x in splits))
+    rows = runs.select(*keys, order[0], "symbol", F.explode(sets).alias("x")).select(*keys, order[0], F.col("symbol").alias("_real"), _listed(symbols).alias("symbol"), "x.*").where("s is not null")
+    buckets = rows.withColumn("_b", F.floor(F.col(order[0]) / bucket_ms) if bucket_ms else F.lit(0))
     return _chained(_chained(buckets, ["_b", *by], [order[0], "_real"]), by, ["_b"]).select(*by, F.col("fall").alias("max_drawdown"))
 
 
@@ -133,51 +151,70 @@ def _ranked(tied: DataFrame, keys: list[str]) -> DataFrame:
     return agg.select(*keys, F.when(both, F.col("a") / (F.col("P") * F.col("N"))).alias("roc_auc"), F.when(both, F.col("s") / F.col("P")).alias("pr_auc"))
 
 
-def fold_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list[str], keys: tuple[str, ...] = ("fold", "scenario", "scope"), bucket_ms: int | None = DAY_MS) -> DataFrame:
-    """One row per (keys, symbol or ``*`` for all, split) with all metrics.
+def by_score(preds: DataFrame, *, fee: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Predictions added up per (keys, symbol, own split, probability): what all metrics but the drawdown are made of, at any threshold.
+    ``y`` is 0 or 1; nulls of it and of ``forward_return`` are left out of the averages."""
+    net = F.col("forward_return") - 2 * fee
+    return preds.withColumn("split", own_split()).groupBy(*keys, "symbol", "split", "probability").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count(net).alias("judged"), F.sum("forward_return").alias("gross_return"), F.sum(net).alias("net_return"), F.count_if(net > 0).alias("wins"),
+        F.sum("y").alias("tp"), F.sum(1 - F.col("y")).alias("fp"),
+    )
 
-    Rows are summed up once per (keys, symbol, own split), and once more by score; the coarser grains add up those sums. Trades
-    are ordered once for all grains if ``order`` begins with a time and ``symbol``, which is the row's own there; in another order they
-    are laid out for every grain. ``order`` begins with a time in ms, or ``bucket_ms`` is None.
-    """
+
+def ranks_of(scores: DataFrame, *, keys: tuple[str, ...] = KEYS, symbols: tuple[str, ...] = SYMBOLS, splits: tuple[str, ...] = SPLITS) -> DataFrame:
+    """``ranking`` of rows of ``by_score`` per (keys, symbol or ``*``, split); no threshold is in it."""
+    by = [*keys, "symbol", "split"]
+    rows = _grains(scores.select(*by, "probability", "tp", "fp"), symbols, splits)
+    return _ranked(rows.groupBy(*by, "probability").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp")), by)
+
+
+def metrics_of(scores: DataFrame, falls: DataFrame, ranks: DataFrame, *, threshold: float, keys: tuple[str, ...] = KEYS, symbols: tuple[str, ...] = SYMBOLS, splits: tuple[str, ...] = SPLITS) -> DataFrame:
+    """One row per (keys, symbol or ``*``, split) from ``by_score``, ``falls_of`` and ``ranks_of``. Splits other than ``splits`` have
+    neither drawdown nor ranking, all else is there for each."""
     by = [*keys, "symbol", "split"]
-    own = preds.withColumn("split", own_split())
     trade = F.col("probability") >= threshold
-    net = F.when(trade, F.col("forward_return") - 2 * fee)
     p = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), F.col("probability")))
-    sums = own.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_if(trade).alias("trades"), F.sum(F.when(trade, F.col("forward_return"))).alias("gross_return"), F.sum(net).alias("net_return"),
-        F.count_if(net > 0).alias("wins"), F.sum(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))).alias("logloss"), F.sum(F.pow(p - F.col("y"), F.lit(2.0))).alias("brier"),
+    sums = scores.groupBy(*by).agg(
+        F.sum("row_count").alias("row_count"), *(F.coalesce(F.sum(F.when(trade, F.col(c))), F.lit(0)).alias(n) for c, n in (("row_count", "trades"), ("judged", "judged"), ("wins", "wins"))),
+        *(F.sum(F.when(trade, F.col(c))).alias(c) for c in ("gross_return", "net_return")), F.sum(F.col("tp") + F.col("fp")).alias("marked"),
+        F.sum(-(F.col("tp") * F.log(p) + F.col("fp") * F.log(1 - p))).alias("logloss"), F.sum(F.col("tp") * (1 - p) * (1 - p) + F.col("fp") * p * p).alias("brier"),
     )
-    names = ("row_count", "trades", "gross_return", "net_return", "wins", "logloss", "brier")
-    wide = _grains(sums).groupBy(*by).agg(*(F.sum(c).alias(c) for c in names))
+    names = ("row_count", "trades", "judged", "wins", "gross_return", "net_return", "marked", "logloss", "brier")
+    wide = _grains(sums, symbols).groupBy(*by).agg(*(F.sum(c).alias(c) for c in names)).dropna(subset=by)
     none = F.lit(0.0)
     base = wide.select(
         *by, "row_count", "trades", F.coalesce("gross_return", none).alias("gross_return"), F.coalesce("net_return", none).alias("net_return"),
-        F.when(F.col("trades") > 0, F.col("wins") / F.col("trades")).alias("win_rate"), *((F.col(c) / F.col("row_count")).alias(c) for c in ("logloss", "brier")),
+        F.when(F.col("judged") > 0, F.col("wins") / F.col("judged")).alias("win_rate"), *(F.when(F.col("marked") > 0, F.col(c) / F.col("marked")).alias(c) for c in ("logloss", "brier")),
     )
-    scores = _grains(_tied(own, by)).groupBy(*by, "probability").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    taken = own.where(trade).select(*by, *(c for c in order if c not in by), net.alias("_net"))
+    both = base.join(falls, by, "left").join(ranks, by, "left")
+    return both.withColumn("max_drawdown", F.when(F.col("split").isin(*splits), F.coalesce("max_drawdown", none)))
+
+
+def _measured(preds: DataFrame, threshold: float, fee: float, order: list[str], keys: tuple[str, ...], bucket_ms: int | None, grain: dict[str, tuple[str, ...]]) -> DataFrame:
+    scores = by_score(preds, fee=fee, keys=keys)
     if order[1:2] == ["symbol"]:
-        nets = {"all": F.col("_net")} | {n: F.when(F.col("split") == n, F.col("_net")) for n in ("native", "synthetic")}
-        falls = _falls_by_symbol(taken, list(keys), order, bucket_ms, nets, F.array(F.col("symbol"), F.lit("*")), by)
+        runs = trade_runs(preds, thresholds={"entry": threshold}, fee=fee, order=order, keys=keys, splits=grain["splits"])
+        falls = falls_of(runs, "entry", order=order, keys=keys, bucket_ms=bucket_ms, **grain)
     else:
-        falls = _falls(_grains(taken), by, order, bucket_ms)
-    return base.join(falls, by, "left").join(_ranked(scores, by), by).fillna(0.0, ["max_drawdown"])
+        by = [*keys, "symbol", "split"]
+        taken = preds.where(F.col("probability") >= threshold).withColumns({"split": own_split(), "_net": F.col("forward_return") - 2 * fee})
+        falls = _falls(_grains(taken.select(*by, *(c for c in order if c not in by), "_net"), **grain), by, order, bucket_ms)
+    return metrics_of(scores, falls, ranks_of(scores, keys=keys, **grain), threshold=threshold, keys=keys, **grain).where(F.col("split").isin(*grain["splits"]))
+
+
+def fold_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list[str], keys: tuple[str, ...] = KEYS, bucket_ms: int | None = DAY_MS) -> DataFrame:
+    """One row per (keys, symbol or ``*`` for all, split) with all metrics.
+
+    Rows are summed up once per (keys, symbol, own split, score); the coarser grains add up those sums. Trades
+    are ordered once for all grains if ``order`` begins with a time and ``symbol``, which is the row's own there; in another order they
+    are laid out for every grain. ``order`` begins with a time in ms, or ``bucket_ms`` is None.
+    """
+    return _measured(preds, threshold, fee, order, keys, bucket_ms, {"symbols": SYMBOLS, "splits": SPLITS})
 
 
-def total_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list[str], keys: tuple[str, ...] = ("fold", "scenario", "scope"), bucket_ms: int | None = DAY_MS) -> DataFrame:
+def total_metrics(preds: DataFrame, *, threshold: float, fee: float, order: list[str], keys: tuple[str, ...] = KEYS, bucket_ms: int | None = DAY_MS) -> DataFrame:
     """The rows of ``fold_metrics`` for the symbol ``*`` and the split ``all`` alone, as gates need them at their own threshold."""
-    by = list(keys)
-    trade = F.col("probability") >= threshold
-    trades = preds.where(trade).withColumn("_net", F.col("forward_return") - 2 * fee)
-    base = preds.groupBy(*by).agg(*_trading(threshold, fee), *_losses())
-    if order[1:2] == ["symbol"]:
-        falls = _falls_by_symbol(trades, by, order, bucket_ms, {"all": F.col("_net")}, F.array(F.lit("*")), by)
-    else:
-        falls = _falls(trades, by, order, bucket_ms)
-    out = base.join(falls, by, "left").join(ranking(preds, by), by).fillna(0.0, ["max_drawdown"])
-    return out.withColumns({"symbol": F.lit("*"), "split": F.lit("all")})
+    return _measured(preds, threshold, fee, order, keys, bucket_ms, {"symbols": ("*",), "splits": ("all",)})
 
 
 def summary(metrics: DataFrame) -> DataFrame:

@@ -82,7 +82,32 @@ VIEWS |= {
 }
 
 
+class Scored:
+    """Predictions added up by score, and their trades by time and symbol, each in one pass. Metrics at any of ``thresholds`` come from these."""
+
+    def __init__(self, preds: DataFrame, thresholds: dict[str, float], splits: tuple[str, ...] = ("all",)) -> None:
+        self.preds, self.thresholds, self.splits = preds, thresholds, splits
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return staged(M.by_score(self.preds, fee=FEE))
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        return staged(M.trade_runs(self.preds, thresholds=self.thresholds, fee=FEE, order=ORDER, splits=self.splits))
+
+    @cached_property
+    def ranks(self) -> DataFrame:
+        return staged(M.ranks_of(self.scores, splits=self.splits))
+
+    def metrics(self, name: str, symbols: tuple[str, ...] = M.SYMBOLS) -> DataFrame:
+        falls = M.falls_of(self.runs, name, order=ORDER, symbols=symbols, splits=self.splits)
+        return M.metrics_of(self.scores, falls, self.ranks, threshold=self.thresholds[name], symbols=symbols, splits=self.splits)
+
+
 class Evaluation:
+    gated = {"gates": GATE_TH}
+
     def __init__(self, spark, sf: str) -> None:
         self.spark, self.sf = spark, sf
 
@@ -96,15 +121,24 @@ class Evaluation:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return staged(M.fold_metrics(self.preds, threshold=TH, fee=FEE, order=ORDER))
+        return Scored(self.preds, {"entry": TH}, M.SPLITS).metrics("entry")
+
+    @cached_property
+    def scored(self) -> Scored:
+        """Drawdown and ranking of the split ``all`` alone, which is what summary and attribution read of them."""
+        return Scored(self.preds, {"entry": TH})
+
+    @cached_property
+    def judged(self) -> Scored:
+        return Scored(self.preds.where("scope = 'global'"), self.gated)
 
     @cached_property
     def summary(self) -> DataFrame:
-        return staged(M.summary(self.metrics))
+        return staged(M.summary(self.scored.metrics("entry", ("*",))))
 
     @cached_property
     def attribution(self) -> DataFrame:
-        return I.symbol_attribution(self.metrics, slip=SLIP)
+        return I.symbol_attribution(self.scored.metrics("entry", ("own",)), slip=SLIP)
 
     @cached_property
     def weak(self) -> DataFrame:
@@ -123,8 +157,7 @@ class Evaluation:
         listed = closed.select("symbol").distinct().select(F.lit("combined").alias("dataset"), "symbol", F.lit(True).alias("has_pair"), F.lit(True).alias("has_file"))
         report = Q.coverage_report(closed.withColumn("dataset", F.lit("combined")), listed, interval_ms=DAY).where("symbol <> '*'")
         breach = I.first_breach(report, max_gaps=MAX_GAPS, min_coverage=MIN_COVERAGE).select("breach")
-        scored = M.total_metrics(self.preds.where("scope = 'global'"), threshold=GATE_TH, fee=FEE, order=ORDER)
-        out = M.summary(scored).withColumn("_one", F.lit(1))
+        out = M.summary(self.judged.metrics("gates", ("*",))).withColumn("_one", F.lit(1))
         for one in (parity, rate, breach):
             out = out.join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one", "left")
         return staged(out.drop("_one"))
@@ -152,7 +185,17 @@ class Evaluation:
         return J.equity_curve(self.trades, capital=100_000.0, horizon_ms=2 * DAY)
 
 
-KEYS = ["fold", "scenario", "scope", "symbol", "split"]
+class Promotion(Evaluation):
+    """Gates and classes of the global scope, which alone is promoted, from the same two passes over its predictions."""
+
+    gated = {"entry": TH, "gates": GATE_TH}
+
+    @cached_property
+    def scored(self) -> Scored:
+        return self.judged
+
+
+KEYS = [*M.KEYS, "symbol", "split"]
 
 
 def six(df: DataFrame, *names: str) -> DataFrame:
@@ -244,8 +287,8 @@ def promotion_choice(spark, sf):
   UNION ALL SELECT 'worst', scenario, symbol FROM (SELECT *, row_number() OVER (PARTITION BY scenario, scope ORDER BY stressed_net, net_return, symbol) AS rk FROM weak WHERE scope = 'global' AND scenario IN (SELECT scenario FROM gchoice)) WHERE rk <= 5
   UNION ALL SELECT 'alternative', scenario, gate FROM gfail WHERE scenario NOT IN (SELECT scenario FROM gchoice)""")
 def promotion_record(spark, sf):
-    run = Evaluation(spark, sf)
-    return I.promotion_record(staged(run.choice), run.weak, run.failures)
+    run = Promotion(spark, sf)
+    return I.promotion_record(run.choice, run.weak, run.failures)
 
 
 @query("SELECT symbol, timestamp_ms, probability, row_key FROM cands")

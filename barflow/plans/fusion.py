@@ -109,7 +109,7 @@ class Fusion:
 
     @cached_property
     def fx(self) -> DataFrame:
-        return X.fx(self.spark, self.sf)
+        return staged(X.fx(self.spark, self.sf))
 
     @cached_property
     def observations(self) -> DataFrame:

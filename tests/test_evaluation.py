@@ -4,9 +4,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from barflow.operators import attribution as I
 from barflow.operators import folds as H
 from barflow.operators import metrics as M
 from barflow.operators import trades as J
+from barflow.plans import evaluate as E
 
 PREDS = "fold int, scenario string, scope string, symbol string, timestamp_ms bigint, source string, y int, forward_return double, probability double, row_key string"
 
@@ -119,3 +121,41 @@ def test_drawdowns_of_all_grains_from_one_order(spark):
             fall = max(fall, top - cum)
         assert got[symbol, split] == pytest.approx(fall, abs=1e-12)
     assert len(got) == 9
+
+
+def test_sums_by_score_equal_metrics_of_rows(spark):
+    """Also with nulls, which averages leave out; without other splits' drawdown and ranking the attribution is the same."""
+    r = random.Random(5)
+    rows = [(r.randrange(2), "w", "g", r.choice("AB"), i * 7_200_000, r.choice(["native", "x"]), r.choice([0, 1, 1, None]), r.choice([r.uniform(-0.1, 0.1), 0.004, None]), r.randrange(20) / 19, f"{i:04d}") for i in range(300)]
+    preds = spark.createDataFrame(rows, PREDS)
+    spec, keys = {"threshold": 0.4, "fee": 0.002}, ["fold", "scenario", "scope", "symbol", "split"]
+    grains = M.splits(preds).withColumns({"real": F.col("symbol"), "symbol": F.explode(F.array("symbol", F.lit("*")))})
+    parts = [M.drawdown(grains, keys, ["timestamp_ms", "real", "row_key"], **spec), M.probability_loss(grains, keys), M.ranking(grains, keys)]
+    want = M.trading(grains, keys, **spec)
+    for part in parts:
+        want = want.join(part, keys)
+    order = ["timestamp_ms", "symbol", "row_key"]
+    full = M.fold_metrics(preds, **spec, order=order)
+    flat = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in x) for x in df.select(*sorted(want.columns)).collect())
+    assert flat(full) == flat(want)
+    scores = M.by_score(preds, fee=0.002)
+    some = {"splits": ("all",), "symbols": ("own",)}
+    falls = M.falls_of(M.trade_runs(preds, thresholds={"x": 0.4, "y": 0.9}, fee=0.002, order=order, splits=("all",)), "x", order=order, **some)
+    light = I.symbol_attribution(M.metrics_of(scores, falls, M.ranks_of(scores, **some), threshold=0.4, **some), slip=0.001)
+    sums = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in x) for x in df.collect())
+    assert sums(light) == sums(I.symbol_attribution(full, slip=0.001))
+
+
+def test_promotion_reads_predictions_twice(spark, monkeypatch):
+    """Once by score and once for the trades' order, whatever is made of them."""
+    rows = [(f, s, "global", "AB"[i % 2], i // 2, "native" if i % 3 else "x", i % 2, (i * 7 % 11 - 5) / 50, (i * 5 % 13) / 13, str(i)) for f in (1, 2) for s in ("weighted", "native_only") for i in range(40)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(_):
+        seen.add(1)
+        return True
+
+    preds = spark.createDataFrame(rows, PREDS).where(F.udf(count, "boolean").asNondeterministic()("row_key"))
+    monkeypatch.setattr(E.X, "preds", lambda spark, sf: preds)
+    got = E.promotion_record(spark, "/root/testdata/sf0.001").collect()
+    assert [r.type for r in got].count("decision") == 1 and seen.value == 2 * len(rows)
