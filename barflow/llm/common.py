@@ -30,10 +30,10 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tables/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, options: dict[str, int] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -115,6 +115,19 @@ def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+@contextmanager
+def wide_rows(spark: SparkSession, most: int = 4 << 20, rows: int = 64) -> Iterator[None]:
+    """Within, tables whose rows are large are run in small batches: Arrow batches of about ``most`` bytes, Parquet's of ``rows`` rows, which has no bound in bytes."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        with arrow_batches(spark, most):
+            yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each; one row is never split."""
     start = total = 0

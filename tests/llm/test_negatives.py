@@ -1,9 +1,12 @@
 import math
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from barflow.llm.common import shared_dir
 from barflow.llm.negatives import hilbert_keys, mine
 
 ROWS = "vec_id bigint, embedding array<double>, label int"
@@ -38,6 +41,31 @@ def test_equals_brute_force(spark):
     assert found(spark, rows, block_rows=16, pack_rows=7, zone_rows=5) == brute(rows)
 
 
+def test_ties_in_whole_blocks(spark):
+    """More ties than are kept in every block, and vectors of two and of four bytes a component side by side."""
+    r = random.Random(2)
+    rows = [(i, [r.randrange(-1, 2) / 2 for _ in range(3)], r.randrange(2)) for i in range(1300)]
+    rows += [(i, [300.0, r.randrange(3) / 2, 0.0], r.randrange(2)) for i in range(1300, 1400)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_tables_hold_no_pairs(spark):
+    """500 anchors and 188 blocks: no table holds anchors once for each block that they need, nor the best rows of each block."""
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(16)], r.randrange(3)) for i in range(1500)]
+    tables = Path(shared_dir(spark).removeprefix("file://"), "tables")
+    before = set(tables.glob("*"))
+    df = spark.createDataFrame(rows, ROWS).repartition(3)
+    got = sorted(map(tuple, mine(df, F.col("vec_id") % 3 == 0, block_rows=8).collect()))
+    assert got == brute(rows, 3)
+    size, n = {}, {}
+    for folder in set(tables.glob("*")) - before:
+        metas = [pq.read_metadata(f) for f in folder.glob("*.parquet")]
+        size[folder.name] = sum(m.row_group(k).total_byte_size for m in metas for k in range(m.num_row_groups))
+        n[folder.name] = sum(m.num_rows for m in metas)
+    assert size and max(size.values()) < 1_000_000 and max(n.values()) < 500 * 188, (size, n)
+
+
 def test_rows_without_part(spark):
     bad = [(10, None, 1), (20, [1.0, None], 1), (30, [1.0, float("nan")], 1), (40, [float("inf"), 1.0], 1), (None, [1.0, 1.0], 1), (50, [1.0, 1.0], None), (60, [1e300, 0.0], 1), (70, [], 1), (71, [], 1), (80, [], 2)]
     good = [(90, [1.0, 1.0], 1), (91, [1.0, 0.9], 1), (92, [1.0, 0.8], 2), (92, [1.0, 0.8], 2), (90, [1.0, 1.0], 1), (100, [0.0, 0.0], 1), (101, [0.0, 0.0], 2), (110, [-1.0, 0.0], 5), (111, [1.0, 0.0], 5)]
