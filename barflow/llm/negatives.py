@@ -173,7 +173,7 @@ class _Best:
             s = _products(self.x[part], y)
             last, last_id, top = self.scores[part, :, -1], self.ids[part, :, -1], self.top[part]
             least = np.maximum(self.floor[part], last)
-            r, c = np.nonzero((s >= _like(least.min(1), s)) & (s <= _like(top.max(1), s)))
+            r, c = np.divmod(np.flatnonzero((s >= _like(least.min(1), s)) & (s <= _like(top.max(1), s))), s.shape[1])
             if own is not None:
                 other = c != own[part[r]]
                 r, c = r[other], c[other]
@@ -406,9 +406,9 @@ def mine(
         # Anchors lie in few blocks: only those are opened.
         anchors = written(blocks.where(F.size("a_at") > 0).select("block", "label", "size", "n", "ids", "q", "a_at", "a_least").mapInArrow(_anchors, ANCHOR), "anchors")
         n_packs = max(1, ceil(anchors.count() / pack_rows))
-        # Blocks of a pack go to so many tasks at most, some 32 to each if there are more blocks than tasks.
+        # Blocks of a pack go to so many tasks at most, some 256 to each if there are many; the pack goes to each of them.
         n_blocks = blocks.count()
-        n_parts = max(1, n_blocks // 32, min(n_blocks, 4 * spark.sparkContext.defaultParallelism))
+        n_parts = max(1, n_blocks // 256, min(n_blocks, 4 * spark.sparkContext.defaultParallelism))
 
         def needed(some: DataFrame, kind: str) -> DataFrame:
             """Each pack of anchors meets each pack of zone maps, then each block that one of its anchors needs; both kinds of pairs are dealt over the cluster."""
